@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import BASE, INVERSE, chunks, distinct, mix, powers, utf8
 from .components import settle
-from .overlap import link_components
+from .overlap import is_few, link_components
 from .postings import SCHEMA, Packer, shared_tokens
 
 BANDS, ROWS = 8, 4
@@ -105,11 +105,24 @@ def _bodies(batches):
         for lo, hi in chunks(offs, CHUNK):
             lines = Lines(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             wanted = np.array(sorted({k for a in asked[lo:hi] for k in a}), np.int64)
-            which = np.flatnonzero(np.isin(lines.key, wanted))
-            hashes, bounds = lines.shingles(which)
-            keys, bounds = distinct(np.repeat(np.arange(len(which)), np.diff(bounds)), hashes, len(which))
-            bodies = [keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.key[which]), pa.array(bodies, pa.binary())], names=["k", "body"])
+            which = np.flatnonzero(np.isin(lines.key, wanted)).tolist()
+            parts = {i: t.split("\n") for i, t in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist())}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lines.key[which]), pa.array([parts[int(lines.row[i])][int(lines.position[i])] for i in which], pa.string())], names=["k", "body"]
+            )
+
+
+def line_sets(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys and sets of window hashes of some lines."""
+    keys, sets = [np.empty(0, np.int64)], []
+    data, offs = utf8(pa.array(texts, pa.string()))
+    for lo, hi in chunks(offs, CHUNK):
+        lines = Lines(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        hashes, bounds = lines.shingles(np.arange(hi - lo))
+        found, bounds = distinct(np.repeat(np.arange(hi - lo), np.diff(bounds)), hashes, hi - lo)
+        keys.append(lines.key)
+        sets += [found[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    return np.concatenate(keys), sets
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -138,15 +151,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     blobs = keyed.select("text").mapInArrow(_post(bands, rows, n_buckets), SCHEMA)
     shared = settle(shared_tokens(blobs))
 
-    def sets_of(items: DataFrame) -> DataFrame:
+    def texts_of(items: DataFrame) -> DataFrame:
         places = (
             lines.join(items, "k").groupBy("k").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**62))).alias("d"), "th")).alias("at"))
             .groupBy("at.d", "at.th").agg(F.collect_list("k").alias("ks"))
         )
-        texts = keyed.withColumn("d", F.coalesce("doc_id", F.lit(-(2**62)))).join(places, ["d", "th"]).select("text", "ks")
-        return texts.mapInArrow(_bodies, "k long, body binary").dropDuplicates(["k"])
+        texts = keyed.withColumn("d", F.coalesce("doc_id", F.lit(-(2**62))))
+        texts = texts.join(F.broadcast(places) if is_few(items) else places, ["d", "th"])
+        return texts.select("text", "ks").mapInArrow(_bodies, "k long, body string").dropDuplicates(["k"])
 
-    roots = link_components(shared, sets_of, percent)
+    roots = link_components(shared, texts_of, line_sets, percent)
     placed = lines.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("root", "k"))
     spot = F.struct("doc_id", "th", "pos")
     firsts = placed.groupBy("c").agg(F.min(spot).alias("first"), F.count("*").alias("times")).where("times > 1")

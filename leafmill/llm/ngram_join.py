@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import chunks, set_keys, shingles, utf8, words
 from .components import settle
-from .overlap import link_components
+from .overlap import is_few, link_components
 from .postings import SCHEMA, Packer, shared_tokens
 
 HOT_TOKENS = 1 << 16
@@ -16,6 +16,15 @@ HOT_TOKENS = 1 << 16
 megabyte). It only sets the order of a prefix, never which rows are compared."""
 
 
+SPARE = 16
+"""A prefix is longer by a 16th of the set than it must be to share one shingle, so it must share as many."""
+
+
+def least_shared(percent: int) -> F.Column:
+    """Shingles that the prefix of a set of n shares with that of any it links with, whose size is percent * n / 100 or more."""
+    return F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) / SPARE))
+
+
 def _sets(batches, size: int, at: int = 0):
     """(rows of the batch, distinct shingles, offsets) chunk by chunk."""
     for batch in batches:
@@ -28,14 +37,19 @@ def _sets(batches, size: int, at: int = 0):
 
 
 def _prefixes(keys: np.ndarray, bounds: np.ndarray, percent: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set its first n - ceil(percent * n / 100) + 1 shingles, frequent ones last; and the set's number."""
+    """The prefix of each set in the order of hashes, frequent shingles last; and the set's number.
+
+    Linked sets of n and m shingles share t >= ceil(percent * max(n, m) / 100),
+    so their prefixes of n - t + c and m - t + c have at least c in common.
+    Here c is n // SPARE (at least 1), see `least_shared`.
+    """
     n_rows = len(bounds) - 1
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(n_rows), sizes)
     frequent = np.isin(keys, hot)
     order = np.lexsort((keys, frequent, owner))
     keys, owner = keys[order], owner[order]
-    take = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + 1, 0)
+    take = np.where(sizes > 0, sizes - -(-percent * sizes // 100) + np.maximum(sizes // SPARE, 1), 0)
     rank = np.arange(len(keys)) - bounds[owner]
     keep = rank < take[owner]
     return keys[keep], owner[keep]
@@ -94,12 +108,15 @@ def _post(size: int, percent: int, buckets: int, shared_hot):
     return run
 
 
-def _bodies(size: int):
-    def run(batches):
-        for _, lo, hi, keys, bounds in _sets(batches, size):
-            ids = set_keys(keys, bounds)
-            bodies = [keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bodies, pa.binary())], names=["k", "body"])
+def text_sets(size: int):
+    """From texts their set keys and sets."""
+
+    def run(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys, sets = [np.empty(0, np.int64)], []
+        for _, _, _, found, bounds in _sets([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], size):
+            keys.append(set_keys(found, bounds))
+            sets += [found[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        return np.concatenate(keys), sets
 
     return run
 
@@ -118,9 +135,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     an empty table.
 
     Method: equal sets are one item, keyed by 64 bits of hash. Items that link
-    share one of their first n - ceil(percent * n / 100) + 1 shingles in any
-    fixed order; frequent shingles come last in it. Items with a shingle in
-    common are compared by `overlap.link_components`.
+    share shingles of their prefixes in any fixed order; frequent shingles come
+    last in it. Items whose prefix shares too few with all others together
+    cannot link and go; the others are compared by `overlap.link_components`.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -136,14 +153,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = settle(shared_tokens(blobs, np.frombuffer(hot_bytes, np.uint64)).distinct())
 
     keyed = seen.where("token is null").select("doc_id", "k", "n")
-    classes = keyed.where("k <> 0").groupBy("k").agg(F.min("doc_id").alias("first"))
-
-    def sets_of(items: DataFrame) -> DataFrame:
-        asked = items.join(classes, "k").select(F.col("first").alias("doc_id"))
-        texts = docs.join(asked, "doc_id", "left_semi").select("text")
-        return texts.mapInArrow(_bodies(size), "k long, body binary").dropDuplicates(["k"]).join(items, "k", "left_semi")
-
-    roots = link_components(shared, sets_of, percent)
+    classes = keyed.where("k <> 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    for _ in range(2):
+        several = shared.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        shared = shared.join(several, "token")
+        enough = shared.groupBy("k").agg(F.count("*").alias("c")).join(classes, "k").where(F.col("c") >= least_shared(percent)).select("k")
+        shared = settle(shared.join(enough, "k", "left_semi"))
+
+    def texts_of(items: DataFrame) -> DataFrame:
+        asked = items.join(classes, "k").select("k", F.col("first").alias("doc_id"))
+        return docs.join(F.broadcast(asked) if is_few(asked) else asked, "doc_id").select("k", F.col("text").alias("body"))
+
+    roots = link_components(shared, texts_of, text_sets(size), percent)
     linked = classes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("k", "component_id")
     return keyed.join(named, "k", "left").select(

@@ -89,13 +89,22 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def _search_block(percent: int) -> Callable:
+def _search_block(to_sets: Callable, percent: int) -> Callable:
+    def sets_of(keys: pd.Series, texts: pd.Series) -> tuple[list[int], list[np.ndarray]]:
+        """Of each text that is the one its key was made of; rows of one doc_id can differ in text."""
+        keys = keys.to_numpy(np.int64)
+        made, sets = to_sets(texts.to_list())
+        right = np.flatnonzero(made == keys)
+        return keys[right].tolist(), [sets[i] for i in right]
+
     def run(key, members: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
-        keys = members["k"].to_numpy(np.int64)
-        block = Block([np.frombuffer(s, np.uint64) for s in members["body"]])
+        if not len(members) or not len(visits):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        keys, sets = sets_of(members["k"], members["body"])
+        block, keys = Block(sets), np.array(keys, np.int64)
         pairs = []
-        for k, body in zip(visits["asker"].to_numpy(np.int64).tolist(), visits["asked"]):
-            found = keys[block.search(np.frombuffer(body, np.uint64), percent)]
+        for k, asked in zip(*sets_of(visits["asker"], visits["asked"])):
+            found = keys[block.search(asked, percent)]
             pairs += [(k, other) for other in found.tolist() if other != k]
         kept = _forest(pairs)
         return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
@@ -103,36 +112,43 @@ def _search_block(percent: int) -> Callable:
     return run
 
 
-def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, to_sets: Callable, percent: int) -> DataFrame:
     """Links (a, b) of each visit (k, block) with the members of the block."""
     index = members.join(sets, "k").select("block", "k", "body")
     asked = visits.join(sets, "k").select(F.col("block").alias("visited"), F.col("k").alias("asker"), F.col("body").alias("asked"))
     return (
         index.groupBy("block").cogroup(asked.groupBy("visited"))
-        .applyInPandas(_search_block(percent), "a long, b long")
+        .applyInPandas(_search_block(to_sets, percent), "a long, b long")
     )
 
 
-def link_components(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def is_few(df: DataFrame, limit: int = 1_000_000) -> bool:
+    """Whether a table of a few bytes a row is small enough to broadcast."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable, percent: int) -> DataFrame:
     """(node, root) of items that link with another.
 
     shared: (token, k), no row twice; items that share no token cannot link.
-    sets_of: given (k), the items asked for, returns (k, body); body is the
-    set's sorted distinct 64-bit hashes as bytes.
+    texts_of: given (k), the items asked for, returns their (k, body), body
+    being the text that the set is made of; it moves less than the set would.
+    to_sets: from a list of texts their keys and their sets of sorted distinct
+    64-bit hashes. An item may come more than once, or with a wrong text.
     """
     several = shared.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = settle(shared.join(several, "token"))
     items = settle(shared.select("k").distinct())
     n_blocks = items.count() // BLOCK_ITEMS + 1
     items = items.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int"))
-    sets = settle(sets_of(items.select("k")))
+    sets = settle(texts_of(items.select("k")))
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
     near = F.min("k").alias("centre")
     centres = shared.groupBy("token").agg(near)
     stars = shared.join(centres, "token").where("k <> centre").select("k", "centre").distinct()
     first_visits = stars.select("k", block_of(F.col("centre")).alias("block")).distinct()
     first_index = stars.select(F.col("centre").alias("k")).distinct().withColumn("block", block_of(F.col("k")))
-    links = settle(_searched(first_visits, first_index, sets, percent))
+    links = settle(_searched(first_visits, first_index, sets, to_sets, percent))
     roots = components(links)
 
     placed = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
@@ -144,5 +160,5 @@ def link_components(shared: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     blocks = still.select("token", block_of(F.col("k")).alias("block")).distinct()
     visits = askers.join(blocks, "token").select("k", "block").distinct()
     index = still.select("k").distinct().withColumn("block", block_of(F.col("k")))
-    more = settle(_searched(visits, index, sets, percent))
+    more = settle(_searched(visits, index, sets, to_sets, percent))
     return components(links.union(more))
