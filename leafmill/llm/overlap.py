@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components, settle
 
 BLOCK_ITEMS = 1000
+LONG = 400
+"""Lists of more items are probed rather than merged, as far as the needed overlap allows."""
 
 
 def needed(n: int, m: np.ndarray, percent: int) -> np.ndarray:
@@ -50,13 +52,17 @@ class Block:
         if len(hit) < least:
             return np.empty(0, np.int64)
         lengths = self.bounds[hit + 1] - self.bounds[hit]
-        hit = hit[np.argsort(lengths, kind="stable")]
-        n_long = min(least - 1, len(hit) - 1)
-        short, long = hit[: len(hit) - n_long], hit[len(hit) - n_long :]
-        merged = np.concatenate([self.items[self.bounds[t] : self.bounds[t + 1]] for t in short])
-        merged.sort()
-        starts = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
-        found, counts = merged[starts], np.diff(np.append(starts, len(merged)))
+        order = np.argsort(lengths, kind="stable")
+        hit, lengths = hit[order], lengths[order]
+        n_long = min(least - 1, len(hit) - 1, int((lengths > LONG).sum()))
+        cut = len(hit) - n_long
+        short, long = hit[:cut], hit[cut:]
+        # merge the short lists: one gather of all their entries, counted by item
+        total = np.cumsum(lengths[:cut])
+        at = np.arange(total[-1]) + np.repeat(self.bounds[short] - np.concatenate(([0], total[:-1])), lengths[:cut])
+        merged = np.bincount(self.items[at], minlength=len(self.sizes))
+        found = np.flatnonzero(merged >= max(1, least - n_long))
+        counts = merged[found]
         want = needed(n, self.sizes[found], percent)
         for i, t in enumerate(long):
             alive = counts + (len(long) - i) >= want
@@ -138,16 +144,20 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     """
     several = shared.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = settle(shared.join(several, "token"))
-    items = settle(shared.select("k").distinct())
-    n_blocks = items.count() // BLOCK_ITEMS + 1
-    items = items.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int"))
+    # Items with one least token share a block, so those that may link are mostly
+    # together; a token that is the least of many items has several blocks.
+    least = shared.groupBy("k").agg(F.min("token").alias("least"))
+    crowds = least.groupBy("least").agg((F.count("*") / BLOCK_ITEMS + 1).cast("int").alias("parts"))
+    least = settle(least.join(crowds, "least"))
+    n_blocks = least.count() // BLOCK_ITEMS + 1
+    block = F.pmod(F.xxhash64("least", F.pmod(F.xxhash64("k"), F.col("parts"))), F.lit(n_blocks)).cast("int")
+    items = least.select("k", block.alias("block"))
     sets = settle(texts_of(items.select("k")))
-    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
-    near = F.min("k").alias("centre")
-    centres = shared.groupBy("token").agg(near)
-    stars = shared.join(centres, "token").where("k <> centre").select("k", "centre").distinct()
-    first_visits = stars.select("k", block_of(F.col("centre")).alias("block")).distinct()
-    first_index = stars.select(F.col("centre").alias("k")).distinct().withColumn("block", block_of(F.col("k")))
+    shared = settle(shared.join(items, "k"))
+    centres = shared.groupBy("token").agg(F.min("k").alias("centre"), F.min_by("block", "k").alias("at"))
+    stars = shared.join(centres, "token").where("k <> centre")
+    first_visits = stars.select("k", F.col("at").alias("block")).distinct()
+    first_index = stars.select(F.col("centre").alias("k"), F.col("at").alias("block")).distinct()
     links = settle(_searched(first_visits, first_index, sets, to_sets, percent))
     roots = components(links)
 
@@ -157,8 +167,8 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     open_tokens = top.where("roots > 1").select("token", "top")
     still = settle(placed.join(open_tokens, "token"))
     askers = still.where("root <> top").select("token", "k")
-    blocks = still.select("token", block_of(F.col("k")).alias("block")).distinct()
+    blocks = still.select("token", "block").distinct()
     visits = askers.join(blocks, "token").select("k", "block").distinct()
-    index = still.select("k").distinct().withColumn("block", block_of(F.col("k")))
+    index = still.select("k", "block").distinct()
     more = settle(_searched(visits, index, sets, to_sets, percent))
     return components(links.union(more))
