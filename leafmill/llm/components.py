@@ -13,13 +13,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _hook(links: DataFrame, strict: bool) -> DataFrame:
+ROWS_PER_TASK = 50_000
+
+
+def _hook(links: DataFrame, strict: bool, tasks: int) -> DataFrame:
     """One star step. Each row (u, v) asks u's smallest neighbour to take v.
 
     strict: only neighbours above u move (large star); else u and all below it.
     """
-    least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    moved = links.join(least, "u")
+    least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(tasks)
+    moved = links.join(least, "u").coalesce(tasks)
     if strict:
         return moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
@@ -31,18 +34,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star contraction, which needs about
     log(n) rounds for chains and one or two for stars. Null ends and
     self-links are ignored; an empty edge table gives an empty result.
+
+    Tables of a round have a task for every ROWS_PER_TASK edges, so small ones
+    do not end as many tiny files in each of the rounds' shuffles.
     """
     links = settle(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    tasks = max(1, links.count() // ROWS_PER_TASK)
+    links = links.coalesce(tasks)
     print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = print_of(links)
     if not before[0]:
         return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hook(both, True).where("u <> v").distinct()
-        links = settle(_hook(large, False).where("u > v").distinct())
+        large = _hook(both, True, tasks).where("u <> v").distinct().coalesce(tasks)
+        links = settle(_hook(large, False, tasks).where("u > v").distinct().coalesce(tasks))
         now = print_of(links)
         if now == before:
             break

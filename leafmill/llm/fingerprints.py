@@ -16,7 +16,8 @@ BASES = (1264589137, 718281828)
 WINDOW = 12
 SKETCH = 64
 LEAST = -(2**63)
-SAMPLE_PER_PARTITION = 60
+RANGES_PER_PARTITION = 8
+SAMPLE_PER_PARTITION = 20
 
 
 class Powers:
@@ -174,7 +175,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(LEAST)))
-    bounds, least, before = _routes(rows, n)
+    bounds, least, before = _routes(rows, RANGES_PER_PARTITION * n)
 
     @F.pandas_udf("array<long>")
     def routes(d: pd.Series) -> pd.Series:

@@ -80,7 +80,7 @@ class Lexicon:
                 continue
             if phrase:
                 spared.append((start, end))
-            elif 2 * sum(map(str.isalpha, text[start:end])) >= length:
+            elif 5 * sum(map(str.isalpha, text[start:end])) >= 2 * length:
                 spans.append((start, end, weight))
         if not spans:
             return 0.0, 0.0, 0
