@@ -150,15 +150,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     hot = spark.sparkContext.broadcast(hot_bytes)
     n_buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = docs.select("text").mapInArrow(_post(size, percent, n_buckets, hot), SCHEMA)
-    shared = settle(shared_tokens(blobs, np.frombuffer(hot_bytes, np.uint64)).distinct())
+    shared = settle(shared_tokens(blobs, np.frombuffer(hot_bytes, np.uint64)))
 
     keyed = seen.where("token is null").select("doc_id", "k", "n")
     classes = keyed.where("k <> 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    for _ in range(2):
-        several = shared.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-        shared = shared.join(several, "token")
-        enough = shared.groupBy("k").agg(F.count("*").alias("c")).join(classes, "k").where(F.col("c") >= least_shared(percent)).select("k")
-        shared = settle(shared.join(enough, "k", "left_semi"))
+    enough = shared.groupBy("k").agg(F.count("*").alias("c")).join(classes, "k").where(F.col("c") >= least_shared(percent)).select("k")
+    shared = settle(shared.join(enough, "k", "left_semi"))
 
     def texts_of(items: DataFrame) -> DataFrame:
         asked = items.join(classes, "k").select("k", F.col("first").alias("doc_id"))

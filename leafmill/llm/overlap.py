@@ -118,21 +118,23 @@ def _search_block(to_sets: Callable, percent: int) -> Callable:
     return run
 
 
+def is_few(df: DataFrame, limit: int = 1_000_000) -> bool:
+    """Whether a table of a few bytes a row is small enough to broadcast."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, to_sets: Callable, percent: int) -> DataFrame:
     """Links (a, b) of each visit (k, block) with the members of the block."""
-    index = members.join(sets, "k").select("block", "k", "body")
-    asked = visits.join(sets, "k").select(F.col("block").alias("visited"), F.col("k").alias("asker"), F.col("body").alias("asked"))
+    # (k, block) rows are small beside texts, so where they are few they go to the texts
+    beside = lambda df: F.broadcast(df) if is_few(df) else df
+    index = sets.join(beside(members), "k").select("block", "k", "body")
+    asked = sets.join(beside(visits), "k").select(F.col("block").alias("visited"), F.col("k").alias("asker"), F.col("body").alias("asked"))
     return (
         index.groupBy("block").cogroup(asked.groupBy("visited"))
         .applyInPandas(_search_block(to_sets, percent), "a long, b long")
     )
 
 
-def is_few(df: DataFrame, limit: int = 1_000_000) -> bool:
-    """Whether a table of a few bytes a row is small enough to broadcast."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable, percent: int) -> DataFrame:
     """(node, root) of items that link with another.
 
@@ -158,6 +160,7 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     stars = shared.join(centres, "token").where("k <> centre")
     first_visits = stars.select("k", F.col("at").alias("block")).distinct()
     first_index = stars.select(F.col("centre").alias("k"), F.col("at").alias("block")).distinct()
+    first_visits, first_index = settle(first_visits), settle(first_index)
     links = settle(_searched(first_visits, first_index, sets, to_sets, percent))
     roots = components(links)
 
@@ -170,5 +173,6 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     blocks = still.select("token", "block").distinct()
     visits = askers.join(blocks, "token").select("k", "block").distinct()
     index = still.select("k", "block").distinct()
+    visits, index = settle(visits), settle(index)
     more = settle(_searched(visits, index, sets, to_sets, percent))
     return components(links.union(more))

@@ -50,9 +50,8 @@ class Packer:
 def shared_tokens(blobs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
     """(token, k): each posting once, of tokens that two items or more hold.
 
-    Postings of hot tokens are spread over all tasks, so that no task gathers
-    one token's; they pass as they are (and may repeat between tasks, so the
-    caller's distinct still holds).
+    Postings of hot tokens are spread over all tasks by item, so that no task
+    gathers one token's; they pass even where a token has but one item.
     """
     spark = blobs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
