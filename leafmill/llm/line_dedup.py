@@ -149,7 +149,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
 
     n_buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = keyed.select("text").mapInArrow(_post(bands, rows, n_buckets), SCHEMA)
-    shared = settle(shared_tokens(blobs))
+    shared = settle(shared_tokens(blobs).withColumn("need", F.lit(1)))
 
     def texts_of(items: DataFrame) -> DataFrame:
         places = (

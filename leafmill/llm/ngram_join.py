@@ -154,8 +154,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     keyed = seen.where("token is null").select("doc_id", "k", "n")
     classes = keyed.where("k <> 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
-    enough = shared.groupBy("k").agg(F.count("*").alias("c")).join(classes, "k").where(F.col("c") >= least_shared(percent)).select("k")
-    shared = settle(shared.join(enough, "k", "left_semi"))
+    enough = shared.groupBy("k").agg(F.count("*").alias("c")).join(classes, "k").withColumn("need", least_shared(percent))
+    shared = settle(shared.join(enough.where("c >= need").select("k", "need"), "k"))
 
     def texts_of(items: DataFrame) -> DataFrame:
         asked = items.join(classes, "k").select("k", F.col("first").alias("doc_id"))

@@ -138,7 +138,8 @@ def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, to_sets: C
 def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable, percent: int) -> DataFrame:
     """(node, root) of items that link with another.
 
-    shared: (token, k), no row twice; items that share no token cannot link.
+    shared: (token, k, need), no token and k twice; items cannot link unless
+    they share `need` tokens, for the need of either.
     texts_of: given (k), the items asked for, returns their (k, body), body
     being the text that the set is made of; it moves less than the set would.
     to_sets: from a list of texts their keys and their sets of sorted distinct
@@ -169,9 +170,12 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     top = counts.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
     open_tokens = top.where("roots > 1").select("token", "top")
     still = settle(placed.join(open_tokens, "token"))
-    askers = still.where("root <> top").select("token", "k")
+    askers = still.where("root <> top").select("token", "k", "need")
     blocks = still.select("token", "block").distinct()
-    visits = askers.join(blocks, "token").select("k", "block").distinct()
+    # Of `need` shared tokens an item or its partner asks for half at least, so a
+    # block with which fewer are shared holds no partner that this item must find.
+    asked = askers.join(blocks, "token").groupBy("k", "block").agg(F.count("*").alias("c"), F.max("need").alias("need"))
+    visits = asked.where("2 * c >= need").select("k", "block")
     index = still.select("k", "block").distinct()
     visits, index = settle(visits), settle(index)
     more = settle(_searched(visits, index, sets, to_sets, percent))
