@@ -19,11 +19,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+KEPT_POWERS = 1 << 19
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base**0 .. base**(n-1) modulo 2**64, not to be written to; the first KEPT_POWERS of a base are made once."""
+
+    def made(n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.multiply.accumulate(out)
+
+    if n > KEPT_POWERS:
+        return made(n)
+    if int(base) not in _POWERS:
+        _POWERS[int(base)] = made(KEPT_POWERS)
+    return _POWERS[int(base)][:n]
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,14 @@ from .postings import SCHEMA, Packer, shared_tokens
 BANDS, ROWS = 8, 4
 SHINGLE = 8
 CHUNK = 1 << 18
+_VALUE = mix(np.arange(7, 7 + (1 << 16), dtype=np.uint64))
+"""The value of each code point of the basic plane in a line's polynomial; others are worked out."""
+
+
+def _values(codes: np.ndarray) -> np.ndarray:
+    if not len(codes) or codes.max() < len(_VALUE):
+        return _VALUE[codes]
+    return mix(codes.astype(np.uint64) + np.uint64(7))
 
 
 class Lines:
@@ -23,7 +31,8 @@ class Lines:
         self.size = size
         codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         # code point offsets of the rows: bytes that do not continue a character
-        heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        heads = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(data.view(np.int8) >= -64, out=heads[1:])
         row_at = heads[offs]
         breaks = np.flatnonzero(codes == 10)
         # every row has one line more than it has breaks
@@ -41,8 +50,9 @@ class Lines:
         n = len(codes)
         self.inverse = powers(INVERSE, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(7)) * powers(BASE, n + 1)[:n], out=self.sums[1:])
-        inked = np.concatenate(([0], np.cumsum((codes > 32) & (codes != 0xA0) & (codes != 0x3000))))
+        np.cumsum(_values(codes) * powers(BASE, n + 1)[:n], out=self.sums[1:])
+        inked = np.zeros(n + 1, np.int64)
+        np.cumsum((codes > 32) & (codes != 0xA0) & (codes != 0x3000), out=inked[1:])
         self.blank = inked[stops] == inked[starts]
         key = mix((self.sums[stops] - self.sums[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64)) | np.uint64(1)
         self.key = np.where(self.blank, np.uint64(0), key).view(np.int64)
@@ -65,8 +75,8 @@ def _bands(hashes: np.ndarray, offs: np.ndarray, bands: int, rows: int) -> np.nd
     for b in range(bands):
         key = np.full(len(offs) - 1, (b + 1) * int(BASE) % (1 << 64), np.uint64)
         for r in range(rows):
-            x = short * multipliers[b * rows + r]
-            key = mix(key ^ np.minimum.reduceat(x ^ (x >> np.uint32(15)), offs[:-1]).astype(np.uint64))
+            least = np.minimum.reduceat(short * multipliers[b * rows + r], offs[:-1])
+            key = mix(key ^ least.astype(np.uint64))
         out[:, b] = key
     return out
 
@@ -164,17 +174,28 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     placed = lines.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("root", "k"))
     spot = F.struct("doc_id", "th", "pos")
     firsts = placed.groupBy("c").agg(F.min(spot).alias("first"), F.count("*").alias("times")).where("times > 1")
-    gone = placed.join(firsts, "c").where(~spot.eqNullSafe(F.col("first"))).groupBy("doc_id", "th").agg(F.collect_list("pos").alias("gone"))
+    # settled, so that the join deals both sides out itself and a line of many places can be split
+    repeated = placed.join(settle(firsts), "c").where(~spot.eqNullSafe(F.col("first"))).select("doc_id", "th", "pos")
+    gone = repeated.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
     gone = gone.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("th", "gone_th")
 
-    marked = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th")), "left")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th"))
     parts = F.split("text", "\n", -1)
-    keep = F.when(F.col("gone").isNotNull(), F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~F.array_contains("gone", i)))
-    marked = marked.withColumn("line_keep", keep)
-    kept = F.array_join(F.filter(parts, lambda x, i: F.element_at("line_keep", (i + 1).cast("int"))), "\n")
+    marked = docs.join(gone.hint("shuffle_hash"), same, "left")  # texts need no sort
+    marked = marked.withColumn("line_keep", _flags(F.col("gone"), F.size(parts)))
+    stay = F.filter(F.arrays_zip(parts.alias("part"), F.col("line_keep").alias("stays")), lambda x: x["stays"])
+    kept = F.array_join(F.transform(stay, lambda x: x["part"]), "\n")
     return marked.withColumn("kept_text", F.when(F.col("line_keep").isNull(), F.col("text")).otherwise(kept)).drop("gone", "gone_id", "gone_th")
 
 
+def _flags(gone, n):
+    """n flags, false at the distinct places `gone`, in time linear in n; null where `gone` is."""
+    at = F.array_sort(gone)
+    runs = F.zip_with(F.concat(at, F.array(n)), F.concat(F.array(F.lit(-1)), at), lambda stop, before: stop - before - 1)
+    flags = F.flatten(F.transform(runs, lambda run: F.array_append(F.array_repeat(F.lit(True), run), F.lit(False))))
+    return F.slice(flags, 1, n)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n_lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0)
