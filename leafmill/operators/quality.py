@@ -30,3 +30,49 @@ def parse_error(message: Column) -> Column:
     pattern = r"(?s)^[A-Z_]+::([A-Z_]+)::(.*)$"
     hit = message.rlike(pattern)
     return F.struct(F.when(hit, F.regexp_extract(message, pattern, 1)).alias("code"), F.when(hit, F.regexp_extract(message, pattern, 2)).otherwise(message).alias("message"))
+
+
+# Words of navigation, of book details, and the shapes of chapter titles and addresses.
+UTILITY = r"(?i)(去App看书|下载APP|下载|加入书架|书籍详情|书末页|目录|上一章|下一章|返回|首页|排行|推荐|帮助中心|登录|注册|微信读书|墨水屏版|版权信息|节选|欢迎你从|体验卡|推荐值|点评|书城)"
+TITLE_NUMBERED = r"(?i)第\s*[零一二三四五六七八九十百千0-9]+\s*[章回节卷话篇]|^(chapter|ch\.?)\s*\d+|\d{1,4}[.\-_]\d{1,5}"
+CHAPTER_ADDRESS = r"(?i)/(chapter|reader|read|content)\b|/\d{4,}[-_]\d{1,6}(\.html)?([/?#]|$)|[-_]\d{5,}|[?&](cid|chapterid|chapter)=\d+"
+NAV_WORDS = r"(?i)(加入书架|书籍详情|去APP|目录|上一章|下一章|首页|排行榜|设置|扫码|书签|书城|推荐值|点评|体验卡|可读字数|阅读\d+万人|一般\(\d+|推荐\(\d+|不行\(\d+)"
+DETAIL_WORDS = r"(?i)(版权信息|ISBN|出版社|译者|版权所有|出版时间)"
+
+
+def is_utility_nav(title: Column) -> Column:
+    """a blank label or one with a word of navigation; a null counts as blank."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    return (t == "") | t.rlike(UTILITY)
+
+
+def is_chapter_title(title: Column) -> Column:
+    """F23."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    return ~is_utility_nav(t) & (F.length(t) <= 80) & t.rlike(TITLE_NUMBERED)
+
+
+def is_chapter_address(url: Column) -> Column:
+    """looser than the rule for links."""
+    return F.coalesce(url.rlike(CHAPTER_ADDRESS), F.lit(False))
+
+
+def toc_quality(entries: DataFrame, key: str = "list_id") -> DataFrame:
+    """(key, n_like, ratio, valid) of each list of (title, url): how much of it looks like chapters, utility labels aside."""
+    counted = entries.where(~is_utility_nav(F.col("title")))
+    sums = entries.select(key).distinct().join(
+        counted.groupBy(key).agg(F.count("*").alias("n"), F.count_if(is_chapter_title(F.col("title"))).alias("by_title"), F.count_if(is_chapter_address(F.col("url"))).alias("by_url")), key, "left"
+    ).na.fill(0, ["n", "by_title", "by_url"])
+    like = F.greatest("by_title", "by_url")
+    rated = sums.withColumn("n_like", like).withColumn("ratio", F.when(F.col("n") > 0, like / F.col("n")).otherwise(F.lit(0.0)))
+    return rated.select(key, "n_like", "ratio", ((F.col("n_like") >= 2) & ((F.col("ratio") >= 0.2) | (F.col("by_url") >= 3))).alias("valid"))
+
+
+def is_readable_body(text: Column, least: int = 180) -> Column:
+    """F21 on a normalized text: long enough, with sentences, and with few words of navigation or book details; null is not."""
+    t = F.coalesce(text, F.lit(""))
+    n = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    marks, han = n("[。！？.!?]"), n("[一-龥]")
+    worded = ((han >= 60) | (marks >= 3)) & ((marks >= 2) | (han >= 260))
+    share = lambda pattern, per: n(pattern) / F.greatest(F.lit(1.0), F.length(t) / per)
+    return (F.length(t) >= least) & worded & (share(NAV_WORDS, 20) <= 0.35) & (share(DETAIL_WORDS, 30) <= 0.45)

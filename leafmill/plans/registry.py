@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T, urls as U
-from ..operators import chapters as C, classify as K, html as H, library as L, links as N, quality as Q, reading as R
+from ..operators import chapters as C, classify as K, html as H, library as L, links as N, quality as Q, reading as R, store as W
 from ..sources import tables as S
 
 SHORT_LINE = (r"^\S+(\s+\S+){0,2}$",)
@@ -440,3 +440,79 @@ def _(spark, d):
 @_add("a11_run_summary", "SELECT count(*) AS total, count(*) FILTER (value > 50) AS passed, count(*) FILTER (NOT value > 50) AS failed FROM events")
 def _(spark, d):
     return Q.run_summary(S.table(spark, d, "events"), F.col("value") > 50)
+
+
+# ---- filling the library
+
+_CHAPTERS = _SQL["t8_split_chapters"]
+
+
+@_add("s7_to_library", f"SELECT sha256(concat(doc_id, ':', order_index)) AS item_id, doc_id AS book_id, order_index, title, content_text FROM ({_CHAPTERS})")
+def _(spark, d):
+    return W.to_library(C.split_chapters(_docs(spark, d), SHORT_LINE))
+
+
+@_add("s8_toc_to_library", """SELECT user_id AS book_id, no::INT AS order_index, CASE WHEN event_type = 'view' THEN concat('#', no) ELSE event_type END AS title, '' AS content_text, props AS url
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no FROM events) WHERE no <= 30
+  UNION ALL SELECT id, 0, 'intro', CASE WHEN source_type = 'file' THEN '-' ELSE title END, NULL FROM v_books""")
+def _(spark, d):
+    entries = S.table(spark, d, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("pos"), F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type")).alias("title"), F.col("props").alias("url"))
+    intros = S.books(spark, d).select(F.col("id").alias("book_id"), F.when(F.col("source_type") == "url", F.col("title")).alias("intro"))
+    return W.toc_to_library(entries, intros, cap=30)
+
+
+@_add("j5_backfill", f"""WITH f AS ({_FP}), x AS (SELECT fp, min(concat('text ', page_id)) AS t FROM f WHERE page_id % 3 <> 0 GROUP BY fp)
+  SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'old' ELSE coalesce(t, ' ') END AS content_text FROM f LEFT JOIN x USING (fp)""")
+def _(spark, d):
+    pages = S.table(spark, d, "pages")
+    tagged = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_medium=x"))
+    extracts = pages.select(tagged.alias("url"), F.when(F.col("page_id") % 3 == 0, " ").otherwise(F.concat(F.lit("text "), "page_id")).alias("text"))
+    items = pages.select("page_id", "url", F.when(F.col("page_id") % 4 == 0, "old").otherwise(" ").alias("content_text"))
+    return W.backfill(items, extracts).select("page_id", "content_text")
+
+
+_LISTS = "SELECT page_id, page_id % 25 AS list_id, url, CASE page_id % 4 WHEN 0 THEN '目录' WHEN 1 THEN concat('Chapter ', page_id) ELSE concat('x', page_id) END AS title FROM pages"
+
+
+def _lists(spark, d):
+    k = F.col("page_id") % 4
+    title = F.when(k == 0, "目录").when(k == 1, F.concat(F.lit("Chapter "), "page_id")).otherwise(F.concat(F.lit("x"), "page_id"))
+    return S.table(spark, d, "pages").select("page_id", (F.col("page_id") % 25).alias("list_id"), "url", title.alias("title"))
+
+
+@_add("f27_valid_lists", f"""WITH l AS (SELECT page_id, list_id, CASE WHEN page_id % 97 = 5 THEN 'ftp' ELSE url END AS url FROM ({_LISTS}))
+  SELECT page_id, list_id FROM l WHERE list_id NOT IN (SELECT list_id FROM l WHERE page_id % 97 = 5)""")
+def _(spark, d):
+    bad = _lists(spark, d).withColumn("url", F.when(F.col("page_id") % 97 == 5, "ftp").otherwise(F.col("url")))
+    return W.valid_lists(bad).select("page_id", "list_id")
+
+
+_QUALITY = {k: getattr(Q, k).replace("'", "''") for k in ("UTILITY", "TITLE_NUMBERED", "CHAPTER_ADDRESS", "NAV_WORDS", "DETAIL_WORDS")}
+
+
+@_add("a8_toc_quality", f"""WITH c AS (SELECT list_id, count(*) FILTER (u) AS n, count(*) FILTER (u AND regexp_matches(title, '{_QUALITY["TITLE_NUMBERED"]}')) AS a, count(*) FILTER (u AND regexp_matches(url, '{_QUALITY["CHAPTER_ADDRESS"]}')) AS b
+  FROM (SELECT *, NOT regexp_matches(title, '{_QUALITY["UTILITY"]}') AS u FROM ({_LISTS})) GROUP BY list_id)
+  SELECT list_id, greatest(a, b) AS n_like, CASE WHEN n > 0 THEN greatest(a, b)::DOUBLE / n ELSE 0 END AS ratio, greatest(a, b) >= 2 AND (n > 0 AND greatest(a, b)::DOUBLE / n >= 0.2 OR b >= 3) AS valid FROM c""")
+def _(spark, d):
+    return Q.toc_quality(_lists(spark, d))
+
+
+def _count_sql(pattern: str) -> str:
+    return f"len(regexp_extract_all(t, '{pattern}'))"
+
+
+@_add("f21_readable_body", f"""SELECT doc_id, length(t) >= 180 AND (han >= 60 OR marks >= 3) AND (marks >= 2 OR han >= 260) AND nav / greatest(1.0::DOUBLE, length(t)::DOUBLE / 20) <= 0.35 AND meta / greatest(1.0::DOUBLE, length(t)::DOUBLE / 30) <= 0.45 AS ok FROM (
+  SELECT doc_id, t, {_count_sql("[。！？.!?]")} AS marks, {_count_sql("[一-龥]")} AS han, {_count_sql(_QUALITY["NAV_WORDS"])}::DOUBLE AS nav, {_count_sql(_QUALITY["DETAIL_WORDS"])}::DOUBLE AS meta FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", Q.is_readable_body(F.col("text")).alias("ok"))
+
+
+@_add("w11_step_page", """WITH n AS (SELECT book_id, order_index, len(string_split(content_text, chr(10))) + order_index AS n FROM v_items),
+  k AS (SELECT *, lag(order_index) OVER w AS before, lag(n) OVER w AS nb, lead(order_index) OVER w AS after FROM n WINDOW w AS (PARTITION BY book_id ORDER BY order_index)),
+  p AS (SELECT k.*, line + step AS t FROM k, (VALUES (0), (1)) l(line), (VALUES (-2), (2)) s(step))
+  SELECT book_id, CASE WHEN t < 0 AND before IS NOT NULL THEN before WHEN t >= n AND after IS NOT NULL THEN after ELSE order_index END AS order_index,
+  (CASE WHEN t < 0 AND before IS NOT NULL THEN greatest(0, nb - 3) WHEN t >= n AND after IS NOT NULL THEN 0 ELSE greatest(0, least(t, n - 1)) END)::BIGINT AS line FROM p""")
+def _(spark, d):
+    items = S.items(spark, d).select("book_id", "order_index", (F.size(F.split("content_text", "\n", -1)) + F.col("order_index")).alias("n_lines"))
+    positions = items.select("book_id", "order_index", F.explode(F.array(F.lit(0), F.lit(1))).alias("line"))
+    return W.step_page(items, positions, -2, 3).unionByName(W.step_page(items, positions, 2, 3))
