@@ -162,10 +162,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     shared = settle(shared_tokens(blobs).withColumn("need", F.lit(1)))
 
     def texts_of(items: DataFrame) -> DataFrame:
-        places = (
-            lines.join(items, "k").groupBy("k").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**62))).alias("d"), "th")).alias("at"))
-            .groupBy("at.d", "at.th").agg(F.collect_list("k").alias("ks"))
-        )
+        # grouped before the join, so that a line of very many places is combined by the map tasks
+        place = F.struct(F.coalesce("doc_id", F.lit(-(2**62))).alias("d"), "th")
+        places = lines.groupBy("k").agg(F.min(place).alias("at")).join(items, "k").groupBy("at.d", "at.th").agg(F.collect_list("k").alias("ks"))
         texts = keyed.withColumn("d", F.coalesce("doc_id", F.lit(-(2**62))))
         texts = texts.join(F.broadcast(places) if is_few(items) else places, ["d", "th"])
         return texts.select("text", "ks").mapInArrow(_bodies, "k long, body string").dropDuplicates(["k"])
