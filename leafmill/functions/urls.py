@@ -61,7 +61,7 @@ def path_parts(url: Column) -> Column:
 def last_path_number(url: Column) -> Column:
     """The last number of the last path segment that has one."""
     with_digit = F.filter(path_parts(url), lambda x: x.rlike(r"\d"))
-    return F.regexp_extract(F.element_at(with_digit, -1), r"(\d+)\D*$", 1).try_cast("long")
+    return F.regexp_extract(F.try_element_at(with_digit, F.lit(-1)), r"(\d+)\D*$", 1).try_cast("long")
 
 
 def path_similarity(a: Column, b: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.urls import url_host
 
@@ -76,3 +76,104 @@ def is_readable_body(text: Column, least: int = 180) -> Column:
     worded = ((han >= 60) | (marks >= 3)) & ((marks >= 2) | (han >= 260))
     share = lambda pattern, per: n(pattern) / F.greatest(F.lit(1.0), F.length(t) / per)
     return (F.length(t) >= least) & worded & (share(NAV_WORDS, 20) <= 0.35) & (share(DETAIL_WORDS, 30) <= 0.45)
+
+
+# Words of introductions, pages before the text, style sheets, legal footers and pay walls.
+INTRO = "(?i)(代表作|文库|出版社|村上春树|阅读狂潮|崇拜对象|内容简介|推荐阅读|书籍简介)"
+CHAPTER_MARK = r"(?i)第\s*[0-9零一二三四五六七八九十百千]+\s*[章回节卷]"
+PART_MARK = r"(?im)^(chapter|part)\s*[0-9ivxlcdm]+"
+FRONT_HAN = "(?i)(版权信息|书名：|作者：|译者：|出版社：|出版时间：|ISBN|版权所有|侵权必究|本书由)"
+FRONT_LATIN = "(?i)(copyright|all rights reserved|published by|isbn|translator|author|understanding china|editorial board)"
+CSS = r"(?i)(background|font-size|margin|padding|position|display|width|height|z-index|url\(|#(?:[0-9a-f]{3}|[0-9a-f]{6})\b)"
+LEGAL = "(?i)(ICP备|ICP证|公网安备|统一社会信用代码|违法犯罪举报|网信算备|版权所有|All Rights Reserved|Copyright|北京幻想纵横|纵横小说网)"
+PAY_SHELL = "(?i)(VIP章节|会员可见|开通会员|购买本章|购买章节|继续阅读请|解锁本章|订阅后阅读|登录后阅读|需付费阅读|充值阅读|畅读卡|去APP阅读|APP内继续阅读)"
+GATED = ("AUTH_REQUIRED", "PAYWALL_BLOCKED", "ANTI_BOT_OR_BLOCKED", "SITE_NOT_FOUND", "CONTENT_REMOVED")
+CHECKS = ("basic_info", "toc", "detail_content", "chapter_content", "content", "navigation", "paywall_or_auth")
+
+
+def _n(text: Column, pattern: str) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
+
+
+def is_intro(text: Column) -> Column:
+    """two words of an introduction and no chapter."""
+    return (_n(text, INTRO) >= 2) & (_n(text, CHAPTER_MARK) == 0)
+
+
+def is_book_front_matter(text: Column) -> Column:
+    """three words of an imprint and no chapter."""
+    return ((_n(text, FRONT_HAN) >= 3) | (_n(text, FRONT_LATIN) >= 3)) & (_n(text, CHAPTER_MARK) + _n(text, PART_MARK) == 0)
+
+
+def is_css_noise(text: Column) -> Column:
+    """F22."""
+    return (_n(text, CSS) >= 2) | ((_n(text, "[{};:]") >= 12) & (_n(text, r"(?i)url\(|background|display|position") > 0))
+
+
+def is_legal_footer(text: Column) -> Column:
+    """F22."""
+    return _n(text, LEGAL) >= 2
+
+
+def is_paywall_shell(html: Column, text: Column) -> Column:
+    """two offers to pay in a page or its text, and at most one chapter."""
+    merged = F.concat_ws(" ", F.regexp_replace(html, "<[^>]+>", " "), text)
+    return (_n(merged, PAY_SHELL) >= 2) & (_n(merged, CHAPTER_MARK) <= 1)
+
+
+def sample_titles(entries: DataFrame, key: str = "list_id", pos: str = "page_id", n: int = 5) -> DataFrame:
+    """K8: (key, titles) of up to `n` entries of each list, only those like chapters if there are any."""
+    good = ~is_utility_nav(F.col("title")) & (is_chapter_title(F.col("title")) | is_chapter_address(F.col("url")))
+    w = Window.partitionBy(key).orderBy(F.desc("good"), pos)
+    ranked = entries.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("no", F.row_number().over(w)).where(F.col("no") <= n)
+    kept = ranked.withColumn("any", F.max("good").over(Window.partitionBy(key))).where("good or not any")
+    return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "title"))), lambda x: x["title"]).alias("titles"))
+
+
+def site_checks(pages: DataFrame, expectations: DataFrame) -> DataFrame:
+    """Q1, Q2: pages (site_id, status, title, detail_len, content_len, n_toc, has_next) with the seven checks.
+
+    A gated status passes the content checks if `expectations` (site_id,
+    requires_login, expected_codes) allows it; a site without expectations allows none.
+    """
+    j = pages.join(expectations, "site_id", "left")
+    blocked = F.col("status").isin(*GATED)
+    allowed = F.coalesce(blocked & (F.col("requires_login") | F.array_contains("expected_codes", F.col("status"))), F.lit(False))
+    detail, chapter = (F.col("detail_len") >= 20) | allowed, (F.col("content_len") >= 180) | allowed
+    made = {
+        "basic_info": F.trim(F.coalesce("title", F.lit(""))) != "", "toc": (F.col("n_toc") >= 2) | allowed, "detail_content": detail, "chapter_content": chapter,
+        "content": detail & chapter, "navigation": F.col("has_next") | (F.col("n_toc") >= 2) | allowed, "paywall_or_auth": ~blocked | allowed,
+    }
+    return j.select(*pages.columns, *[F.coalesce(v, F.lit(False)).alias(k) for k, v in made.items()])
+
+
+def consistency_issues(checks: DataFrame) -> Column:
+    """Q3: names of checks that hold without their evidence in a row of `site_checks`."""
+    open_page = ~F.col("status").isin(*GATED)
+    rules = {
+        "toc_without_entries": F.col("toc") & open_page & (F.col("n_toc") < 2), "content_without_text": F.col("content") & open_page & (F.col("content_len") < 180),
+        "info_without_title": F.col("basic_info") & (F.trim(F.coalesce("title", F.lit(""))) == ""), "navigation_without_link": F.col("navigation") & open_page & ~F.col("has_next") & (F.col("n_toc") < 2),
+    }
+    return F.array_compact(F.array(*[F.when(v, k) for k, v in rules.items()]))
+
+
+def failure_reasons() -> Column:
+    """Q4: names of the checks that fail, in their order."""
+    return F.array_compact(F.array(*[F.when(~F.col(c), c) for c in CHECKS]))
+
+
+def chapter_title_of(toc_title: Column, page_title: Column, extracted: Column) -> Column:
+    """Q6: the contents list's title, else the page's if it marks a chapter, else the extractor's."""
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(given(toc_title), F.when(page_title.rlike(CHAPTER_MARK) | page_title.rlike(PART_MARK), given(page_title)), given(extracted))
+
+
+def book_title_of(curated: Column, derived: Column, site: Column, book_id: Column) -> Column:
+    """Q7: the first that is not blank."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (curated, derived, site)], book_id)
+
+
+def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """The rows as JSON under path/rows and the summary as CSV under path/summary."""
+    results.write.mode("overwrite").json(f"{path}/rows")
+    summary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/summary")

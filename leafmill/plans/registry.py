@@ -516,3 +516,6 @@ def _(spark, d):
     items = S.items(spark, d).select("book_id", "order_index", (F.size(F.split("content_text", "\n", -1)) + F.col("order_index")).alias("n_lines"))
     positions = items.select("book_id", "order_index", F.explode(F.array(F.lit(0), F.lit(1))).alias("line"))
     return W.step_page(items, positions, -2, 3).unionByName(W.step_page(items, positions, 2, 3))
+
+
+from . import navigation_queries, page_queries, source_queries  # noqa: E402, F401
