@@ -6,7 +6,8 @@ an inverted index that the items which may link to one of its members visit.
 Links are searched in two rounds: first each item visits the block of one
 centre a token, and what links is joined to components; then only members of
 other components than a token's largest visit all its blocks. So a large
-group of near copies is not searched all against all.
+group of near copies is not searched all against all. Where a block has very
+many visitors, they are searched in slices, each beside a copy of the block.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components, settle
 
 BLOCK_ITEMS = 1000
+SLICE_ITEMS, SLICE_BYTES = 4000, 1 << 23
+"""About as many visits of a block, and bytes of their texts, are searched in one task; a block with more is copied to several."""
 LONG = 400
 """Lists of more items are probed rather than merged, as far as the needed overlap allows."""
 
@@ -123,14 +126,33 @@ def is_few(df: DataFrame, limit: int = 1_000_000) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, to_sets: Callable, percent: int) -> DataFrame:
+def sliced(visits: DataFrame, members: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, block, slice) of the visits, each in one slice of its block, and of the members, each in all slices of its block.
+
+    sizes: (k, bytes), no k twice. A slice has about SLICE_ITEMS visits or
+    SLICE_BYTES of text at most, whatever the number of a block's visitors.
+    """
+    parts = F.greatest(F.count("*") / SLICE_ITEMS, F.sum("bytes") / SLICE_BYTES).cast("int") + 1
+    slices = settle(visits.join(sizes, "k").groupBy("block").agg(parts.alias("slices")))
+    slices = _beside(slices)
+    own = F.pmod(F.xxhash64("k", F.lit("slice")), F.col("slices")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
+    return visits.join(slices, "block").select("k", "block", own.alias("slice")), members.join(slices, "block").select("k", "block", every.alias("slice"))
+
+
+def _beside(df: DataFrame) -> DataFrame:
+    """A table of a few bytes a row, sent to the other side of its join where it is small."""
+    return F.broadcast(df) if is_few(df) else df
+
+
+def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, sizes: DataFrame, to_sets: Callable, percent: int) -> DataFrame:
     """Links (a, b) of each visit (k, block) with the members of the block."""
-    # (k, block) rows are small beside texts, so where they are few they go to the texts
-    beside = lambda df: F.broadcast(df) if is_few(df) else df
-    index = sets.join(beside(members), "k").select("block", "k", "body")
-    asked = sets.join(beside(visits), "k").select(F.col("block").alias("visited"), F.col("k").alias("asker"), F.col("body").alias("asked"))
+    visits, members = sliced(visits, members, sizes)
+    # (k, block, slice) rows are small beside texts, so where they are few they go to the texts
+    index = sets.join(_beside(members), "k").select("block", "slice", "k", "body")
+    asked = sets.join(_beside(visits), "k").select(F.col("block").alias("visited"), F.col("slice").alias("part"), F.col("k").alias("asker"), F.col("body").alias("asked"))
     return (
-        index.groupBy("block").cogroup(asked.groupBy("visited"))
+        index.groupBy("block", "slice").cogroup(asked.groupBy("visited", "part"))
         .applyInPandas(_search_block(to_sets, percent), "a long, b long")
     )
 
@@ -156,13 +178,14 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     block = F.pmod(F.xxhash64("least", F.pmod(F.xxhash64("k"), F.col("parts"))), F.lit(n_blocks)).cast("int")
     items = least.select("k", block.alias("block"))
     sets = settle(texts_of(items.select("k")))
+    sizes = settle(sets.groupBy("k").agg(F.sum(F.octet_length("body")).alias("bytes")))
     shared = settle(shared.join(items, "k"))
     centres = shared.groupBy("token").agg(F.min("k").alias("centre"), F.min_by("block", "k").alias("at"))
     stars = shared.join(centres, "token").where("k <> centre")
     first_visits = stars.select("k", F.col("at").alias("block")).distinct()
     first_index = stars.select(F.col("centre").alias("k"), F.col("at").alias("block")).distinct()
     first_visits, first_index = settle(first_visits), settle(first_index)
-    links = settle(_searched(first_visits, first_index, sets, to_sets, percent))
+    links = settle(_searched(first_visits, first_index, sets, sizes, to_sets, percent))
     roots = components(links)
 
     placed = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
@@ -178,5 +201,5 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     visits = asked.where("2 * c >= need").select("k", "block")
     index = still.select("k", "block").distinct()
     visits, index = settle(visits), settle(index)
-    more = settle(_searched(visits, index, sets, to_sets, percent))
+    more = settle(_searched(visits, index, sets, sizes, to_sets, percent))
     return components(links.union(more))

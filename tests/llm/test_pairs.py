@@ -65,6 +65,33 @@ def test_ngram_join_is_exact(spark, monkeypatch):
         assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), union.top(i)) for i, s in sets.items()}
 
 
+def test_visitors_of_one_block_are_sliced(spark, monkeypatch):
+    visits = spark.createDataFrame([(k, 1) for k in range(900)] + [(k, 2) for k in range(9)], "k long, block int")
+    members = spark.createDataFrame([(5000 + k, 1 + k % 2) for k in range(8)], "k long, block int")
+    sizes = spark.createDataFrame([(k, 10) for k in range(900)], "k long, bytes long")
+    for items, size in ((50, 1 << 20), (1 << 20, 500)):
+        monkeypatch.setattr(overlap, "SLICE_ITEMS", items)
+        monkeypatch.setattr(overlap, "SLICE_BYTES", size)
+        asked, index = ([tuple(r) for r in df.collect()] for df in overlap.sliced(visits, members, sizes))
+        counts = collections.Counter((b, s) for _, b, s in asked)
+        assert sorted((k, b) for k, b, _ in asked) == sorted(map(tuple, visits.collect())) and max(counts.values()) <= 100
+        places = collections.defaultdict(set)
+        for k, b, s in index:
+            places[k].add((b, s))
+        assert all(places[5000 + k] >= {p for p in counts if p[0] == 1 + k % 2} for k in range(8)) and len(index) == sum(map(len, places.values()))
+
+
+def test_ngram_join_in_slices_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SLICE_ITEMS", 3)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(x if rng.random() < 0.995 else f"v{rng.randrange(99)}" for x in base) for _ in range(60)]
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    union = brute(sets)
+    got = ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, union.top(i)) for i in sets}
+
+
 def test_ngram_join_of_nothing_and_nulls(spark):
     schema = "doc_id long, text string"
     assert ngram_join.near_duplicates(spark.createDataFrame([], schema)).count() == 0
