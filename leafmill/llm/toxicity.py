@@ -22,6 +22,7 @@ MIN_ODDS = 60
 # Letters that look alike, and digits or signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "н": "h", "т": "t", "в": "b", "ԁ": "d", "ո": "n", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "ɑ": "a", "ɡ": "g"}
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
+SIGNS = frozenset(c for c in SUBSTITUTES if not c.isdigit())
 # Words to begin with, and phrases in which such a word is harmless.
 SEED_TERMS = ("idiot", "stupid", "moron", "loser", "pathetic", "worthless", "disgusting", "scum", "trash", "clown", "imbecile", "dumbass", "asshole", "bastard", "bitch")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "pond scum", "pathetic fallacy", "sore loser")
@@ -49,7 +50,11 @@ def fold(text: str) -> str:
 
 
 class Lexicon:
-    """Matches weighted terms; a term that ends with * matches any word that begins with it."""
+    """Matches weighted terms; a term that ends with * matches any word that begins with it.
+
+    A match counts if the text has a letter or a substituting sign in it, so
+    words mostly written in substitutes count and numbers do not.
+    """
 
     def __init__(self, terms: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
         import ahocorasick
@@ -80,7 +85,7 @@ class Lexicon:
                 continue
             if phrase:
                 spared.append((start, end))
-            elif 5 * sum(map(str.isalpha, text[start:end])) >= 2 * length:
+            elif any(c.isalpha() or c in SIGNS for c in text[start:end]):
                 spans.append((start, end, weight))
         if not spans:
             return 0.0, 0.0, 0

@@ -153,6 +153,14 @@ def test_toxicity_folds_and_spares():
     assert lexicon.features("") == lexicon.features(None) == (0.0, 0.0, 0)
 
 
+def test_toxicity_counts_words_of_substitutes():
+    lexicon = toxicity.Lexicon({t: 4.0 for t in toxicity.SEED_TERMS} | {"lowe*": 2.0, "tool*": 2.0, "soss": 2.0})
+    for text in ("you 1d107", "you 455h0l3", "you @$$h0l3!", "an !d!07 then", "$7up1d", "|0$3r", "the 7r4$h man"):
+        assert lexicon.features(text)[0] == 4.0, text
+    for text in ("7001 and 70017", "in 5055 of 10107", "70,017", "the 7r4$h can"):
+        assert lexicon.features(text) == (0.0, 0.0, 0), text
+
+
 def labelled(spark, good, bad, label, n=120):
     rows = [(i, (bad if i % 3 == 0 else good)(i), int(i % 3 == 0)) for i in range(n)]
     return spark.createDataFrame([(i, t) for i, t, _ in rows] + [(n, None), (n + 1, "")], "doc_id long, text string"), spark.createDataFrame([(i, y if label == "toxic" else 1 - y) for i, _, y in rows] + [(None, 1), (9999, 1), (0, None)], f"doc_id long, {label} int")
