@@ -160,8 +160,8 @@ def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, sizes: Dat
 def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable, percent: int) -> DataFrame:
     """(node, root) of items that link with another.
 
-    shared: (token, k, need), no token and k twice; items cannot link unless
-    they share `need` tokens, for the need of either.
+    shared: (token, k, need); items cannot link unless they share `need`
+    tokens, for the need of either. A row that repeats costs time only.
     texts_of: given (k), the items asked for, returns their (k, body), body
     being the text that the set is made of; it moves less than the set would.
     to_sets: from a list of texts their keys and their sets of sorted distinct

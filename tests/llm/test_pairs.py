@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-from leafmill.llm import components, line_dedup, ngram_join, overlap
+from leafmill.llm import components, line_dedup, ngram_join, overlap, postings
 
 WORD = re.compile(r"[^ \t-\r]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,6 +92,25 @@ def test_ngram_join_in_slices_is_exact(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, union.top(i)) for i in sets}
 
 
+def test_postings_of_one_token_are_spread(spark):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(1, 1 << 62, 4000)
+    tokens = np.where(np.arange(4000) % 3 == 0, 77 << 40, rng.integers(1 << 40, 1 << 60, 4000)).astype(np.uint64)
+    tokens[1:199:3] = tokens[2:200:3]
+    blobs = []
+    for part in (slice(0, 2500), slice(1500, 3998), slice(3998, 4000)):  # the last part has one posting of the common token
+        packer = postings.Packer(16)
+        batches = [*packer.add(tokens[part], keys[part]), *packer.flush()]
+        blobs += [(r["bucket"], r["payload"]) for b in batches for r in b.to_pylist()]
+    sizes = collections.Counter()
+    for bucket, payload in blobs:
+        sizes[bucket] += len(payload) // 16
+    assert max(sizes.values()) < 600 and sum(sizes.values()) == 5000
+    got = {(r.token, r.k) for r in postings.shared_tokens(spark.createDataFrame(blobs, postings.SCHEMA)).collect()}
+    counts = collections.Counter(tokens.tolist())
+    assert got == {(t, k) for t, k in zip(tokens.tolist(), keys.tolist()) if counts[t] > 1}
+
+
 def test_ngram_join_of_nothing_and_nulls(spark):
     schema = "doc_id long, text string"
     assert ngram_join.near_duplicates(spark.createDataFrame([], schema)).count() == 0
