@@ -11,8 +11,12 @@ from .components import settle
 from .overlap import is_few, link_components
 from .postings import SCHEMA, Packer, shared_tokens
 
-BANDS, ROWS = 8, 4
-SHINGLE = 8
+BANDS, ROWS = 14, 6
+SHINGLE = 5
+SHORT, SHORT_SHINGLE, SHORT_BANDS = (24, 64), 3, 20
+"""Least and greatest length of the lines that are compared by shorter windows too; and the bands for those."""
+SHORT_ITEM = 2
+"""A short line is two items: its key, by windows of SHINGLE, and its key with this bit, by SHORT_SHINGLE."""
 CHUNK = 1 << 18
 _VALUE = mix(np.arange(7, 7 + (1 << 16), dtype=np.uint64))
 """The value of each code point of the basic plane in a line's polynomial; others are worked out."""
@@ -27,8 +31,7 @@ def _values(codes: np.ndarray) -> np.ndarray:
 class Lines:
     """The lines of some texts as one array of code points with prefix sums."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, size: int = SHINGLE):
-        self.size = size
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
         codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         # code point offsets of the rows: bytes that do not continue a character
         heads = np.zeros(len(data) + 1, np.int64)
@@ -54,16 +57,16 @@ class Lines:
         inked = np.zeros(n + 1, np.int64)
         np.cumsum((codes > 32) & (codes != 0xA0) & (codes != 0x3000), out=inked[1:])
         self.blank = inked[stops] == inked[starts]
-        key = mix((self.sums[stops] - self.sums[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64)) | np.uint64(1)
+        key = mix((self.sums[stops] - self.sums[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64)) & ~np.uint64(SHORT_ITEM) | np.uint64(1)
         self.key = np.where(self.blank, np.uint64(0), key).view(np.int64)
 
-    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of every window of `size` code points of the lines, and offsets; a shorter line is one window."""
+    def shingles(self, which: np.ndarray, size: int | np.ndarray = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of every window of `size` (one, or of each line) code points of the lines, and offsets; a shorter line is one window."""
         starts, lengths = self.starts[which], self.stops[which] - self.starts[which]
-        counts = np.maximum(lengths - self.size + 1, 1)
+        counts = np.maximum(lengths - size + 1, 1)
         offs = np.concatenate(([0], np.cumsum(counts)))
         at = np.arange(offs[-1]) - np.repeat(offs[:-1] - starts, counts)
-        width = np.repeat(np.minimum(lengths, self.size), counts)
+        width = np.repeat(np.minimum(lengths, size), counts)
         return mix((self.sums[at + width] - self.sums[at]) * self.inverse[at] + width.astype(np.uint64)), offs
 
 
@@ -93,6 +96,11 @@ def _post(bands: int, rows: int, buckets: int):
                 if len(which):
                     tokens = _bands(*lines.shingles(which), bands, rows)
                     yield from packer.add(tokens.ravel(), np.repeat(lines.key[which], bands))
+                lengths = lines.stops[which] - lines.starts[which]
+                which = which[(lengths >= SHORT[0]) & (lengths <= SHORT[1])]
+                if len(which):
+                    tokens = _bands(*lines.shingles(which, SHORT_SHINGLE), SHORT_BANDS, rows)
+                    yield from packer.add(tokens.ravel(), np.repeat(lines.key[which] | SHORT_ITEM, SHORT_BANDS))
         yield from packer.flush()
 
     return run
@@ -115,33 +123,44 @@ def _bodies(batches):
         for lo, hi in chunks(offs, CHUNK):
             lines = Lines(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             wanted = np.array(sorted({k for a in asked[lo:hi] for k in a}), np.int64)
-            which = np.flatnonzero(np.isin(lines.key, wanted)).tolist()
+            keys = np.concatenate((lines.key, lines.key | SHORT_ITEM))
+            found = np.flatnonzero(np.isin(keys, wanted))
+            which = (found % len(lines.key)).tolist()
             parts = {i: t.split("\n") for i, t in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist())}
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lines.key[which]), pa.array([parts[int(lines.row[i])][int(lines.position[i])] for i in which], pa.string())], names=["k", "body"]
+                [pa.array(keys[found]), pa.array([parts[int(lines.row[i])][int(lines.position[i])] for i in which], pa.string())], names=["k", "body"]
             )
 
 
-def line_sets(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Keys and sets of window hashes of some lines."""
+def line_sets(texts: list[str], items: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys and sets of window hashes of some lines, the windows being of the size that the item asks for."""
+    short = items & SHORT_ITEM
     keys, sets = [np.empty(0, np.int64)], []
     data, offs = utf8(pa.array(texts, pa.string()))
     for lo, hi in chunks(offs, CHUNK):
         lines = Lines(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-        hashes, bounds = lines.shingles(np.arange(hi - lo))
+        hashes, bounds = lines.shingles(np.arange(hi - lo), np.where(short[lo:hi] > 0, SHORT_SHINGLE, SHINGLE))
         found, bounds = distinct(np.repeat(np.arange(hi - lo), np.diff(bounds)), hashes, hi - lo)
-        keys.append(lines.key)
+        keys.append(lines.key | short[lo:hi])
         sets += [found[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     return np.concatenate(keys), sets
 
 
+def _line_of(item: str) -> F.Column:
+    """Key of the line that an item stands for."""
+    return F.col(item).bitwiseAND(F.lit(~SHORT_ITEM).cast("long"))
+
+
 def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with two more columns: line_keep (array<boolean>, null: all lines stay) and kept_text.
 
     Lines are the parts of a text between line feeds. Two lines link when the
-    Jaccard index of their distinct windows of 8 code points is at least
-    percent / 100; candidates share one of `bands` MinHash bands of `rows`
-    values (a pair at 0.8 is found with probability 0.985, at 0.9 0.9999), and
+    Jaccard index of their distinct windows of 5 code points is at least
+    percent / 100, or, where both have 24 to 64 code points, that of their
+    windows of 3. So a changed character in mid-line does not hide a copy of 29
+    code points or more. Candidates share one of `bands` MinHash bands of `rows`
+    values (a pair at 0.8 is found with probability 0.986, at 0.9 0.9999), or
+    one of 20 by windows of 3 (0.998), and
     every candidate is verified exactly. Of each component of linked lines the
     first by (doc_id, hash of the text, place) stays, all others go.
 
@@ -164,13 +183,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     def texts_of(items: DataFrame) -> DataFrame:
         # grouped before the join, so that a line of very many places is combined by the map tasks
         place = F.struct(F.coalesce("doc_id", F.lit(-(2**62))).alias("d"), "th")
-        places = lines.groupBy("k").agg(F.min(place).alias("at")).join(items, "k").groupBy("at.d", "at.th").agg(F.collect_list("k").alias("ks"))
+        asked = items.select(F.col("k").alias("item"), _line_of("k").alias("k"))
+        places = lines.groupBy("k").agg(F.min(place).alias("at")).join(asked, "k").groupBy("at.d", "at.th").agg(F.collect_list("item").alias("ks"))
         texts = keyed.withColumn("d", F.coalesce("doc_id", F.lit(-(2**62))))
         texts = texts.join(F.broadcast(places) if is_few(items) else places, ["d", "th"])
         return texts.select("text", "ks").mapInArrow(_bodies, "k long, body string").dropDuplicates(["k"])
 
-    roots = link_components(shared, texts_of, line_sets, percent)
-    placed = lines.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("c", F.coalesce("root", "k"))
+    twins = shared.where(_line_of("k") != F.col("k")).select(F.col("k").alias("a"), _line_of("k").alias("b")).distinct()
+    roots = link_components(shared, texts_of, line_sets, percent, twins)
+    roots = roots.select(_line_of("node").alias("k"), _line_of("root").alias("root")).distinct()
+    placed = lines.join(roots, "k", "left").withColumn("c", F.coalesce("root", "k"))
     spot = F.struct("doc_id", "th", "pos")
     firsts = placed.groupBy("c").agg(F.min(spot).alias("first"), F.count("*").alias("times")).where("times > 1")
     # settled, so that the join deals both sides out itself and a line of many places can be split

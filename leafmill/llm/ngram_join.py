@@ -111,7 +111,7 @@ def _post(size: int, percent: int, buckets: int, shared_hot):
 def text_sets(size: int):
     """From texts their set keys and sets."""
 
-    def run(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def run(texts: list[str], items: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         keys, sets = [np.empty(0, np.int64)], []
         for _, _, _, found, bounds in _sets([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], size):
             keys.append(set_keys(found, bounds))

@@ -102,7 +102,7 @@ def _search_block(to_sets: Callable, percent: int) -> Callable:
     def sets_of(keys: pd.Series, texts: pd.Series) -> tuple[list[int], list[np.ndarray]]:
         """Of each text that is the one its key was made of; rows of one doc_id can differ in text."""
         keys = keys.to_numpy(np.int64)
-        made, sets = to_sets(texts.to_list())
+        made, sets = to_sets(texts.to_list(), keys)
         right = np.flatnonzero(made == keys)
         return keys[right].tolist(), [sets[i] for i in right]
 
@@ -157,15 +157,17 @@ def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, sizes: Dat
     )
 
 
-def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable, percent: int) -> DataFrame:
+def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable, percent: int, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of items that link with another.
 
     shared: (token, k, need); items cannot link unless they share `need`
     tokens, for the need of either. A row that repeats costs time only.
     texts_of: given (k), the items asked for, returns their (k, body), body
     being the text that the set is made of; it moves less than the set would.
-    to_sets: from a list of texts their keys and their sets of sorted distinct
-    64-bit hashes. An item may come more than once, or with a wrong text.
+    to_sets: from a list of texts, and the keys they should have, their keys and
+    their sets of sorted distinct 64-bit hashes. An item may come more than
+    once, or with a wrong text.
+    known: further links (a, b) that hold.
     """
     several = shared.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = settle(shared.join(several, "token"))
@@ -202,4 +204,5 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     index = still.select("k", "block").distinct()
     visits, index = settle(visits), settle(index)
     more = settle(_searched(visits, index, sets, sizes, to_sets, percent))
-    return components(links.union(more))
+    links = links.union(more)
+    return components(links if known is None else links.union(known))

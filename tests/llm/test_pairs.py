@@ -137,6 +137,29 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_line_dedup_finds_edits_in_mid_line(spark):
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrs ") for _ in range(n)).replace("  ", "xy").strip() + "." for n in range(30, 82, 2)]
+    near = [x[: len(x) // 2] + "Z" + x[len(x) // 2 + 1 :] for x in lines]
+    apart = ["x" + x[1:9] + y[9:] for x, y in zip(lines, lines[1:])]
+    texts = ["\n".join(part) for part in (lines, near, apart)]
+    got = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    windows = lambda x, k: {x[j : j + k] for j in range(max(1, len(x) - k + 1))}
+    every = {x for t in texts for x in t.split("\n")}
+    long, short = brute({x: windows(x, 5) for x in every}), brute({x: windows(x, 3) for x in every if 24 <= len(x) <= 64})
+    union = Union()
+    for found in (long, short):
+        for x in list(found):
+            union.join(x, found.top(x))
+    seen, want = set(), collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        for x in t.split("\n"):
+            if union.top(x) not in seen:
+                seen.add(union.top(x))
+                want[i].append(x)
+    assert got == {i: "\n".join(want[i]) for i in range(3)} and not want[1]
+
+
 def test_line_dedup_keeps_one_of_each_component(spark):
     rng = random.Random(5)
     sentence = lambda: " ".join("".join(rng.choice("abcdeé") for _ in range(6)) for _ in range(12))
