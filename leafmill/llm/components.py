@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder in spark.checkpoint.dir; a folder is set only where none is."""
+    """Cuts the lineage through the folder in spark.checkpoint.dir.
+
+    Where none is set, a local session gets a folder of its own; on a cluster
+    a local folder would not be shared, so that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/leafmill-checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leafmill-checkpoints-"))
     return df.checkpoint()
 
 

@@ -7,9 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import BASE, INVERSE, chunks, distinct, mix, powers, utf8
-from .components import settle
-from .overlap import is_few, link_components
-from .postings import SCHEMA, Packer, shared_tokens
+from .components import components, settle
+from .overlap import SLICE_ITEMS, deal_blocks, is_few, open_tokens, search_open
 
 BANDS, ROWS = 14, 6
 SHINGLE = 5
@@ -18,6 +17,9 @@ SHORT, SHORT_SHINGLE, SHORT_BANDS = (24, 64), 3, 20
 SHORT_ITEM = 2
 """A short line is two items: its key, by windows of SHINGLE, and its key with this bit, by SHORT_SHINGLE."""
 CHUNK = 1 << 18
+POSTINGS, PLACES = 1 << 20, 1 << 18
+"""As many postings and places of lines a map task holds before it sends them on."""
+STAR, FIRST, GONE, POSTING, PLACE = range(5)
 _VALUE = mix(np.arange(7, 7 + (1 << 16), dtype=np.uint64))
 """The value of each code point of the basic plane in a line's polynomial; others are worked out."""
 
@@ -84,59 +86,145 @@ def _bands(hashes: np.ndarray, offs: np.ndarray, bands: int, rows: int) -> np.nd
     return out
 
 
-def _post(bands: int, rows: int, buckets: int):
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+
+
+def stars(postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of postings (token, item): (token, item, centre) of the tokens that several items hold, and one posting of every token, its centre's.
+
+    The centre is the least item. What a map task sends on of a token is one
+    posting, so no token is too frequent for the task that gathers it, and the
+    items of a token are joined with its centre by way of their own task's.
+    """
+    postings = postings[np.lexsort((postings[:, 1], postings[:, 0]))]
+    new = np.ones(len(postings), bool)
+    new[1:] = (postings[1:] != postings[:-1]).any(axis=1)
+    postings = postings[new]
+    starts = _runs(postings[:, 0])
+    runs = np.diff(np.append(starts, len(postings)))
+    centre = np.repeat(postings[starts, 1], runs)
+    several = np.repeat(runs > 1, runs)
+    return np.column_stack((postings, centre))[several], postings[starts]
+
+
+def firsts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places (key, doc_id, hash of text, line with a bit for an id that is not null): the first of each key, and the others that differ from it."""
+    known = places[:, 3] >> 40
+    places = places[np.lexsort((places[:, 3], places[:, 2], places[:, 1], known, places[:, 0]))]
+    starts = _runs(places[:, 0])
+    first = places[starts]
+    return first, places[(places != np.repeat(first, np.diff(np.append(starts, len(places))), axis=0)).any(axis=1)]
+
+
+def _blobs(kind: int, rows: np.ndarray, spread: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The rows packed to one blob a bucket: a row for each would cost more than it holds."""
+    bucket = ((spread.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    starts = _runs(bucket)
+    payload = [rows[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(bucket)))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.full(len(starts), kind, np.int8)), pa.array(payload, pa.binary())], names=["bucket", "kind", "payload"])
+
+
+def _scan(bands: int, rows: int, buckets: int):
+    """From (doc_id, th, text) blobs of the places of lines and of the postings of their bands, in one pass."""
+
     def run(batches):
-        packer, seen = Packer(buckets), set()
+        held, spots, n_held, n_spots, seen = [], [], 0, 0, set()
+
+        def send_postings():
+            found, rest = stars(np.concatenate(held))
+            if len(found):
+                yield _blobs(STAR, found, found[:, 1], buckets)
+            yield _blobs(POSTING, rest, rest[:, 0], buckets)
+
+        def send_places():
+            first, others = firsts(np.concatenate(spots))
+            yield _blobs(PLACE, first, first[:, 0].copy(), buckets)
+            if len(others):
+                yield _blobs(GONE, others, others[:, 2].copy(), buckets)
+
         for batch in batches:
-            data, offs = utf8(batch.column(0))
+            data, offs = utf8(batch.column(2))
+            ids = batch.column(0)
+            known = np.asarray(ids.is_valid()).astype(np.int64) << 40
+            ids, hashes = ids.fill_null(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in chunks(offs, CHUNK):
                 lines = Lines(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                fresh = np.array([k != 0 and not (k in seen or seen.add(k)) for k in lines.key.tolist()], bool)
-                which = np.flatnonzero(fresh)
-                if len(which):
-                    tokens = _bands(*lines.shingles(which), bands, rows)
-                    yield from packer.add(tokens.ravel(), np.repeat(lines.key[which], bands))
-                lengths = lines.stops[which] - lines.starts[which]
-                which = which[(lengths >= SHORT[0]) & (lengths <= SHORT[1])]
-                if len(which):
-                    tokens = _bands(*lines.shingles(which, SHORT_SHINGLE), SHORT_BANDS, rows)
-                    yield from packer.add(tokens.ravel(), np.repeat(lines.key[which] | SHORT_ITEM, SHORT_BANDS))
-        yield from packer.flush()
+                row = lines.row + lo
+                inked = lines.key != 0
+                spots.append(np.column_stack((lines.key, ids[row], hashes[row], lines.position | known[row]))[inked])
+                n_spots += len(spots[-1])
+                which = np.flatnonzero(np.array([k != 0 and not (k in seen or seen.add(k)) for k in lines.key.tolist()], bool))
+                lengths = lines.stops - lines.starts
+                short = which[(lengths[which] >= SHORT[0]) & (lengths[which] <= SHORT[1])]
+                for part, size, n, bit in ((which, SHINGLE, bands, 0), (short, SHORT_SHINGLE, SHORT_BANDS, SHORT_ITEM)):
+                    if len(part):
+                        tokens = _bands(*lines.shingles(part, size), n, rows).ravel().view(np.int64)
+                        held.append(np.column_stack((tokens, np.repeat(lines.key[part] | bit, n))))
+                        n_held += len(tokens)
+                if n_held >= POSTINGS:
+                    yield from send_postings()
+                    held, n_held = [], 0
+                if n_spots >= PLACES:
+                    yield from send_places()
+                    spots, n_spots = [], 0
+        if n_held:
+            yield from send_postings()
+        if n_spots:
+            yield from send_places()
 
     return run
 
 
-def _occurrences(batches):
+FOUND = "kind byte, a long, b long, c long, pos int"
+
+
+def _gather(batches):
+    """From blobs the rows (STAR, token, item, centre), (FIRST, key, doc_id, th, line) and (GONE, key, doc_id, th, line)."""
+    parts: dict[int, list] = {}
     for batch in batches:
-        data, offs = utf8(batch.column(2))
-        for lo, hi in chunks(offs, CHUNK):
-            lines = Lines(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            bounds = np.searchsorted(lines.row, np.arange(hi - lo + 1)).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(bounds), pa.array(lines.key))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), keys], names=["doc_id", "th", "ks"])
+        for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            width = 4 if kind in (PLACE, GONE) else 3 if kind == STAR else 2
+            parts.setdefault(kind, []).append(np.frombuffer(payload, np.int64).reshape(-1, width))
+
+    def rows(kind: int, found: np.ndarray):
+        for lo in range(0, len(found), 1 << 16):
+            part = found[lo : lo + (1 << 16)]
+            a, b, c = (np.ascontiguousarray(part[:, i]) for i in range(3))
+            lost = None if kind == STAR else part[:, 3] >> 40 == 0
+            pos = pa.nulls(len(part), pa.int32()) if kind == STAR else pa.array((part[:, 3] & ((1 << 40) - 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(a), pa.array(b, mask=lost), pa.array(c), pos], names=["kind", "a", "b", "c", "pos"])
+
+    for kind in (STAR, GONE):
+        for found in parts.pop(kind, []):
+            yield from rows(kind, found)
+    if POSTING in parts:
+        yield from rows(STAR, stars(np.concatenate(parts.pop(POSTING)))[0])
+    if PLACE in parts:
+        first, others = firsts(np.concatenate(parts.pop(PLACE)))
+        yield from rows(FIRST, first)
+        yield from rows(GONE, others)
 
 
 def _bodies(batches):
+    """From (text, spots), spots being an array of (k, pos), the lines (k, body)."""
     for batch in batches:
-        data, offs = utf8(batch.column(0))
-        asked = batch.column(1).to_pylist()
-        for lo, hi in chunks(offs, CHUNK):
-            lines = Lines(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            wanted = np.array(sorted({k for a in asked[lo:hi] for k in a}), np.int64)
-            keys = np.concatenate((lines.key, lines.key | SHORT_ITEM))
-            found = np.flatnonzero(np.isin(keys, wanted))
-            which = (found % len(lines.key)).tolist()
-            parts = {i: t.split("\n") for i, t in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist())}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[found]), pa.array([parts[int(lines.row[i])][int(lines.position[i])] for i in which], pa.string())], names=["k", "body"]
-            )
-
-
-def line_sets(texts: list[str], items: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys, bodies = [], []
+        for text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parts = text.split("\n")
+            keys += [s["k"] for s in spots]
+            bodies += [parts[s["pos"]] for s in spots]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.string())], names=["k", "body"])
+
+
+def line_sets(texts, items: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Keys and sets of window hashes of some lines, the windows being of the size that the item asks for."""
     short = items & SHORT_ITEM
     keys, sets = [np.empty(0, np.int64)], []
-    data, offs = utf8(pa.array(texts, pa.string()))
+    data, offs = utf8(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
     for lo, hi in chunks(offs, CHUNK):
         lines = Lines(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         hashes, bounds = lines.shingles(np.arange(hi - lo), np.where(short[lo:hi] > 0, SHORT_SHINGLE, SHINGLE))
@@ -146,11 +234,66 @@ def line_sets(texts: list[str], items: np.ndarray) -> tuple[np.ndarray, list[np.
     return np.concatenate(keys), sets
 
 
+def _verify(percent: int):
+    """From (item, centre, body, centre_body) the pairs of lines that link by the exact Jaccard index."""
+
+    def run(batches):
+        for batch in batches:
+            items, centres = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            mine, theirs = line_sets(batch.column(2), items)[1], line_sets(batch.column(3), centres)[1]
+            links = np.zeros(len(items), bool)
+            for i, (a, b) in enumerate(zip(mine, theirs)):
+                both = np.concatenate((a, b))
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                links[i] = 100 * shared >= percent * (len(both) - shared)
+            yield pa.RecordBatch.from_arrays([pa.array(items[links] & ~SHORT_ITEM), pa.array(centres[links] & ~SHORT_ITEM)], names=["a", "b"])
+
+    return run
+
+
 def _line_of(item: str) -> F.Column:
     """Key of the line that an item stands for."""
     return F.col(item).bitwiseAND(F.lit(~SHORT_ITEM).cast("long"))
 
 
+def _star_links(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of lines among the pairs (item, centre); a centre of very many items is copied to several slices of them."""
+    parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SLICE_ITEMS).cast("int").alias("parts")).where("parts > 1")
+    parts = settle(parts)
+    crowds = F.broadcast(parts) if is_few(parts) else parts
+    dealt = pairs.join(crowds, "centre", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.select("item", "centre", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("slice"))
+    own = bodies.withColumnRenamed("k", "line")
+    asked = dealt.withColumn("line", _line_of("item")).join(own, "line").select("item", "centre", "slice", "body")
+    known = pairs.select("centre").distinct().join(crowds, "centre", "left")
+    copies = known.select("centre", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("slice"), _line_of("centre").alias("line"))
+    copies = copies.join(own, "line").select("centre", "slice", F.col("body").alias("centre_body"))
+    met = asked.join(copies, ["centre", "slice"]).select("item", "centre", "body", "centre_body")
+    return met.mapInArrow(_verify(percent), "a long, b long")
+
+
+def line_links(found: DataFrame, bodies_of, percent: int) -> DataFrame:
+    """(node, root) of the lines that link with another; found holds the STAR rows of `_gather`."""
+    star = found.where(F.col("kind") == STAR).select(F.col("a").alias("token"), F.col("b").alias("item"), F.col("c").alias("centre"))
+    pairs = settle(star.where("item <> centre").select("item", "centre").distinct())
+    bodies = settle(bodies_of(pairs.select(_line_of("item").alias("k")).union(pairs.select(_line_of("centre").alias("k"))).distinct()))
+    links = settle(_star_links(pairs, bodies, percent).distinct())
+    roots = components(links)
+    # two items that are a token's only ones are compared; of more, those that the star has not joined still are to be
+    several = star.groupBy("token").agg(F.count("*").alias("c")).where("c > 2").select("token")
+    placed = star.join(several, "token").select("token", F.col("item").alias("k"), _line_of("item").alias("node")).distinct()
+    placed = placed.join(roots, "node", "left").select("token", "k", F.lit(1).alias("need"), F.lit(0).alias("class"), F.coalesce("root", "node").alias("root"))
+    still = settle(open_tokens(placed))
+    if still.isEmpty():
+        return roots
+    still = settle(still.join(deal_blocks(still), "k"))
+    items = still.select("k", _line_of("k").alias("line")).distinct()
+    sets = settle(items.join(bodies.withColumnRenamed("k", "line"), "line").select("k", "body"))
+    more = search_open(still, sets, line_sets, percent)
+    return components(links.union(more.select(_line_of("a").alias("a"), _line_of("b").alias("b"))))
+
+
 def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs with two more columns: line_keep (array<boolean>, null: all lines stay) and kept_text.
 
@@ -173,40 +316,37 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     spark = docs.sparkSession
     docs = docs.drop("line_keep", "kept_text")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("length(text) > 0")
-    spots = settle(keyed.mapInArrow(_occurrences, "doc_id long, th long, ks array<long>"))
-    lines = spots.select("doc_id", "th", F.posexplode("ks").alias("pos", "k")).where("k <> 0")
-
-    n_buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = keyed.select("text").mapInArrow(_post(bands, rows, n_buckets), SCHEMA)
-    shared = settle(shared_tokens(blobs).withColumn("need", F.lit(1)))
-
-    def texts_of(items: DataFrame) -> DataFrame:
-        # grouped before the join, so that a line of very many places is combined by the map tasks
-        place = F.struct(F.coalesce("doc_id", F.lit(-(2**62))).alias("d"), "th")
-        asked = items.select(F.col("k").alias("item"), _line_of("k").alias("k"))
-        places = lines.groupBy("k").agg(F.min(place).alias("at")).join(asked, "k").groupBy("at.d", "at.th").agg(F.collect_list("item").alias("ks"))
-        texts = keyed.withColumn("d", F.coalesce("doc_id", F.lit(-(2**62))))
-        texts = texts.join(F.broadcast(places) if is_few(items) else places, ["d", "th"])
-        return texts.select("text", "ks").mapInArrow(_bodies, "k long, body string").dropDuplicates(["k"])
-
-    twins = shared.where(_line_of("k") != F.col("k")).select(F.col("k").alias("a"), _line_of("k").alias("b")).distinct()
-    roots = link_components(shared, texts_of, line_sets, percent, twins)
-    roots = roots.select(_line_of("node").alias("k"), _line_of("root").alias("root")).distinct()
-    placed = lines.join(roots, "k", "left").withColumn("c", F.coalesce("root", "k"))
-    spot = F.struct("doc_id", "th", "pos")
-    firsts = placed.groupBy("c").agg(F.min(spot).alias("first"), F.count("*").alias("times")).where("times > 1")
-    # settled, so that the join deals both sides out itself and a line of many places can be split
-    repeated = placed.join(settle(firsts), "c").where(~spot.eqNullSafe(F.col("first"))).select("doc_id", "th", "pos")
-    gone = repeated.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("th", "gone_th")
-
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_th"))
-    parts = F.split("text", "\n", -1)
-    marked = docs.join(gone.hint("shuffle_hash"), same, "left")  # texts need no sort
-    marked = marked.withColumn("line_keep", _flags(F.col("gone"), F.size(parts)))
-    stay = F.filter(F.arrays_zip(parts.alias("part"), F.col("line_keep").alias("stays")), lambda x: x["stays"])
-    kept = F.array_join(F.transform(stay, lambda x: x["part"]), "\n")
-    return marked.withColumn("kept_text", F.when(F.col("line_keep").isNull(), F.col("text")).otherwise(kept)).drop("gone", "gone_id", "gone_th")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blobs = keyed.mapInArrow(_scan(bands, rows, 8 * n), "bucket int, kind byte, payload binary")
+    found = settle(blobs.repartition(n, "bucket").mapInArrow(_gather, FOUND))
+    place = F.struct(F.col("b").alias("d"), F.col("c").alias("th"), "pos")
+    first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("k"), place.alias("place"))
+
+    def bodies_of(lines: DataFrame) -> DataFrame:
+        asked = first.join(lines, "k").groupBy("place.d", "place.th").agg(F.collect_list(F.struct("k", "place.pos")).alias("spots"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (keyed["th"] == asked["th"])
+        met = keyed.join(F.broadcast(asked) if is_few(lines) else asked, same).select("text", "spots")
+        return met.mapInArrow(_bodies, "k long, body string").dropDuplicates(["k"])
+
+    roots = settle(line_links(found, bodies_of, percent))
+    linked = first.join(roots.withColumnRenamed("node", "k"), "k").select("root", "place")
+    # the first places of linked lines go but for the first of each component, which is taken out of them again
+    stay = linked.groupBy("root").agg(F.min("place").alias("place"))
+    others = found.where(F.col("kind") == GONE).select(place.alias("place"))
+    moves = others.union(linked.select("place")).select("place.*", F.lit(False).alias("stays")).union(stay.select("place.*", F.lit(True).alias("stays")))
+    lists = moves.groupBy("d", "th").agg(F.collect_set(F.when(~F.col("stays"), F.col("pos"))).alias("out"), F.collect_set(F.when(F.col("stays"), F.col("pos"))).alias("in"))
+    gone = lists.select(F.col("d").alias("gone_d_"), F.col("th").alias("gone_th_"), F.array_except("out", "in").alias("gone_")).where("size(gone_) > 0")
+
+    own = docs.columns
+    whole = docs.select(F.struct("*").alias("row_"), F.xxhash64("text").alias("th_"))  # no column of docs meets one of ours
+    same = F.col("row_.doc_id").cast("long").eqNullSafe(F.col("gone_d_")) & (F.col("th_") == F.col("gone_th_"))
+    text = F.col("row_.text")
+    parts = F.split(text, "\n", -1)
+    marked = whole.join(gone.hint("shuffle_hash"), same, "left")  # texts need no sort
+    marked = marked.select("row_", _flags(F.col("gone_"), F.size(parts)).alias("line_keep"))
+    stays = F.filter(F.arrays_zip(parts.alias("part"), F.col("line_keep").alias("stays")), lambda x: x["stays"])
+    kept = F.array_join(F.transform(stays, lambda x: x["part"]), "\n")
+    return marked.select(*[F.col("row_")[c].alias(c) for c in own], "line_keep", F.when(F.col("line_keep").isNull(), text).otherwise(kept).alias("kept_text"))
 
 
 def _flags(gone, n):

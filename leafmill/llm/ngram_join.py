@@ -16,6 +16,8 @@ HOT_TOKENS = 1 << 16
 megabyte). It only sets the order of a prefix, never which rows are compared."""
 
 
+NO_ID = -(2**62)
+"""Stands for a null doc_id in a join; a text that comes with a wrong key is told by its key."""
 SPARE = 16
 """A prefix is longer by a 16th of the set than it must be to share one shingle, so it must share as many."""
 
@@ -155,11 +157,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keyed = seen.where("token is null").select("doc_id", "k", "n")
     classes = keyed.where("k <> 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     enough = shared.groupBy("k").agg(F.count("*").alias("c")).join(classes, "k").withColumn("need", least_shared(percent))
-    shared = settle(shared.join(enough.where("c >= need").select("k", "need"), "k"))
+    shared = settle(shared.join(enough.where("c >= need").select("k", "need", "n"), "k"))
 
     def texts_of(items: DataFrame) -> DataFrame:
-        asked = items.join(classes, "k").select("k", F.col("first").alias("doc_id"))
-        return docs.join(F.broadcast(asked) if is_few(asked) else asked, "doc_id").select("k", F.col("text").alias("body"))
+        asked = items.join(classes, "k").select("k", F.coalesce("first", F.lit(NO_ID)).alias("d"))
+        texts = docs.withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
+        return texts.join(F.broadcast(asked) if is_few(asked) else asked, "d").select("k", F.col("text").alias("body"))
 
     roots = link_components(shared, texts_of, text_sets(size), percent)
     linked = classes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))

@@ -12,6 +12,7 @@ many visitors, they are searched in slices, each beside a copy of the block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components, settle
 
-BLOCK_ITEMS = 1000
+BLOCK_ITEMS = 500
 SLICE_ITEMS, SLICE_BYTES = 4000, 1 << 23
 """About as many visits of a block, and bytes of their texts, are searched in one task; a block with more is copied to several."""
 LONG = 400
@@ -145,8 +146,9 @@ def _beside(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_few(df) else df
 
 
-def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, sizes: DataFrame, to_sets: Callable, percent: int) -> DataFrame:
+def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, to_sets: Callable, percent: int) -> DataFrame:
     """Links (a, b) of each visit (k, block) with the members of the block."""
+    sizes = sets.groupBy("k").agg(F.sum(F.octet_length("body")).alias("bytes"))
     visits, members = sliced(visits, members, sizes)
     # (k, block, slice) rows are small beside texts, so where they are few they go to the texts
     index = sets.join(_beside(members), "k").select("block", "slice", "k", "body")
@@ -157,52 +159,71 @@ def _searched(visits: DataFrame, members: DataFrame, sets: DataFrame, sizes: Dat
     )
 
 
-def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable, percent: int, known: DataFrame | None = None) -> DataFrame:
+def size_class(n: F.Column, percent: int) -> F.Column:
+    """Sets that link are of one class or of two that follow each other, as neither has more than 100 / percent times the other's size."""
+    return F.floor(F.log(n.cast("double")) / math.log(100.1 / percent)).cast("int")
+
+
+def deal_blocks(shared: DataFrame) -> DataFrame:
+    """(k, block): items of one class with one least token share a block, so those that may link are mostly
+    together; a token that is the least of many items has several blocks. shared: (token, k, class)."""
+    least = shared.groupBy("k").agg(F.min("token").alias("least"), F.first("class").alias("class"))
+    crowds = least.groupBy("least", "class").agg((F.count("*") / BLOCK_ITEMS + 1).cast("int").alias("parts"))
+    least = settle(least.join(crowds, ["least", "class"]))
+    n_blocks = least.count() // BLOCK_ITEMS + 1
+    block = F.pmod(F.xxhash64("least", "class", F.pmod(F.xxhash64("k"), F.col("parts"))), F.lit(n_blocks)).cast("int")
+    return least.select("k", block.alias("block"))
+
+
+def open_tokens(placed: DataFrame) -> DataFrame:
+    """Rows (token, k, root, ...) of the tokens whose items are in several components, with the component `top` of most of them."""
+    counts = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    top = counts.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
+    return placed.join(top.where("roots > 1").select("token", "top"), "token")
+
+
+def search_open(still: DataFrame, sets: DataFrame, to_sets: Callable, percent: int) -> DataFrame:
+    """Links (a, b) between members of other components than a token's largest and all its items.
+
+    still: (token, k, need, class, root, top, block), a row once.
+    """
+    near = F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)]))
+    askers = still.where("root <> top").select("token", "k", "need", near.alias("class"))
+    blocks = still.select("token", "class", "block").distinct()
+    # Of `need` shared tokens an item or its partner asks for half at least, so a
+    # block with which fewer are shared holds no partner that this item must find.
+    asked = askers.join(blocks, ["token", "class"]).select("token", "k", "block", "need").distinct()
+    asked = asked.groupBy("k", "block").agg(F.count("*").alias("c"), F.max("need").alias("need"))
+    visits = asked.where("2 * c >= need").select("k", "block")
+    index = still.select("k", "block").distinct()
+    return settle(_searched(settle(visits), settle(index), sets, to_sets, percent))
+
+
+def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable, percent: int) -> DataFrame:
     """(node, root) of items that link with another.
 
-    shared: (token, k, need); items cannot link unless they share `need`
-    tokens, for the need of either. A row that repeats costs time only.
+    shared: (token, k, need, n), n being the size of the set; items cannot link
+    unless they share `need` tokens, for the need of either. No row comes twice.
     texts_of: given (k), the items asked for, returns their (k, body), body
     being the text that the set is made of; it moves less than the set would.
     to_sets: from a list of texts, and the keys they should have, their keys and
     their sets of sorted distinct 64-bit hashes. An item may come more than
     once, or with a wrong text.
-    known: further links (a, b) that hold.
     """
+    shared = shared.select("token", "k", "need", size_class(F.col("n"), percent).alias("class"))
     several = shared.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = settle(shared.join(several, "token"))
-    # Items with one least token share a block, so those that may link are mostly
-    # together; a token that is the least of many items has several blocks.
-    least = shared.groupBy("k").agg(F.min("token").alias("least"))
-    crowds = least.groupBy("least").agg((F.count("*") / BLOCK_ITEMS + 1).cast("int").alias("parts"))
-    least = settle(least.join(crowds, "least"))
-    n_blocks = least.count() // BLOCK_ITEMS + 1
-    block = F.pmod(F.xxhash64("least", F.pmod(F.xxhash64("k"), F.col("parts"))), F.lit(n_blocks)).cast("int")
-    items = least.select("k", block.alias("block"))
+    items = deal_blocks(shared)
     sets = settle(texts_of(items.select("k")))
-    sizes = settle(sets.groupBy("k").agg(F.sum(F.octet_length("body")).alias("bytes")))
     shared = settle(shared.join(items, "k"))
-    centres = shared.groupBy("token").agg(F.min("k").alias("centre"), F.min_by("block", "k").alias("at"))
-    stars = shared.join(centres, "token").where("k <> centre")
+    centres = shared.groupBy("token", "class").agg(F.min("k").alias("centre"), F.min_by("block", "k").alias("at"))
+    stars = shared.join(centres, ["token", "class"]).where("k <> centre")
     first_visits = stars.select("k", F.col("at").alias("block")).distinct()
     first_index = stars.select(F.col("centre").alias("k"), F.col("at").alias("block")).distinct()
     first_visits, first_index = settle(first_visits), settle(first_index)
-    links = settle(_searched(first_visits, first_index, sets, sizes, to_sets, percent))
+    links = settle(_searched(first_visits, first_index, sets, to_sets, percent))
     roots = components(links)
 
     placed = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    counts = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
-    top = counts.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
-    open_tokens = top.where("roots > 1").select("token", "top")
-    still = settle(placed.join(open_tokens, "token"))
-    askers = still.where("root <> top").select("token", "k", "need")
-    blocks = still.select("token", "block").distinct()
-    # Of `need` shared tokens an item or its partner asks for half at least, so a
-    # block with which fewer are shared holds no partner that this item must find.
-    asked = askers.join(blocks, "token").groupBy("k", "block").agg(F.count("*").alias("c"), F.max("need").alias("need"))
-    visits = asked.where("2 * c >= need").select("k", "block")
-    index = still.select("k", "block").distinct()
-    visits, index = settle(visits), settle(index)
-    more = settle(_searched(visits, index, sets, sizes, to_sets, percent))
-    links = links.union(more)
-    return components(links if known is None else links.union(known))
+    still = settle(open_tokens(placed))
+    return components(links.union(search_open(still, sets, to_sets, percent)))

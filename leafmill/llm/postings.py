@@ -3,10 +3,6 @@
 A row for each posting would cost more than the posting itself, so each map
 task packs those of a bucket together; a reduce task unpacks, sorts, and keeps
 the tokens that at least two items hold.
-
-Without a list of hot tokens the map tasks find them: of a token with more than
-CROWD postings in a batch two stay in the token's bucket, the others go to
-buckets by item. So a token's bucket gets at most CROWD postings a batch.
 """
 
 from __future__ import annotations
@@ -16,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "bucket int, payload binary"
-CROWD = 64
 
 
 class Packer:
     """Gathers postings of a map task; gives them out as batches of blobs."""
 
-    def __init__(self, buckets: int, hot: np.ndarray | None = None, limit: int = 1 << 19):
+    def __init__(self, buckets: int, hot: np.ndarray, limit: int = 1 << 19):
         self.buckets, self.limit = buckets, limit
         self.hot = hot
         self.tokens, self.items, self.held = [], [], 0
@@ -39,18 +34,8 @@ class Packer:
             return
         tokens, items = np.concatenate(self.tokens), np.concatenate(self.items)
         self.tokens, self.items, self.held = [], [], 0
-        if self.hot is None:
-            order = np.argsort(tokens, kind="stable")
-            tokens, items = tokens[order], items[order]
-            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            runs = np.diff(np.append(starts, len(tokens)))
-            away = np.repeat(runs > CROWD, runs) & (np.arange(len(tokens)) - np.repeat(starts, runs) >= 2)
-            by_item = away
-        else:
-            away, by_item = np.zeros(len(tokens), bool), np.isin(tokens, self.hot)
-        spread = np.where(by_item, items.view(np.uint64), tokens)
+        spread = np.where(np.isin(tokens, self.hot), items.view(np.uint64), tokens)
         bucket = ((spread >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int32)
-        bucket = np.where(away, -1 - bucket, bucket).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         both = np.stack((tokens, items.view(np.uint64)), axis=1)[order]
         bucket = bucket[order]
@@ -62,27 +47,16 @@ class Packer:
         )
 
 
-def shared_tokens(blobs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
-    """(token, k): the postings of tokens that two items or more hold.
+def shared_tokens(blobs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(token, k): the postings of tokens that two items or more hold, each once.
 
     Postings of hot tokens are spread over all tasks by item, so that no task
-    gathers one token's; they pass even where a token has but one item. With
-    hot tokens given each posting comes once; where the map tasks found them
-    (buckets below 0) one can come twice, as another task may have kept it.
+    gathers one token's; they pass even where a token has but one item.
     """
-    spark = blobs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = np.empty(0, np.uint64) if hot is None else hot
+    n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def reduce(batches):
-        home, away = [], []
-        for b in batches:
-            for bucket, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                (home if bucket >= 0 else away).append(np.frombuffer(p, np.uint64).reshape(-1, 2))
-        yield from merged(home, False)
-        yield from merged(away, True)
-
-    def merged(parts, shared):
+        parts = [np.frombuffer(p, np.uint64).reshape(-1, 2) for b in batches for p in b.column(1).to_pylist()]
         if not parts:
             return
         both = np.concatenate(parts)
@@ -92,10 +66,9 @@ def shared_tokens(blobs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
         new[1:] = (both[1:] != both[:-1]).any(axis=1)
         both = both[new]
         same = both[1:, 0] == both[:-1, 0]
-        keep = np.full(len(both), shared)
+        keep = np.isin(both[:, 0], hot)
         keep[1:] |= same
         keep[:-1] |= same
-        keep |= np.isin(both[:, 0], known)
         both = both[keep].view(np.int64)
         for lo in range(0, len(both), 1 << 16):
             part = both[lo : lo + (1 << 16)]

@@ -95,20 +95,41 @@ def test_ngram_join_in_slices_is_exact(spark, monkeypatch):
 def test_postings_of_one_token_are_spread(spark):
     rng = np.random.default_rng(4)
     keys = rng.integers(1, 1 << 62, 4000)
-    tokens = np.where(np.arange(4000) % 3 == 0, 77 << 40, rng.integers(1 << 40, 1 << 60, 4000)).astype(np.uint64)
+    common = np.uint64(77 << 40)
+    tokens = np.where(np.arange(4000) % 3 == 0, common, rng.integers(1 << 40, 1 << 60, 4000)).astype(np.uint64)
     tokens[1:199:3] = tokens[2:200:3]
+    hot = np.array([common], np.uint64)
     blobs = []
-    for part in (slice(0, 2500), slice(1500, 3998), slice(3998, 4000)):  # the last part has one posting of the common token
-        packer = postings.Packer(16)
+    for part in (slice(0, 2500), slice(1500, 4000)):
+        packer = postings.Packer(16, hot)
         batches = [*packer.add(tokens[part], keys[part]), *packer.flush()]
         blobs += [(r["bucket"], r["payload"]) for b in batches for r in b.to_pylist()]
     sizes = collections.Counter()
     for bucket, payload in blobs:
         sizes[bucket] += len(payload) // 16
     assert max(sizes.values()) < 600 and sum(sizes.values()) == 5000
-    got = {(r.token, r.k) for r in postings.shared_tokens(spark.createDataFrame(blobs, postings.SCHEMA)).collect()}
+    got = [(r.token, r.k) for r in postings.shared_tokens(spark.createDataFrame(blobs, postings.SCHEMA), hot).collect()]
     counts = collections.Counter(tokens.tolist())
-    assert got == {(t, k) for t, k in zip(tokens.tolist(), keys.tolist()) if counts[t] > 1}
+    assert sorted(got) == sorted((t, k) for t, k in zip(tokens.tolist(), keys.tolist()) if counts[t] > 1)
+
+
+def test_stars_of_a_common_band_are_joined_over_tasks():
+    rng = np.random.default_rng(6)
+    tokens = np.where(np.arange(3000) % 3 == 0, 5, rng.integers(10, 2000, 3000))
+    rows = np.column_stack((tokens, rng.integers(1, 1 << 40, 3000)))
+    parts = [line_dedup.stars(p) for p in np.array_split(np.concatenate((rows, rows[:50])), 7)]
+    sent = np.concatenate([rest for _, rest in parts])
+    assert (np.unique(sent[:, 0], return_counts=True)[1] <= 7).all()
+    found = np.concatenate([f for f, _ in parts] + [line_dedup.stars(sent)[0]])
+    union, want = Union(), Union()
+    for t, k, c in found.tolist():
+        union.join((t, k), (t, c))
+    least: dict = {}
+    for t, k in rows.tolist():
+        want.join((t, k), (t, least.setdefault(t, k)))
+    several = {t for t in least if sum(1 for x, _ in want if x == t) > 1}
+    assert {x for x in want if x[0] in several} == set(union)
+    assert len({union.top(x) for x in union}) == len(several) and all(union.top(x)[0] == x[0] for x in union)
 
 
 def test_ngram_join_of_nothing_and_nulls(spark):
