@@ -3,132 +3,171 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 SCALE = 64
-LEVELS = (16, 8, 4, 2)
-VECTOR_BLOCK = 16_384
-QUERY_BLOCK = 256
+BLOCK, LEAST_BLOCK = 16_384, 2_048
+"""Vectors of a block; where that leaves partitions without a block, blocks are smaller, down to LEAST_BLOCK."""
+QUERIES = 256
+"""Queries that pass a block at once."""
+HELD = 2**62
+"""Components are exact below this; a larger one is held as this, with its sign. Scores beyond 64 bits likewise."""
+EXACT = 2**52
 
 
 class ImpactIndex:
-    """Posting segments of a block of integer vectors by descending impact.
-
-    Segment s holds, for every dimension, the postings whose absolute value
-    lies between two levels. After the segments down to level t, what is left
-    of any score is at most (t - 1) * sum(|query|).
+    """Postings (dimension, vector, component) of a block of integer vectors in segments of descending impact.
+
+    The quantised impact of a posting is the bit length of its component's
+    size. A segment holds the postings of one impact, a run for each dimension
+    that has any; components of 0 have none. After a segment two bounds on
+    what is left of a score hold: by dimension, the sum of |query| times the
+    greatest component left in it; by vector, the length of the query times
+    that of the components left (Cauchy and Schwarz).
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float32)
+        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order], np.int64)
         size = np.abs(self.vectors)
-        top = float(size.max(initial=0)) + 1
-        self.segments, self.left = [], []
-        high = np.inf
-        for low in (*[x for x in (max(top / 2, 32), *LEVELS) if x < top], 0):
-            part = np.where((size >= low) & (size < high), self.vectors, 0)
-            if part.any():
-                self.segments.append(part.T.copy())
-                self.left.append(max(float(size[size < low].max(initial=0)), 0.0))
-            high = low
+        self.top = int(size.max(initial=0))
+        impact = np.frexp(size.astype(np.float64))[1]
+        owner, dim = np.nonzero(size)
+        level = impact[owner, dim]
+        order = np.lexsort((owner, dim, -level))
+        owner, dim, level = owner[order], dim[order], level[order]
+        value = self.vectors[owner, dim].astype(np.float64)
+        starts = np.flatnonzero(np.concatenate(([True], (level[1:] != level[:-1]) | (dim[1:] != dim[:-1])))) if len(owner) else np.empty(0, np.int64)
+        ends = np.append(starts[1:], len(owner))
+        self.segments = []
+        for low in dict.fromkeys(level.tolist()):
+            runs = [(int(dim[a]), owner[a:b], value[a:b]) for a, b in zip(starts, ends) if level[a] == low]
+            left = np.where(impact < low, size, 0).astype(np.float64)
+            self.segments.append((runs, left.max(axis=0), np.sqrt((left * left).sum(axis=1)) * (1 + 1e-9)))
+
+    def _bounds(self, query: np.ndarray, scores: np.ndarray, left: np.ndarray, lengths: np.ndarray, barred: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest score of each vector, as far as the segments until now tell."""
+        slack = np.minimum(np.abs(query) @ left, np.sqrt(query @ query) * (1 + 1e-9) * lengths)
+        low, high = scores - slack, scores + slack
+        low[barred] = high[barred] = -np.inf
+        return low, high
+
+    def _best(self, query: np.ndarray, possible: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of some vectors by their exact scores."""
+        wide = self.top * sum(abs(x) for x in query.tolist()) >= HELD
+        if wide:
+            exact = np.array([max(-HELD * 2, min(HELD * 2 - 1, sum(a * b for a, b in zip(v, query.tolist())))) for v in self.vectors[possible].tolist()], np.int64)
+        else:
+            exact = self.vectors[possible] @ query
+        best = np.lexsort((self.ids[possible], -np.maximum(exact, -(2**63) + 1)))[:k]
+        return self.ids[possible][best], exact[best]
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids, scores) of the k best of each query, ties to smaller ids; never the query's own id."""
-        queries = queries.astype(np.float32)
-        weight = np.abs(queries).sum(axis=1)
-        scores = np.zeros((len(queries), len(self.ids)), np.float32)
-        barred = self.ids[None, :] == own[:, None]
-        waiting = np.arange(len(queries))
+        n = len(self.ids)
+        barred = [slice(*np.searchsorted(self.ids, [i, i + 1]).tolist()) for i in own.tolist()]
         out: list = [None] * len(queries)
-        for part, left in zip([*self.segments, None], [*self.left, 0.0]):
-            if part is not None:
-                scores[waiting] += queries[waiting] @ part
-            done = []
-            for q in waiting:
-                slack = left * weight[q]
-                s = np.where(barred[q], -np.inf, scores[q])
-                if len(s) > k:
-                    floor = np.partition(s, len(s) - k)[len(s) - k] - slack
-                    possible = np.flatnonzero(s + slack >= floor)
-                    # proof: what is left cannot bring any other vector to the k-th lower bound
-                    if left and len(possible) > 4 * k:
-                        continue
-                else:
-                    possible = np.arange(len(s))
-                possible = possible[~barred[q][possible]]
-                exact = (self.vectors[possible].astype(np.int64) * queries[q].astype(np.int64)).sum(axis=1)
-                best = np.lexsort((self.ids[possible], -exact))[:k]
-                out[q] = self.ids[possible][best], exact[best]
-                done.append(q)
-            waiting = np.setdiff1d(waiting, done)
+        waiting = []
+        for q, query in enumerate(queries):
+            # sums of float64 are exact below EXACT; a query beyond that, or one that all vectors answer, needs no bounds
+            if n <= k + 1 or self.top * sum(abs(x) for x in query.tolist()) >= EXACT or not self.segments:
+                out[q] = self._best(query, np.delete(np.arange(n), barred[q]), k)
+            else:
+                waiting.append(q)
+        waiting = np.array(waiting, np.int64)
+        scores = np.zeros((n, len(waiting)))
+        for at, (runs, left, lengths) in enumerate(self.segments):
+            asked = queries[waiting].T.astype(np.float64)
+            for d, owner, value in runs:
+                scores[owner] += value[:, None] * asked[d]
+            last = at == len(self.segments) - 1
+            stays = np.ones(len(waiting), bool)
+            for j, q in enumerate(waiting.tolist()):
+                low, high = self._bounds(asked[:, j], scores[:, j], left, lengths, barred[q])
+                floor = np.partition(low, n - k)[n - k]
+                possible = np.flatnonzero((high >= floor) & (high > -np.inf))
+                # proof: none of the others can reach the k-th least score; what is possible is scored exactly
+                if last or len(possible) <= max(4 * k, n // 64):
+                    out[q] = self._best(queries[q], possible, k)
+                    stays[j] = False
+            waiting, scores = waiting[stays], scores[:, stays]
             if not len(waiting):
                 break
         return out
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row with the ids and integer components of a block."""
-    vectors = np.stack(pdf["v"].to_list()).astype("<i4") if len(pdf) else np.empty((0, 0), "<i4")
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [vectors.shape[1]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "body": [vectors.tobytes()]})
-
-
-def _unpack(ids: bytes, body: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(body, "<i4").reshape(-1, dim)
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """ids and integer vectors of one length of a batch."""
+    return batch.column(3).to_numpy(), batch.column(4).flatten().to_numpy().reshape(len(batch), -1)
 
 
 def _search(k: int):
+    """Over rows (block, dim, asks, vec_id, v) in this order: vectors of a block are indexed once, and its queries stream past the index."""
+
     def run(batches):
-        held, index = None, None
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                ids, vectors = _unpack(r.ids, r.body, r.dim)
-                if held != (r.block, r.dim):
-                    held, index = (r.block, r.dim), ImpactIndex(ids, vectors)
-                asked, queries = _unpack(r.q_ids, r.q_body, r.dim)
-                for q, (found, scores) in zip(asked.tolist(), index.search(queries, asked, k)):
-                    rows += zip([q] * len(found), found.tolist(), scores.tolist())
-            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+        held, parts, index = None, [], None
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))) if len(keys) else []
+            for a, b in zip(starts, np.append(starts[1:], len(keys))):
+                block, asks = tuple(keys[a, :2].tolist()), keys[a, 2]
+                if block != held:
+                    held, parts, index = block, [], None
+                ids, vectors = _rows(batch.slice(a, b - a))
+                if not asks:
+                    parts.append((ids, vectors))
+                    continue
+                if index is None:
+                    if not parts:
+                        continue
+                    index = ImpactIndex(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                    parts = []
+                for lo in range(0, len(ids), QUERIES):
+                    own = ids[lo : lo + QUERIES]
+                    found = index.search(vectors[lo : lo + QUERIES], own, k)
+                    counts = [len(f[0]) for f in found]
+                    columns = np.repeat(own, counts), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v array<int>): floor(64 * x) of each component; vectors that are null, empty or hold a null or non-finite component are left out."""
+    """(vec_id, v array<long>): floor(64 * x) of each component; vectors that are null, empty or hold a null or non-finite component are left out.
+
+    A component of 2**62 or more in size is held as 2**62 with its sign.
+    """
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    held = lambda x: F.floor(F.least(F.greatest(x.cast("double") * SCALE, F.lit(-float(HELD))), F.lit(float(HELD))))
     return embeddings.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & fit).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("int")).alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", held).alias("v")
     )
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors of highest inner product for each query vector.
 
-    Both tables are (vec_id, v array<int>). Every vector but the query's own
+    Both tables are (vec_id, v array<long>). Every vector but the query's own
     id is a candidate; fewer than k candidates give all of them. Ties go to the
     smaller vec_id. Vectors of another length than a query's are no candidates
     of it. Rows that repeat a vec_id take part as often as they are there (of
-    a query id too). Components must be under 2**10 in size, or scores under
-    2**24, to be exact in the first, bounded phase; the final scores are
-    always whole numbers of 64 bits. An empty table gives an empty one.
+    a query id too). Scores are exact; one beyond 64 bits is given as the
+    nearest number of 64 bits, and ties there go by vec_id. An empty table
+    gives an empty one.
 
-    Vectors and queries are packed to blocks of fixed size, and each block of
-    queries meets each block of vectors in one task.
+    Vectors are dealt to blocks of bounded size. A block is indexed once, in
+    one task, and all queries stream past it; so what is moved is each vector
+    once and each query once a block.
     """
-    total = vectors.count()
-    n_blocks = total // VECTOR_BLOCK + 1
-    dealt = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    packed = "block int, dim int, ids binary, body binary"
-    index = dealt(vectors.withColumn("dim", F.size("v")), n_blocks).groupBy("block", "dim").applyInPandas(_pack, packed)
-    n_asked = queries.count() // QUERY_BLOCK + 1
-    asked = dealt(queries.withColumn("dim", F.size("v")), n_asked).groupBy("block", "dim").applyInPandas(_pack, packed)
-    asked = asked.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    met = index.join(asked, ["block", "dim"]).select("block", "dim", "ids", "body", "q_ids", "q_body")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(n, F.xxhash64("block", "q_ids"))
-    found = met.mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    total = vectors.count()
+    n_blocks = max(total // BLOCK, min(n, total // LEAST_BLOCK)) + 1
+    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n_blocks)).cast("int")
+    own = vectors.select(block.alias("block"), F.size("v").alias("dim"), F.lit(0).alias("asks"), "vec_id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.size("v").alias("dim"), F.lit(1).alias("asks"), "vec_id", "v")
+    met = own.union(asked).repartition(n_blocks, "block").sortWithinPartitions("block", "dim", "asks")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -117,7 +117,8 @@ def test_mixing_meets_targets(spark):
 
 
 def test_top_k_against_all_scores(spark, monkeypatch):
-    monkeypatch.setattr(topk, "VECTOR_BLOCK", 50)
+    monkeypatch.setattr(topk, "LEAST_BLOCK", 50)
+    monkeypatch.setattr(topk, "QUERIES", 3)
     rng = np.random.default_rng(6)
     rows = [(i, (rng.integers(-70, 70, 9) / 64).tolist()) for i in range(160)] + [(500 + i, [0.5] * 9) for i in range(30)] + [(700, None), (701, [None] * 9), (702, [float("nan")] * 9), (703, []), (704, [float("inf")] * 9)]
     vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
@@ -131,6 +132,36 @@ def test_top_k_against_all_scores(spark, monkeypatch):
     assert topk.top_k(few, few, 20).count() == 6 and topk.top_k(vectors.limit(0), few, 20).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(9)
+    for size in (1e6, 1e10, 1e300):
+        rows = [(i, (rng.normal(size=7) * (size if i % 3 else 1.0)).tolist(), "x") for i in range(90)] + [(90, [size, -size] * 3 + [0.0], "x"), (20, [1.0] * 7, "x")]
+        vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string"))
+        whole = [(r.vec_id, [int(x) for x in r.v]) for r in vectors.collect()]
+        assert len(whole) == 92 and max(abs(x) for _, v in whole for x in v) <= 2**62
+        got = topk.top_k(vectors, vectors.where("vec_id % 30 = 0"), 20).collect()
+        for q, own in whole:
+            if q % 30 == 0:
+                held = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(own, v)))), i) for i, v in whole if i != q]
+                assert sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) == [(k + 1, i, -s) for k, (s, i) in enumerate(sorted(held)[:20])], (size, q)
+
+
+def test_impact_index_stops_on_proof_only():
+    rng = np.random.default_rng(3)
+    for spread in (2, 40, 3000):
+        vectors = np.floor(rng.standard_t(2, (3000, 12)) * spread).astype(np.int64)
+        vectors[100:130] = vectors[0]
+        index = topk.ImpactIndex(np.arange(3000), vectors)
+        sizes = [x for runs, _, _ in index.segments for x in [min(abs(v).min() for _, _, v in runs), max(abs(v).max() for _, _, v in runs)]]
+        assert sizes == sorted(sizes, reverse=True) or all(a >= c for a, c in zip(sizes[::2], sizes[3::2]))
+        assert sum(len(v) for runs, _, _ in index.segments for _, _, v in runs) == np.count_nonzero(vectors)
+        asked = np.arange(0, 3000, 50)
+        for q, (ids, scores) in zip(asked, index.search(vectors[asked], asked, 20)):
+            exact = vectors @ vectors[q]
+            want = sorted((-int(s), i) for i, s in enumerate(exact) if i != q)[:20]
+            assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist())] == want
+
+
 def test_bpe_equals_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_path()
