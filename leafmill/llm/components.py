@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -23,6 +23,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose lineage is cut.
+
+    Its cleaner acts on what the driver's JVM collects as garbage, which a
+    large heap can put off until long after a step of many shuffles has ended.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 ROWS_PER_TASK = 50_000
 
 

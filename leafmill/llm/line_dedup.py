@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import BASE, INVERSE, chunks, distinct, mix, powers, utf8
-from .components import components, settle
-from .overlap import SLICE_ITEMS, deal_blocks, is_few, open_tokens, search_open
+from .components import components, release, settle
+from .overlap import SLICE_ITEMS, Block, deal_blocks, forest, is_few, open_tokens, open_visits, sliced
 
 BANDS, ROWS = 14, 6
 SHINGLE = 5
@@ -97,32 +97,42 @@ def stars(postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     The centre is the least item. What a map task sends on of a token is one
     posting, so no token is too frequent for the task that gathers it, and the
     items of a token are joined with its centre by way of their own task's.
+    Postings come out in the order of their tokens.
     """
-    postings = postings[np.lexsort((postings[:, 1], postings[:, 0]))]
-    new = np.ones(len(postings), bool)
-    new[1:] = (postings[1:] != postings[:-1]).any(axis=1)
-    postings = postings[new]
+    postings = postings[np.argsort(postings[:, 0])]
     starts = _runs(postings[:, 0])
     runs = np.diff(np.append(starts, len(postings)))
-    centre = np.repeat(postings[starts, 1], runs)
-    several = np.repeat(runs > 1, runs)
-    return np.column_stack((postings, centre))[several], postings[starts]
+    crowd = postings[np.repeat(runs > 1, runs)]
+    crowd = crowd[np.lexsort((crowd[:, 1], crowd[:, 0]))]
+    new = np.ones(len(crowd), bool)
+    new[1:] = (crowd[1:] != crowd[:-1]).any(axis=1)
+    crowd = crowd[new]
+    least = _runs(crowd[:, 0])
+    rest = postings[starts]
+    rest[runs > 1] = crowd[least]
+    runs = np.diff(np.append(least, len(crowd)))
+    crowd = np.column_stack((crowd, np.repeat(crowd[least, 1], runs)))
+    return crowd[np.repeat(runs > 1, runs)], rest
+
+
+KNOWN, LENGTH = 62, 31
+"""A place's last number holds the line's length below this bit, its number in the text above it, and from KNOWN on whether there is a doc_id."""
 
 
 def firsts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of places (key, doc_id, hash of text, line with a bit for an id that is not null): the first of each key, and the others that differ from it."""
-    known = places[:, 3] >> 40
-    places = places[np.lexsort((places[:, 3], places[:, 2], places[:, 1], known, places[:, 0]))]
+    """Of places (key, doc_id, hash of text, last number): the first of each key, and the others that differ from it."""
+    places = places[np.lexsort((places[:, 3], places[:, 2], places[:, 1], places[:, 3] >> KNOWN, places[:, 0]))]
     starts = _runs(places[:, 0])
     first = places[starts]
     return first, places[(places != np.repeat(first, np.diff(np.append(starts, len(places))), axis=0)).any(axis=1)]
 
 
 def _blobs(kind: int, rows: np.ndarray, spread: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The rows packed to one blob a bucket: a row for each would cost more than it holds."""
-    bucket = ((spread.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    bucket, rows = bucket[order], rows[order]
+    """The rows packed to one blob a bucket: a row for each would cost more than it holds. Buckets are ranges of `spread`."""
+    bucket = ((spread.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    if (bucket[1:] < bucket[:-1]).any():
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
     starts = _runs(bucket)
     payload = [rows[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(bucket)))]
     return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.full(len(starts), kind, np.int8)), pa.array(payload, pa.binary())], names=["bucket", "kind", "payload"])
@@ -137,8 +147,8 @@ def _scan(bands: int, rows: int, buckets: int):
         def send_postings():
             found, rest = stars(np.concatenate(held))
             if len(found):
-                yield _blobs(STAR, found, found[:, 1], buckets)
-            yield _blobs(POSTING, rest, rest[:, 0], buckets)
+                yield _blobs(STAR, found, found[:, 1].copy(), buckets)
+            yield _blobs(POSTING, rest, rest[:, 0].copy(), buckets)
 
         def send_places():
             first, others = firsts(np.concatenate(spots))
@@ -149,16 +159,17 @@ def _scan(bands: int, rows: int, buckets: int):
         for batch in batches:
             data, offs = utf8(batch.column(2))
             ids = batch.column(0)
-            known = np.asarray(ids.is_valid()).astype(np.int64) << 40
+            known = np.asarray(ids.is_valid()).astype(np.int64) << KNOWN
             ids, hashes = ids.fill_null(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in chunks(offs, CHUNK):
                 lines = Lines(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 row = lines.row + lo
                 inked = lines.key != 0
-                spots.append(np.column_stack((lines.key, ids[row], hashes[row], lines.position | known[row]))[inked])
+                lengths = lines.stops - lines.starts
+                last = np.minimum(lengths, (1 << LENGTH) - 1) | lines.position << LENGTH | known[row]
+                spots.append(np.column_stack((lines.key, ids[row], hashes[row], last))[inked])
                 n_spots += len(spots[-1])
                 which = np.flatnonzero(np.array([k != 0 and not (k in seen or seen.add(k)) for k in lines.key.tolist()], bool))
-                lengths = lines.stops - lines.starts
                 short = which[(lengths[which] >= SHORT[0]) & (lengths[which] <= SHORT[1])]
                 for part, size, n, bit in ((which, SHINGLE, bands, 0), (short, SHORT_SHINGLE, SHORT_BANDS, SHORT_ITEM)):
                     if len(part):
@@ -179,7 +190,7 @@ def _scan(bands: int, rows: int, buckets: int):
     return run
 
 
-FOUND = "kind byte, a long, b long, c long, pos int"
+FOUND = "kind byte, a long, b long, c long, pos int, length int"
 
 
 def _gather(batches):
@@ -193,10 +204,13 @@ def _gather(batches):
     def rows(kind: int, found: np.ndarray):
         for lo in range(0, len(found), 1 << 16):
             part = found[lo : lo + (1 << 16)]
-            a, b, c = (np.ascontiguousarray(part[:, i]) for i in range(3))
-            lost = None if kind == STAR else part[:, 3] >> 40 == 0
-            pos = pa.nulls(len(part), pa.int32()) if kind == STAR else pa.array((part[:, 3] & ((1 << 40) - 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(a), pa.array(b, mask=lost), pa.array(c), pos], names=["kind", "a", "b", "c", "pos"])
+            a, b, c = (pa.array(np.ascontiguousarray(part[:, i])) for i in range(3))
+            pos = length = pa.nulls(len(part), pa.int32())
+            if kind != STAR:
+                last = part[:, 3]
+                b = pa.array(np.ascontiguousarray(part[:, 1]), mask=last >> KNOWN == 0)
+                pos, length = (pa.array(x.astype(np.int32)) for x in (last >> LENGTH & ((1 << KNOWN - LENGTH) - 1), last & ((1 << LENGTH) - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), a, b, c, pos, length], names=["kind", "a", "b", "c", "pos", "length"])
 
     for kind in (STAR, GONE):
         for found in parts.pop(kind, []):
@@ -210,14 +224,14 @@ def _gather(batches):
 
 
 def _bodies(batches):
-    """From (text, spots), spots being an array of (k, pos), the lines (k, body)."""
+    """From (text, spots), spots being an array of (pos, block, slice, asks, item), a row (block, slice, asks, item, body) of each."""
     for batch in batches:
-        keys, bodies = [], []
+        found = []
         for text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             parts = text.split("\n")
-            keys += [s["k"] for s in spots]
-            bodies += [parts[s["pos"]] for s in spots]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.string())], names=["k", "body"])
+            found += [(s["block"], s["slice"], s["asks"], s["item"], parts[s["pos"]]) for s in spots]
+        kinds = pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, kinds)], names=["block", "slice", "asks", "item", "body"])
 
 
 def line_sets(texts, items: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -234,51 +248,81 @@ def line_sets(texts, items: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(keys), sets
 
 
-def _verify(percent: int):
-    """From (item, centre, body, centre_body) the pairs of lines that link by the exact Jaccard index."""
+def _search(percent: int):
+    """Over rows (block, slice, asks, item, body) in this order: links of the items that ask with the others of their block, by the exact Jaccard index.
+
+    An item is the row of its number that comes first; a block's members are
+    held, those that ask stream past them.
+    """
 
     def run(batches):
+        place, members, index, pairs, before = None, [], None, [], None
         for batch in batches:
-            items, centres = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            mine, theirs = line_sets(batch.column(2), items)[1], line_sets(batch.column(3), centres)[1]
-            links = np.zeros(len(items), bool)
-            for i, (a, b) in enumerate(zip(mine, theirs)):
-                both = np.concatenate((a, b))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                links[i] = 100 * shared >= percent * (len(both) - shared)
-            yield pa.RecordBatch.from_arrays([pa.array(items[links] & ~SHORT_ITEM), pa.array(centres[links] & ~SHORT_ITEM)], names=["a", "b"])
+            data, offs = utf8(batch.column(4))
+            items = batch.column(3).to_numpy()
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), items.tolist())
+            for lo, hi in chunks(offs, 4 * CHUNK):
+                sets = line_sets(batch.column(4).slice(lo, hi - lo), items[lo:hi])[1]
+                for own, row in zip(sets, rows):
+                    if row == before:
+                        continue
+                    before = row
+                    if row[:2] != place:
+                        yield from _links(pairs)
+                        place, members, index, pairs = row[:2], [], None, []
+                    if not row[2]:
+                        members.append((row[3], own))
+                    elif len(members) == 1:
+                        both = np.concatenate((members[0][1], own))
+                        both.sort()
+                        shared = int((both[1:] == both[:-1]).sum())
+                        if 100 * shared >= percent * (len(both) - shared):
+                            pairs.append((row[3] & ~SHORT_ITEM, members[0][0] & ~SHORT_ITEM))
+                    elif members:
+                        if index is None:
+                            index = Block([m[1] for m in members])
+                        pairs += [(row[3] & ~SHORT_ITEM, members[i][0] & ~SHORT_ITEM) for i in index.search(own, percent).tolist()]
+        yield from _links(pairs)
 
     return run
 
 
+def _links(pairs: list[tuple[int, int]]):
+    """A spanning forest of the pairs of one block, as a batch."""
+    kept = forest([p for p in pairs if p[0] != p[1]])
+    if kept:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], names=["a", "b"])
+
+
 def _line_of(item: str) -> F.Column:
     """Key of the line that an item stands for."""
     return F.col(item).bitwiseAND(F.lit(~SHORT_ITEM).cast("long"))
 
 
-def _star_links(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of lines among the pairs (item, centre); a centre of very many items is copied to several slices of them."""
-    parts = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SLICE_ITEMS).cast("int").alias("parts")).where("parts > 1")
-    parts = settle(parts)
-    crowds = F.broadcast(parts) if is_few(parts) else parts
-    dealt = pairs.join(crowds, "centre", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.select("item", "centre", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("slice"))
-    own = bodies.withColumnRenamed("k", "line")
-    asked = dealt.withColumn("line", _line_of("item")).join(own, "line").select("item", "centre", "slice", "body")
-    known = pairs.select("centre").distinct().join(crowds, "centre", "left")
-    copies = known.select("centre", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("slice"), _line_of("centre").alias("line"))
-    copies = copies.join(own, "line").select("centre", "slice", F.col("body").alias("centre_body"))
-    met = asked.join(copies, ["centre", "slice"]).select("item", "centre", "body", "centre_body")
-    return met.mapInArrow(_verify(percent), "a long, b long")
-
-
-def line_links(found: DataFrame, bodies_of, percent: int) -> DataFrame:
-    """(node, root) of the lines that link with another; found holds the STAR rows of `_gather`."""
+def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the lines that link with another.
+
+    found holds the STAR rows of `_gather`, pairs their (item, centre), spots
+    the first place of each line in them. A line's text goes once to each block
+    in which it is compared, straight from its document.
+    """
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def links_of(visits: DataFrame, index: DataFrame) -> DataFrame:
+        """Links (a, b) of lines of each visit (k, block) with the members (k, block) of the block."""
+        sizes = visits.select("k").distinct().withColumn("line", _line_of("k")).join(spots.withColumnRenamed("k", "line"), "line").select("k", F.col("length").alias("bytes"))
+        visits, index = sliced(visits, index, sizes)
+        roles = settle(visits.withColumn("asks", F.lit(1)).union(index.withColumn("asks", F.lit(0))))
+        spot = F.struct("pos", "block", "slice", "asks", F.col("item"))
+        asked = roles.select(F.col("k").alias("item"), _line_of("k").alias("k"), F.col("block").cast("long").alias("block"), "slice", "asks").join(spots, "k")
+        asked = asked.groupBy("d", "th").agg(F.collect_list(spot).alias("spots"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (keyed["th"] == asked["th"])
+        rows = keyed.join(F.broadcast(asked) if is_few(roles) else asked, same).select("text", "spots").mapInArrow(_bodies, "block long, slice int, asks int, item long, body string")
+        return rows.repartition(n, "block", "slice").sortWithinPartitions("block", "slice", "asks", "item").mapInArrow(_search(percent), "a long, b long")
+
     star = found.where(F.col("kind") == STAR).select(F.col("a").alias("token"), F.col("b").alias("item"), F.col("c").alias("centre"))
-    pairs = settle(star.where("item <> centre").select("item", "centre").distinct())
-    bodies = settle(bodies_of(pairs.select(_line_of("item").alias("k")).union(pairs.select(_line_of("centre").alias("k"))).distinct()))
-    links = settle(_star_links(pairs, bodies, percent).distinct())
+    centres = pairs.select(F.col("centre").alias("k"), F.col("centre").alias("block")).distinct()
+    links = settle(links_of(pairs.select(F.col("item").alias("k"), F.col("centre").alias("block")), centres).distinct())
     roots = components(links)
     # two items that are a token's only ones are compared; of more, those that the star has not joined still are to be
     several = star.groupBy("token").agg(F.count("*").alias("c")).where("c > 2").select("token")
@@ -287,11 +331,8 @@ def line_links(found: DataFrame, bodies_of, percent: int) -> DataFrame:
     still = settle(open_tokens(placed))
     if still.isEmpty():
         return roots
-    still = settle(still.join(deal_blocks(still), "k"))
-    items = still.select("k", _line_of("k").alias("line")).distinct()
-    sets = settle(items.join(bodies.withColumnRenamed("k", "line"), "line").select("k", "body"))
-    more = search_open(still, sets, line_sets, percent)
-    return components(links.union(more.select(_line_of("a").alias("a"), _line_of("b").alias("b"))))
+    visits, index = open_visits(settle(still.join(deal_blocks(still), "k")))
+    return components(links.union(links_of(visits, index)))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -319,20 +360,18 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = keyed.mapInArrow(_scan(bands, rows, 8 * n), "bucket int, kind byte, payload binary")
     found = settle(blobs.repartition(n, "bucket").mapInArrow(_gather, FOUND))
-    place = F.struct(F.col("b").alias("d"), F.col("c").alias("th"), "pos")
-    first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("k"), place.alias("place"))
-
-    def bodies_of(lines: DataFrame) -> DataFrame:
-        asked = first.join(lines, "k").groupBy("place.d", "place.th").agg(F.collect_list(F.struct("k", "place.pos")).alias("spots"))
-        same = F.col("doc_id").eqNullSafe(F.col("d")) & (keyed["th"] == asked["th"])
-        met = keyed.join(F.broadcast(asked) if is_few(lines) else asked, same).select("text", "spots")
-        return met.mapInArrow(_bodies, "k long, body string").dropDuplicates(["k"])
-
-    roots = settle(line_links(found, bodies_of, percent))
-    linked = first.join(roots.withColumnRenamed("node", "k"), "k").select("root", "place")
+    release(spark)
+    pairs = settle(found.where((F.col("kind") == STAR) & (F.col("b") != F.col("c"))).select(F.col("b").alias("item"), F.col("c").alias("centre")).distinct())
+    lines = pairs.select(F.explode(F.array(_line_of("item"), _line_of("centre"))).alias("k")).distinct()
+    first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("k"), F.col("b").alias("d"), F.col("c").alias("th"), "pos", "length")
+    spots = settle(first.join(F.broadcast(lines) if is_few(lines) else lines, "k"))
+    roots = settle(line_links(found, keyed, spots, pairs, percent))
+    release(spark)
+    place = F.struct("d", "th", "pos")
+    linked = spots.join(roots.withColumnRenamed("node", "k"), "k").select("root", place.alias("place"))
     # the first places of linked lines go but for the first of each component, which is taken out of them again
     stay = linked.groupBy("root").agg(F.min("place").alias("place"))
-    others = found.where(F.col("kind") == GONE).select(place.alias("place"))
+    others = found.where(F.col("kind") == GONE).select(F.struct(F.col("b").alias("d"), F.col("c").alias("th"), "pos").alias("place"))
     moves = others.union(linked.select("place")).select("place.*", F.lit(False).alias("stays")).union(stay.select("place.*", F.lit(True).alias("stays")))
     lists = moves.groupBy("d", "th").agg(F.collect_set(F.when(~F.col("stays"), F.col("pos"))).alias("out"), F.collect_set(F.when(F.col("stays"), F.col("pos"))).alias("in"))
     gone = lists.select(F.col("d").alias("gone_d_"), F.col("th").alias("gone_th_"), F.array_except("out", "in").alias("gone_")).where("size(gone_) > 0")

@@ -81,7 +81,7 @@ class Block:
         return found[counts >= want]
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The pairs that join two trees, in order: a spanning forest of all of them."""
     parent: dict[int, int] = {}
 
@@ -116,7 +116,7 @@ def _search_block(to_sets: Callable, percent: int) -> Callable:
         for k, asked in zip(*sets_of(visits["asker"], visits["asked"])):
             found = keys[block.search(asked, percent)]
             pairs += [(k, other) for other in found.tolist() if other != k]
-        kept = _forest(pairs)
+        kept = forest(pairs)
         return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
 
     return run
@@ -182,8 +182,8 @@ def open_tokens(placed: DataFrame) -> DataFrame:
     return placed.join(top.where("roots > 1").select("token", "top"), "token")
 
 
-def search_open(still: DataFrame, sets: DataFrame, to_sets: Callable, percent: int) -> DataFrame:
-    """Links (a, b) between members of other components than a token's largest and all its items.
+def open_visits(still: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, block): the blocks that members of other components than a token's largest visit, and the members of all blocks.
 
     still: (token, k, need, class, root, top, block), a row once.
     """
@@ -194,9 +194,9 @@ def search_open(still: DataFrame, sets: DataFrame, to_sets: Callable, percent: i
     # block with which fewer are shared holds no partner that this item must find.
     asked = askers.join(blocks, ["token", "class"]).select("token", "k", "block", "need").distinct()
     asked = asked.groupBy("k", "block").agg(F.count("*").alias("c"), F.max("need").alias("need"))
-    visits = asked.where("2 * c >= need").select("k", "block")
-    index = still.select("k", "block").distinct()
-    return settle(_searched(settle(visits), settle(index), sets, to_sets, percent))
+    visits = settle(asked.where("2 * c >= need").select("k", "block"))
+    visited = visits.select("block").distinct()
+    return visits, settle(still.select("k", "block").distinct().join(visited, "block"))
 
 
 def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable, percent: int) -> DataFrame:
@@ -226,4 +226,7 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
 
     placed = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     still = settle(open_tokens(placed))
-    return components(links.union(search_open(still, sets, to_sets, percent)))
+    if still.isEmpty():
+        return roots
+    visits, index = open_visits(still)
+    return components(links.union(settle(_searched(visits, index, sets, to_sets, percent))))

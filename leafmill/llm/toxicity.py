@@ -9,11 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TRAIN_ROWS = 20_000
 """Most labelled rows that a lexicon is learned from, the first by a hash of doc_id."""
-MAX_TERMS = 2_000
 STEMS = (4, 5, 6, 7)
 MIN_HITS = 5
 MIN_SHARE = 0.01
@@ -89,9 +88,12 @@ class Lexicon:
                 spans.append((start, end, weight))
         if not spans:
             return 0.0, 0.0, 0
-        total, n, done = 0.0, 0, -1
+        total, n, done, reach, at = 0.0, 0, -1, -1, 0
+        spared.sort()
         for start, end, weight in sorted(spans, key=lambda s: (s[0], -s[2], -s[1])):
-            if start < done or any(a <= start and end <= b for a, b in spared):
+            while at < len(spared) and spared[at][0] <= start:
+                reach, at = max(reach, spared[at][1]), at + 1
+            if start < done or end <= reach:  # `reach` is the furthest end of the phrases that begin no later
                 continue
             total, n, done = total + weight, n + 1, end
         words = text.count(" ") + text.count("\n") + 1
@@ -103,12 +105,12 @@ def _is_held_out(doc_id) -> F.Column:
 
 
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(text, y) of at most `limit` labelled rows, the first by a hash of doc_id; a row without a label is none."""
+    """(text, y) of at most `limit` labelled documents, the first by a hash of doc_id; a row without a label is none, and of rows that repeat a doc_id the least text counts."""
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
 
 
 def _terms(batches):
@@ -124,12 +126,12 @@ def _terms(batches):
         yield pd.DataFrame([(w, a, b) for w, (a, b) in counts.items()], columns=["term", "clean", "toxic"])
 
 
-def learn_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
+def learn_terms(sample: DataFrame) -> dict[str, float]:
     """Words and word beginnings that mark label 1 in (text, y), weighted by smoothed log odds, with the seed terms.
 
     A term needs MIN_HITS toxic texts and MIN_SHARE of them, and MIN_ODDS times
-    the share that it has among the others; the max_terms strongest stay. The counts are over
-    the whole sample.
+    the share that it has among the others. The counts are over the whole
+    sample, and MIN_SHARE bounds the number of terms by the sample's texts.
     """
     n = sample.agg(F.sum(F.when(F.col("y") > 0, 1)).alias("toxic"), F.sum(F.when(F.col("y") <= 0, 1)).alias("clean")).first()
     toxic, clean = (n["toxic"] or 0), (n["clean"] or 0)
@@ -139,16 +141,16 @@ def learn_terms(sample: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, floa
     counts = sample.mapInPandas(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log(((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1)))
     strong = counts.where(F.col("toxic") >= max(MIN_HITS, MIN_SHARE * toxic)).withColumn("w", odds).where(f"w > {math.log(MIN_ODDS)}")
-    top = strong.orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "term").limit(max_terms).toPandas()
+    top = strong.orderBy("term").select("term", "w").toPandas()
     learned = dict(zip(top["term"], top["w"]))
     return weights | {t: w for t, w in learned.items() if not any(t[:k] + "*" in learned for k in STEMS if k < len(t.rstrip("*")))}
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, penalty: float = 1e-3) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, penalty: float = 1e-3) -> np.ndarray:
     """Weights and bias of a logistic regression by Newton steps."""
     z = np.c_[x, np.ones(len(x))]
     w = np.zeros(z.shape[1])
-    for _ in range(min(rounds, 30)):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         grad = z.T @ (p - y) / len(y) + penalty * np.r_[w[:-1], 0]
         hess = (z * (p * (1 - p))[:, None]).T @ z / len(y) + penalty * np.eye(len(w))
@@ -166,19 +168,23 @@ class Toxicity:
     def __init__(self, terms: dict[str, float], weights: np.ndarray):
         self.terms, self.weights = terms, weights
 
-    def score(self, docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """keep columns, n_hits and score: probability that the text is toxic; null and empty texts score as texts without a match."""
+    def found(self, text: str) -> Column:
+        """A struct of n_hits and score of the text column of that name."""
         terms, weights = self.terms, self.weights
 
         @F.pandas_udf("n_hits int, score double")
         def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             lexicon = Lexicon(terms)
             for texts in parts:
-                found = np.array([lexicon.features(t or "") for t in texts], float).reshape(-1, 3)
-                p = 1 / (1 + np.exp(-(np.c_[_inputs(found[:, 0], found[:, 1]), np.ones(len(found))] @ weights)))
-                yield pd.DataFrame({"n_hits": found[:, 2].astype("int32"), "score": p})
+                hits = np.array([lexicon.features(t or "") for t in texts], float).reshape(-1, 3)
+                p = 1 / (1 + np.exp(-(np.c_[_inputs(hits[:, 0], hits[:, 1]), np.ones(len(hits))] @ weights)))
+                yield pd.DataFrame({"n_hits": hits[:, 2].astype("int32"), "score": p})
 
-        return docs.withColumn("toxicity_", scored("text")).select(*keep, "toxicity_.n_hits", "toxicity_.score")
+        return scored(text)
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, n_hits, score): probability that the text is toxic; null and empty texts score as texts without a match."""
+        return docs.select("doc_id", self.found("text").alias("toxicity_")).select("doc_id", "toxicity_.n_hits", "toxicity_.score")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Toxicity:
@@ -186,7 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Toxic
 
     Label 1 means toxic. Without both labels the seed terms score alone.
     Labels of documents that are not there, null labels and null ids count for
-    nothing.
+    nothing; rows that repeat a doc_id count once. An empty table of documents
+    or labels gives a scorer all the same. Other columns are ignored, and a
+    very long text is matched whole in time linear in its length.
     """
     from .components import settle
 
