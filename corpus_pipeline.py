@@ -9,42 +9,57 @@ from leafmill.llm.components import settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under one half; the lexicon is learned from the labels of this stage's own documents."""
+    """Documents that score under one half; the lexicon is learned from the labels of this stage's own documents.
+
+    A null or empty text has no match and stays; rows that repeat are scored
+    alike. Labels of other documents, and null ones, count for nothing.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = docs.columns
-    scored = model.score(docs, keep=tuple(columns))
-    return scored.where("score < 0.5").select(*columns)
+    return docs.where(model.found("text")["score"] < 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that another place has already; one that loses every line that is not blank goes."""
+    """Documents without lines that another place has already; one that loses every line that is not blank goes.
+
+    Null, empty and blank texts lose nothing and stay. The first place by
+    doc_id, then by a hash of the text, keeps its line; rows equal in both keep
+    the same lines. n_chars is counted anew where a text has changed.
+    """
     columns = docs.columns
-    out = line_dedup.dedup_lines(docs)
-    emptied = F.col("line_keep").isNotNull() & ~F.col("kept_text").rlike(r"[^\s 　]")
-    kept = out.where(~emptied)
-    if "n_chars" in columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("line_keep").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType))
-    return kept.withColumn("text", F.col("kept_text")).select(*columns)
+    found = line_dedup.dedup_lines(docs.select(F.col("doc_id"), F.col("text"), F.struct("*").alias("row_")))
+    emptied = F.col("line_keep").isNotNull() & ~F.col("kept_text").rlike(r"[^\s\x{A0}\x{3000}]")
+    n_chars = lambda: F.when(F.col("line_keep").isNull(), F.col("row_.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)
+    new = {"text": lambda: F.col("kept_text"), "n_chars": n_chars}
+    return found.where(~emptied).select(*[new.get(c, lambda c=c: F.col("row_")[c])().alias(c) for c in columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component; rows that share a doc_id are one document, a null id stays."""
+    """The document of least id of each component; rows that share a doc_id are one document, a null id stays.
+
+    Null and empty texts link with nothing and stay.
+    """
     found = ngram_join.near_duplicates(docs)
-    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("c <> doc_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = found.groupBy("doc_id").agg(F.min("component_id").alias("c")).where("c <> doc_id").select(F.col("doc_id").alias("gone_id_"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id_"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; rows equal in doc_id and text share their copies evenly."""
+    """Each document as many times as the mix takes it; rows equal in doc_id and text share their copies evenly.
+
+    A null or empty text has no words, so the mix takes it as it takes any
+    document of size 0. Ties are broken by the hash that orders the sample.
+    """
     columns = docs.columns
-    taken = mixing.mix_sources(docs).groupBy("doc_id", "th").agg(F.round(F.avg("copies")).cast("int").alias("copies"))
-    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("th").alias("taken_th"), "copies").where("copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.xxhash64("text") == F.col("taken_th"))
-    return docs.join(taken, same).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    taken = mixing.mix_sources(docs).groupBy("doc_id", "th").agg(F.round(F.avg("copies")).cast("int").alias("copies_"))
+    taken = taken.select(F.col("doc_id").alias("taken_id_"), F.col("th").alias("taken_th_"), "copies_").where("copies_ > 0")
+    whole = docs.select(F.struct("*").alias("row_"), F.xxhash64("text").alias("th_"))
+    same = F.col("row_.doc_id").eqNullSafe(F.col("taken_id_")) & (F.col("th_") == F.col("taken_th_"))
+    copies = whole.join(taken, same).select("row_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
+    return copies.select(*[F.col("row_")[c].alias(c) for c in columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row."""
+    """Token ids of every row; a null text counts as empty, rows that repeat are encoded alike."""
     return bpe.encode_documents(docs, bpe.default_path())
 
 
