@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-TRAIN_ROWS = 400
-"""Most documents that training spans come from, the first by a hash of doc_id among those with a digit or an @."""
-WINDOW, STRIDE, REACH = 64, 32, 20
-SURE = 0.9
+TRAIN_ROWS, TRAIN_WINDOWS = 400, 2000
+"""Most documents that training windows come from, the first by a hash of doc_id among those with a digit or an @; and most windows, the first by a hash of doc_id and place."""
+WINDOW, STRIDE, REACH = 64, 32, 24
+LEVELS, PRECISION = (0.6, 0.7, 0.8, 0.9, 0.95, 0.98), 0.98
+"""Thresholds that are tried on held-out windows; the least one that is as precise as this is used, else the last."""
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a run of digits is tried once, at its start
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -51,7 +52,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             used = m.end()
         at = text.find("@", max(at + 1, used))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split(".")):
             found.append((m.start(), m.end(), 1))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -68,8 +69,8 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
-_TRIGGER = re.compile(r"[0-9@]")
-_ALPHABET = {c: i + 1 for i, c in enumerate("0123456789@.-_%+ ()\n:/,#$=\"'")}
+_TRIGGER = re.compile(r"[0-9@]|[(\[]\s?(?:at|dot)\s?[)\]]")
+_ALPHABET = {c: i + 1 for i, c in enumerate("0123456789@.-_%+ ()[]\n:/,#$=\"'")}
 N_CODES = len(_ALPHABET) + 6
 
 
@@ -80,7 +81,7 @@ def encode(text: str) -> np.ndarray:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over the zones around each digit and @: no span of any kind lies outside them."""
+    """Overlapping windows over the zones around each digit, @, and "at" or "dot" in brackets; the tagger looks nowhere else."""
     zones: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -94,10 +95,10 @@ def windows(text: str) -> list[tuple[int, int]]:
 class Tagger:
     """Embedding, one LSTM in each direction, a linear layer, and CRF transitions."""
 
-    def __init__(self, embed: int = 8, hidden: int = 16, seed: int = 3):
+    def __init__(self, embed: int = 12, hidden: int = 20, seed: int = 3):
         rng = np.random.default_rng(seed)
         k = len(TAGS)
-        self.hidden = hidden
+        self.hidden, self.sure = hidden, LEVELS[-1]
         self.p = {"emb": rng.normal(0, 0.3, (N_CODES, embed)), "out": rng.normal(0, 0.2, (2 * hidden, k)), "bias": np.zeros(k), "trans": np.zeros((k, k))}
         for d in "fb":
             self.p[f"wx{d}"] = rng.normal(0, 1 / np.sqrt(embed), (embed, 4 * hidden))
@@ -178,7 +179,7 @@ class Tagger:
         np.add.at(g["emb"], codes.T.ravel(), dx.reshape(-1, dx.shape[2]))
         return g
 
-    def fit(self, codes: np.ndarray, tags: np.ndarray, steps: int = 260, batch: int = 32, rate: float = 0.05, seed: int = 4) -> Tagger:
+    def fit(self, codes: np.ndarray, tags: np.ndarray, steps: int = 360, batch: int = 32, rate: float = 0.03, seed: int = 4) -> Tagger:
         rng = np.random.default_rng(seed)
         m1, m2 = {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}
         for step in range(1, steps + 1):
@@ -204,113 +205,215 @@ class Tagger:
         _, marginal, _ = self.marginals(e)
         return path.T, np.take_along_axis(marginal, path[:, :, None], 2)[:, :, 0].T
 
-    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """Spans of each text. Each place takes its tag from the window in whose middle it lies most; runs of tags over a whole text become spans."""
+    def tagged(self, texts: list[str]) -> list[dict[int, tuple[int, float]]]:
+        """Of each text the places that are not O: their tag and its probability, from the window in whose middle the place lies most."""
         cuts = [(i, a, b) for i, t in enumerate(texts) for a, b in windows(t)]
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        votes: dict[int, dict[int, tuple[int, int, float]]] = {}
+        out: list[dict[int, tuple[int, float]]] = [{} for _ in texts]
+        votes = []
         for lo in range(0, len(cuts), 512):
             part = cuts[lo : lo + 512]
             codes = np.zeros((len(part), WINDOW), np.int64)
             for r, (i, a, b) in enumerate(part):
                 codes[r, : b - a] = encode(texts[i][a:b])
             path, sure = self.decode(codes)
-            for r, (i, a, b) in enumerate(part):
-                for t in np.flatnonzero(path[r, : b - a]).tolist():
-                    seen = votes.setdefault(i, {})
-                    margin = min(t if a else WINDOW, b - a - 1 - t if b < len(texts[i]) else WINDOW)
-                    if a + t not in seen or margin > seen[a + t][0]:
-                        seen[a + t] = (margin, int(path[r, t]), float(sure[r, t]))
-        for i, seen in votes.items():
-            run: list[tuple[int, int, float]] = []
-            for at in [*sorted(seen), -1]:
-                tag, p = seen[at][1:] if at >= 0 else (0, 0.0)
-                joins = run and at == run[-1][0] + 1 and tag % 2 == 0 and (run[-1][1] + 1) // 2 == tag // 2
-                if run and not joins:
-                    if run[0][1] % 2 and min(r[2] for r in run) >= SURE:
-                        out[i].append((run[0][0], run[-1][0] + 1, (run[0][1] - 1) // 2))
-                    run = []
-                if at >= 0 and (run or tag % 2):
-                    run.append((at, tag, p))
+            text, start, end = (np.array(c)[:, None] for c in zip(*part))
+            at = np.arange(WINDOW)[None, :] + start
+            whole = np.array([len(texts[i]) for i, _, _ in part])[:, None]
+            # a text's own ends are no ends of a window
+            margin = np.minimum(np.where(start > 0, at - start, WINDOW), np.where(end < whole, end - 1 - at, WINDOW))
+            inside = at < end
+            votes.append([np.broadcast_to(x, at.shape)[inside] for x in (text, at, margin, path, sure)])
+        if votes:
+            text, at, margin, path, sure = (np.concatenate(c) for c in zip(*votes))
+            order = np.lexsort((-margin, at, text))
+            first = np.ones(len(order), bool)
+            first[1:] = (text[order][1:] != text[order][:-1]) | (at[order][1:] != at[order][:-1])
+            best = order[first]
+            best = best[path[best] > 0]
+            for i, x, tag, p in zip(text[best].tolist(), at[best].tolist(), path[best].tolist(), sure[best].tolist()):
+                out[i][x] = tag, p
         return out
 
+    def scored_spans(self, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
+        """(start, end, kind, mean probability) of the runs of one kind's tags over each whole text, windows or not."""
+        return [spans_of(seen) for seen in self.tagged(texts)]
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """Spans of each text that are as sure as the calibrated threshold."""
+        return [[x[:3] for x in found if x[3] >= self.sure] for found in self.scored_spans(texts)]
+
+    def calibrate(self, cases: list[tuple[str, list]]) -> Tagger:
+        """Sets the least threshold at which plausible spans on (text, spans) are precise enough."""
+        found = self.scored_spans([t for t, _ in cases])
+        rated = [(p, (a, b, k) in spans) for (t, spans), rows in zip(cases, found) for a, b, k, p in rows if _plausible(t, (a, b, k))]
+        good = [x for x in LEVELS if (kept := [ok for p, ok in rated if p >= x]) and sum(kept) >= PRECISION * len(kept)]
+        self.sure = good[0] if good else LEVELS[-1]
+        return self
+
+
+def spans_of(tags: dict[int, tuple[int, float]]) -> list[tuple[int, int, int, float]]:
+    """Spans of a text's tags by place: B begins one, I of its kind at the next place goes on with it."""
+    out, run = [], []
+    for at in [*sorted(tags), None]:
+        tag, p = tags[at] if at is not None else (0, 0.0)
+        if run and not (at == run[-1][0] + 1 and tag % 2 == 0 and tag == (run[0][1] + 1) // 2 * 2):
+            out.append((run[0][0], run[-1][0] + 1, run[0][1] // 2, sum(r[2] for r in run) / len(run)))
+            run = []
+        if at is not None and (run or tag % 2):
+            run.append((at, tag, p))
+    return out
+
 
 def _plausible(text: str, span: tuple[int, int, int]) -> bool:
-    """A learned span must hold what any of its kind holds: an @ and a point, or enough digits; and end where a word ends."""
+    """Whether a learned span ends where words end and could be one of its kind: a sign for @ and one for a point, four parts up to 255, digits that pass Luhn, or enough digits."""
     a, b, kind = span
     part = text[a:b]
-    digits = sum(map(str.isdigit, part))
-    if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()) or part != part.strip():
+    digits = "".join(filter(str.isdigit, part))
+    if (a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()) or part != part.strip() or not part.isascii():
         return False
-    return ("@" in part and "." in part) if kind == 0 else digits >= 4 and part.count(".") == 3 if kind == 1 else 14 <= digits <= 19 if kind == 2 else 9 <= digits <= 15
+    if kind == 0:
+        return bool(re.search(r"@|\bat\b", part) and re.search(r"\.|\bdot\b", part))
+    if kind == 1:
+        return len(parts := re.findall(r"[0-9]+", part)) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15 and len(digits) < len(part)
 
 
 def all_spans(text: str, learned: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The rules' spans, and learned ones that meet none of them."""
+    """The rules' spans, and plausible learned ones that meet none of them."""
     base = base_spans(text)
-    extra = [s for s in learned if _plausible(text, s) and not any(s[0] < b and a < s[1] for a, b, _ in base)]
+    used = sorted((a, b) for a, b, _ in base)
+    starts = [a for a, _ in used]
+    reach = np.maximum.accumulate([b for _, b in used]) if used else []
+    extra = [s for s in learned if _plausible(text, s) and not ((i := bisect_left(starts, s[1])) and reach[i - 1] > s[0])]
     return sorted(base + extra, key=lambda s: (s[0], s[2]))
 
 
-def _variants(text: str, spans: list[tuple[int, int, int]], rng) -> Iterator[tuple[str, list]]:
-    """The window as it is, and with its spans rewritten: other digits, other separators, phones without a plus, and digits that are no personal data."""
-    yield text, spans
-    for mode in range(2):
+def _digits(rng, n: int) -> str:
+    return "".join(map(str, rng.integers(0, 10, n)))
+
+
+def _card(rng) -> str:
+    head = str(rng.integers(3, 7)) + _digits(rng, 14)
+    return next(head + str(d) for d in range(10) if luhn(head + str(d)))
+
+
+def written(kind: int, rng) -> str:
+    """A made-up span of a kind, in one of the ways that people write it: the rules' own, and such as they miss."""
+    pick = lambda *options: options[rng.integers(len(options))]
+    if kind == 0:
+        word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(2, 9)))
+        at, dot = pick(("@", "."), (" (at) ", "."), ("[at]", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("@", " [dot] "))
+        return word() + pick("", f".{word()}", f"_{word()}", _digits(rng, 2)) + at + word() + pick("", _digits(rng, 1)) + pick("", dot + word()) + dot + pick("com", "org", "net", "de", "fr", "es", "io")
+    if kind == 1:
+        return pick(".", ".", "[.]", " . ", "(.)").join(str(x) for x in rng.integers(0, 256, 4))
+    if kind == 2:
+        digits = _card(rng)
+        return pick("", " ", "-", ".", "  ", " - ", "/", "_").join(digits[i : i + 4] for i in range(0, 16, 4))
+    d = lambda n: _digits(rng, n)
+    area = str(rng.integers(201, 990))
+    return pick(
+        f"+1 ({area}) {d(3)}-{d(4)}", f"+{rng.integers(30, 50)} {d(2)} {d(7)}", f"({area}) {d(3)}-{d(4)}", f"{area}-{d(3)}-{d(4)}", f"{area} {d(3)} {d(4)}", f"{area}.{d(3)}.{d(4)}",
+        f"00{rng.integers(30, 50)} {d(2)} {d(7)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(3)}", f"1-8{d(2)}-{d(3)}-{d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
+    )
+
+
+def harmless(rng) -> str:
+    """Digits and signs that are no personal data."""
+    pick = lambda *options: options[rng.integers(len(options))]
+    d, n = lambda k: _digits(rng, k), lambda a, b: int(rng.integers(a, b))
+    return pick(
+        f"{n(1900, 2030)}-{n(1, 13):02d}-{n(1, 29):02d}", f"{n(1, 29)}.{n(1, 13)}.{n(1900, 2030)}", f"{n(1, 29)}/{n(1, 13)}/{n(1900, 2030)}", f"{n(0, 24)}:{n(0, 60):02d}:{n(0, 60):02d}", f"v{n(0, 9)}.{n(0, 30)}.{n(0, 30)}",
+        f"{n(1, 999)},{d(3)}.{d(2)}", f"{n(1, 99)} {d(3)},{d(2)}", f"{n(1900, 2000)}-{n(2000, 2030)}", f"978-3-{d(2)}-{d(6)}-{d(1)}", d(n(1, 12)), f"{n(1, 99)}.{n(1, 99)}", f"#{d(n(2, 7))}", f"@user{d(2)}", f"{n(1, 9)} @ {n(1, 90)} EUR",
+        "".join(pick(*"0123456789abcdef") for _ in range(n(16, 41))), f"{n(1, 99)} {n(1, 99)} {n(1, 99)} {n(1, 99)}", f"{n(1, 9)}, {n(1, 9)}, {n(10, 99)}", f"{n(1, 99)}%", f"A{d(2)}-{d(4)}", f"{n(1, 30)}-{n(30, 90)} (at) noon",
+    )
+
+
+def training_cases(snippets: list[tuple[str, list]], rng) -> Iterator[tuple[str, list]]:
+    """Each (text, spans) as it is, with its spans written in other ways or by harmless ones, and with something new put between two words."""
+    for text, spans in snippets:
+        yield text, spans
         out, moved, last = "", [], 0
-        for a, b, k in spans:
-            if a < last:
-                continue
-            part = "".join(str(rng.integers(10)) if c.isdigit() else c for c in text[a:b]) if k != 1 else text[a:b]
-            if k == 3 and mode:
-                part = re.sub(r"^\+\d+ ?", "", part)
-            if k == 2 and mode:
-                part = " ".join(part[i : i + 4] for i in range(0, len(part), 4))
-            out += text[last:a]
-            moved.append((len(out), len(out) + len(part), k))
-            out, last = out + part, b
-        yield out + text[last:], moved
-    if spans:
-        out, last = "", 0
-        for a, b, _ in spans:
+        keep = rng.random() < 0.7
+        for a, b, k in sorted(spans):
             if a >= last:
-                out += text[last:a] + ("".join(map(str, rng.integers(0, 10, rng.integers(1, 8)))) if rng.random() < 0.7 else f"{rng.integers(30)}.{rng.integers(99)}")
-                last = b
-        yield out + text[last:], []
+                part = written(k, rng) if keep else harmless(rng)
+                out += text[last:a]
+                moved += [(len(out), len(out) + len(part), k)] if keep else []
+                out, last = out + part, b
+        if spans:
+            yield out + text[last:], moved
+        gaps = [i for i, c in enumerate(text) if c == " " and not any(a <= i < b for a, b, _ in spans)]
+        for kind in [*rng.permutation(4)[:2].tolist(), -1]:
+            part = written(kind, rng) if kind >= 0 else harmless(rng)
+            at = gaps[rng.integers(len(gaps))] + 1 if gaps else 0
+            tail = part + (" " if gaps else "")
+            new = [(at, at + len(part), kind)] if kind >= 0 else []
+            yield text[:at] + tail + text[at:], sorted([(a, b, k) if b <= at else (a + len(tail), b + len(tail), k) for a, b, k in spans] + new)
+
+
+def shaped(text: str) -> list[tuple[int, int, int]]:
+    """The rules' spans and what is shaped as a card but fails Luhn: the tagger learns shapes, and `_plausible` counts."""
+    base = base_spans(text)
+    cards = [(m.start(), m.end(), 2) for m in _CARD.finditer(text) if 14 <= len(re.sub("[ -]", "", m[0])) <= 19]
+    return sorted({*base, *(c for c in cards if not any(c[0] < b and a < c[1] for a, b, _ in base))})
+
 
+def as_arrays(cases: list[tuple[str, list]], rng) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, tags) of one window of each case, around its spans or anywhere; a span that the window cuts is tagged as far as it goes."""
+    codes, tags = np.zeros((len(cases), WINDOW), np.int64), np.zeros((len(cases), WINDOW), np.int64)
+    for row, (text, spans) in enumerate(cases):
+        middle = (spans[rng.integers(len(spans))][0] + int(rng.integers(-8, 40))) if spans else int(rng.integers(0, len(text) + 1))
+        start = max(0, min(middle - WINDOW // 2, len(text) - WINDOW // 2))
+        codes[row, : len(text[start : start + WINDOW])] = encode(text[start : start + WINDOW])
+        for a, b, k in spans:
+            x, y = max(a - start, 0), min(b - start, WINDOW)
+            if x < y:
+                tags[row, x:y] = 2 * k + 2
+                if a >= start:
+                    tags[row, x] = 2 * k + 1
+    return codes, tags
 
-def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, tags) of windows around the triggers of some texts, labelled by the rules, with rewritten variants."""
+
+def train(snippets: list[tuple[str, list]], seed: int = 11) -> Tagger:
+    """A tagger from labelled snippets: four fifths train it, with their variants; the rest, with theirs, calibrate its threshold."""
     rng = np.random.default_rng(seed)
-    codes, tags = [], []
-    for text in texts:
-        spans = base_spans(text)
-        for a, b in windows(text):
-            inside = [(x - a, y - a, k) for x, y, k in spans if a <= x and y <= b]
-            for part, where in _variants(text[a:b], inside, rng):
-                row, tag = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-                # cut at random on both sides of the spans, as texts begin and end anywhere
-                cut = int(rng.integers(0, min([x for x, _, _ in where], default=len(part) // 2) + 1)) if rng.random() < 0.5 else 0
-                tail = int(rng.integers(max([y for _, y, _ in where], default=len(part) // 2), len(part) + 1)) if rng.random() < 0.5 else len(part)
-                part, where = part[cut:tail], [(x - cut, y - cut, k) for x, y, k in where]
-                part = part[:WINDOW]
-                row[: len(part)] = encode(part)
-                for x, y, k in where:
-                    tag[x:y] = 2 * k + 2
-                    tag[x : x + 1] = 2 * k + 1
-                codes.append(row)
-                tags.append(tag)
-    return np.array(codes), np.array(tags)
-
-
-def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> Tagger | None:
-    """A tagger trained on windows of at most max_rows documents with a digit or an @; None if there are none."""
+    held = [s for i, s in enumerate(snippets) if i % 5 == 0]
+    cases = list(training_cases([s for i, s in enumerate(snippets) if i % 5] or snippets, rng))
+    tagger = Tagger().fit(*as_arrays(cases, rng))
+    return tagger.calibrate(list(training_cases(held, rng)))
+
+
+def _snippets(batches):
+    """Of each text its windows, wider by half a window, that hold a span or are among every eighth of the others: (doc_id, at, text, spans)."""
+    for pdf in batches:
+        rows = []
+        for i, text in zip(pdf["doc_id"], pdf["text"]):
+            spans = shaped(text)
+            starts = [a for a, _, _ in spans]
+            for at, (a, b) in enumerate(windows(text)):
+                a, b = max(0, a - WINDOW // 4), b + WINDOW // 4
+                inside = [(x, y, k) for x, y, k in spans[bisect_left(starts, a - 64) : bisect_left(starts, b)] if y > a and x < b]
+                if inside or at % 8 == 0:
+                    a, b = min([a, *(x for x, _, _ in inside)]), max([b, *(y for _, y, _ in inside)])
+                    rows.append((i, at, text[a:b], [(x - a, y - a, k) for x, y, k in inside]))
+        yield pd.DataFrame({"doc_id": [r[0] for r in rows], "at": [r[1] for r in rows], "text": [r[2] for r in rows], "spans": [[x for s in r[3] for x in s] for r in rows]})
+
+
+def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, max_windows: int = TRAIN_WINDOWS) -> Tagger | None:
+    """A tagger trained on at most max_windows windows of at most max_rows documents with a digit or an @; None if there are none.
+
+    The labels are the rules' spans; written anew in ways that the rules miss,
+    they teach the tagger what the rules cannot find. Rows that repeat a doc_id
+    all count, within max_windows.
+    """
     triggered = docs.where("text rlike '[0-9@]' and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    chosen = triggered.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    near = F.regexp_extract_all("text", F.lit(r"(?s).{0,80}[0-9@].{0,80}"), F.lit(0))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.slice(near, 1, 6).alias("near")).join(F.broadcast(chosen), "doc_id")
-    parts = [p for r in rows.orderBy("doc_id").toPandas()["near"] for p in r]
-    codes, tags = training_windows(parts[: 4 * max_rows])
-    return Tagger().fit(codes, tags) if len(codes) else None
+    chosen = triggered.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    found = texts.mapInPandas(_snippets, "doc_id long, at long, text string, spans array<long>")
+    first = found.orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at", "text").limit(max_windows).toPandas()
+    if not len(first):
+        return None
+    return train([(t, [tuple(map(int, s[i : i + 3])) for i in range(0, len(s), 3)]) for t, s in zip(first["text"], first["spans"])])
 
 
 def find_pii(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
@@ -319,9 +422,10 @@ def find_pii(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     The rules' spans are always there; the tagger adds spans that meet none of
     them. A null or empty text has none; repeated rows give repeated rows; a
     null doc_id stays. Other columns are ignored. An empty table gives an
-    empty table. A very long text is searched whole: the rules need one pass,
-    the tagger sees only windows around digits and @, without which no span
-    of any kind exists.
+    empty table. A very long text is searched whole, in time linear in its
+    length: the rules need one pass, the tagger looks at windows around digits,
+    @, and "at" or "dot" in brackets. A learned span is no longer than what its
+    windows tell of it.
     """
 
     @F.pandas_udf("array<struct<kind:string,start:int,end:int,text:string,learned:boolean>>")

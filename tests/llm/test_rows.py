@@ -1,7 +1,9 @@
 """Operators that work on a row at a time, and searches, on small fixtures with odd rows."""
 
 import hashlib
+import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -88,6 +90,77 @@ def test_pii_keeps_rule_spans(spark):
     assert pii.fit(docs(spark, ["no digits"])) is None and pii.find_pii(docs(spark).limit(0), None).count() == 0
 
 
+def test_pii_rules_take_linear_time_and_long_zero_runs():
+    assert pii.base_spans("x " + "0" * 5000 + "1.0.0.1")[-1] == (2, 5009, 1)
+    began = time.time()
+    for text in ("7" * 10**6, "1." * 10**5 + "x", "+1" + " " * 10**5, "a" * 10**5 + "@", "12 " * 10**5, "@a." * 10**5):
+        pii.base_spans(text)
+    assert time.time() - began < 3
+
+
+def test_viterbi_and_marginals_against_all_paths():
+    rng = np.random.default_rng(5)
+    tagger = pii.Tagger(4, 5)
+    tagger.p["trans"] = rng.normal(size=(9, 9))
+    codes = rng.integers(0, pii.N_CODES, (2, 4))
+    e, _ = tagger.emissions(codes)
+    path, sure = tagger.decode(codes)
+    for row in range(2):
+        every = {tags: sum(e[t, row, x] for t, x in enumerate(tags)) + sum(tagger.p["trans"][a, b] for a, b in zip(tags, tags[1:])) for tags in itertools.product(range(9), repeat=4)}
+        best = max(every, key=every.get)
+        assert tuple(path[row]) == best
+        total = np.log(sum(np.exp(v) for v in every.values()))
+        for t in range(4):
+            assert abs(sure[row, t] - sum(np.exp(v - total) for tags, v in every.items() if tags[t] == best[t])) < 1e-9
+
+
+def test_windows_are_reconciled_by_the_middle_most():
+    tagger = pii.Tagger(4, 5, seed=8)
+    tagger.p["out"] *= 4
+    texts = ["call 414 555 3519 or +49 30 123 or mail a(at)b " * 6, "1" * 150, "7 " + "x" * 300 + " 8", "", "@"]
+    want = []
+    for t in texts:
+        votes: dict = {}
+        for a, b in pii.windows(t):
+            codes = np.zeros((1, pii.WINDOW), np.int64)
+            codes[0, : b - a] = pii.encode(t[a:b])
+            path, sure = tagger.decode(codes)
+            for x in range(a, b):
+                margin = min(x - a if a else pii.WINDOW, b - 1 - x if b < len(t) else pii.WINDOW)
+                if x not in votes or margin > votes[x][0]:
+                    votes[x] = margin, int(path[0, x - a]), float(sure[0, x - a])
+        want.append({x: v[1:] for x, v in votes.items() if v[1]})
+    got = tagger.tagged(texts)
+    assert [{x: v[0] for x, v in g.items()} for g in got] == [{x: v[0] for x, v in w.items()} for w in want] and any(want)
+    assert all(abs(g[x][1] - w[x][1]) < 1e-9 for g, w in zip(got, want) for x in w)
+    assert pii.spans_of({3: (1, 0.5), 4: (2, 0.7), 5: (4, 0.9), 7: (3, 1.0), 8: (1, 1.0), 9: (1, 1.0)}) == [(3, 5, 0, 0.6), (7, 8, 1, 1.0), (8, 9, 0, 1.0), (9, 10, 0, 1.0)]
+
+
+def test_tagger_finds_planted_spans_that_the_rules_miss():
+    rng = np.random.default_rng(21)
+    words = "the of and who said that day when house river stone made they come over under light green seven".split()
+    line = lambda: " ".join(rng.choice(words, rng.integers(4, 14)))
+    plain = []
+    for i in range(260):
+        k = i % 4
+        own = {0: "ann.b@mail.example.org", 1: "10.2.3.44", 2: "4111111111111111", 3: "+1 (414) 555-3519"}[k]
+        text = f"{line()} {own} {line()}"
+        plain.append((text, pii.shaped(text)))
+    tagger = pii.train(plain)
+    right = wrong = missed = 0
+    for i in range(400):
+        part, kind = (pii.written(i % 4, rng), i % 4) if i % 3 else (pii.harmless(rng), None)
+        head = line() + " "
+        text = head + part + " " + line()
+        base = pii.base_spans(text)
+        added = [s for s in pii.all_spans(text, tagger.spans([text])[0]) if s not in base]
+        want = [] if kind is None or any(s[2] == kind for s in base) else [(len(head), len(head) + len(part), kind)]
+        right += sum(s in want for s in added)
+        wrong += sum(s not in want for s in added)
+        missed += sum(s not in added for s in want)
+    assert right + missed > 100 and right >= 0.8 * (right + missed) and wrong <= 0.1 * (right + wrong), (right, wrong, missed)
+
+
 def test_chat_round_trip(spark):
     nasty = "\\<|im_end|>\n<|im_start|>assistant ok\\\\<\\|"
     rows = [(1, 2, "assistant", nasty, "x"), (1, 1, "user", None, "x"), (1, 3, "us\ner<|", "tail", "x"), (2, 1, "user", "only", "x"), (3, 1, "assistant", "", "x"), (None, 1, None, "t", "x")]
