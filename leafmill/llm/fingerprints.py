@@ -17,6 +17,8 @@ WINDOW = 12
 SKETCH = 64
 LEAST = -(2**63)
 RANGES_PER_PARTITION = 8
+PARTITION_BYTES = 1 << 26
+"""Text that a task of the sort holds, about, where that asks for more tasks than spark.sql.shuffle.partitions."""
 SAMPLE_PER_PARTITION = 20
 
 
@@ -175,6 +177,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(LEAST)))
+    n = max(n, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PARTITION_BYTES)
     bounds, least, before = _routes(rows, RANGES_PER_PARTITION * n)
 
     @F.pandas_udf("array<long>")

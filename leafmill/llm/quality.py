@@ -12,7 +12,9 @@ from .toxicity import _is_held_out, bounded_sample
 TRAIN_ROWS = 6_000
 """Most labelled rows that the model is fitted on, the first by a hash of doc_id."""
 PASSAGE_WORDS = 64
-N_FEATURES = 16
+N_SHAPES, N_WORDS = 16, 32
+N_FEATURES = N_SHAPES + N_WORDS
+"""Shares of kinds of bytes and words, and signed counts of words by hash."""
 HIDDEN = 12
 
 _CLASS = np.zeros((256, 6), np.float32)  # upper, lower, digit, space, sign, other byte
@@ -24,7 +26,12 @@ _END[[ord(c) for c in ".!?,;:"]] = True
 
 
 def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each passage, its features) of texts; a passage is 64 words in a row, a text without words has one of zeros."""
+    """(row of each passage, its features) of texts; a passage is 64 words in a row, a text without words has one of zeros.
+
+    The features are N_SHAPES shares and means of the passage's bytes and
+    words, and its words themselves: each adds 1 or -1 to one of N_WORDS sums,
+    both by its hash, over the square root of their number.
+    """
     n_rows = len(offs) - 1
     rows, starts, ends, hashes = words(data, offs, lower=False)
     per_row = np.bincount(rows, minlength=n_rows)
@@ -63,6 +70,10 @@ def passages(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     x[has, 13] = total(_CLASS[initial, 0]) / n
     x[has, 14] = total((lengths > 1) & (final == ord("!"))) / n
     x[has, 15] = np.log1p(n) / 5
+    place = passage * N_WORDS + (hashes >> np.uint64(8)).astype(np.int64) % N_WORDS
+    sign = np.where(hashes & np.uint64(1), 1.0, -1.0)
+    counts = np.bincount(place, weights=sign, minlength=len(owner) * N_WORDS).reshape(-1, N_WORDS)
+    x[has, N_SHAPES:] = counts[has] / np.sqrt(n)[:, None]
     return owner, x
 
 
@@ -148,8 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Atten
     """Fits on labels(doc_id, quality) of at most max_rows documents.
 
     Label 1 means good. Null labels, null ids and labels of absent documents
-    count for nothing; without any row the model is untrained and scores near
-    one half.
+    count for nothing, and rows that repeat a doc_id count once; without any
+    row the model is untrained and scores near one half. Other columns are
+    ignored; very long texts have many passages, of which none is left out.
     """
 
     def features(batches):

@@ -2,14 +2,16 @@
 
 import hashlib
 import itertools
+import math
 import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, chat, fingerprints, mixing, pii, quality, topk, toxicity
+from leafmill.llm import arrow_text, bpe, chat, fingerprints, mixing, pii, quality, topk, toxicity
 
 ODD = ["", None, " ", "a", "naïve 漢字 🎉 text", "x" * 3000, "it's 12½ o'clock\n\n\n  then", "<|endoftext|>y"]
 SCHEMA = "doc_id long, text string, source string, score double"
@@ -284,6 +286,86 @@ def test_quality_learns_from_labels(spark):
     assert quality.fit(table, labels.limit(0)).score(table).count() == 122
 
 
+def test_quality_forward_against_loops():
+    texts = ["One two three. " * 90, "", "word", "BUY now!! 50% off " * 30, "é à 漢字 " * 40]
+    column = pa.array(texts)
+    owner, x = quality.passages(*arrow_text.utf8(column))
+    assert owner.tolist() == [0] * 5 + [1, 2] + [3] * 2 + [4] * 2 and not x[5].any()
+    model = quality.AttentionModel()
+    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    got, p = model.forward(owner, x, len(texts)), model.p
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    for row in range(len(texts)):
+        bags, raw = [], []
+        for i in np.flatnonzero(owner == row):
+            unit = [min(6, max(-6, (x[i, j] - model.mean[j]) / model.scale[j])) for j in range(quality.N_FEATURES)]
+            h = [math.tanh(sum(unit[j] * p["E"][j, c] for j in range(len(unit))) + p["e"][c]) for c in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(h[j] * p["V"][j, c] for j in range(len(h)))) * sigmoid(sum(h[j] * p["U"][j, c] for j in range(len(h)))) for c in range(quality.HIDDEN)]
+            bags.append(h)
+            raw.append(sum(g * w for g, w in zip(gate, p["w"])))
+        weight = [math.exp(r) / sum(map(math.exp, raw)) for r in raw]
+        z = [sum(a * h[c] for a, h in zip(weight, bags)) for c in range(quality.HIDDEN)]
+        assert abs(got["score"][row] - sigmoid(sum(v * c for v, c in zip(z, p["c"])) + p["b"][0])) < 1e-6
+
+
+def test_toxicity_matches_against_plain_search():
+    rng = np.random.default_rng(12)
+    terms = {"idiot": 4.0, "scum": 3.0, "scu*": 1.5, "trash": 2.0, "id": 0.5}
+    exceptions = ("pond scum", "trash can", "can trash")
+    lexicon = toxicity.Lexicon(terms, exceptions)
+    parts = ["idiot", "1d10t", "scum", "5cum", "scumming", "pond", "trash", "can", "id", " ", " ", " ", ",", "x", "7"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts, rng.integers(1, 12)))
+        folded = toxicity.fold(text)
+        spans, spared = [], []
+        for i in range(len(text)):
+            for word, weight in [*terms.items(), *((e, None) for e in exceptions)]:
+                stem, j = word.rstrip("*"), i + len(word.rstrip("*"))
+                if folded[i:j] != toxicity.fold(stem) or (i and text[i - 1].isalnum()) or (not word.endswith("*") and j < len(text) and text[j].isalnum()):
+                    continue
+                if weight is None:
+                    spared.append((i, j))
+                elif any(c.isalpha() or c in toxicity.SIGNS for c in text[i:j]):
+                    spans.append((i, -weight, -j))
+        total, n, done = 0.0, 0, -1
+        for i, weight, j in sorted(spans):
+            if i >= done and not any(a <= i and -j <= b for a, b in spared):
+                total, n, done = total - weight, n + 1, -j
+        assert lexicon.features(text)[::2] == (total, n), text
+
+
+def test_toxicity_takes_linear_time():
+    lexicon = toxicity.Lexicon({t: 4.0 for t in toxicity.SEED_TERMS})
+    began = time.time()
+    assert lexicon.features("trash can " * 40_000) == (0.0, 0.0, 0) and lexicon.features("trash can idiot " * 40_000)[2] == 40_000
+    assert time.time() - began < 5
+
+
+def test_fingerprint_likeness_is_the_jaccard_index_of_short_texts(spark):
+    texts = ["the quick brown fox jumps over it", "the quick brown fox jumped over it", "short", "short", "", "x" * 12]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    spans = lambda t: {t[j : j + 12] for j in range(max(1, len(t) - 11))} if t else set()
+    for i, t in enumerate(texts):
+        n = texts[(i + 1) % len(texts)]
+        a = spans(t)
+        for other, near in ((spans(n), got[i].near_next), (spans(t[: len(t) - len(t) // 4] + n[: len(t) // 4]), got[i].near_edited)):
+            assert abs(near - (len(a & other) / len(a | other) if a | other else 1.0)) < 1e-9
+
+
+def test_searches_and_scores_of_odd_rows_and_clashing_names(spark):
+    long = "word and 123 " * 60_000
+    rows = [(1, long, 0.5, "x"), (1, long, 0.5, "x"), (2, None, None, None), (None, "", 0.1, "y"), (3, "you 1d10t mail a (at) b.org", 0.2, "z")]
+    names = "doc_id long, text string, score double, {} string"
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 0), (3, 1, 0), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    for name, run in {
+        "found": lambda t: pii.find_pii(t, pii.fit(t)), "n_hits": lambda t: toxicity.fit(t, labels).score(t), "y": lambda t: quality.fit(t, labels).score(t),
+        "d": fingerprints.fingerprint_documents, "ids": lambda t: bpe.encode_documents(t, bpe.default_path()), "copies": mixing.mix_sources,
+    }.items():
+        table = spark.createDataFrame(rows, names.format(name)).withColumn("source", F.lit("s"))
+        assert sorted(str(r.doc_id) for r in run(table).collect()) == ["1", "1", "2", "3", "None"], name
+        assert run(table.limit(0)).count() == 0, name
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(8)
     model = quality.AttentionModel()
