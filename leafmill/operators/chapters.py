@@ -26,18 +26,21 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def is_heading(line: Column, before: Column, after: Column, patterns: tuple[str, ...] | None = None) -> Column:
     """T7 on trimmed lines: strong headings up to 120 characters; others need no sentence mark, 60 at most, and an empty neighbour or 40 at most."""
-    strong = _any(line, STRONG)
-    candidate = _any(line, patterns) if patterns else strong | _any(line, NAMED)
+    candidate = _any(line, patterns) if patterns else _any(line, STRONG + NAMED)
     weak = ~line.rlike(SENTENCE) & (F.length(line) <= 60) & ((before == "") | (after == "") | (F.length(line) <= 40))
-    return (line != "") & candidate & F.when(strong, F.length(line) <= 120).otherwise(weak)
+    return (line != "") & candidate & F.when(_any(line, STRONG), F.length(line) <= 120).otherwise(weak)
+
+
+def _hits(patterns: tuple[str, ...] | None) -> Column:
+    """Numbers of the headings among the trimmed lines `ls`."""
+    at = lambda i: F.coalesce(F.get("ls", i), F.lit(""))
+    return F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: is_heading(at(i), F.when(i > 0, at(i - 1)).otherwise(""), at(i + 1), patterns))
 
 
 def detect_headings(docs: DataFrame, patterns: tuple[str, ...] | None = None) -> DataFrame:
     """(doc_id, line, title) of every heading."""
     lines = docs.select("doc_id", F.transform(split_lines(F.col("text")), trim).alias("ls"))
-    at = lambda i: F.coalesce(F.get("ls", i), F.lit(""))
-    hits = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: is_heading(at(i), F.when(i > 0, at(i - 1)).otherwise(""), at(i + 1), patterns))
-    return lines.select("doc_id", "ls", F.explode(hits).alias("line")).select("doc_id", "line", F.get("ls", F.col("line")).alias("title"))
+    return lines.select("doc_id", "ls", F.explode(_hits(patterns)).alias("line")).select("doc_id", "line", F.get("ls", F.col("line")).alias("title"))
 
 
 def heading_gaps(headings: DataFrame) -> DataFrame:
@@ -55,23 +58,23 @@ def split_chapters(docs: DataFrame, patterns: tuple[str, ...] | None = None, min
 
     Too few headings, or many that stand too close, give one chapter. Text
     before the first heading is a chapter if it has enough characters. Empty
-    chapters go. A null text counts as empty.
+    chapters go. A null text counts as empty; rows that repeat a doc_id are
+    split each on its own.
     """
     rows = docs.select("doc_id", split_lines(F.col("text")).alias("raw")).withColumn("ls", F.transform("raw", trim))
-    at = lambda i: F.coalesce(F.get("ls", i), F.lit(""))
-    hits = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: is_heading(at(i), F.when(i > 0, at(i - 1)).otherwise(""), at(i + 1), patterns))
-    rows = rows.withColumn("hits", hits).withColumn("n", F.size("hits"))
+    rows = rows.withColumn("hits", _hits(patterns)).withColumn("n", F.size("hits"))
     gap = F.when(F.col("n") > 1, (F.element_at("hits", -1) - F.get("hits", F.lit(0))) / (F.col("n") - 1)).otherwise(999)
-    rows = rows.withColumn("full", (F.col("n") < min_hits) | ((F.col("n") >= dense_guard) & (gap < min_avg_gap)))
-    span = lambda a, b, title: F.struct(F.lit(title).alias("title") if isinstance(title, str) else title.alias("title"), a.alias("a"), b.alias("b"))
-    end = F.size("raw")
-    starts = F.transform("hits", lambda h, i: span(h, F.coalesce(F.get("hits", i + 1), end), F.get("ls", h)))
-    head = F.concat(F.array(span(F.lit(0), F.get("hits", F.lit(0)), head_title)), starts)
-    spans = F.when(F.col("full"), F.array(span(F.lit(0), end, full_title))).otherwise(head)
-    rows = rows.select("doc_id", "raw", F.posexplode(spans).alias("no", "s"), "full")
-    body = trim(drop_blank_lines(F.array_join(F.slice("raw", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")), "\n")))
-    rows = rows.select("doc_id", "no", "full", F.col("s.title").alias("title"), body.alias("content_text"))
-    dense = F.length(F.regexp_replace("content_text", SPACE, ""))
-    rows = rows.where((F.col("content_text") != "") & (F.col("full") | (F.col("no") > 0) | (dense >= min_head_chars)))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("no")) - 1
-    return rows.select("doc_id", order.cast("int").alias("order_index"), "title", "content_text")
+    full = (F.col("n") < min_hits) | ((F.col("n") >= dense_guard) & (gap < min_avg_gap))
+    span = lambda a, b, title, least: F.struct(title.alias("title"), a.alias("a"), b.alias("b"), F.lit(least).alias("least"))
+    end, zero = F.size("raw"), F.lit(0)
+    starts = F.transform("hits", lambda h, i: span(h, F.coalesce(F.get("hits", i + 1), end), F.get("ls", h), 1))
+    head = span(zero, F.get("hits", zero), F.lit(head_title), min_head_chars)
+    spans = F.when(full, F.array(span(zero, end, F.lit(full_title), 1))).otherwise(F.concat(F.array(head), starts))
+    rows = rows.select("doc_id", "raw", spans.alias("spans"), F.size("raw").alias("n"))
+    # numbered and filtered as an array in its row, so that nothing is shuffled and rows of one doc_id stay apart
+    body = lambda s: trim(drop_blank_lines(F.array_join(F.slice("raw", s["a"] + 1, s["b"] - s["a"]), "\n")))
+    made = F.transform("spans", lambda s: F.struct(s["title"].alias("title"), body(s).alias("content_text"), s["least"].alias("least")))
+    rows = rows.select("doc_id", made.alias("made"), "n")
+    ink = lambda x: F.length(F.regexp_replace(x["content_text"], SPACE, ""))
+    kept = F.filter("made", lambda x: F.when(x["least"] > 1, ink(x) >= x["least"]).otherwise(x["content_text"] != ""))
+    return rows.select("doc_id", F.posexplode(kept).alias("order_index", "c")).select("doc_id", "order_index", "c.title", "c.content_text")

@@ -38,21 +38,29 @@ def page_title(html: Column) -> Column:
     return normalize_text(unescape(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
+LINK = r"(?is)<a\b[^>]*\bhref=.*?</a>"
+PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p>|</?div|</article|</section|$)"
+
+
+def body_of(seen: Column) -> Column:
+    """Text of the visible part of a page."""
+    return normalize_text(unescape(F.regexp_replace(F.regexp_replace(seen, r"(?is)<head\b.*?</head>", ""), "<[^>]+>", " ")))
+
+
 def body_text(html: Column) -> Column:
     """Visible text without tags."""
-    body = F.regexp_replace(visible(html), r"(?is)<head\b.*?</head>", "")
-    return normalize_text(unescape(F.regexp_replace(body, "<[^>]+>", " ")))
+    return body_of(visible(html))
 
 
-def paragraphs(html: Column) -> Column:
-    """Texts of <p>; one that is not closed ends at the next block."""
-    raw = F.regexp_extract_all(visible(html), F.lit(r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p>|</?div|</article|</section|$)"), F.lit(1))
+def paragraphs_of(seen: Column) -> Column:
+    """Texts of <p> in the visible part of a page; one that is not closed ends at the next block."""
+    raw = F.regexp_extract_all(seen, F.lit(PARAGRAPH), F.lit(1))
     return F.filter(F.transform(raw, lambda x: normalize_text(unescape(F.regexp_replace(x, "<[^>]+>", " ")))), lambda x: x != "")
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, pos, text, href, abs_url) of links with a href."""
-    raw = F.regexp_extract_all(visible(F.col("html")), F.lit(r"(?is)<a\b[^>]*\bhref=.*?</a>"), F.lit(0))
+    raw = F.regexp_extract_all(visible(F.col("html")), F.lit(LINK), F.lit(0))
     a = pages.select("page_id", "url", F.posexplode(raw).alias("pos", "raw"))
     href = F.regexp_extract("raw", r"""(?is)^<a\b[^>]*?\bhref=["']?([^"'\s>]*)""", 1)
     text = normalize_text(unescape(F.regexp_replace("raw", "<[^>]+>", "")))
@@ -67,13 +75,16 @@ def strip_attrs(html: Column, keep_images: bool = False) -> Column:
 
 def page_features(pages: DataFrame) -> DataFrame:
     """A4: lengths and counts of each page, all row-local."""
-    html = F.col("html")
-    body, ps = body_text(html), paragraphs(html)
-    links = F.regexp_extract_all(visible(html), F.lit(r"(?is)<a\b[^>]*\bhref=.*?</a>"), F.lit(0))
-    link_text = normalize_text(unescape(F.array_join(F.transform(links, lambda x: F.regexp_replace(x, "<[^>]+>", "")), " ")))
-    return pages.select(
-        "page_id", "url", html, page_title(html).alias("title"), body.alias("body"), ps.alias("paragraphs"),
-        F.size(links).cast("long").alias("n_anchors"), F.length(link_text).cast("long").alias("link_len"), F.length(body).cast("long").alias("text_len"),
-        F.size(F.regexp_extract_all(visible(html), F.lit(r"(?i)<p\b"), F.lit(0))).cast("long").alias("n_p"),
-        F.size(F.regexp_extract_all(body, F.lit("[。！？.!?]"), F.lit(0))).cast("long").alias("n_sentences"),
+    # in steps, so that no pass over a page is made twice
+    seen = pages.select("page_id", "url", "html", visible(F.col("html")).alias("seen"))
+    v = F.col("seen")
+    links = F.regexp_extract_all(v, F.lit(LINK), F.lit(0))
+    parts = seen.select(
+        "page_id", "url", "html", page_title(F.col("html")).alias("title"), body_of(v).alias("body"), paragraphs_of(v).alias("paragraphs"),
+        links.alias("links"), F.regexp_count(v, F.lit(r"(?i)<p\b")).cast("long").alias("n_p"),
+    )
+    link_text = normalize_text(unescape(F.array_join(F.transform("links", lambda x: F.regexp_replace(x, "<[^>]+>", "")), " ")))
+    return parts.select(
+        "page_id", "url", "html", "title", "body", "paragraphs", F.size("links").cast("long").alias("n_anchors"), F.length(link_text).cast("long").alias("link_len"),
+        F.length("body").cast("long").alias("text_len"), "n_p", F.regexp_count("body", F.lit("[。！？.!?]")).cast("long").alias("n_sentences"),
     )

@@ -16,9 +16,15 @@ def wrap_lines(line: Column, cols: int) -> Column:
     return F.when(F.length(line) <= cols, F.array(line)).otherwise(F.concat(F.array(F.substring(line, 1, cols)), more))
 
 
+def n_pieces(line: Column, cols: int) -> Column:
+    """Number of pieces that `wrap_lines` gives, from the lengths of the line and its indent alone."""
+    indent = F.least(F.length(F.regexp_extract(line, "^[ \t　]*", 0)), F.lit(cols - 1))
+    return F.when(F.length(line) <= cols, 1).otherwise(1 + F.ceil((F.length(line) - cols) / (cols - indent)).cast("int"))
+
+
 def display_lines(text: Column, cols: int) -> Column:
     """Number of pieces that the lines of a text wrap to."""
-    return F.aggregate(F.transform(raw_lines(text), lambda x: F.size(wrap_lines(x, cols))), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(F.transform(raw_lines(text), lambda x: n_pieces(x, cols)), F.lit(0), lambda a, x: a + x)
 
 
 def tick_ms(cols: Column, rows: Column, lines: Column, cpm: Column) -> Column:
