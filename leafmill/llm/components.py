@@ -4,25 +4,39 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder in spark.checkpoint.dir.
+def _folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, from spark.checkpoint.dir.
 
     Where none is set, a local session gets a folder of its own; on a cluster
     a local folder would not be shared, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="leafmill-checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def store(df: DataFrame, by: str) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the folder for checkpoints, a part for each value of a column: one that is read several times, in parts."""
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose lineage is cut.
 

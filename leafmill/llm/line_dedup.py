@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import BASE, INVERSE, chunks, distinct, mix, powers, utf8
-from .components import components, release, settle
+from .components import components, release, settle, store
 from .overlap import SLICE_ITEMS, Block, deal_blocks, forest, is_few, open_tokens, open_visits, sliced
 
 BANDS, ROWS = 14, 6
@@ -19,9 +19,16 @@ SHORT_ITEM = 2
 CHUNK = 1 << 18
 POSTINGS, PLACES = 1 << 20, 1 << 18
 """As many postings and places of lines a map task holds before it sends them on."""
-STAR, FIRST, GONE, POSTING, PLACE = range(5)
+STAR, PAIR, FIRST, GONE, POSTING, PLACE = range(6)
+FEW_LINES = 1_000_000
+"""Up to as many lines to take out (20 bytes each) go to the texts; of more, the texts are shuffled."""
+BATCH = 256
+"""Lines that are compared with a block at once."""
 _VALUE = mix(np.arange(7, 7 + (1 << 16), dtype=np.uint64))
 """The value of each code point of the basic plane in a line's polynomial; others are worked out."""
+_SCALE = mix(np.arange(31, 31 + 8, dtype=np.uint64)) | np.uint64(1)
+_BLANK = np.zeros(1 << 14, bool)
+_BLANK[[*range(33), 0xA0, 0x3000]] = True
 
 
 def _values(codes: np.ndarray) -> np.ndarray:
@@ -35,10 +42,12 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        # code point offsets of the rows: bytes that do not continue a character
-        heads = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(data.view(np.int8) >= -64, out=heads[1:])
-        row_at = heads[offs]
+        row_at = offs
+        if len(codes) < len(data):
+            # code point offsets of the rows: bytes that do not continue a character
+            heads = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+            np.cumsum(data.view(np.int8) >= -64, out=heads[1:])
+            row_at = heads[offs].astype(np.int64)
         breaks = np.flatnonzero(codes == 10)
         # every row has one line more than it has breaks
         n_rows = len(offs) - 1
@@ -54,11 +63,13 @@ class Lines:
         self.position = np.arange(first[-1]) - first[self.row]
         n = len(codes)
         self.inverse = powers(INVERSE, n + 1)
+        self.values = _values(codes)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_values(codes) * powers(BASE, n + 1)[:n], out=self.sums[1:])
-        inked = np.zeros(n + 1, np.int64)
-        np.cumsum((codes > 32) & (codes != 0xA0) & (codes != 0x3000), out=inked[1:])
-        self.blank = inked[stops] == inked[starts]
+        np.cumsum(self.values * powers(BASE, n + 1)[:n], out=self.sums[1:])
+        self.blank = starts == stops
+        # a line can be blank only if it begins so
+        for i in np.flatnonzero(~self.blank & _BLANK[np.minimum(codes[np.minimum(starts, n - 1)], len(_BLANK) - 1)]).tolist() if n else ():
+            self.blank[i] = _BLANK[np.minimum(codes[starts[i] : stops[i]], len(_BLANK) - 1)].all()
         key = mix((self.sums[stops] - self.sums[starts]) * self.inverse[starts] + (stops - starts).astype(np.uint64)) & ~np.uint64(SHORT_ITEM) | np.uint64(1)
         self.key = np.where(self.blank, np.uint64(0), key).view(np.int64)
 
@@ -72,15 +83,31 @@ class Lines:
         return mix((self.sums[at + width] - self.sums[at]) * self.inverse[at] + width.astype(np.uint64)), offs
 
 
-def _bands(hashes: np.ndarray, offs: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band keys (lines x bands) of MinHash signatures."""
+    def windows(self, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit hashes of every window of `size` code points of the lines, and offsets; for signatures, where a sum of scaled values will do."""
+        lengths = self.stops[which] - self.starts[which]
+        long = lengths >= size
+        n = len(self.values) - size + 1
+        rolled = np.zeros(max(n, 0), np.uint64)
+        for j in range(size if n > 0 else 0):
+            rolled += self.values[j : j + n] * _SCALE[j]
+        counts = np.where(long, lengths - size + 1, 1)
+        offs = np.concatenate(([0], np.cumsum(counts)))
+        at = np.arange(offs[-1]) - np.repeat(offs[:-1] - self.starts[which], counts)
+        out = (rolled[np.minimum(at, max(n - 1, 0))] >> np.uint64(32)).astype(np.uint32) if n > 0 else np.zeros(len(at), np.uint32)
+        out[offs[:-1][~long]] = (self.key[which][~long].view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        return out, offs
+
+
+def _bands(short: np.ndarray, offs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys (lines x bands) of the MinHash signatures of 32-bit hashes."""
     multipliers = (mix(np.arange(101, 101 + bands * rows, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(offs) - 1, bands), np.uint64)
+    scaled = np.empty_like(short)
     for b in range(bands):
         key = np.full(len(offs) - 1, (b + 1) * int(BASE) % (1 << 64), np.uint64)
         for r in range(rows):
-            least = np.minimum.reduceat(short * multipliers[b * rows + r], offs[:-1])
+            least = np.minimum.reduceat(np.multiply(short, multipliers[b * rows + r], out=scaled), offs[:-1])
             key = mix(key ^ least.astype(np.uint64))
         out[:, b] = key
     return out
@@ -91,28 +118,31 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
 
 
-def stars(postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of postings (token, item): (token, item, centre) of the tokens that several items hold, and one posting of every token, its centre's.
+def stars(postings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of postings (token, item): rows (token, item, centre) of the tokens that several items hold, whether these are a token's only two, and one posting of every token, its centre's.
 
     The centre is the least item. What a map task sends on of a token is one
     posting, so no token is too frequent for the task that gathers it, and the
-    items of a token are joined with its centre by way of their own task's.
-    Postings come out in the order of their tokens.
+    items of a token are joined with its centre by way of their own task's. An
+    item's last bit is 1; in a posting that stands for several it is 0.
     """
     postings = postings[np.argsort(postings[:, 0])]
     starts = _runs(postings[:, 0])
     runs = np.diff(np.append(starts, len(postings)))
     crowd = postings[np.repeat(runs > 1, runs)]
-    crowd = crowd[np.lexsort((crowd[:, 1], crowd[:, 0]))]
+    crowd = crowd[np.lexsort((crowd[:, 1] & 1, crowd[:, 1] | 1, crowd[:, 0]))]
     new = np.ones(len(crowd), bool)
-    new[1:] = (crowd[1:] != crowd[:-1]).any(axis=1)
+    new[1:] = (crowd[1:, 0] != crowd[:-1, 0]) | (crowd[1:, 1] | 1 != crowd[:-1, 1] | 1)
     crowd = crowd[new]
     least = _runs(crowd[:, 0])
+    sizes = np.diff(np.append(least, len(crowd)))
+    full = np.minimum.reduceat(crowd[:, 1] & 1, least) == 1 if len(least) else np.empty(0, bool)
     rest = postings[starts]
-    rest[runs > 1] = crowd[least]
-    runs = np.diff(np.append(least, len(crowd)))
-    crowd = np.column_stack((crowd, np.repeat(crowd[least, 1], runs)))
-    return crowd[np.repeat(runs > 1, runs)], rest
+    rest[runs > 1] = np.where((sizes > 1)[:, None], np.column_stack((crowd[least, 0], crowd[least, 1] & ~1)), crowd[least])
+    crowd[:, 1] |= 1
+    several = np.repeat(sizes > 1, sizes)
+    found = np.column_stack((crowd, np.repeat(crowd[least, 1], sizes)))[several]
+    return found, np.repeat((sizes == 2) & full, sizes)[several], rest
 
 
 KNOWN, LENGTH = 62, 31
@@ -145,7 +175,7 @@ def _scan(bands: int, rows: int, buckets: int):
         held, spots, n_held, n_spots, seen = [], [], 0, 0, set()
 
         def send_postings():
-            found, rest = stars(np.concatenate(held))
+            found, _, rest = stars(np.concatenate(held))
             if len(found):
                 yield _blobs(STAR, found, found[:, 1].copy(), buckets)
             yield _blobs(POSTING, rest, rest[:, 0].copy(), buckets)
@@ -173,7 +203,7 @@ def _scan(bands: int, rows: int, buckets: int):
                 short = which[(lengths[which] >= SHORT[0]) & (lengths[which] <= SHORT[1])]
                 for part, size, n, bit in ((which, SHINGLE, bands, 0), (short, SHORT_SHINGLE, SHORT_BANDS, SHORT_ITEM)):
                     if len(part):
-                        tokens = _bands(*lines.shingles(part, size), n, rows).ravel().view(np.int64)
+                        tokens = _bands(*lines.windows(part, size), n, rows).ravel().view(np.int64)
                         held.append(np.column_stack((tokens, np.repeat(lines.key[part] | bit, n))))
                         n_held += len(tokens)
                 if n_held >= POSTINGS:
@@ -194,7 +224,7 @@ FOUND = "kind byte, a long, b long, c long, pos int, length int"
 
 
 def _gather(batches):
-    """From blobs the rows (STAR, token, item, centre), (FIRST, key, doc_id, th, line) and (GONE, key, doc_id, th, line)."""
+    """From blobs the rows (STAR, token, item, centre), (PAIR, token, item, centre) of tokens with these two items only, (FIRST, key, doc_id, th, line) and (GONE, key, doc_id, th, line)."""
     parts: dict[int, list] = {}
     for batch in batches:
         for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -206,7 +236,7 @@ def _gather(batches):
             part = found[lo : lo + (1 << 16)]
             a, b, c = (pa.array(np.ascontiguousarray(part[:, i])) for i in range(3))
             pos = length = pa.nulls(len(part), pa.int32())
-            if kind != STAR:
+            if kind > PAIR:
                 last = part[:, 3]
                 b = pa.array(np.ascontiguousarray(part[:, 1]), mask=last >> KNOWN == 0)
                 pos, length = (pa.array(x.astype(np.int32)) for x in (last >> LENGTH & ((1 << KNOWN - LENGTH) - 1), last & ((1 << LENGTH) - 1)))
@@ -216,24 +246,15 @@ def _gather(batches):
         for found in parts.pop(kind, []):
             yield from rows(kind, found)
     if POSTING in parts:
-        yield from rows(STAR, stars(np.concatenate(parts.pop(POSTING)))[0])
+        found, alone, _ = stars(np.concatenate(parts.pop(POSTING)))
+        yield from rows(STAR, found[~alone])
+        yield from rows(PAIR, found[alone & (found[:, 1] != found[:, 2])])
     if PLACE in parts:
         first, others = firsts(np.concatenate(parts.pop(PLACE)))
         yield from rows(FIRST, first)
         yield from rows(GONE, others)
 
 
-def _bodies(batches):
-    """From (text, spots), spots being an array of (pos, block, slice, asks, item), a row (block, slice, asks, item, body) of each."""
-    for batch in batches:
-        found = []
-        for text, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parts = text.split("\n")
-            found += [(s["block"], s["slice"], s["asks"], s["item"], parts[s["pos"]]) for s in spots]
-        kinds = pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, kinds)], names=["block", "slice", "asks", "item", "body"])
-
-
 def line_sets(texts, items: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Keys and sets of window hashes of some lines, the windows being of the size that the item asks for."""
     short = items & SHORT_ITEM
@@ -256,9 +277,24 @@ def _search(percent: int):
     """
 
     def run(batches):
-        place, members, index, pairs, before = None, [], None, [], None
+        place, members, index, asking, pairs, before = None, [], None, [], [], None
+
+        def ask():
+            if asking and len(members) == 1:
+                (item, mine), n = members[0], len(members[0][1])
+                for other, own in asking:
+                    both = np.concatenate((mine, own))
+                    both.sort()
+                    shared = np.count_nonzero(both[1:] == both[:-1])
+                    if 100 * shared >= percent * (n + len(own) - shared):
+                        pairs.append((other, item))
+            elif asking and members:
+                a, b = index.links([own for _, own in asking], percent)
+                pairs.extend((asking[i][0], members[j][0]) for i, j in zip(a.tolist(), b.tolist()))
+            asking.clear()
+
         for batch in batches:
-            data, offs = utf8(batch.column(4))
+            _, offs = utf8(batch.column(4))
             items = batch.column(3).to_numpy()
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), items.tolist())
             for lo, hi in chunks(offs, 4 * CHUNK):
@@ -268,20 +304,18 @@ def _search(percent: int):
                         continue
                     before = row
                     if row[:2] != place:
+                        ask()
                         yield from _links(pairs)
                         place, members, index, pairs = row[:2], [], None, []
                     if not row[2]:
-                        members.append((row[3], own))
-                    elif len(members) == 1:
-                        both = np.concatenate((members[0][1], own))
-                        both.sort()
-                        shared = int((both[1:] == both[:-1]).sum())
-                        if 100 * shared >= percent * (len(both) - shared):
-                            pairs.append((row[3] & ~SHORT_ITEM, members[0][0] & ~SHORT_ITEM))
-                    elif members:
-                        if index is None:
-                            index = Block([m[1] for m in members])
-                        pairs += [(row[3] & ~SHORT_ITEM, members[i][0] & ~SHORT_ITEM) for i in index.search(own, percent).tolist()]
+                        members.append((row[3] & ~SHORT_ITEM, own))
+                        continue
+                    if index is None and len(members) > 1:
+                        index = Block([m[1] for m in members])
+                    asking.append((row[3] & ~SHORT_ITEM, own))
+                    if len(asking) == BATCH:
+                        ask()
+        ask()
         yield from _links(pairs)
 
     return run
@@ -317,7 +351,11 @@ def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: Data
         asked = roles.select(F.col("k").alias("item"), _line_of("k").alias("k"), F.col("block").cast("long").alias("block"), "slice", "asks").join(spots, "k")
         asked = asked.groupBy("d", "th").agg(F.collect_list(spot).alias("spots"))
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (keyed["th"] == asked["th"])
-        rows = keyed.join(F.broadcast(asked) if is_few(roles) else asked, same).select("text", "spots").mapInArrow(_bodies, "block long, slice int, asks int, item long, body string")
+        met = keyed.join(F.broadcast(asked) if is_few(roles) else asked, same)
+        body = lambda parts, s: F.struct(*[s[c].alias(c) for c in ("block", "slice", "asks", "item")], F.get(parts, s["pos"]).alias("body"))
+        # the lines are an argument of the outer function, so that a text is split once
+        bodies = F.transform(F.array(F.split("text", "\n", -1)), lambda parts: F.transform("spots", lambda s: body(parts, s)))
+        rows = met.select(F.inline(bodies[0]))
         return rows.repartition(n, "block", "slice").sortWithinPartitions("block", "slice", "asks", "item").mapInArrow(_search(percent), "a long, b long")
 
     star = found.where(F.col("kind") == STAR).select(F.col("a").alias("token"), F.col("b").alias("item"), F.col("c").alias("centre"))
@@ -356,12 +394,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     """
     spark = docs.sparkSession
     docs = docs.drop("line_keep", "kept_text")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("length(text) > 0")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("text <> ''")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = keyed.mapInArrow(_scan(bands, rows, 8 * n), "bucket int, kind byte, payload binary")
-    found = settle(blobs.repartition(n, "bucket").mapInArrow(_gather, FOUND))
+    found = store(blobs.repartition(n, "bucket").mapInArrow(_gather, FOUND), "kind")
     release(spark)
-    pairs = settle(found.where((F.col("kind") == STAR) & (F.col("b") != F.col("c"))).select(F.col("b").alias("item"), F.col("c").alias("centre")).distinct())
+    pairs = settle(found.where(F.col("kind").isin(STAR, PAIR) & (F.col("b") != F.col("c"))).select(F.col("b").alias("item"), F.col("c").alias("centre")).distinct())
     lines = pairs.select(F.explode(F.array(_line_of("item"), _line_of("centre"))).alias("k")).distinct()
     first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("k"), F.col("b").alias("d"), F.col("c").alias("th"), "pos", "length")
     spots = settle(first.join(F.broadcast(lines) if is_few(lines) else lines, "k"))
@@ -374,18 +412,19 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     others = found.where(F.col("kind") == GONE).select(F.struct(F.col("b").alias("d"), F.col("c").alias("th"), "pos").alias("place"))
     moves = others.union(linked.select("place")).select("place.*", F.lit(False).alias("stays")).union(stay.select("place.*", F.lit(True).alias("stays")))
     lists = moves.groupBy("d", "th").agg(F.collect_set(F.when(~F.col("stays"), F.col("pos"))).alias("out"), F.collect_set(F.when(F.col("stays"), F.col("pos"))).alias("in"))
-    gone = lists.select(F.col("d").alias("gone_d_"), F.col("th").alias("gone_th_"), F.array_except("out", "in").alias("gone_")).where("size(gone_) > 0")
+    gone = settle(lists.select("d", "th", F.array_except("out", "in").alias("gone")).where("size(gone) > 0"))
+    few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= FEW_LINES
 
     own = docs.columns
-    whole = docs.select(F.struct("*").alias("row_"), F.xxhash64("text").alias("th_"))  # no column of docs meets one of ours
-    same = F.col("row_.doc_id").cast("long").eqNullSafe(F.col("gone_d_")) & (F.col("th_") == F.col("gone_th_"))
-    text = F.col("row_.text")
-    parts = F.split(text, "\n", -1)
-    marked = whole.join(gone.hint("shuffle_hash"), same, "left")  # texts need no sort
-    marked = marked.select("row_", _flags(F.col("gone_"), F.size(parts)).alias("line_keep"))
-    stays = F.filter(F.arrays_zip(parts.alias("part"), F.col("line_keep").alias("stays")), lambda x: x["stays"])
-    kept = F.array_join(F.transform(stays, lambda x: x["part"]), "\n")
-    return marked.select(*[F.col("row_")[c].alias(c) for c in own], "line_keep", F.when(F.col("line_keep").isNull(), text).otherwise(kept).alias("kept_text"))
+    new = lambda name: name + "_" * max(map(len, own))  # no column of docs has such a name
+    d, th, out = (new(c) for c in ("d", "th", "gone"))
+    gone = gone.select(F.col("d").alias(d), F.col("th").alias(th), F.col("gone").alias(out))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(th))
+    parts = F.split("text", "\n", -1)
+    marked = docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), same, "left")  # texts need no sort
+    marked = marked.select(*[F.col(f"`{c}`") for c in own], _flags(F.col(out), F.size(parts)).alias("line_keep"))
+    kept = F.array_join(F.filter(parts, lambda x, i: F.get("line_keep", i)), "\n")
+    return marked.withColumn("kept_text", F.when(F.col("line_keep").isNull(), F.col("text")).otherwise(kept))
 
 
 def _flags(gone, n):
@@ -398,6 +437,6 @@ def _flags(gone, n):
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    n_lines = F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0)
+    n_lines = F.when(F.col("text") != "", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     n_gone = F.coalesce(F.size(F.filter("line_keep", lambda x: ~x)), F.lit(0))
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), (n_lines - n_gone).cast("long").alias("n_kept"), F.col("kept_text").alias("text"))

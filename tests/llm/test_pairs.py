@@ -116,11 +116,14 @@ def test_postings_of_one_token_are_spread(spark):
 def test_stars_of_a_common_band_are_joined_over_tasks():
     rng = np.random.default_rng(6)
     tokens = np.where(np.arange(3000) % 3 == 0, 5, rng.integers(10, 2000, 3000))
-    rows = np.column_stack((tokens, rng.integers(1, 1 << 40, 3000)))
+    rows = np.column_stack((tokens, rng.integers(1, 1 << 40, 3000) | 1))
     parts = [line_dedup.stars(p) for p in np.array_split(np.concatenate((rows, rows[:50])), 7)]
-    sent = np.concatenate([rest for _, rest in parts])
+    sent = np.concatenate([rest for _, _, rest in parts])
     assert (np.unique(sent[:, 0], return_counts=True)[1] <= 7).all()
-    found = np.concatenate([f for f, _ in parts] + [line_dedup.stars(sent)[0]])
+    last, alone, _ = line_dedup.stars(sent)
+    holders = collections.Counter(t for t, _ in {tuple(r) for r in rows.tolist()})
+    assert alone.any() and all(holders[t] == 2 for t in last[alone, 0].tolist())
+    found = np.concatenate([f for f, _, _ in parts] + [last])
     union, want = Union(), Union()
     for t, k, c in found.tolist():
         union.join((t, k), (t, c))
@@ -149,6 +152,8 @@ def test_long_lists_are_probed(monkeypatch):
     for s in sets:
         want = [i for i, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))]
         assert block.search(s, 80).tolist() == want
+    pairs = set(zip(*(x.tolist() for x in block.links(sets[:30] + [np.array([5000], np.uint64)], 80))))
+    assert pairs == {(i, j) for i in range(30) for j in block.search(sets[i], 80).tolist()}
 
 
 def test_components_of_chains_and_stars(spark):
