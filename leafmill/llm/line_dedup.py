@@ -17,7 +17,7 @@ SHORT, SHORT_SHINGLE, SHORT_BANDS = (24, 64), 3, 20
 SHORT_ITEM = 2
 """A short line is two items: its key, by windows of SHINGLE, and its key with this bit, by SHORT_SHINGLE."""
 CHUNK = 1 << 18
-POSTINGS, PLACES = 1 << 20, 1 << 18
+POSTINGS, PLACES = 1 << 19, 1 << 17
 """As many postings and places of lines a map task holds before it sends them on."""
 STAR, PAIR, FIRST, GONE, POSTING, PLACE = range(6)
 FEW_LINES = 1_000_000
@@ -297,7 +297,7 @@ def _search(percent: int):
             _, offs = utf8(batch.column(4))
             items = batch.column(3).to_numpy()
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), items.tolist())
-            for lo, hi in chunks(offs, 4 * CHUNK):
+            for lo, hi in chunks(offs, 2 * CHUNK):
                 sets = line_sets(batch.column(4).slice(lo, hi - lo), items[lo:hi])[1]
                 for own, row in zip(sets, rows):
                     if row == before:

@@ -24,6 +24,8 @@ from .components import components, settle
 BLOCK_ITEMS = 500
 SLICE_ITEMS, SLICE_BYTES = 4000, 1 << 23
 """About as many visits of a block, and bytes of their texts, are searched in one task; a block with more is copied to several."""
+ENTRIES = 1 << 19
+"""As many entries of lists are counted at once."""
 LONG = 400
 """Lists of more items are probed rather than merged, as far as the needed overlap allows."""
 
@@ -90,10 +92,17 @@ class Block:
         hit = self.tokens[at] == tokens
         at, owner = at[hit], owner[hit]
         lengths = self.bounds[at + 1] - self.bounds[at]
-        ends = np.cumsum(lengths)
         n = len(self.sizes)
-        entries = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.bounds[at] - (ends - lengths), lengths)
-        counts = np.bincount(self.items[entries] + np.repeat(owner * n, lengths), minlength=len(queries) * n).reshape(-1, n)
+        counts = np.zeros(len(queries) * n, np.int64)
+        # parts of a bounded number of entries, whatever the lists' lengths
+        part = np.cumsum(lengths) // ENTRIES
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(part) else []
+        for lo, hi in zip(starts, [*starts[1:], len(part)]):
+            some = lengths[lo:hi]
+            ends = np.cumsum(some)
+            entries = np.arange(ends[-1]) + np.repeat(self.bounds[at[lo:hi]] - (ends - some), some)
+            counts += np.bincount(self.items[entries] + np.repeat(owner[lo:hi] * n, some), minlength=len(counts))
+        counts = counts.reshape(-1, n)
         return np.nonzero((counts > 0) & (100 * counts >= percent * (sizes[:, None] + self.sizes[None, :] - counts)))
 
 

@@ -152,6 +152,7 @@ def test_long_lists_are_probed(monkeypatch):
     for s in sets:
         want = [i for i, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))]
         assert block.search(s, 80).tolist() == want
+    monkeypatch.setattr(overlap, "ENTRIES", 900)
     pairs = set(zip(*(x.tolist() for x in block.links(sets[:30] + [np.array([5000], np.uint64)], 80))))
     assert pairs == {(i, j) for i in range(30) for j in block.search(sets[i], 80).tolist()}
 
