@@ -16,6 +16,8 @@ AUTH = ("登录", "注册", "请先登录", "登录后可见", "sign in", "log i
 AUTH_STRONG = ("您还未登录", "登录后看书更方便", "微信登录", "qq登录", "微博登录", "手机号登录")
 PAY = ("vip", "付费", "购买", "订阅", "会员", "解锁本章", "本章需购买", "subscribe to read", "members only", "paywall")
 PAY_STRONG = ("单章订阅", "余额不足", "立即充值", "解锁本章", "本章需购买", "投银票", "打赏本书")
+CAPTCHA = r"""(?i)<input\b[^>]*\b(name|id)=["']?[^"'>]*captcha|<[a-z][^>]*\b(class|id)=["']?[^"'>]*captcha|<iframe\b[^>]*\bsrc=["']?[^"'>]*captcha"""
+SLIDER = r"""(?i)<[a-z][^>]*\b(class|id)=(["'][^"'>]*(slider[^"'>]*verify|verify[^"'>]*slider))"""
 NORMAL = r"[一-龥a-zA-Z0-9\s，。！？、,.!?;:：\"'“”‘’（）()【】\[\]\-—_&~*]"
 
 
@@ -33,7 +35,7 @@ def no_long_paragraph(paragraphs: Column) -> Column:
 
 def is_anti_bot(html: Column, body_lower: Column) -> Column:
     """F7."""
-    marked = html.rlike(r"(?i)<(input|iframe|div|img)\b[^>]*(name|id|class|src)=[\"'][^\"'>]*captcha") | html.rlike(r"(?i)(class|id)=[\"'][^\"'>]*slider[^\"'>]*verify")
+    marked = html.rlike(CAPTCHA) | html.rlike(SLIDER)
     return any_of(body_lower, ANTI_BOT) | marked | any_of(F.lower(html), WAF)
 
 
@@ -81,12 +83,13 @@ def is_font_obfuscated(text: Column) -> Column:
 
 
 def access_status(features: DataFrame) -> DataFrame:
-    """(page_id, status); the first classifier that holds, else OK."""
+    """(page_id, status); the first classifier that holds, else OK. F26: a column `injected`, if there is one, exempts pages from log-in and payment."""
+    injected = F.coalesce(F.col("injected"), F.lit(False)) if "injected" in features.columns else None
     f = {c: F.col(c) for c in ("html", "title", "body", "paragraphs")}
     status = (
         F.when(is_anti_bot(f["html"], F.lower(f["body"])), "ANTI_BOT_OR_BLOCKED").when(is_not_found(f["title"], f["body"]), "SITE_NOT_FOUND")
-        .when(is_removed(f["title"], f["body"], f["paragraphs"]), "CONTENT_REMOVED").when(is_auth_required(f["html"], f["body"], f["paragraphs"]), "AUTH_REQUIRED")
-        .when(is_paywalled(f["html"], f["body"], f["paragraphs"]), "PAYWALL_BLOCKED").otherwise("OK")
+        .when(is_removed(f["title"], f["body"], f["paragraphs"]), "CONTENT_REMOVED").when(is_auth_required(f["html"], f["body"], f["paragraphs"], injected), "AUTH_REQUIRED")
+        .when(is_paywalled(f["html"], f["body"], f["paragraphs"], injected), "PAYWALL_BLOCKED").otherwise("OK")
     )
     return features.select("page_id", "url", status.alias("status"))
 

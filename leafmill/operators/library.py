@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def latest_progress(feed: DataFrame) -> DataFrame:
-    """The last row of each book by (updated_at, item_id). max_by combines on the map side, so a hot book is no hot task."""
+    """The last row of each book; rows arrive in the order of (updated_at, item_id). max combines on the map side, so a hot book is no hot task."""
     row = F.struct("updated_at", "item_id", "line_index")
     return feed.groupBy("book_id").agg(F.max(row).alias("r")).select("book_id", "r.item_id", "r.line_index", "r.updated_at")
 
@@ -35,11 +35,13 @@ def item_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("book_id").agg(F.count("*").alias("n"))
 
 
-def book_detail(books: DataFrame, items: DataFrame) -> DataFrame:
-    """Each book with its items in order, as one text of order and title."""
+def book_detail(books: DataFrame, items: DataFrame, progress: DataFrame | None = None) -> DataFrame:
+    """Each book with its items in order, as one text of order and title; a book without items has none. progress, if given, adds where it was left."""
     own = items.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "title"))).alias("s"))
     listed = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["order_index"].cast("string"), x["title"])), ",")
-    return books.join(own.select(F.col("book_id").alias("id"), listed.alias("items"), F.size("s").cast("long").alias("n_items")), "id")
+    own = own.select(F.col("book_id").alias("id"), listed.alias("items"), F.size("s").cast("long").alias("n_items"))
+    detail = books.join(own, "id", "left").na.fill({"items": "", "n_items": 0})
+    return list_books(detail, progress) if progress is not None else detail
 
 
 def items_with_book(items: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,35 +119,34 @@ def check_groups(moves: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFr
     return known, moves.where("group_id is not null").join(ids, "group_id", "left_anti")
 
 
-def group_closure(groups: DataFrame, max_depth: int = 32) -> DataFrame:
-    """H1: (root, id, depth) of every group below each; a cycle ends where it meets its root path's depth."""
-    spark = groups.sparkSession
-    groups.createOrReplaceTempView("leafmill_groups")
-    return spark.sql(f"""
-        WITH RECURSIVE c(root, id, depth, path) AS (
-          SELECT id, id, 0, array(id) FROM leafmill_groups
+def group_closure(groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """H1: (root, id, depth) of every group at or below each of roots(id), or below each group.
+
+    The recursion has no limit of depth or rows but the session's
+    spark.sql.cteRecursionRowLimit; the path ends cycles.
+    """
+    start = groups.select("id") if roots is None else roots.select("id")
+    return groups.sparkSession.sql("""
+        WITH RECURSIVE c(root, id, depth, path) MAX RECURSION LEVEL 100000 AS (
+          SELECT id, id, 0, array(id) FROM {start}
           UNION ALL
-          SELECT c.root, g.id, c.depth + 1, array_append(c.path, g.id) FROM c JOIN leafmill_groups g ON g.parent_id = c.id
-          WHERE NOT array_contains(c.path, g.id) AND c.depth < {max_depth}
-        ) SELECT root, id, depth FROM c""")
+          SELECT c.root, g.id, c.depth + 1, array_append(c.path, g.id) FROM c JOIN {groups} g ON g.parent_id = c.id WHERE NOT array_contains(c.path, g.id)
+        ) SELECT root, id, depth FROM c""", start=start, groups=groups)
 
 
 def group_tree(groups: DataFrame) -> DataFrame:
-    """H2: (id, label, place) depth first; siblings by order and title; labels indented up to six levels."""
-    spark = groups.sparkSession
-    groups.createOrReplaceTempView("leafmill_groups")
-    return spark.sql("""
-        WITH RECURSIVE t(id, title, depth, place) AS (
-          SELECT id, title, 0, concat(lpad(cast(order_index AS string), 6, '0'), ' ', title) FROM leafmill_groups WHERE parent_id IS NULL
+    """H2: (id, label, place) depth first; siblings by order and title; labels indented up to six levels. Groups on a cycle have no root and so no place."""
+    return groups.sparkSession.sql("""
+        WITH RECURSIVE t(id, title, depth, place) MAX RECURSION LEVEL 100000 AS (
+          SELECT id, title, 0, concat(lpad(cast(order_index AS string), 6, '0'), ' ', title) FROM {groups} WHERE parent_id IS NULL
           UNION ALL
-          SELECT g.id, g.title, t.depth + 1, concat(t.place, '/', lpad(cast(g.order_index AS string), 6, '0'), ' ', g.title)
-          FROM t JOIN leafmill_groups g ON g.parent_id = t.id WHERE t.depth < 32
-        ) SELECT id, concat(repeat('  ', least(depth, 6)), title) AS label, place FROM t""")
+          SELECT g.id, g.title, t.depth + 1, concat(t.place, '/', lpad(cast(g.order_index AS string), 6, '0'), ' ', g.title) FROM t JOIN {groups} g ON g.parent_id = t.id
+        ) SELECT id, concat(repeat('  ', least(depth, 6)), title) AS label, place FROM t""", groups=groups)
 
 
 def delete_group(books: DataFrame, groups: DataFrame, group_id: str, keep_books: bool) -> tuple[DataFrame, DataFrame]:
     """H3: (books, groups) without the group and all below it; its books lose their group or go."""
-    gone = group_closure(groups).where(F.col("root") == group_id).select("id")
+    gone = group_closure(groups, groups.where(F.col("id") == group_id)).select("id")
     left = groups.join(gone, "id", "left_anti")
     ids = gone.select(F.col("id").alias("group_id"))
     if not keep_books:
@@ -154,10 +155,13 @@ def delete_group(books: DataFrame, groups: DataFrame, group_id: str, keep_books:
     return marked.withColumn("group_id", F.when(F.col("hit").isNull(), F.col("group_id"))).drop("hit"), left
 
 
-def move_books(books: DataFrame, moves: DataFrame) -> DataFrame:
-    """H4: moves(id, new_group) applied."""
+def move_books(books: DataFrame, moves: DataFrame, now: Column | None = None) -> DataFrame:
+    """H4: moves(id, new_group) applied; `now`, if given, becomes the updated_at of the books moved. No moves change nothing."""
     j = books.join(moves.withColumn("moved", F.lit(True)), "id", "left")
-    return j.withColumn("group_id", F.when(F.col("moved"), F.col("new_group")).otherwise(F.col("group_id"))).drop("moved", "new_group")
+    j = j.withColumn("group_id", F.when(F.col("moved"), F.col("new_group")).otherwise(F.col("group_id")))
+    if now is not None:
+        j = j.withColumn("updated_at", F.when(F.col("moved"), now).otherwise(F.col("updated_at")))
+    return j.drop("moved", "new_group")
 
 
 def rename(entities: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,13 +171,13 @@ def rename(entities: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def list_groups(groups: DataFrame) -> DataFrame:
-    """K3: roots first, then by parent and order."""
-    return groups.orderBy(F.col("parent_id").isNotNull(), "parent_id", "order_index")
+    """K3: roots first, then by parent, order, and the time changed, the newest first."""
+    return groups.orderBy(F.col("parent_id").isNotNull(), "parent_id", "order_index", F.desc("updated_at"))
 
 
 def order_by_recency(shelf: DataFrame) -> DataFrame:
-    """K2."""
-    return shelf.orderBy(F.col("read_at").desc_nulls_last(), "id")
+    """K2: by the time read, or changed if it never was."""
+    return shelf.orderBy(F.coalesce("read_at", "updated_at").desc_nulls_last(), "id")
 
 
 def last_progress(progress: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ def first_by_fingerprint(df: DataFrame, keys: list[str], url: str, order: str) -
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys, "fp").orderBy(order))).where("rn = 1").drop("rn")
 
 
-def best_link_list(anchors: DataFrame) -> DataFrame:
-    """(page_id, signature, score) of the group of links with one shape of URL that looks most like a table of contents."""
+def best_url_group(anchors: DataFrame) -> DataFrame:
+    """(page_id, signature, score) of the group of links with one shape of URL that looks most like a table of contents."""
     shape = F.regexp_replace(F.regexp_replace(F.col("abs_url"), "[?#].*$", ""), r"\d+", "#")
     like = is_chapter_link_text(F.col("text")) & is_chapter_href(F.col("abs_url"))
     g = anchors.where("abs_url <> ''").groupBy("page_id", shape.alias("signature")).agg((F.count("*") + 2 * F.count_if(like)).alias("score"))
@@ -77,7 +77,7 @@ def toc_next(entries: DataFrame) -> DataFrame:
 
 
 def toc_entries(anchors: DataFrame, cap: int = 500) -> DataFrame:
-    """Links that look like chapters, once by fingerprint, in order, at most `cap` a page."""
+    """Links that look like chapters, once by fingerprint, in order, at most `cap` a page."""
     like = anchors.where(is_chapter_link_text(F.col("text")) & (F.col("abs_url") != ""))
     first = first_by_fingerprint(like, ["page_id"], "abs_url", "pos")
     no = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))

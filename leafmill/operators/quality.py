@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import SPACE, trim
 from ..functions.urls import url_host
 
 
@@ -15,6 +16,12 @@ def perf_summary(timings: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def error_rates(results: DataFrame, code: str) -> DataFrame:
+    """A10: (n, timeout_rate, too_large_rate) to three places, over all rows."""
+    share = lambda c: F.round(F.count_if(F.col(code) == c) / F.greatest(F.count("*"), F.lit(1)), 3)
+    return results.agg(F.count("*").alias("n"), share("EXTRACTION_TIMEOUT").alias("timeout_rate"), share("DOM_TOO_LARGE").alias("too_large_rate"))
+
+
 def status_by_host(status: DataFrame) -> DataFrame:
     """Q8."""
     return status.groupBy(url_host(F.col("url")).alias("host"), "status").agg(F.count("*").alias("n"))
@@ -81,7 +88,8 @@ def is_readable_body(text: Column, least: int = 180) -> Column:
 # Words of introductions, pages before the text, style sheets, legal footers and pay walls.
 INTRO = "(?i)(代表作|文库|出版社|村上春树|阅读狂潮|崇拜对象|内容简介|推荐阅读|书籍简介)"
 CHAPTER_MARK = r"(?i)第\s*[0-9零一二三四五六七八九十百千]+\s*[章回节卷]"
-PART_MARK = r"(?im)^(chapter|part)\s*[0-9ivxlcdm]+"
+SHELL_MARK = r"(?i)第\s*[零一二三四五六七八九十百千0-9]+\s*[章回节卷话篇]"
+PART_MARK = r"(?i)^(chapter|part)\s*[0-9ivxlcdm]+"
 FRONT_HAN = "(?i)(版权信息|书名：|作者：|译者：|出版社：|出版时间：|ISBN|版权所有|侵权必究|本书由)"
 FRONT_LATIN = "(?i)(copyright|all rights reserved|published by|isbn|translator|author|understanding china|editorial board)"
 CSS = r"(?i)(background|font-size|margin|padding|position|display|width|height|z-index|url\(|#(?:[0-9a-f]{3}|[0-9a-f]{6})\b)"
@@ -91,8 +99,13 @@ GATED = ("AUTH_REQUIRED", "PAYWALL_BLOCKED", "ANTI_BOT_OR_BLOCKED", "SITE_NOT_FO
 CHECKS = ("basic_info", "toc", "detail_content", "chapter_content", "content", "navigation", "paywall_or_auth")
 
 
+FALLBACK = r"(?i)\(expected_block\)$|toc_adjacent_ok|chapter_metadata_ok|synthetic_toc_ok|chapter_sequence_ok"
+BLOCKED = ("AUTH_REQUIRED", "PAYWALL_BLOCKED", "ANTI_BOT_OR_BLOCKED")
+
+
 def _n(text: Column, pattern: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
+    """Matches in a text whose white space is squeezed."""
+    return F.regexp_count(trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")), F.lit(pattern))
 
 
 def is_intro(text: Column) -> Column:
@@ -118,7 +131,7 @@ def is_legal_footer(text: Column) -> Column:
 def is_paywall_shell(html: Column, text: Column) -> Column:
     """two offers to pay in a page or its text, and at most one chapter."""
     merged = F.concat_ws(" ", F.regexp_replace(html, "<[^>]+>", " "), text)
-    return (_n(merged, PAY_SHELL) >= 2) & (_n(merged, CHAPTER_MARK) <= 1)
+    return (_n(merged, PAY_SHELL) >= 2) & (_n(merged, SHELL_MARK) <= 1)
 
 
 def sample_titles(entries: DataFrame, key: str = "list_id", pos: str = "page_id", n: int = 5) -> DataFrame:
@@ -148,11 +161,21 @@ def site_checks(pages: DataFrame, expectations: DataFrame) -> DataFrame:
 
 
 def consistency_issues(checks: DataFrame) -> Column:
-    """Q3: names of checks that hold without their evidence in a row of `site_checks`."""
-    open_page = ~F.col("status").isin(*GATED)
+    """Q3: names of checks that hold without their evidence in a row of `site_checks`.
+
+    Further evidence counts where the table has it: detail_excerpt,
+    chapter_excerpt, nav_probe (how navigation was found instead of a link) and
+    requires_login, which with a blocked status exempts the chapter's text.
+    """
+    has = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in checks.columns else F.lit(default)
+    inked = lambda name: F.length(F.trim(has(name, "")))
+    exempt = has("requires_login", False) & F.col("paywall_or_auth") & F.col("status").isin(*BLOCKED)
     rules = {
-        "toc_without_entries": F.col("toc") & open_page & (F.col("n_toc") < 2), "content_without_text": F.col("content") & open_page & (F.col("content_len") < 180),
-        "info_without_title": F.col("basic_info") & (F.trim(F.coalesce("title", F.lit(""))) == ""), "navigation_without_link": F.col("navigation") & open_page & ~F.col("has_next") & (F.col("n_toc") < 2),
+        "info_without_title": F.col("basic_info") & (F.trim(F.coalesce("title", F.lit(""))) == ""),
+        "toc_without_entries": F.col("toc") & (F.col("n_toc") <= 0),
+        "detail_without_text": F.col("detail_content") & (F.col("detail_len") < 40) & (inked("detail_excerpt") == 0),
+        "chapter_without_text": F.col("chapter_content") & ~exempt & (F.col("content_len") < 80) & (inked("chapter_excerpt") < 20),
+        "navigation_without_link": F.col("navigation") & ~F.col("has_next") & ~has("nav_probe", "").rlike(FALLBACK),
     }
     return F.array_compact(F.array(*[F.when(v, k) for k, v in rules.items()]))
 
@@ -173,7 +196,15 @@ def book_title_of(curated: Column, derived: Column, site: Column, book_id: Colum
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (curated, derived, site)], book_id)
 
 
-def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:
-    """The rows as JSON under path/rows and the summary as CSV under path/summary."""
-    results.write.mode("overwrite").json(f"{path}/rows")
+def site_table(checked: DataFrame) -> DataFrame:
+    """A row a site: its checks, whether all hold without an issue, and the reasons and issues as text."""
+    reasons, issues = F.array_join(failure_reasons(), ","), F.array_join(consistency_issues(checked), ",")
+    return checked.select("site_id", *CHECKS, "status", reasons.alias("reasons"), issues.alias("issues"), ((reasons == "") & (issues == "")).alias("passed"))
+
+
+def write_report(checked: DataFrame, summary: DataFrame, path: str) -> None:
+    """The table of sites as JSON under path/rows, those that fail under path/failures, and the summary as CSV under path/summary."""
+    table = site_table(checked)
+    table.write.mode("overwrite").json(f"{path}/rows")
+    table.where(~F.col("passed")).select("site_id", "reasons", "issues").write.mode("overwrite").json(f"{path}/failures")
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/summary")

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import raw_lines, trim
 
 
+# Titles of what stands before the text.
+FRONT = r"^(cover|table\s+of\s+contents|toc|目录|封面|扉页|版权|contents?)$"
+
+
 def wrap_lines(line: Column, cols: int) -> Column:
     """Pieces of `cols` code points; an empty line is one empty piece. Later pieces repeat the line's indent, up to cols - 1."""
     indent = F.substring(F.regexp_extract(line, "^[ \t　]*", 0), 1, cols - 1)
@@ -53,13 +57,14 @@ def display_offsets(chapters: DataFrame, cols: int) -> DataFrame:
 
 
 def chapter_key(title: Column, text: Column, index: Column) -> Column:
-    """Ord:n by a number in the title or the first line, else idx:place."""
+    """Front:title of what stands before the text, else ord:n by a number in the title or the first line, else idx:place."""
     def ordinal(s: Column) -> Column:
         a, b = F.regexp_extract(s, r"(?i)chapter\s*([0-9]{1,5})", 1), F.regexp_extract(s, r"(?:^|\s)([0-9]{1,5})(?:\s*[.、:：\-]|\s|$)", 1)
         return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit("")))
     first = F.get(F.filter(F.transform(raw_lines(text), trim), lambda x: x != ""), F.lit(0))
     found = F.coalesce(ordinal(F.coalesce(title, F.lit(""))), ordinal(F.coalesce(first, F.lit("")))).cast("int")
-    return F.coalesce(F.concat(F.lit("ord:"), found.cast("string")), F.concat(F.lit("idx:"), index.cast("string")))
+    name = F.lower(trim(F.coalesce(title, F.lit(""))))
+    return F.coalesce(F.when(name.rlike(FRONT), F.concat(F.lit("front:"), name)), F.concat(F.lit("ord:"), found.cast("string")), F.concat(F.lit("idx:"), index.cast("string")))
 
 
 def chapter_runs(items: DataFrame, key: str = "key") -> DataFrame:

@@ -133,9 +133,10 @@ def _(spark, d):
     return L.item_counts(S.items(spark, d))
 
 
-@_add("j2_book_detail", "SELECT b.*, string_agg(concat(order_index, ':', i.title), ',' ORDER BY order_index, i.title) AS items, count(*) AS n_items FROM v_books b JOIN v_items i ON i.book_id = b.id GROUP BY ALL")
+@_add("j2_book_detail", """WITH n AS (SELECT book_id, string_agg(concat(order_index, ':', title), ',' ORDER BY order_index, title) AS items, count(*) AS n_items FROM v_items GROUP BY book_id)
+  SELECT b.*, coalesce(n.items, '') AS items, coalesce(n.n_items, 0) AS n_items, p.item_id, p.line_index, p.updated_at AS read_at FROM v_books b LEFT JOIN n ON n.book_id = b.id LEFT JOIN v_latest p ON p.book_id = b.id""")
 def _(spark, d):
-    return L.book_detail(S.books(spark, d), S.items(spark, d))
+    return L.book_detail(S.books(spark, d), S.items(spark, d), L.latest_progress(S.progress_feed(spark, d)))
 
 
 @_add("j3_items_with_book", "SELECT i.*, b.title AS book_title FROM v_items i JOIN v_books b ON b.id = i.book_id")
@@ -198,31 +199,35 @@ def _(spark, d):
     return L.check_groups(S.books(spark, d).select("id", kind.alias("group_id")), S.groups(spark, d))[1].select("id", "group_id")
 
 
-@_add("h1_group_closure", "SELECT id AS root, id, 0 AS depth FROM v_groups UNION ALL SELECT parent_id, id, 1 FROM v_groups WHERE parent_id IS NOT NULL")
+@_add("h1_group_closure", "SELECT * FROM v_closure")
 def _(spark, d):
-    return L.group_closure(S.groups(spark, d))
+    return L.group_closure(S.tree(spark, d))
 
 
-@_add("h2_group_tree", """SELECT g.id, CASE WHEN g.parent_id IS NULL THEN g.title ELSE '  ' || g.title END AS label,
-  concat(CASE WHEN p.id IS NULL THEN '' ELSE concat(lpad(p.order_index::VARCHAR, 6, '0'), ' ', p.title, '/') END, lpad(g.order_index::VARCHAR, 6, '0'), ' ', g.title) AS place FROM v_groups g LEFT JOIN v_groups p ON p.id = g.parent_id""")
+@_add("h2_group_tree", """SELECT id, label, place FROM (WITH RECURSIVE p AS (SELECT id, title, 0 AS depth, concat(lpad(order_index::VARCHAR, 6, '0'), ' ', title) AS place FROM v_tree WHERE parent_id IS NULL
+  UNION ALL SELECT t.id, t.title, p.depth + 1, concat(p.place, '/', lpad(t.order_index::VARCHAR, 6, '0'), ' ', t.title) FROM p JOIN v_tree t ON t.parent_id = p.id) SELECT id, concat(repeat('  ', least(depth, 6)), title) AS label, place FROM p)""")
 def _(spark, d):
-    return L.group_tree(S.groups(spark, d)).orderBy("place")
+    return L.group_tree(S.tree(spark, d)).orderBy("place")
 
 
-@_add("h3_delete_group_keep", "SELECT id, CASE WHEN group_id IN (SELECT id FROM v_groups WHERE parent_id = 'r1' OR id = 'r1') THEN NULL ELSE group_id END AS group_id FROM v_books")
+def _shelved(spark, d):
+    return S.books(spark, d).withColumn("group_id", F.concat(F.lit("c"), F.floor(F.col("id") / 2)))
+
+
+@_add("h3_delete_group_keep", "SELECT id, CASE WHEN concat('c', id // 2) NOT IN (SELECT id FROM v_closure WHERE root = 'c1') THEN concat('c', id // 2) END AS group_id FROM v_books")
 def _(spark, d):
-    return L.delete_group(S.books(spark, d), S.groups(spark, d), "r1", True)[0].select("id", "group_id")
+    return L.delete_group(_shelved(spark, d), S.tree(spark, d), "c1", True)[0].select("id", "group_id")
 
 
-@_add("h3_delete_group_books", "SELECT id, group_id FROM v_books WHERE group_id NOT IN (SELECT id FROM v_groups WHERE parent_id = 'r1')")
+@_add("h3_delete_group_books", "SELECT id, concat('c', id // 2) AS group_id FROM v_books WHERE concat('c', id // 2) NOT IN (SELECT id FROM v_closure WHERE root = 'c1')")
 def _(spark, d):
-    return L.delete_group(S.books(spark, d), S.groups(spark, d), "r1", False)[0].select("id", "group_id")
+    return L.delete_group(_shelved(spark, d), S.tree(spark, d), "c1", False)[0].select("id", "group_id")
 
 
-@_add("h4_move_books", "SELECT id, CASE WHEN source_type = 'url' THEN 'r0' ELSE group_id END AS group_id FROM v_books")
+@_add("h4_move_books", "SELECT id, CASE WHEN source_type = 'url' THEN 'r0' ELSE group_id END AS group_id, CASE WHEN source_type = 'url' THEN TIMESTAMP '2025-01-01' ELSE updated_at END AS updated_at FROM v_books")
 def _(spark, d):
     books = S.books(spark, d)
-    return L.move_books(books, books.where("source_type = 'url'").select("id", F.lit("r0").alias("new_group"))).select("id", "group_id")
+    return L.move_books(books, books.where("source_type = 'url'").select("id", F.lit("r0").alias("new_group")), F.expr("timestamp_ntz'2025-01-01 00:00:00'")).select("id", "group_id", "updated_at")
 
 
 @_add("h5_rename", "SELECT id, CASE WHEN source_type = 'url' THEN upper(title) || '!' ELSE title END AS title FROM v_books")
@@ -343,7 +348,7 @@ def _(spark, d):
     return Q.status_by_host(K.access_status(H.page_features(S.table(spark, d, "pages"))))
 
 
-@_add("u1_toc_entries")
+@_add("a14_chapter_links")
 def _(spark, d):
     return N.toc_entries(H.anchors(S.table(spark, d, "pages")))
 
@@ -353,9 +358,9 @@ def _(spark, d):
     return N.toc_next(N.toc_entries(H.anchors(S.table(spark, d, "pages"))))
 
 
-@_add("a7_best_link_list")
+@_add("a9_best_url_group")
 def _(spark, d):
-    return N.best_link_list(H.anchors(S.table(spark, d, "pages")))
+    return N.best_url_group(H.anchors(S.table(spark, d, "pages")))
 
 
 @_add("j9_link_graph")
@@ -429,6 +434,13 @@ def _(spark, d):
     return Q.perf_summary(S.table(spark, d, "events"), "event_type", "value")
 
 
+@_add("a10_error_rates", "SELECT count(*) AS n, round(count(*) FILTER (event_type = 'view' AND value > 50)::DOUBLE / count(*), 3) AS timeout_rate, round(count(*) FILTER (event_type = 'click')::DOUBLE / count(*), 3) AS too_large_rate FROM events")
+def _(spark, d):
+    kind = F.col("event_type")
+    code = F.when((kind == "view") & (F.col("value") > 50), "EXTRACTION_TIMEOUT").when(kind == "click", "DOM_TOO_LARGE").otherwise("")
+    return Q.error_rates(S.table(spark, d, "events").select(code.alias("code")), "code")
+
+
 @_add("f25_parse_error", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'E_' || upper(event_type) END AS code, CASE WHEN event_id % 2 = 0 THEN 'at ' ELSE 'plain ' END || event_id AS message FROM events")
 def _(spark, d):
     e = S.table(spark, d, "events")
@@ -518,4 +530,4 @@ def _(spark, d):
     return W.step_page(items, positions, -2, 3).unionByName(W.step_page(items, positions, 2, 3))
 
 
-from . import navigation_queries, page_queries, source_queries  # noqa: E402, F401
+from . import contents_queries, navigation_queries, page_queries, source_queries  # noqa: E402, F401

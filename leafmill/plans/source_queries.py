@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as Q
 from ..sources import files as B, tables as S
 from ..streaming import throttle as G
-from .registry import _LISTS, _QUALITY, _add, _count_sql, _lists
+from .registry import _SP, _LISTS, _QUALITY, _add, _count_sql, _lists
 
 
 def _docs(spark, d):
@@ -62,12 +62,12 @@ def _(spark, d):
     return B.flatten_archives(bodies.unionByName(package).unionByName(container)).select("archive", "order_index", "title")
 
 
-_N = {k: getattr(Q, k).replace("'", "''") for k in ("INTRO", "CHAPTER_MARK", "PART_MARK", "FRONT_HAN", "FRONT_LATIN", "CSS", "LEGAL", "PAY_SHELL")}
+_N = {k: getattr(Q, k).replace("'", "''") for k in ("INTRO", "CHAPTER_MARK", "SHELL_MARK", "PART_MARK", "FRONT_HAN", "FRONT_LATIN", "CSS", "LEGAL", "PAY_SHELL")}
 
 
-@_add("f22_noise_flags", f"""SELECT doc_id, i >= 2 AND c = 0 AS intro, (h >= 3 OR l >= 3) AND c + p = 0 AS front, s >= 2 OR (dots >= 12 AND len(regexp_extract_all(t, '(?i)url\\(|background|display|position')) > 0) AS css, g >= 2 AS legal, y >= 2 AND c <= 1 AS shell FROM (
-  SELECT doc_id, t, {_count_sql(_N["INTRO"])} AS i, {_count_sql(_N["CHAPTER_MARK"])} AS c, {_count_sql(_N["PART_MARK"])} AS p, {_count_sql(_N["FRONT_HAN"])} AS h, {_count_sql(_N["FRONT_LATIN"])} AS l, {_count_sql(_N["CSS"])} AS s,
-  {_count_sql(_N["LEGAL"])} AS g, {_count_sql(_N["PAY_SHELL"])} AS y, {_count_sql("[{};:]")} AS dots FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
+@_add("f22_noise_flags", f"""SELECT doc_id, i >= 2 AND c = 0 AS intro, (h >= 3 OR l >= 3) AND c + p = 0 AS front, s >= 2 OR (dots >= 12 AND len(regexp_extract_all(t, '(?i)url\\(|background|display|position')) > 0) AS css, g >= 2 AS legal, y >= 2 AND c2 <= 1 AS shell FROM (
+  SELECT doc_id, t, {_count_sql(_N["INTRO"])} AS i, {_count_sql(_N["CHAPTER_MARK"])} AS c, {_count_sql(_N["SHELL_MARK"])} AS c2, {_count_sql(_N["PART_MARK"])} AS p, {_count_sql(_N["FRONT_HAN"])} AS h, {_count_sql(_N["FRONT_LATIN"])} AS l, {_count_sql(_N["CSS"])} AS s,
+  {_count_sql(_N["LEGAL"])} AS g, {_count_sql(_N["PAY_SHELL"])} AS y, {_count_sql("[{};:]")} AS dots FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_SP}+', ' ', 'g'), '^{_SP}+|{_SP}+$', '', 'g') AS t FROM documents))""")
 def _(spark, d):
     t = F.col("text")
     return _docs(spark, d).select("doc_id", Q.is_intro(t).alias("intro"), Q.is_book_front_matter(t).alias("front"), Q.is_css_noise(t).alias("css"), Q.is_legal_footer(t).alias("legal"), Q.is_paywall_shell(F.lit(""), t).alias("shell"))
@@ -103,16 +103,26 @@ def _(spark, d):
     return _checked(spark, d).select("site_id", *Q.CHECKS)
 
 
-@_add("q4_failure_reasons", f"{_CHECKED} SELECT site_id, concat_ws(',', CASE WHEN NOT basic_info THEN 'basic_info' END, CASE WHEN NOT toc THEN 'toc' END, CASE WHEN NOT detail_content THEN 'detail_content' END, CASE WHEN NOT chapter_content THEN 'chapter_content' END, CASE WHEN NOT (detail_content AND chapter_content) THEN 'content' END, CASE WHEN NOT navigation THEN 'navigation' END, CASE WHEN NOT paywall_or_auth THEN 'paywall_or_auth' END) AS reasons, '' AS issues FROM k")
+_REASONS = "concat_ws(',', CASE WHEN NOT basic_info THEN 'basic_info' END, CASE WHEN NOT toc THEN 'toc' END, CASE WHEN NOT detail_content THEN 'detail_content' END, CASE WHEN NOT chapter_content THEN 'chapter_content' END, CASE WHEN NOT (detail_content AND chapter_content) THEN 'content' END, CASE WHEN NOT navigation THEN 'navigation' END, CASE WHEN NOT paywall_or_auth THEN 'paywall_or_auth' END)"
+_ISSUES = "concat_ws(',', CASE WHEN basic_info AND trim(title) = '' THEN 'info_without_title' END, CASE WHEN toc AND n_toc <= 0 THEN 'toc_without_entries' END, CASE WHEN detail_content AND detail_len < 40 THEN 'detail_without_text' END, CASE WHEN chapter_content AND content_len < 80 THEN 'chapter_without_text' END, CASE WHEN navigation AND NOT has_next THEN 'navigation_without_link' END)"
+
+
+@_add("q4_failure_reasons", f"{_CHECKED} SELECT site_id, {_REASONS} AS reasons FROM k")
+def _(spark, d):
+    return _checked(spark, d).select("site_id", F.array_join(Q.failure_reasons(), ",").alias("reasons"))
+
+
+@_add("s10_site_table", f"{_CHECKED} SELECT site_id, basic_info, toc, detail_content, chapter_content, detail_content AND chapter_content AS content, navigation, paywall_or_auth, status, {_REASONS} AS reasons, {_ISSUES} AS issues, {_REASONS} = '' AND {_ISSUES} = '' AS passed FROM k")
 def _(spark, d):
-    checked = _checked(spark, d)
-    return checked.select("site_id", F.array_join(Q.failure_reasons(), ",").alias("reasons"), F.array_join(Q.consistency_issues(checked), ",").alias("issues"))
+    return Q.site_table(_checked(spark, d))
 
 
-@_add("q3_consistency_issues", f"SELECT site_id, concat_ws(',', CASE WHEN status = 'OK' AND n_toc < 2 THEN 'toc_without_entries' END, CASE WHEN status = 'OK' AND content_len < 180 THEN 'content_without_text' END, CASE WHEN trim(title) = '' THEN 'info_without_title' END, CASE WHEN status = 'OK' AND NOT has_next AND n_toc < 2 THEN 'navigation_without_link' END) AS issues FROM ({_SITES})")
+@_add("q3_consistency_issues", f"""SELECT site_id, concat_ws(',', CASE WHEN trim(title) = '' THEN 'info_without_title' END, CASE WHEN n_toc <= 0 THEN 'toc_without_entries' END, CASE WHEN detail_len < 40 AND site_id % 11 > 0 THEN 'detail_without_text' END,
+  CASE WHEN content_len < 80 AND NOT (site_id % 5 = 0 AND status <> 'OK') AND site_id % 13 > 0 THEN 'chapter_without_text' END, CASE WHEN NOT has_next AND site_id % 7 > 1 THEN 'navigation_without_link' END) AS issues FROM ({_SITES})""")
 def _(spark, d):
     """What a report would claim if every check were said to hold."""
-    claimed = _sites(spark, d).select("*", *[F.lit(True).alias(c) for c in Q.CHECKS])
+    i = F.col("site_id")
+    claimed = _sites(spark, d).select("*", *[F.lit(True).alias(c) for c in Q.CHECKS], (i % 5 == 0).alias("requires_login"), F.when(i % 11 == 0, "some").alias("detail_excerpt"), F.when(i % 13 == 0, "x" * 20).otherwise("x" * 19).alias("chapter_excerpt"), F.when(i % 7 == 0, "PAYWALL(expected_block)").when(i % 7 == 1, "toc_adjacent_ok").otherwise("no").alias("nav_probe"))
     return claimed.select("site_id", F.array_join(Q.consistency_issues(claimed), ",").alias("issues"))
 
 
