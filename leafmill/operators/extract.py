@@ -146,12 +146,13 @@ def validation_status(text: Column, is_directory: Column, has_next_page: Column,
     return F.when(is_directory, "TOC_PAGE_SUSPECT").when(has_next_page, "PAGINATION_DETECTED").when(K.is_font_obfuscated(text), "FONT_OBFUSCATED").when(is_foreign, "IFRAME_CROSS_ORIGIN").otherwise("OK")
 
 
-def extract_pages(pages: DataFrame, anchors: DataFrame, least: int = MIN_LENGTH) -> DataFrame:
+def extract_pages(pages: DataFrame, anchors: DataFrame, least: int = MIN_LENGTH, rules: DataFrame | None = None) -> DataFrame:
     """(page_id, status, strategy, title, content, score), one row a page.
 
     A blocked page keeps its status. Else the strategies with a score are tried
     from the best, equal ones in the order heuristic, structured; the first that is valid is
     taken, or the best with what it breaks. Without any: NO_MAIN_CONTENT.
+    rules, as of `match_rules`, clean both candidates before they are scored.
     """
     f = page_features(pages)
     facts = f.select(
@@ -161,8 +162,14 @@ def extract_pages(pages: DataFrame, anchors: DataFrame, least: int = MIN_LENGTH)
     access = K.access_status(f).select("page_id", F.col("status").alias("access"))
     hints = K.pagination_hint(anchors).select("page_id", (F.col("has_pagination") & F.col("next_page_url").isNotNull()).alias("has_next_page"))
     texts = best_text(pages).select("page_id", "content", "n_p")
+    facts = facts.withColumn("other", structured_text(F.col("html")))
+    if rules is not None:
+        matched = match_rules(pages, rules)
+        texts = apply_rules(texts, matched).join(texts.select("page_id", "n_p"), "page_id")
+        cleaned = apply_rules(facts.select("page_id", F.col("other").alias("content")), matched)
+        facts = facts.drop("other").join(cleaned.withColumnRenamed("content", "other"), "page_id")
     j = facts.join(access, "page_id").join(hints, "page_id", "left").join(texts, "page_id", "left").na.fill(False, ["has_next_page"])
-    other = structured_text(F.col("html"))
+    other = F.col("other")
 
     def strategy(name: str, rank: int, title: Column, text: Column, n_p: Column) -> Column:
         score = candidate_score(text, n_p, F.col("is_directory"), F.col("least"))

@@ -66,17 +66,37 @@ def _(spark, d):
     return X.best_text(_pages(spark, d)).select("page_id", F.round(X.candidate_score(F.col("content"), F.col("n_p"), F.lit(False)), 6).alias("score"))
 
 
-@_add("x7_structured_text")
+@_add("x7_structured_text", rf"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('Og ', page_id) WHEN 1 THEN concat('Tw & ', page_id) ELSE {_NORMAL.format(_PLAIN.replace("raw", "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} END AS title,
+  array_to_string(list_filter([CASE WHEN page_id % 4 < 2 THEN concat('A "long" text of the page with number', chr(10), page_id) END, CASE WHEN page_id % 4 = 1 THEN concat('A headline that is inside of ', page_id, ' and long') END, CASE WHEN page_id % 5 = 0 THEN concat('about ', page_id) END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS content FROM pages""")
 def _(spark, d):
-    return _pages(spark, d).select("page_id", X.structured_title(F.col("html"), H.page_title(F.col("html"))).alias("title"), X.structured_text(F.col("html")).alias("content"))
+    """Pages with titles for other sites, nested data, a block that is no JSON, and a description."""
+    i, k = F.col("page_id").cast("string"), F.col("page_id")
+    say = lambda keep, *parts: F.when(keep, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise("")
+    made = F.concat(
+        say(k % 3 == 0, '<meta content="Og ', i, '" property="og:title">'), say(k % 3 == 1, "<meta name='twitter:title' content='Tw &amp; ", i, "'>"), say(k % 5 == 0, '<meta name="description" content=" about ', i, '">'),
+        F.lit('<script type="application/ld+json">{"text": "no JSON, but thirty signs long at least",,}</script>'),
+        say(k % 4 < 2, '<script type="application/ld+json">{"@graph":[{"articleBody" : "A \\"long\\" text of the page with number\\n', i, '","name":"short"}', F.when(k % 4 == 1, F.concat(F.lit(',{"x":{"headline":"A headline that is inside of '), i, F.lit(' and long"}}'))).otherwise(""), "]}</script>"),
+    )
+    html = F.concat(made, F.col("html"))
+    return _pages(spark, d).select("page_id", X.structured_title(html, H.page_title(html)).alias("title"), X.structured_text(html).alias("content"))
 
 
 @_add("x8_extract_pages")
 def _(spark, d):
     pages = _pages(spark, d)
-    return X.extract_pages(pages, H.anchors(pages))
+    return X.extract_pages(pages, H.anchors(pages)).withColumn("score", F.round("score", 6))
 
 
+@_add("x8_ruled_pages", """SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'NO_MAIN_CONTENT' ELSE 'OK' END AS status, CASE WHEN page_id % 3 <> 2 THEN concat('Chapter ', page_id, chr(10), chr(10), repeat('A sentence of the text. ', 12), 'end') END AS content FROM pages""")
+def _(spark, d):
+    """Pages with a menu before the heading and a footer; on every third, the rule leaves too little."""
+    i = F.col("page_id").cast("string")
+    short = F.when(F.col("page_id") % 3 == 2, "gone ").otherwise("A sentence of the text. ")
+    body = F.concat(F.lit("<p>share</p><p>menu of the site</p><p>Chapter "), i, F.lit("</p><p>"), F.repeat(short, F.lit(12)), F.lit("end</p><p>Copyright "), F.repeat(F.lit("x. "), F.lit(80)), F.lit("</p>"))
+    pages = _pages(spark, d).select("page_id", F.concat(F.lit("https://www.rule.example/"), i).alias("url"), F.concat(F.lit("<html><body><article>"), body, F.lit("</article></body></html>")).alias("html"))
+    rules = spark.sql("SELECT 'rule.example' AS host_suffix, CAST(NULL AS STRING) AS path_regex, 1 AS rule_order, '^(login|share)$' AS drop_line_regex, array('AD') AS drop_phrases, 'Chapter [0-9]+' AS heading_regex, 'Copyright' AS footer_regex")
+    return X.extract_pages(pages, H.anchors(pages), rules=rules).select("page_id", "status", "content")
+
 @_add("x9_region_text")
 def _(spark, d):
     article = F.regexp_extract("html", r"(?is)<article\b[^>]*>(.*)</article>", 1)

@@ -26,6 +26,12 @@ def _add(name: str, sql: str | None = None):
     return put
 
 
+def _put(name: str, sql: str) -> None:
+    """SQL of a query that is registered already."""
+    assert name in _QUERIES and name not in _SQL, name
+    _SQL[name] = f"WITH RECURSIVE {S.SQL.strip()}, q AS ({sql}) SELECT * FROM q"
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
@@ -301,10 +307,9 @@ def _(spark, d):
     return H.tokenize_pages(S.table(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "close").alias("n_close"), F.count_if(F.col("kind") == "text").alias("n_text"))
 
 
-@_add("x3_anchors", rf"""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS pos, regexp_extract(a, '(?is)^<a\b[^>]*?\bhref=["'']?([^"''\s>]*)', 1) AS href
-  FROM (SELECT page_id, unnest(regexp_extract_all({_VIS}, '(?is)<a\b[^>]*\bhref=.*?</a>')) AS a, generate_subscripts(regexp_extract_all({_VIS}, '(?is)<a\b[^>]*\bhref=.*?</a>'), 1) AS i FROM pages)""")
+@_add("x3_anchors")
 def _(spark, d):
-    return H.anchors(S.table(spark, d, "pages")).select("page_id", "pos", "href")
+    return H.anchors(S.table(spark, d, "pages"))
 
 
 @_add("x10_strip_attrs", r"SELECT page_id, sha256(regexp_replace(regexp_replace(html, '(?is)<img\b[^>]*>', '', 'g'), '(?s)<([A-Za-z0-9]+)\s[^>]*>', '<\1>', 'g')) AS sha FROM pages")
@@ -312,9 +317,9 @@ def _(spark, d):
     return S.table(spark, d, "pages").select("page_id", F.sha2(H.strip_attrs(F.col("html")), 256).alias("sha"))
 
 
-@_add("a4_page_features", rf"""SELECT page_id, len(regexp_extract_all({_VIS}, '(?is)<a\b[^>]*\bhref=.*?</a>'))::BIGINT AS n_anchors, len(regexp_extract_all({_VIS}, '(?i)<p\b'))::BIGINT AS n_p FROM pages""")
+@_add("a4_page_features")
 def _(spark, d):
-    return H.page_features(S.table(spark, d, "pages")).select("page_id", "n_anchors", "n_p")
+    return H.page_features(S.table(spark, d, "pages")).select("page_id", "n_anchors", "n_p", "link_len", "text_len", "n_sentences")
 
 
 @_add("x5_page_text")
@@ -363,15 +368,21 @@ def _(spark, d):
     return N.best_url_group(H.anchors(S.table(spark, d, "pages")))
 
 
-@_add("j9_link_graph")
+@_add("j9_link_graph", """WITH e AS (SELECT page_id AS src, unnest([page_id + 1, page_id // 2, page_id + 1]) AS dst FROM pages) SELECT src, dst, count(*) AS n FROM e WHERE dst IN (SELECT page_id FROM pages) GROUP BY ALL""")
 def _(spark, d):
-    pages = S.table(spark, d, "pages")
+    """Pages that link twice to the one behind them, with other queries, and to the one of half their number."""
+    i = F.col("page_id")
+    link = lambda n, tail: F.concat(F.lit('<a href="/p/'), n.cast("string"), F.lit(f'{tail}">x</a>'))
+    pages = S.table(spark, d, "pages").select("page_id", F.concat(F.lit("https://g.example/p/"), i.cast("string")).alias("url"), F.concat("html", link(i + 1, "?utm_a=1"), link(F.floor(i / 2), ""), link(i + 1, "#x")).alias("html"))
     return N.link_graph(H.anchors(pages), pages)
 
 
-@_add("j10_numeric_neighbours")
+@_add("j10_numeric_neighbours", """WITH p AS (SELECT page_id, page_id // 7 AS book FROM pages) SELECT a.page_id, b.page_id AS other_id, (b.page_id - a.page_id)::BIGINT AS delta FROM p a JOIN p b ON a.book = b.book AND abs(a.page_id - b.page_id) = 1""")
 def _(spark, d):
-    return N.numeric_neighbours(S.table(spark, d, "pages"), 0)
+    """Seven chapters a book; the last of one and the first of the next are neighbours by number, but not alike enough."""
+    i = F.col("page_id")
+    url = F.concat(F.lit("https://n.example/book/b"), F.floor(i / 7).cast("string"), F.lit("/"), i.cast("string"), F.lit(".html"))
+    return N.numeric_neighbours(S.table(spark, d, "pages").select("page_id", url.alias("url")), 50)
 
 
 # ---- reading and reports
@@ -530,4 +541,4 @@ def _(spark, d):
     return W.step_page(items, positions, -2, 3).unionByName(W.step_page(items, positions, 2, 3))
 
 
-from . import contents_queries, navigation_queries, page_queries, source_queries  # noqa: E402, F401
+from . import contents_queries, navigation_queries, page_queries, source_queries, page_sql  # noqa: E402, F401, I001

@@ -33,6 +33,15 @@ def _(spark, d):
     return out.select("doc_id", "text", "method", "changed", B.encoding_label(F.col("method")).alias("label"))
 
 
+@_add("t1_known_bytes", """SELECT doc_id, repeat('中文面', (1 + doc_id % 9)::INT) AS text, CASE doc_id % 3 WHEN 0 THEN 'direct-utf-8' WHEN 1 THEN 'direct-gb18030' ELSE 'utf8->view->latin1->gbk' END AS method, doc_id % 3 > 0 AS changed, CASE doc_id % 3 WHEN 1 THEN 'GB18030' WHEN 2 THEN 'GBK' END AS label FROM documents""")
+def _(spark, d):
+    """The same Han text as UTF-8, as GBK, and as GBK that was read as Latin-1 and written as UTF-8."""
+    k = F.col("doc_id") % 3
+    code = F.when(k == 0, "E4B8ADE69687E99DA2").when(k == 1, "D6D0CEC4C3E6").otherwise("C396C390C38EC384C383C3A6")
+    out = B.repair_charset(_docs(spark, d).withColumn("code", code).select("doc_id", F.unhex(F.expr("repeat(code, int(1 + doc_id % 9))")).alias("content")))
+    return out.select("doc_id", "text", "method", "changed", B.encoding_label(F.col("method")).alias("label"))
+
+
 @_add("s2_source_formats", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'txt' WHEN 1 THEN 'epub' END AS format, CASE WHEN page_id % 3 = 2 THEN 'UNSUPPORTED_FORMAT' END AS error FROM pages")
 def _(spark, d):
     k = F.col("page_id") % 3
@@ -47,19 +56,19 @@ def _(spark, d):
     return S.table(spark, d, "pages").select("page_id", B.resolve_path(F.lit("ops/book.opf"), href).alias("path"))
 
 
-@_add("s4_flatten_archives", """SELECT book_id AS archive, (row_number() OVER (PARTITION BY book_id ORDER BY order_index) - 1)::INT AS order_index, concat('Part ', order_index, ' of ', book_id) AS title FROM v_items WHERE order_index % 5 <> 3""")
+@_add("s4_flatten_archives", """SELECT book_id AS archive, (row_number() OVER (PARTITION BY book_id ORDER BY order_index) - 1)::INT AS order_index, concat('Part ', order_index, ' of ', book_id) AS title, sha256(concat('Part ', order_index, ' of ', book_id, chr(10), regexp_replace(regexp_replace(replace(coalesce(content_text, ''), chr(13) || chr(10), chr(10)), '[ \t　 ]+\n', chr(10), 'g'), '[\s　 ]+$', ''), CASE WHEN content_text IS NULL THEN '' ELSE '' END)) AS sha FROM v_items WHERE order_index % 5 <> 3""")
 def _(spark, d):
     """Each conversation as a book: its turns are members, their package is derived from them; every fifth member is missing."""
-    i = S.items(spark, d).select(F.col("book_id").alias("archive"), "order_index")
+    i = S.items(spark, d).select(F.col("book_id").alias("archive"), "order_index", "content_text")
+    said = F.replace(F.replace(F.replace(F.coalesce("content_text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     name = F.concat(F.lit("text/s"), "order_index", F.lit(".xhtml"))
-    bodies = i.where("order_index % 5 <> 3").select("archive", F.concat(F.lit("ops/"), name).alias("path"), F.concat(F.lit("<html><head><title>t</title></head><body><h1>Part "), "order_index", F.lit(" of "), "archive", F.lit("</h1><p>body</p></body></html>")).alias("text"))
-    bodies = bodies.withColumn("text", F.replace("text", F.lit("<title>t</title>"), F.lit("")))
+    bodies = i.where("order_index % 5 <> 3").select("archive", F.concat(F.lit("ops/"), name).alias("path"), F.concat(F.lit("<html><head></head><body><h1>Part "), "order_index", F.lit(" of "), "archive", F.lit("</h1>\n<p>"), said, F.lit("</p></body></html>")).alias("text"))
     item = F.concat(F.lit('<item id="s'), "order_index", F.lit('" href="'), name, F.lit('" media-type="application/xhtml+xml"/>'))
     ref = F.concat(F.lit('<itemref idref="s'), "order_index", F.lit('"/>'))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_index", c.alias("t")))), lambda x: x["t"]), "")
     package = i.groupBy("archive").agg(F.concat(F.lit("<package><manifest>"), listed(item), F.lit("</manifest><spine>"), listed(ref), F.lit("</spine></package>")).alias("text")).select("archive", F.lit("ops/book.opf").alias("path"), "text")
     container = i.select("archive").distinct().select("archive", F.lit("META-INF/container.xml").alias("path"), F.lit('<container><rootfile full-path="ops/book.opf"/></container>').alias("text"))
-    return B.flatten_archives(bodies.unionByName(package).unionByName(container)).select("archive", "order_index", "title")
+    return B.flatten_archives(bodies.unionByName(package).unionByName(container)).select("archive", "order_index", "title", F.sha2("content_text", 256).alias("sha"))
 
 
 _N = {k: getattr(Q, k).replace("'", "''") for k in ("INTRO", "CHAPTER_MARK", "SHELL_MARK", "PART_MARK", "FRONT_HAN", "FRONT_LATIN", "CSS", "LEGAL", "PAY_SHELL")}
