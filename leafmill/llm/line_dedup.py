@@ -422,11 +422,17 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(th))
     parts = F.split("text", "\n", -1)
     marked = docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), same, "left")  # texts need no sort
-    marked = marked.select(*[F.col(f"`{c}`") for c in own], _flags(F.col(out), F.size(parts)).alias("line_keep"))
+    flags = F.when(F.col(out).isNotNull(), _flags(F.col(out), _n_lines(F.col("text"))))
+    marked = marked.select(*[F.col(f"`{c}`") for c in own], flags.alias("line_keep"))
     kept = F.array_join(F.filter(parts, lambda x, i: F.get("line_keep", i)), "\n")
     return marked.withColumn("kept_text", F.when(F.col("line_keep").isNull(), F.col("text")).otherwise(kept))
 
 
+def _n_lines(text):
+    """Number of lines of a text, without a copy of each."""
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 def _flags(gone, n):
     """n flags, false at the distinct places `gone`, in time linear in n; null where `gone` is."""
     at = F.array_sort(gone)
@@ -437,6 +443,6 @@ def _flags(gone, n):
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    n_lines = F.when(F.col("text") != "", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    n_lines = F.when(F.col("text") != "", _n_lines(F.col("text"))).otherwise(0)
     n_gone = F.coalesce(F.size(F.filter("line_keep", lambda x: ~x)), F.lit(0))
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), (n_lines - n_gone).cast("long").alias("n_kept"), F.col("kept_text").alias("text"))
