@@ -97,16 +97,54 @@ def _(spark, d):
     return C.mean_heading_gap(C.detect_headings(_docs(spark, d), SHORT_LINE))
 
 
-@_add("t8_split_chapters", f"""{_HITS}, g AS (SELECT doc_id, count(*) AS n, (max(line) - min(line))::DOUBLE / greatest(count(*) - 1, 1) AS gap FROM hits GROUP BY doc_id),
+_SPLIT = f"""{_HITS}, g AS (SELECT doc_id, count(*) AS n, (max(line) - min(line))::DOUBLE / greatest(count(*) - 1, 1) AS gap FROM hits GROUP BY doc_id),
   f AS (SELECT l1.doc_id, l1.line, l1.raw, coalesce(g.n, 0) < 2 OR (g.n >= 8 AND g.gap < 4) AS whole FROM l1 LEFT JOIN g USING (doc_id)),
   c AS (SELECT f.*, h.title, CASE WHEN whole THEN 1 ELSE count(h.line) OVER (PARTITION BY f.doc_id ORDER BY f.line) END AS no FROM f LEFT JOIN hits h ON h.doc_id = f.doc_id AND h.line = f.line),
   b AS (SELECT doc_id, no, bool_or(whole) AS whole, min(title) FILTER (NOT whole) AS title, regexp_replace(coalesce(string_agg(regexp_replace(raw, '[ \\t　]+$', ''), chr(10) ORDER BY line) FILTER (regexp_replace(raw, '[ \\t　]', '', 'g') <> ''), ''), '^{_SP}+|{_SP}+$', '', 'g') AS body FROM c GROUP BY doc_id, no)
   SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1)::INT AS order_index, CASE WHEN whole THEN '全文' WHEN no = 0 THEN '开头' ELSE title END AS title, body AS content_text
-  FROM b WHERE body <> '' AND (whole OR no > 0 OR length(regexp_replace(body, '{_SP}', '', 'g')) >= 80)""")
+  FROM b WHERE body <> '' AND (whole OR no > 0 OR length(regexp_replace(body, '{_SP}', '', 'g')) >= 80)"""
+
+
+@_add("t8_split_chapters", _SPLIT)
 def _(spark, d):
     return C.split_chapters(_docs(spark, d), SHORT_LINE)
 
 
+# the same with headings of all kinds put before every sixth line, and lines that only look like some
+
+_FORMS = (
+    "第{}章", " 第 十二 回 · 题{}", "Chapter {}", "CHAPTER {}: A title, with marks. And more", "chapter {}b", "卷 三 {}", "卷三十：名，{}", "序章", "楔子 起{}", "Prologue", "afterword — {}", "序章，{}", "Extra " + "x" * 55 + "{}",
+    "第一章" + "长" * 118 + "{}", "番外{}", "In Chapter {} of", "  终章  ", "Appendix{}", "完结感言: {}", "第 章 {}", "Interlude" + " y" * 20 + "{}",
+)
+_FAMILIES = (
+    "'^第\\s*[零一二三四五六七八九十百千两0-9]+\\s*[章回节卷话集篇幕部]'", "'(?i)^chapter\\s+\\d+\\b'", "'^卷\\s*[零一二三四五六七八九十百千两0-9]+'", "'^(序章|序|楔子|引子|前言|扉页|正文|后记|完结感言|终章|最终章|尾声|番外|外传|附录|幕间|间章)'",
+    "'(?i)^(Prologue|Epilogue|Afterword|Preface|Appendix|Interlude|Extra)\\b'",
+)
+_FORM_LIST = "[" + ", ".join(f"'{x}'" for x in _FORMS) + "]"
+_PLANTED = f"(SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 6 = 2 THEN replace({_FORM_LIST}[((doc_id + i - 1) % {len(_FORMS)} + 1)::INT], '{{}}', (i - 1)::VARCHAR) || chr(10) || x ELSE x END), chr(10)) AS text FROM documents)"
+
+
+def _with_families(sql: str) -> str:
+    every = " OR ".join(f"regexp_matches(l, {p})" for p in _FAMILIES)
+    return sql.replace("FROM documents)", f"FROM {_PLANTED} documents)", 1).replace("regexp_matches(l, '^\\S+(\\s+\\S+){0,2}$')", f"({every})")
+
+
+def _planted(spark, d):
+    form = lambda i: F.replace(F.element_at(F.array(*[F.lit(x) for x in _FORMS]), ((F.col("doc_id") + i) % len(_FORMS) + 1).cast("int")), F.lit("{}"), i.cast("string"))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 6 == 2, F.concat(form(i), F.lit("\n"), x)).otherwise(x))
+    return _docs(spark, d).select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
+@_add("t7_headings_of_all_kinds", _with_families(f"{_HITS} SELECT doc_id, line::BIGINT AS line, title FROM hits"))
+def _(spark, d):
+    return C.detect_headings(_planted(spark, d)).withColumn("line", F.col("line").cast("long"))
+
+
+@_add("t8_chapters_of_all_kinds", _with_families(_SPLIT))
+def _(spark, d):
+    return C.split_chapters(_planted(spark, d))
+
+
 # ---- library
 
 @_add("w8_latest_progress", "SELECT * FROM v_latest")
