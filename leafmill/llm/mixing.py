@@ -23,7 +23,9 @@ def source_targets(sizes: DataFrame, cycle: tuple[float, ...] = CYCLE, most: flo
 
     Sources by code point, null last, weigh `cycle`, repeating. Targets share
     the sum of all sizes by weight; a target stops at `most` times its
-    source's size and the excess is shared anew, which ends where every open
+    source's size and the excess is shared anew. Its windows put the rows of
+    all sources, one a source, into one task, which suits thousands of sources.
+    The search ends where every open
     source gets level * weight. Sorted by the level at which a source closes,
     the first source that stays open at its level ends the search.
     """

@@ -251,6 +251,18 @@ def test_bpe_equals_the_library(spark):
         assert model._long(word) == model._forest([word], 32)[0]
 
 
+def test_bpe_equals_the_library_on_a_whole_table(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe.default_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = spark.createDataFrame([(-1, "ab" * 50_000), (-2, "x" * 100_000)], "doc_id long, text string")
+    for rows in (table, long):
+        ids = {r.doc_id: r.ids for r in bpe.encode_documents(rows, path).collect()}
+        for r in rows.collect():
+            assert ids[r.doc_id] == library.encode(r.text or "", add_special_tokens=False).ids, r.doc_id
+
+
 def test_toxicity_folds_and_spares():
     lexicon = toxicity.Lexicon({"idiot": 4.0, "trash": 3.0, "lowe*": 2.0})
     score = lambda t: lexicon.features(t)[0]
