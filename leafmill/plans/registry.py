@@ -513,6 +513,13 @@ def _(spark, d):
     return W.to_library(C.split_chapters(_docs(spark, d), SHORT_LINE))
 
 
+@_add("s7_book_rows", f"SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN concat('d', doc_id) ELSE source END AS title, 'file' AS source_type, concat('d', doc_id) AS source_ref, (SELECT count(*) FROM ({_CHAPTERS}) c WHERE c.doc_id = documents.doc_id) AS n_items FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_CHAPTERS}))")
+def _(spark, d):
+    ref = F.concat(F.lit("d"), "doc_id")
+    books = S.table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("source")).alias("title"), ref.alias("source_ref"))
+    return W.book_rows(books, W.to_library(C.split_chapters(_docs(spark, d), SHORT_LINE)))
+
+
 @_add("s8_toc_to_library", """SELECT user_id AS book_id, no::INT AS order_index, CASE WHEN event_type = 'view' THEN concat('#', no) ELSE event_type END AS title, '' AS content_text, props AS url
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no FROM events) WHERE no <= 30
   UNION ALL SELECT id, 0, 'intro', CASE WHEN source_type = 'file' THEN '-' ELSE title END, NULL FROM v_books""")

@@ -7,29 +7,52 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.library import latest_progress
 
 
+FULL = 20
+"""Every so many batches a snapshot holds all books; the others hold those of their batch."""
+
+
 def stream_progress(feed: DataFrame, target: str, checkpoint: str):
-    """G1: starts a query that merges each micro-batch into snapshots target/batch=n, one row a book.
+    """G1: starts a query that writes each micro-batch's latest rows to target/batch=n, one row a book.
 
-    A batch is merged with the newest snapshot before it and written under its
-    own number, so a batch that is run again gives the same snapshot.
+    Of one book the row of the last batch counts, whatever its time, as rows
+    count in the order in which they arrive; within a batch the order is that
+    of (updated_at, item_id). Every FULL batches all books are written, and
+    what is older than the full snapshot before goes. A batch that is run again
+    writes the same rows under the same number.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        old = snapshot(spark, target, below=n)
-        rows = batch.select("book_id", "item_id", "line_index", "updated_at")
-        latest_progress(rows.unionByName(old) if old is not None else rows).write.mode("overwrite").parquet(f"{target}/batch={n}")
+        rows = latest_progress(batch.select("book_id", "item_id", "line_index", "updated_at"))
+        old = snapshot(spark, target, below=n) if n % FULL == 0 else None
+        if old is not None:
+            rows = rows.unionByName(old.join(rows, "book_id", "left_anti"))
+        rows.write.mode("overwrite").parquet(f"{target}/batch={n}")
+        if n % FULL == 0:
+            fs, path, found = _batches(spark, target)
+            for m in found:
+                if m < n - FULL:
+                    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, f"batch={m}"), True)
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The newest snapshot, or the newest of a number under `below`; None if there is none."""
+def _batches(spark: SparkSession, target: str):
+    """(file system, path, numbers of the batches written)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=")] if fs.exists(path) else []
-    found = [n for n in found if below is None or n < below]
-    return spark.read.parquet(f"{target}/batch={max(found)}") if found else None
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return fs, path, sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+
+
+def snapshot(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
+    """The row of each book in the last batch that has one, of batches under `below` if given; None if there is no batch."""
+    found = [n for n in _batches(spark, target)[2] if below is None or n < below]
+    if not found:
+        return None
+    rows = spark.read.option("basePath", target).parquet(*[f"{target}/batch={n}" for n in found])
+    last = F.max(F.struct("batch", "updated_at", "item_id", "line_index")).alias("r")
+    return rows.groupBy("book_id").agg(last).select("book_id", "r.item_id", "r.line_index", "r.updated_at")
 
 
 def stream_timings(feed: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
