@@ -83,14 +83,20 @@ class Lines:
         return mix((self.sums[at + width] - self.sums[at]) * self.inverse[at] + width.astype(np.uint64)), offs
 
 
-    def windows(self, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    def short_windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit hashes of every window of SHORT_SHINGLE code points of the lines, and offsets."""
+        hashes, offs = self.shingles(which, SHORT_SHINGLE)
+        return (hashes >> np.uint64(32)).astype(np.uint32), offs
+
+    def windows(self, which: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """32-bit hashes of every window of `size` code points of the lines, and offsets; for signatures, where a sum of scaled values will do."""
         lengths = self.stops[which] - self.starts[which]
         long = lengths >= size
         n = len(self.values) - size + 1
         rolled = np.zeros(max(n, 0), np.uint64)
+        scaled = np.empty_like(rolled)
         for j in range(size if n > 0 else 0):
-            rolled += self.values[j : j + n] * _SCALE[j]
+            rolled += np.multiply(self.values[j : j + n], _SCALE[j], out=scaled)
         counts = np.where(long, lengths - size + 1, 1)
         offs = np.concatenate(([0], np.cumsum(counts)))
         at = np.arange(offs[-1]) - np.repeat(offs[:-1] - self.starts[which], counts)
@@ -102,15 +108,15 @@ class Lines:
 def _bands(short: np.ndarray, offs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Band keys (lines x bands) of the MinHash signatures of 32-bit hashes."""
     multipliers = (mix(np.arange(101, 101 + bands * rows, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-    out = np.empty((len(offs) - 1, bands), np.uint64)
-    scaled = np.empty_like(short)
-    for b in range(bands):
-        key = np.full(len(offs) - 1, (b + 1) * int(BASE) % (1 << 64), np.uint64)
-        for r in range(rows):
-            least = np.minimum.reduceat(np.multiply(short, multipliers[b * rows + r], out=scaled), offs[:-1])
-            key = mix(key ^ least.astype(np.uint64))
-        out[:, b] = key
-    return out
+    n = len(offs) - 1
+    least, scaled = np.empty((bands * rows, n), np.uint32), np.empty_like(short)
+    for i, m in enumerate(multipliers):
+        np.minimum.reduceat(np.multiply(short, m, out=scaled), offs[:-1], out=least[i])
+    keys = np.repeat(mix(np.arange(1, bands + 1, dtype=np.uint64) * BASE)[:, None], n, axis=1)
+    scales = mix(np.arange(901, 901 + rows, dtype=np.uint64)) | np.uint64(1)
+    for r in range(rows):
+        keys += least[r::rows] * scales[r]
+    return mix(keys).T
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -201,9 +207,9 @@ def _scan(bands: int, rows: int, buckets: int):
                 n_spots += len(spots[-1])
                 which = np.flatnonzero(np.array([k != 0 and not (k in seen or seen.add(k)) for k in lines.key.tolist()], bool))
                 short = which[(lengths[which] >= SHORT[0]) & (lengths[which] <= SHORT[1])]
-                for part, size, n, bit in ((which, SHINGLE, bands, 0), (short, SHORT_SHINGLE, SHORT_BANDS, SHORT_ITEM)):
+                for part, made, n, bit in ((which, lines.windows, bands, 0), (short, lines.short_windows, SHORT_BANDS, SHORT_ITEM)):
                     if len(part):
-                        tokens = _bands(*lines.windows(part, size), n, rows).ravel().view(np.int64)
+                        tokens = _bands(*made(part), n, rows).ravel().view(np.int64)
                         held.append(np.column_stack((tokens, np.repeat(lines.key[part] | bit, n))))
                         n_held += len(tokens)
                 if n_held >= POSTINGS:
@@ -420,17 +426,14 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     d, th, out = (new(c) for c in ("d", "th", "gone"))
     gone = gone.select(F.col("d").alias(d), F.col("th").alias(th), F.col("gone").alias(out))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(th))
-    parts = F.split("text", "\n", -1)
     marked = docs.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), same, "left")  # texts need no sort
-    flags = F.when(F.col(out).isNotNull(), _flags(F.col(out), _n_lines(F.col("text"))))
-    marked = marked.select(*[F.col(f"`{c}`") for c in own], flags.alias("line_keep"))
+    # a text is split once, and only where lines go
+    parts = new("parts")
+    marked = marked.select(*[F.col(f"`{c}`") for c in own], out, F.when(F.col(out).isNotNull(), F.split("text", "\n", -1)).alias(parts))
+    flags = F.when(F.col(out).isNotNull(), _flags(F.col(out), F.size(parts)))
+    marked = marked.select(*[F.col(f"`{c}`") for c in own], parts, flags.alias("line_keep"))
     kept = F.array_join(F.filter(parts, lambda x, i: F.get("line_keep", i)), "\n")
-    return marked.withColumn("kept_text", F.when(F.col("line_keep").isNull(), F.col("text")).otherwise(kept))
-
-
-def _n_lines(text):
-    """Number of lines of a text, without a copy of each."""
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return marked.withColumn("kept_text", F.when(F.col("line_keep").isNull(), F.col("text")).otherwise(kept)).drop(parts)
 
 
 def _flags(gone, n):
@@ -443,6 +446,6 @@ def _flags(gone, n):
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    n_lines = F.when(F.col("text") != "", _n_lines(F.col("text"))).otherwise(0)
+    n_lines = F.when(F.col("line_keep").isNotNull(), F.size("line_keep")).when(F.col("text") != "", F.size(F.split("text", "\n", -1))).otherwise(0)
     n_gone = F.coalesce(F.size(F.filter("line_keep", lambda x: ~x)), F.lit(0))
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), (n_lines - n_gone).cast("long").alias("n_kept"), F.col("kept_text").alias("text"))
