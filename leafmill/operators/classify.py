@@ -82,21 +82,31 @@ def is_font_obfuscated(text: Column) -> Column:
     return (F.length(text) >= 120) & (ratio >= F.when(F.length(text) < 200, 0.6).otherwise(0.35))
 
 
+def status_of(html: Column, title: Column, body: Column, paragraphs: Column, injected: Column | None = None) -> Column:
+    """the first classifier that holds, else OK."""
+    return (
+        F.when(is_anti_bot(html, F.lower(body)), "ANTI_BOT_OR_BLOCKED").when(is_not_found(title, body), "SITE_NOT_FOUND")
+        .when(is_removed(title, body, paragraphs), "CONTENT_REMOVED").when(is_auth_required(html, body, paragraphs, injected), "AUTH_REQUIRED")
+        .when(is_paywalled(html, body, paragraphs, injected), "PAYWALL_BLOCKED").otherwise("OK")
+    )
+
+
 def access_status(features: DataFrame) -> DataFrame:
-    """(page_id, status); the first classifier that holds, else OK. F26: a column `injected`, if there is one, exempts pages from log-in and payment."""
+    """(page_id, status) of `html.page_features`. F26: a column `injected`, if there is one, exempts pages from log-in and payment."""
     injected = F.coalesce(F.col("injected"), F.lit(False)) if "injected" in features.columns else None
-    f = {c: F.col(c) for c in ("html", "title", "body", "paragraphs")}
-    status = (
-        F.when(is_anti_bot(f["html"], F.lower(f["body"])), "ANTI_BOT_OR_BLOCKED").when(is_not_found(f["title"], f["body"]), "SITE_NOT_FOUND")
-        .when(is_removed(f["title"], f["body"], f["paragraphs"]), "CONTENT_REMOVED").when(is_auth_required(f["html"], f["body"], f["paragraphs"], injected), "AUTH_REQUIRED")
-        .when(is_paywalled(f["html"], f["body"], f["paragraphs"], injected), "PAYWALL_BLOCKED").otherwise("OK")
-    )
-    return features.select("page_id", "url", status.alias("status"))
+    return features.select("page_id", "url", status_of(*(F.col(c) for c in ("html", "title", "body", "paragraphs")), injected).alias("status"))
+
+
+def is_next_page(text: Column) -> Column:
+    return text.rlike("(?i)(下一页|next|>>|›)")
+
+
+def is_page_number(text: Column) -> Column:
+    return text.rlike(r"^\d+\s*/\s*\d+$") | text.rlike(r"第?\s*\d+\s*页")
 
 
 def pagination_hint(anchors: DataFrame) -> DataFrame:
     """(page_id, has_pagination, next_page_url) from link texts."""
     usable = anchors.where("text <> '' and abs_url <> ''")
-    nxt = F.col("text").rlike("(?i)(下一页|next|>>|›)")
-    page = F.col("text").rlike(r"^\d+\s*/\s*\d+$") | F.col("text").rlike(r"第?\s*\d+\s*页")
-    return usable.groupBy("page_id").agg(F.bool_or(page | nxt).alias("has_pagination"), F.min_by(F.when(nxt, F.col("abs_url")), F.when(nxt, F.col("pos"))).alias("next_page_url"))
+    nxt = is_next_page(F.col("text"))
+    return usable.groupBy("page_id").agg(F.bool_or(is_page_number(F.col("text")) | nxt).alias("has_pagination"), F.min_by(F.when(nxt, F.col("abs_url")), F.when(nxt, F.col("pos"))).alias("next_page_url"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import normalize_text
 from ..functions.urls import abs_url, url_host, url_path
 from . import classify as K
-from .html import page_features, tokenize_pages, unescape
+from .html import link_text, link_url, page_features, tokenize_pages, unescape
 
 # Tags that make blocks, blocks that may hold the text, and marks of regions without text.
 CONTAINERS = ("article", "main", "section", "div", "ul", "ol", "table", "nav", "footer", "aside", "header", "form", "button", "select", "textarea", "noscript", "iframe")
@@ -134,11 +134,15 @@ def least_length(body: Column, least: int = MIN_LENGTH) -> Column:
     return F.when(n > 0, F.least(F.lit(least), F.greatest(F.lit(60), F.floor(n * 0.95 + 0.5)))).otherwise(least).cast("int")
 
 
+def frames_elsewhere(html: Column, url: Column) -> Column:
+    """Whether a page has a frame from another host."""
+    sources = F.regexp_extract_all(html, F.lit(r"""(?is)<iframe\b[^>]*\bsrc=["']?([^"'\s>]+)"""), F.lit(1))
+    return F.exists(sources, lambda s: (abs_url(url, s) != "") & (url_host(abs_url(url, s)) != url_host(url)))
+
+
 def has_foreign_iframe(html: Column, url: Column, text_len: Column, least: Column | int = MIN_LENGTH) -> Column:
     """a short text on a page with a frame from another host."""
-    sources = F.regexp_extract_all(html, F.lit(r"""(?is)<iframe\b[^>]*\bsrc=["']?([^"'\s>]+)"""), F.lit(1))
-    other = F.exists(sources, lambda s: (abs_url(url, s) != "") & (url_host(abs_url(url, s)) != url_host(url)))
-    return F.coalesce((text_len < least) & other, F.lit(False))
+    return F.coalesce((text_len < least) & frames_elsewhere(html, url), F.lit(False))
 
 
 def validation_status(text: Column, is_directory: Column, has_next_page: Column, is_foreign: Column) -> Column:
@@ -146,42 +150,45 @@ def validation_status(text: Column, is_directory: Column, has_next_page: Column,
     return F.when(is_directory, "TOC_PAGE_SUSPECT").when(has_next_page, "PAGINATION_DETECTED").when(K.is_font_obfuscated(text), "FONT_OBFUSCATED").when(is_foreign, "IFRAME_CROSS_ORIGIN").otherwise("OK")
 
 
-def extract_pages(pages: DataFrame, anchors: DataFrame, least: int = MIN_LENGTH, rules: DataFrame | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, least: int = MIN_LENGTH, rules: DataFrame | None = None) -> DataFrame:
     """(page_id, status, strategy, title, content, score), one row a page.
 
     A blocked page keeps its status. Else the strategies with a score are tried
     from the best, equal ones in the order heuristic, structured; the first that is valid is
     taken, or the best with what it breaks. Without any: NO_MAIN_CONTENT.
     rules, as of `match_rules`, clean both candidates before they are scored.
+
+    What a page as a whole tells is worked out in its row; only that, and not
+    the page, meets its best text.
     """
     f = page_features(pages)
+    on = F.exists("links", lambda x: K.is_next_page(link_text(x)) & (link_url(x, F.col("url")) != ""))
     facts = f.select(
-        "page_id", "url", "html", "title",
+        "page_id", "title", structured_title(F.col("html"), F.col("title")).alias("other_title"), structured_text(F.col("html")).alias("other"),
         K.is_directory_page(*(F.col(c) for c in ("n_anchors", "link_len", "text_len", "n_p"))).alias("is_directory"), least_length(F.col("body"), least).alias("least"),
+        K.status_of(*(F.col(c) for c in ("html", "title", "body", "paragraphs"))).alias("access"), F.coalesce(on, F.lit(False)).alias("has_next_page"),
+        F.coalesce(frames_elsewhere(F.col("html"), F.col("url")), F.lit(False)).alias("elsewhere"),
     )
-    access = K.access_status(f).select("page_id", F.col("status").alias("access"))
-    hints = K.pagination_hint(anchors).select("page_id", (F.col("has_pagination") & F.col("next_page_url").isNotNull()).alias("has_next_page"))
     texts = best_text(pages).select("page_id", "content", "n_p")
-    facts = facts.withColumn("other", structured_text(F.col("html")))
     if rules is not None:
         matched = match_rules(pages, rules)
         texts = apply_rules(texts, matched).join(texts.select("page_id", "n_p"), "page_id")
         cleaned = apply_rules(facts.select("page_id", F.col("other").alias("content")), matched)
         facts = facts.drop("other").join(cleaned.withColumnRenamed("content", "other"), "page_id")
-    j = facts.join(access, "page_id").join(hints, "page_id", "left").join(texts, "page_id", "left").na.fill(False, ["has_next_page"])
+    j = facts.join(texts, "page_id", "left")
     other = F.col("other")
 
     def strategy(name: str, rank: int, title: Column, text: Column, n_p: Column) -> Column:
         score = candidate_score(text, n_p, F.col("is_directory"), F.col("least"))
-        status = validation_status(text, F.col("is_directory"), F.col("has_next_page"), has_foreign_iframe(F.col("html"), F.col("url"), F.length(text), F.col("least")))
+        status = validation_status(text, F.col("is_directory"), F.col("has_next_page"), F.col("elsewhere") & (F.length(text) < F.col("least")))
         return F.struct((status == "OK").alias("valid"), score.alias("score"), F.lit(-rank).alias("rank"), F.lit(name).alias("strategy"), status.alias("status"), title.alias("title"), text.alias("content"))
 
     both = F.array(
         strategy("heuristic", 0, F.col("title"), F.coalesce(F.col("content"), F.lit("")), F.coalesce(F.col("n_p"), F.lit(0))),
-        strategy("structured", 1, structured_title(F.col("html"), F.col("title")), other, F.size(F.split(other, "\n+"))),
+        strategy("structured", 1, F.col("other_title"), other, F.size(F.split(other, "\n+"))),
     )
     chosen = F.array_max(F.filter(both, lambda s: s["score"] >= 0))
-    j = j.withColumn("chosen", chosen)
+    j = j.select("page_id", "access", chosen.alias("chosen"))
     blocked = F.col("access") != "OK"
     status = F.when(blocked, F.col("access")).otherwise(F.coalesce("chosen.status", F.lit("NO_MAIN_CONTENT")))
     return j.select("page_id", status.alias("status"), *[F.when(~blocked, F.col(f"chosen.{c}")).alias(c) for c in ("strategy", "title", "content", "score")])

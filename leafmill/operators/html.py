@@ -73,8 +73,18 @@ def strip_attrs(html: Column, keep_images: bool = False) -> Column:
     return F.regexp_replace(out, r"(?s)<([A-Za-z0-9]+)\s[^>]*>", "<$1>")
 
 
+def link_text(raw: Column) -> Column:
+    """Label of a whole link."""
+    return normalize_text(unescape(F.regexp_replace(raw, "<[^>]+>", "")))
+
+
+def link_url(raw: Column, base: Column) -> Column:
+    """Absolute address of a whole link on a page."""
+    return abs_url(base, unescape(F.regexp_extract(raw, r"""(?is)^<a\b[^>]*?\bhref=["']?([^"'\s>]*)""", 1)))
+
+
 def page_features(pages: DataFrame) -> DataFrame:
-    """A4: lengths and counts of each page, all row-local."""
+    """A4: lengths and counts of each page, and its links as they are written; all row-local."""
     # in steps, so that no pass over a page is made twice
     seen = pages.select("page_id", "url", "html", visible(F.col("html")).alias("seen"))
     v = F.col("seen")
@@ -85,6 +95,6 @@ def page_features(pages: DataFrame) -> DataFrame:
     )
     link_text = normalize_text(unescape(F.array_join(F.transform("links", lambda x: F.regexp_replace(x, "<[^>]+>", "")), " ")))
     return parts.select(
-        "page_id", "url", "html", "title", "body", "paragraphs", F.size("links").cast("long").alias("n_anchors"), F.length(link_text).cast("long").alias("link_len"),
+        "page_id", "url", "html", "title", "body", "paragraphs", "links", F.size("links").cast("long").alias("n_anchors"), F.length(link_text).cast("long").alias("link_len"),
         F.length("body").cast("long").alias("text_len"), "n_p", F.regexp_count("body", F.lit("[。！？.!?]")).cast("long").alias("n_sentences"),
     )

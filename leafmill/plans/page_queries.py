@@ -84,7 +84,7 @@ def _(spark, d):
 @_add("x8_extract_pages")
 def _(spark, d):
     pages = _pages(spark, d)
-    return X.extract_pages(pages, H.anchors(pages)).withColumn("score", F.round("score", 6))
+    return X.extract_pages(pages).withColumn("score", F.round("score", 6))
 
 
 @_add("x8_ruled_pages", """SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'NO_MAIN_CONTENT' ELSE 'OK' END AS status, CASE WHEN page_id % 3 <> 2 THEN concat('Chapter ', page_id, chr(10), chr(10), repeat('A sentence of the text. ', 12), 'end') END AS content FROM pages""")
@@ -95,7 +95,7 @@ def _(spark, d):
     body = F.concat(F.lit("<p>share</p><p>menu of the site</p><p>Chapter "), i, F.lit("</p><p>"), F.repeat(short, F.lit(12)), F.lit("end</p><p>Copyright "), F.repeat(F.lit("x. "), F.lit(80)), F.lit("</p>"))
     pages = _pages(spark, d).select("page_id", F.concat(F.lit("https://www.rule.example/"), i).alias("url"), F.concat(F.lit("<html><body><article>"), body, F.lit("</article></body></html>")).alias("html"))
     rules = spark.sql("SELECT 'rule.example' AS host_suffix, CAST(NULL AS STRING) AS path_regex, 1 AS rule_order, '^(login|share)$' AS drop_line_regex, array('AD') AS drop_phrases, 'Chapter [0-9]+' AS heading_regex, 'Copyright' AS footer_regex")
-    return X.extract_pages(pages, H.anchors(pages), rules=rules).select("page_id", "status", "content")
+    return X.extract_pages(pages, rules=rules).select("page_id", "status", "content")
 
 @_add("x9_region_text")
 def _(spark, d):

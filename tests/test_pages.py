@@ -22,7 +22,7 @@ def test_extracts_the_block_without_noise(spark):
         ("https://a.example/b/4", '<script type="application/ld+json">{"@graph":[{"articleBody":"' + "A sentence of the story. " * 20 + '\\"end\\""}]}</script><script type="application/ld+json">{bad</script>'),
         ("https://a.example/b/5", "<title>404</title>"),
     )
-    got = {r.page_id: r for r in extract.extract_pages(p, html.anchors(p)).collect()}
+    got = {r.page_id: r for r in extract.extract_pages(p).collect()}
     assert [got[i].status for i in range(5)] == ["OK", "NO_MAIN_CONTENT", "NO_MAIN_CONTENT", "OK", "SITE_NOT_FOUND"]
     assert got[0].strategy == "heuristic" and "第11段" in got[0].content and "分享" not in got[0].content and "菜单" not in got[0].content
     assert got[3].strategy == "structured" and got[3].content.endswith('"end"')
@@ -30,7 +30,7 @@ def test_extracts_the_block_without_noise(spark):
 
 def test_pagination_and_stated_length(spark):
     p = pages(spark, ("https://a.example/1", f"<article>{BODY}</article><a href='/1?page=2'>下一页</a>"), ("https://a.example/2", f"<p>本章字数：100</p><article>{BODY[:300]}</article>"))
-    got = {r.page_id: r.status for r in extract.extract_pages(p, html.anchors(p)).collect()}
+    got = {r.page_id: r.status for r in extract.extract_pages(p).collect()}
     assert got == {0: "PAGINATION_DETECTED", 1: "OK"}
 
 
