@@ -8,6 +8,18 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CHUNK_BYTES = 1 << 18
+BATCH_BYTES = 1 << 23
+
+
+def bounded_batches(spark) -> None:
+    """Holds batches of rows for Python to about BATCH_BYTES in this session.
+
+    Spark's own limit is 64 MB, and a task has several copies of a batch, in
+    the JVM and in Python; texts fill it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

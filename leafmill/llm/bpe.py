@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow_text import chunks, utf8
+from .arrow_text import bounded_batches, chunks, utf8
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 # The same split for texts of code points under U+0250, where letters and numbers are few ranges.
@@ -260,6 +260,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = True) -> DataF
     rows; a null doc_id stays null. Other columns are ignored. An empty table
     gives an empty table.
     """
+    bounded_batches(docs.sparkSession)
     tables = docs.sparkSession.sparkContext.broadcast(read_tables(path))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(_run(tables, with_ids), schema)

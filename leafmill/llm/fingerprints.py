@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow_text import mix
+from .arrow_text import bounded_batches, mix
 
 MODULI = (2147483647, 2147483629)
 BASES = (1264589137, 718281828)
@@ -175,6 +175,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     next row; each range also gets the first row of the range after it.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce("doc_id", F.lit(LEAST)))
     n = max(n, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PARTITION_BYTES)

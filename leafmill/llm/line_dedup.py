@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow_text import BASE, INVERSE, chunks, distinct, mix, powers, utf8
+from .arrow_text import BASE, INVERSE, bounded_batches, chunks, distinct, mix, powers, utf8
 from .components import components, release, settle, store
 from .overlap import SLICE_ITEMS, Block, deal_blocks, forest, is_few, open_tokens, open_visits, sliced
 
@@ -17,7 +17,7 @@ SHORT, SHORT_SHINGLE, SHORT_BANDS = (24, 64), 3, 20
 SHORT_ITEM = 2
 """A short line is two items: its key, by windows of SHINGLE, and its key with this bit, by SHORT_SHINGLE."""
 CHUNK = 1 << 18
-POSTINGS, PLACES = 1 << 19, 1 << 17
+POSTINGS, PLACES = 1 << 18, 1 << 16
 """As many postings and places of lines a map task holds before it sends them on."""
 STAR, PAIR, FIRST, GONE, POSTING, PLACE = range(6)
 FEW_LINES = 1_000_000
@@ -367,6 +367,7 @@ def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: Data
     star = found.where(F.col("kind") == STAR).select(F.col("a").alias("token"), F.col("b").alias("item"), F.col("c").alias("centre"))
     centres = pairs.select(F.col("centre").alias("k"), F.col("centre").alias("block")).distinct()
     links = settle(links_of(pairs.select(F.col("item").alias("k"), F.col("centre").alias("block")), centres).distinct())
+    release(found.sparkSession)
     roots = components(links)
     # two items that are a token's only ones are compared; of more, those that the star has not joined still are to be
     several = star.groupBy("token").agg(F.count("*").alias("c")).where("c > 2").select("token")
@@ -399,6 +400,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     an empty table.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.drop("line_keep", "kept_text")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("text <> ''")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow_text import chunks, set_keys, shingles, utf8, words
+from .arrow_text import bounded_batches, chunks, set_keys, shingles, utf8, words
 from .components import settle
 from .overlap import is_few, link_components
 from .postings import SCHEMA, Packer, shared_tokens
@@ -142,6 +142,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     cannot link and go; the others are compared by `overlap.link_components`.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = settle(docs.mapInArrow(_survey(size, HOT_TOKENS), "doc_id long, k long, n long, token long"))
     top = (

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .arrow_text import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 TRAIN_ROWS, TRAIN_WINDOWS = 400, 2000
@@ -406,6 +408,7 @@ def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, max_windows: int = TRAIN_WI
     they teach the tagger what the rules cannot find. Rows that repeat a doc_id
     all count, within max_windows.
     """
+    bounded_batches(docs.sparkSession)
     triggered = docs.where("text rlike '[0-9@]' and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     chosen = triggered.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")

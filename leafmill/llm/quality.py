@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow_text import chunks, utf8, words
+from .arrow_text import bounded_batches, chunks, utf8, words
 from .toxicity import _is_held_out, bounded_sample
 
 TRAIN_ROWS = 6_000
@@ -172,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Atten
                 bounds = (np.searchsorted(owner, np.arange(hi - lo + 1)) * N_FEATURES).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.ravel()))], names=["y", "x"])
 
+    bounded_batches(docs.sparkSession)
     rows = bounded_sample(docs, labels, "quality", max_rows).mapInArrow(features, "y int, x array<float>").toPandas()
     model = AttentionModel()
     if not len(rows):

@@ -196,8 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Toxic
     or labels gives a scorer all the same. Other columns are ignored, and a
     very long text is matched whole in time linear in its length.
     """
+    from .arrow_text import bounded_batches
     from .components import settle
 
+    bounded_batches(docs.sparkSession)
     sample = settle(bounded_sample(docs, labels, "toxic", max_rows))
     terms = learn_terms(sample)
 
