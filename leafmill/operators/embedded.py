@@ -80,7 +80,8 @@ def inline_chapters(pages: DataFrame, cap: int = 20) -> DataFrame:
     rest = _masked(_after(F.coalesce("html", F.lit("")), '"chapterInfos":['))
     parts = pages.select("page_id", "url", F.split(rest, '"').alias("s"))
     ends = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i % 2 == 0) & F.contains(F.get("s", i), F.lit("]")))
-    cut = parts.where("s is not null").withColumn("e", F.get(ends, F.lit(0))).where("e is not null")
+    # no filter on what is cut: Spark would move it under the split, and split anew for each part; nulls give no rows
+    cut = parts.withColumn("e", F.get(ends, F.lit(0)))
     array = F.concat(F.lit("["), F.array_join(F.concat(F.slice("s", 1, F.col("e")), F.array(F.substring_index(F.get("s", F.col("e")), "]", 1))), '"'), F.lit("]"))
     rows = cut.select("page_id", "url", F.from_json(_unmasked(array), "array<struct<title:string,chapterIdx:long>>").alias("c"))
     kept = F.filter("c", lambda x: (squeeze(x["title"]) != "") & ~squeeze(x["title"]).rlike(r"^\d{1,3}$") & ~is_utility_nav(x["title"]))
