@@ -22,7 +22,7 @@ NCX = "application/x-dtbncx+xml"
 
 
 def scan_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, title, content) of whole files; the title is the name without .txt."""
+    """(path, title, content) of whole files; the title is the name without .txt. Spark's reader leaves out files without bytes."""
     f = spark.read.format("binaryFile").load(path)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.txt$", "")
     return f.select("path", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("未命名")).alias("title"), "content")
