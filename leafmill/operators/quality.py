@@ -202,9 +202,9 @@ def site_table(checked: DataFrame) -> DataFrame:
     return checked.select("site_id", *CHECKS, "status", reasons.alias("reasons"), issues.alias("issues"), ((reasons == "") & (issues == "")).alias("passed"))
 
 
-def write_report(checked: DataFrame, summary: DataFrame, path: str) -> None:
-    """The table of sites as JSON under path/rows, those that fail under path/failures, and the summary as CSV under path/summary."""
-    table = site_table(checked)
-    table.write.mode("overwrite").json(f"{path}/rows")
-    table.where(~F.col("passed")).select("site_id", "reasons", "issues").write.mode("overwrite").json(f"{path}/failures")
+def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """The rows, of `site_table` or others, as JSON under path/rows, those with a false `passed` under path/failures, and the summary as CSV under path/summary."""
+    results.write.mode("overwrite").json(f"{path}/rows")
+    if "passed" in results.columns:
+        results.where(~F.col("passed")).write.mode("overwrite").json(f"{path}/failures")
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/summary")

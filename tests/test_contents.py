@@ -107,7 +107,7 @@ def test_text_files_and_reports(spark, tmp_path):
     rows = [(1, "OK", "t", 50, 100, 3, True), (2, "OK", " ", 50, 10, 0, False)]
     sites = spark.createDataFrame(rows, "site_id long, status string, title string, detail_len int, content_len int, n_toc int, has_next boolean")
     checked = quality.site_checks(sites, spark.createDataFrame([], "site_id long, requires_login boolean, expected_codes array<string>"))
-    quality.write_report(checked, quality.run_summary(quality.site_table(checked), F.col("passed")), str(tmp_path / "report"))
+    quality.write_report(quality.site_table(checked), quality.run_summary(quality.site_table(checked), F.col("passed")), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report/rows")).count() == 2
     failed = spark.read.json(str(tmp_path / "report/failures")).collect()
     assert [r.site_id for r in failed if re.search("content", r.reasons)] and {r.site_id for r in failed} >= {2}
