@@ -26,7 +26,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     the same lines. n_chars is counted anew where a text has changed.
     """
     columns = docs.columns
-    found = line_dedup.dedup_lines(docs.select(F.col("doc_id"), F.col("text"), F.struct("*").alias("row_")))
+    others = F.struct(*[F.col(f"`{c}`") for c in columns if c != "text"])  # beside the text, so that no name meets the operator's
+    found = line_dedup.dedup_lines(docs.select("doc_id", "text", others.alias("row_")))
     emptied = F.col("line_keep").isNotNull() & ~F.col("kept_text").rlike(r"[^\s\x{A0}\x{3000}]")
     n_chars = lambda: F.when(F.col("line_keep").isNull(), F.col("row_.n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType)
     new = {"text": lambda: F.col("kept_text"), "n_chars": n_chars}
