@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 SCALE = 64
 BLOCK, LEAST_BLOCK = 16_384, 2_048
 """Vectors of a block; where that leaves partitions without a block, blocks are smaller, down to LEAST_BLOCK."""
-QUERIES = 256
-"""Queries that pass a block at once."""
+QUERIES = 128
+"""Queries that pass a block at once, so that their sums stay in a core's cache."""
 HELD = 2**62
 """Components are exact below this; a larger one is held as this, with its sign. Scores beyond 64 bits likewise."""
-EXACT = 2**52
+EXACT, SINGLE = 2**52, 2**24
+"""Sums of whole numbers below these are exact in float64 and float32."""
 
 
 class ImpactIndex:
@@ -76,19 +77,24 @@ class ImpactIndex:
             else:
                 waiting.append(q)
         waiting = np.array(waiting, np.int64)
-        scores = np.zeros((n, len(waiting)))
+        most = self.top * int(np.abs(queries[waiting]).sum(axis=1).max(initial=0))
+        kind = np.float32 if most < SINGLE else np.float64
+        scores = np.zeros((n, len(waiting)), kind)
         for at, (runs, left, lengths) in enumerate(self.segments):
             asked = queries[waiting].T.astype(np.float64)
+            factors = np.ascontiguousarray(asked, kind)
             for d, owner, value in runs:
-                scores[owner] += value[:, None] * asked[d]
+                part = scores[owner]
+                part += value.astype(kind)[:, None] * factors[d]
+                scores[owner] = part
             last = at == len(self.segments) - 1
             stays = np.ones(len(waiting), bool)
             for j, q in enumerate(waiting.tolist()):
-                low, high = self._bounds(asked[:, j], scores[:, j], left, lengths, barred[q])
+                low, high = self._bounds(asked[:, j], scores[:, j].astype(np.float64), left, lengths, barred[q])
                 floor = np.partition(low, n - k)[n - k]
                 possible = np.flatnonzero((high >= floor) & (high > -np.inf))
                 # proof: none of the others can reach the k-th least score; what is possible is scored exactly
-                if last or len(possible) <= max(4 * k, n // 64):
+                if last or len(possible) <= max(4 * k, n // 4):
                     out[q] = self._best(queries[q], possible, k)
                     stays[j] = False
             waiting, scores = waiting[stays], scores[:, stays]
