@@ -56,7 +56,7 @@ def _(spark, d):
     return S.table(spark, d, "pages").select("page_id", B.resolve_path(F.lit("ops/book.opf"), href).alias("path"))
 
 
-@_add("s4_flatten_archives", """SELECT book_id AS archive, (row_number() OVER (PARTITION BY book_id ORDER BY order_index) - 1)::INT AS order_index, concat('Part ', order_index, ' of ', book_id) AS title, sha256(concat('Part ', order_index, ' of ', book_id, chr(10), regexp_replace(regexp_replace(replace(coalesce(content_text, ''), chr(13) || chr(10), chr(10)), '[ \t　 ]+\n', chr(10), 'g'), '[\s　 ]+$', ''), CASE WHEN content_text IS NULL THEN '' ELSE '' END)) AS sha FROM v_items WHERE order_index % 5 <> 3""")
+@_add("s4_flatten_archives", r"""SELECT book_id AS archive, (row_number() OVER (PARTITION BY book_id ORDER BY order_index) - 1)::INT AS order_index, concat('Part ', order_index, ' of ', book_id) AS title, sha256(concat('Part ', order_index, ' of ', book_id, chr(10), regexp_replace(regexp_replace(replace(coalesce(content_text, ''), chr(13) || chr(10), chr(10)), '[ \t　 ]+\n', chr(10), 'g'), '[\s　 ]+$', ''))) AS sha FROM v_items WHERE order_index % 5 <> 3""")
 def _(spark, d):
     """Each conversation as a book: its turns are members, their package is derived from them; every fifth member is missing."""
     i = S.items(spark, d).select(F.col("book_id").alias("archive"), "order_index", "content_text")
