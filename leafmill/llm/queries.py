@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, line_dedup, mixing, ngram_join, pii, quality, topk, toxicity
+from . import bpe, chat, fingerprints, html_extraction, line_dedup, merkle, mixing, ngram_join, pii, quality, topk, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe": bpe.query,
         "op9_quality": quality.query,
         "op10_toxicity": toxicity.query,
+        "op11_html": html_extraction.query,
+        "op12_merkle": merkle.query,
+        "op13_whitening": whitening.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL where it can say the same: chat formatting, mixing and top-k search."""
-    return {"op4_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_topk": topk.SQL}
+    """SQL where it can say the same: chat formatting, mixing, top-k search and manifests."""
+    return {"op4_chat": chat.SQL, "op6_mixing": mixing.SQL, "op7_topk": topk.SQL, "op12_merkle": merkle.SQL}
