@@ -166,8 +166,8 @@ def _gram(z: np.ndarray):
     return z.T @ z
 
 
-def _totals(df: DataFrame, d: int, cells: Callable[[np.ndarray], list], kind: str) -> dict[int, object]:
-    """cell to its sum over all rows of x; `cells` gives a list of as many numbers for each block of rows.
+def _totals(df: DataFrame, d: int, cell: str, cells: Callable[[np.ndarray], list], kind: str) -> dict[int, object]:
+    """Number of a `cell` to its sum over all rows of x; `cells` gives a list of as many numbers for each block of rows.
 
     Each task sends on one row a cell, so what the driver gets is as long as
     there are cells, whatever the number of rows.
@@ -182,10 +182,10 @@ def _totals(df: DataFrame, d: int, cells: Callable[[np.ndarray], list], kind: st
                 part = cells(x[lo : lo + BLOCK])
                 total = part if total is None else [a + b for a, b in zip(total, part)]
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total, arrow)], names=["cell", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total, arrow)], names=[cell, "value"])
 
-    found = df.select("x").mapInArrow(run, f"cell long, value {kind}").groupBy("cell").agg(F.sum("value").alias("value"))
-    return {r["cell"]: r["value"] for r in found.collect()}
+    found = df.select("x").mapInArrow(run, f"{cell} long, value {kind}").groupBy(cell).agg(F.sum("value").alias("value"))
+    return {r[cell]: r["value"] for r in found.collect()}
 
 
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
@@ -211,13 +211,13 @@ class Whitening:
     """
 
     def __init__(self, fit: DataFrame, d: int, wanted: int = COMPONENTS):
-        sums = _totals(fit, d, lambda x: [len(x), *x.astype(object).sum(axis=0)], "decimal(38,0)")
+        sums = _totals(fit, d, "dimension", lambda x: [len(x), *x.astype(object).sum(axis=0)], "decimal(38,0)")
         self.d, self.n = d, int(sums[0])
         n, s = self.n, [int(sums[k + 1]) for k in range(d)]
         self.centre = centre = np.array([(2 * t + n) // (2 * n) for t in s], np.int64)
         self.rest = [t - n * int(c) for t, c in zip(s, centre)]
         upper = np.triu_indices(d)
-        products = _totals(fit, d, lambda x: [int(p) for p in _gram(x - centre)[upper]], "decimal(38,0)")
+        products = _totals(fit, d, "product", lambda x: [int(p) for p in _gram(x - centre)[upper]], "decimal(38,0)")
         v, trace = np.zeros((d, d)), 0
         for cell, (i, j) in enumerate(zip(*(u.tolist() for u in upper))):
             exact = n * int(products[cell]) - self.rest[i] * self.rest[j]
@@ -235,7 +235,7 @@ class Whitening:
             w = project(x)
             return [*w.sum(axis=0).tolist(), *(w.T @ w).ravel().tolist()]
 
-        got = _totals(fit, d, cells, "double")
+        got = _totals(fit, d, "moment", cells, "double")
         mean = np.array([got[c] for c in range(k)]) / n
         second = np.array([got[k + c] for c in range(k * k)]).reshape(k, k) / n
         self.identity_error = float(np.abs(second - np.outer(mean, mean) - np.eye(k)).max())
