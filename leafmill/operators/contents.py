@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import trim
 from ..functions.urls import abs_url, url_fingerprint, url_host
-from .extract import block_tokens
 from .html import page_title, unescape
 from .links import is_chapter_href, is_chapter_link_text
+from .nesting import links_of, nested
 from .quality import toc_quality
 
 # Titles of pages of contents, the containers that may hold one, and links that lead to one.
@@ -23,51 +23,83 @@ def _attribute(raw: Column, name: str) -> Column:
     return F.regexp_extract(raw, rf"""(?is)\b{name}=["']?([^"'>]*)""", 1) if name == "class" else F.regexp_extract(raw, rf"""(?is)\b{name}=["']?([^"'\s>]*)""", 1)
 
 
-def linked_tokens(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(anchors, blocks) of pages: (page_id, at, text, url) of each link with an address, and (page_id, start, end, tag, id, classes) of each block."""
-    t = block_tokens(pages).join(pages.select("page_id", F.col("url").alias("base")), "page_id")
-    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = Window.partitionBy("page_id", "level").orderBy("pos")
-    is_open, is_close = [(F.col("kind") == k) & (F.col("tag") == "a") for k in ("open", "close")]
-    number = F.sum(is_open.cast("int")).over(page)
-    inside = F.sum(F.when(is_open, 1).when(is_close, -1).otherwise(0)).over(page) > 0
-    t = t.withColumn("no", number).withColumn("inside", inside).withColumn("end", F.lead("pos").over(level))
-    words = F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", unescape(F.col("raw")).alias("x")))))
-    href = F.max(F.when(is_open, F.regexp_extract("raw", r"""(?is)\bhref=["']?([^"'\s>]*)""", 1)))
-    links = t.where("inside").groupBy("page_id", "no").agg(F.min("pos").alias("at"), F.first("base").alias("base"), href.alias("href"), words.alias("w"))
-    text = trim(F.array_join(F.transform("w", lambda x: x["x"]), ""))
-    anchors = links.where("href <> ''").select("page_id", "at", text.alias("text"), abs_url(F.col("base"), unescape(F.col("href"))).alias("url"))
-    blocks = t.where("opens = 1").select("page_id", F.col("pos").alias("start"), F.coalesce("end", F.lit(1 << 30)).alias("end"), "tag", _attribute(F.col("raw"), "id").alias("id"), F.split(_attribute(F.col("raw"), "class"), r"\s+").alias("classes"))
-    return anchors, blocks
-
-
 def is_like_chapter(text: Column, url: Column) -> Column:
     return is_chapter_link_text(text) | is_chapter_href(url)
 
 
-def contents_titles(pages: DataFrame) -> DataFrame:
-    """(page_id, least): 3 links make a list on a page whose title or first heading names contents, 6 on others."""
-    html = F.coalesce("html", F.lit(""))
+def least_links(html: Column) -> Column:
+    """3 links make a list on a page whose title or first heading names contents, 6 on others."""
+    html = F.coalesce(html, F.lit(""))
     named = F.concat_ws(" ", page_title(html), F.regexp_replace(F.regexp_extract(html, "(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", "")).rlike(CONTENTS_TITLE)
-    return pages.select("page_id", F.when(named, 3).otherwise(6).alias("least"))
+    return F.when(named, 3).otherwise(6)
+
+
+def linked_pages(pages: DataFrame) -> DataFrame:
+    """One row a page: page_id, least, blocks and links of `nested`, the links as (at, text, url, tables, fp, label, href_like, like).
+
+    label and href_like: whether text and address look like a chapter's; like:
+    either, of a link with both.
+    """
+    t = nested(pages.select("*", least_links(F.col("html")).alias("least_")), "url", "least_")
+    named = F.transform("links", lambda x: F.struct(x["at"].alias("at"), trim(x["text"]).alias("text"), abs_url(F.col("url"), unescape(x["href"])).alias("url"), x["tables"].alias("tables")))
+
+    def rated(x: Column) -> Column:
+        label, href = is_chapter_link_text(x["text"]) & (x["text"] != ""), is_chapter_href(x["url"])
+        return F.struct(*[x[c].alias(c) for c in ("at", "text", "url", "tables")], url_fingerprint(x["url"]).alias("fp"), label.alias("label"), href.alias("href_like"))
+
+    whole = lambda x: F.struct(*[x[c].alias(c) for c in ("at", "text", "url", "tables", "fp", "label", "href_like")], ((x["text"] != "") & (x["url"] != "") & (x["label"] | x["href_like"])).alias("like"))
+    return t.select("page_id", F.col("least_").alias("least"), "blocks", F.transform(F.transform(named, rated), whole).alias("links"))
+
+
+def rated_list(block: Column, links: Column, least: Column) -> Column:
+    """(quality, m, start, tag, first, n) of a <ul> or <ol>; null for other blocks and for lists with too few links or long labels.
+
+    The quality is 3 a label and 2 an address like a chapter's, and 1 a link.
+    """
+    held = links_of(block, links)
+    shown = F.filter(held, lambda x: x["text"] != "")
+    mean = F.try_divide(F.aggregate(shown, F.lit(0), lambda n, x: n + F.length(x["text"])), F.size(shown))
+    count = lambda flag: F.size(F.filter(held, lambda x: x[flag]))
+    good = block["tag"].isin("ul", "ol") & (block["n"] >= least) & (F.coalesce(mean, F.lit(0.0)) <= MEAN_LABEL)
+    parts = (3 * count("label") + 2 * count("href_like") + block["n"]).alias("quality"), (-block["start"]).alias("m"), *[block[c].alias(c) for c in ("start", "tag", "first", "n")]
+    return F.when(good, F.struct(*parts))
+
+
+def best_lists(pages: DataFrame) -> DataFrame:
+    """(page_id, start, tag, quality): the list of the best quality of each page, the first if several are equal."""
+    best = F.array_max(F.filter(F.transform("blocks", lambda b: rated_list(b, F.col("links"), F.col("least"))), lambda r: r.isNotNull()))
+    return linked_pages(pages).select("page_id", best.alias("b")).where("b is not null").select("page_id", "b.start", "b.tag", "b.quality")
+
+
+def _is_container(kind: str, value: str):
+    if kind == "tag":
+        return lambda b: b["tag"] == value
+    if kind == "id":
+        return lambda b: _attribute(b["raw"], "id") == value
+    return lambda b: F.array_contains(F.split(_attribute(b["raw"], "class"), r"\s+"), value)
+
 
+def _steps(kinds: int) -> Column:
+    """The links that each step of the cascade gives, as (fp, step, at, text, url, like), from columns best, links and blocks."""
+    def at_step(i: int):
+        return lambda x: F.struct(x["fp"].alias("fp"), F.lit(i).alias("step"), *[x[c].alias(c) for c in ("at", "text", "url", "like")])
 
-def rated_lists(anchors: DataFrame, blocks: DataFrame, titles: DataFrame) -> DataFrame:
-    """(page_id, start, end, n, quality) of the <ul> and <ol> with enough links and short labels: 3 a label and 2 an address like a chapter's, and 1 a link."""
-    lists = blocks.where("tag in ('ul', 'ol')").select("page_id", "start", "end")
-    held = lists.join(anchors, "page_id").where("at > start and at < end")
-    shown = F.col("text") != ""
-    rated = held.groupBy("page_id", "start", "end").agg(
-        F.count("*").alias("n"), F.coalesce(F.avg(F.when(shown, F.length("text"))), F.lit(0.0)).alias("mean"),
-        (3 * F.count_if(shown & is_chapter_link_text(F.col("text"))) + 2 * F.count_if(is_chapter_href(F.col("url"))) + F.count("*")).alias("quality"),
-    )
-    return rated.join(titles, "page_id").where((F.col("n") >= F.col("least")) & (F.col("mean") <= MEAN_LABEL)).drop("least", "mean")
+    usable = F.filter("links", lambda x: (x["text"] != "") & (x["url"] != ""))
+    like = F.filter("links", lambda x: x["like"])
+    listed = F.when(F.col("best").isNotNull(), F.filter(links_of(F.col("best"), F.col("links")), lambda x: (x["text"] != "") & (x["url"] != "")))
+    in_table = F.filter(usable, lambda x: (x["tables"] > 0) & (F.length(x["text"]) <= 90))
+    parts = [F.transform(listed, at_step(0)), F.when(F.size(in_table) >= ENOUGH, F.transform(in_table, at_step(1)))]
+    for i, (kind, value) in enumerate(CONTAINERS[:-1], 2):
+        root = F.get(F.filter("blocks", _is_container(kind, value)), F.lit(0))
+        held = F.slice(F.filter(links_of(root, F.col("links")), lambda x: x["like"]), 1, CONTAINER_CAP)
+        parts.append(F.transform(held, at_step(i)))
+    parts.append(F.transform(F.slice(like, 1, CONTAINER_CAP), at_step(kinds - 1)))
+    return F.concat(*[F.coalesce(p, F.slice(parts[-1], 1, 0)) for p in parts])
 
 
-def best_list(rated: DataFrame) -> DataFrame:
-    """The list of the best quality of each page, the first if several are equal."""
-    best = F.max(F.struct("quality", (-F.col("start")).alias("m"), "start", "end")).alias("b")
-    return rated.groupBy("page_id").agg(best).select("page_id", "b.start", "b.end", "b.quality")
+def _first_of_each(column: str) -> Column:
+    """Of sorted structs that begin with fp the first of each fp."""
+    return F.filter(F.col(column), lambda x, i: (i == 0) | (F.get(F.col(column), i - 1)["fp"] != x["fp"]))
 
 
 def page_contents(pages: DataFrame) -> DataFrame:
@@ -79,48 +111,34 @@ def page_contents(pages: DataFrame) -> DataFrame:
     at its first place. If some look like chapters only these stay; if fewer
     than 2 do, or under 0.35 of 6 or more, all links of the page that look like
     chapters take their place, if there are 2. The source is list, table,
-    mixed, or none; a page without links gives no rows.
+    mixed, or none; a page without links gives no rows. All of it is array work
+    in the row of a page; rows that share a page_id stay apart.
     """
-    anchors, blocks = linked_tokens(pages)
-    links = anchors.where("text <> '' and url <> ''").withColumn("fp", url_fingerprint(F.col("url"))).withColumn("like", is_like_chapter(F.col("text"), F.col("url")))
-    titles = contents_titles(pages)
-    best = best_list(rated_lists(anchors, blocks, titles))
-    parts = [links.join(best, "page_id").where("at > start and at < end").select("page_id", "at", F.lit(0).alias("step"), "fp")]
-    tables = blocks.where("tag = 'table'").select("page_id", "start", "end")
-    in_table = links.where(F.length("text") <= 90).join(tables, "page_id").where("at > start and at < end").select("page_id", "at", "fp").distinct()
-    several = Window.partitionBy("page_id")
-    parts.append(in_table.withColumn("n", F.count("*").over(several)).where(F.col("n") >= ENOUGH).select("page_id", "at", F.lit(1).alias("step"), "fp"))
-    kinds = [F.when(F.col("tag") == v, i) if k == "tag" else F.when((F.col("id") == v) if k == "id" else F.array_contains("classes", v), i) for i, (k, v) in enumerate(CONTAINERS[:-1], 2)]
-    roots = blocks.select("page_id", "start", "end", F.explode(F.array_compact(F.array(*kinds))).alias("step"))
-    roots = roots.groupBy("page_id", "step").agg(F.min(F.struct("start", "end")).alias("r")).select("page_id", "step", "r.start", "r.end")
-    last = len(CONTAINERS) + 1
-    like = links.where("like")
-    held = roots.join(like, "page_id").where("at > start and at < end").select("page_id", "at", "step", "fp").unionByName(like.select("page_id", "at", F.lit(last).alias("step"), "fp"))
-    held = held.withColumn("rn", F.row_number().over(Window.partitionBy("page_id", "step").orderBy("at"))).where(F.col("rn") <= CONTAINER_CAP).drop("rn")
-    every = parts[0].unionByName(parts[1]).unionByName(held)
-    first = every.groupBy("page_id", "fp").agg(F.min(F.struct("step", "at")).alias("m")).select("page_id", "m.step", "m.at")
+    kinds = len(CONTAINERS) + 2
+    best = F.array_max(F.filter(F.transform("blocks", lambda b: rated_list(b, F.col("links"), F.col("least"))), lambda r: r.isNotNull()))
+    t = linked_pages(pages).select("page_id", "links", "blocks", best.alias("best"))
+    like = F.transform(F.filter("links", lambda x: x["like"]), lambda x: F.struct(x["fp"].alias("fp"), F.lit(0).alias("step"), *[x[c].alias(c) for c in ("at", "text", "url", "like")]))
+    t = t.select("page_id", F.array_sort(_steps(kinds)).alias("every"), F.array_sort(like).alias("likes"))
+    t = t.select("page_id", _first_of_each("every").alias("first"), _first_of_each("likes").alias("likes"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(kinds - 1)), lambda k: F.size(F.filter("first", lambda x: x["step"] == k)))
+    by_place = lambda a: F.array_sort(F.transform(a, lambda x: F.struct(*[x[c].alias(c) for c in ("step", "at", "text", "url", "like")])))
+    t = t.select("page_id", by_place("first").alias("first"), F.slice(by_place("likes"), 1, CONTAINER_CAP).alias("rescued"), counts.alias("n"))
     # what the steps before have found decides whether a step is made: the table with under 4, a container with under 4 of those two and under 6 in all
-    counts = first.groupBy("page_id", "step").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("page_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    early = F.sum(F.when(F.col("step") < 2, F.col("n")).otherwise(0)).over(several)
-    listed = F.sum(F.when(F.col("step") == 0, F.col("n")).otherwise(0)).over(several)
-    counts = counts.withColumn("sum", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("listed", listed)
-    counts = counts.withColumn("early", F.when(listed >= ENOUGH, listed).otherwise(early))
-    made = counts.where((F.col("step") == 0) | ((F.col("step") == 1) & (F.col("listed") < ENOUGH)) | ((F.col("step") > 1) & (F.col("early") < ENOUGH) & (F.col("sum") < CONTAINER_ENOUGH)))
-    chosen = first.join(made.select("page_id", "step"), ["page_id", "step"]).join(links.select("page_id", "at", "text", "url", "like"), ["page_id", "at"])
-    found = chosen.groupBy("page_id").agg(
-        F.count("*").alias("n"), F.count_if("like").alias("n_like"), F.bool_or(F.col("step") == 0).alias("l"), F.bool_or(F.col("step") == 1).alias("t"),
-    )
-    source = F.when(F.col("l"), F.when(F.col("t"), "mixed").otherwise("list")).when(F.col("t"), "table").when(F.col("n") >= ENOUGH, "mixed").otherwise("none")
-    rescued = like.groupBy("page_id", "fp").agg(F.min("at").alias("at")).withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).where(F.col("rn") <= CONTAINER_CAP)
-    n_rescued = rescued.groupBy("page_id").agg(F.count("*").alias("n_rescued"))
-    rated = titles.select("page_id").join(found.withColumn("source", source), "page_id", "left").join(n_rescued, "page_id", "left").na.fill({"n": 0, "n_like": 0, "n_rescued": 0, "source": "none"})
-    rated = rated.withColumn("rescue", (F.col("n_rescued") >= 2) & ((F.col("n_like") < 2) | ((F.col("n") >= 6) & (F.col("n_like") < 0.35 * F.col("n")))))
-    rated = rated.select("page_id", "n_like", "rescue", F.when(F.col("rescue") & (F.col("source") == "none"), "mixed").otherwise(F.col("source")).alias("source"))
-    kept = chosen.join(rated.where("not rescue"), "page_id").where("like or n_like = 0").select("page_id", "step", "at", "text", "url", "source")
-    others = rescued.join(rated.where("rescue"), "page_id").join(links.select("page_id", "at", "text", "url"), ["page_id", "at"]).select("page_id", F.lit(0).alias("step"), "at", "text", "url", "source")
-    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("step", "at")) - 1
-    return kept.unionByName(others).select("page_id", pos.alias("pos"), F.col("text").alias("title"), "url", "source")
+    listed, tabled = F.get("n", F.lit(0)), F.get("n", F.lit(1))
+    early = F.when(listed >= ENOUGH, listed).otherwise(listed + tabled)
+    found = lambda k: F.aggregate(F.slice("n", 1, k), F.lit(0), lambda a, x: a + x)
+    made = lambda x: (x["step"] == 0) | ((x["step"] == 1) & (F.col("listed") < ENOUGH)) | ((x["step"] > 1) & (F.col("early") < ENOUGH) & (F.get("sums", x["step"]) < CONTAINER_ENOUGH))
+    t = t.select("*", listed.alias("listed"), early.alias("early"), F.transform(F.sequence(F.lit(0), F.lit(kinds - 1)), found).alias("sums"))
+    t = t.select("page_id", "rescued", F.filter("first", made).alias("chosen"))
+    n, n_like = F.size("chosen"), F.size(F.filter("chosen", lambda x: x["like"]))
+    has = lambda k: F.exists("chosen", lambda x: x["step"] == k)
+    source = F.when(has(0), F.when(has(1), "mixed").otherwise("list")).when(has(1), "table").when(n >= ENOUGH, "mixed").otherwise("none")
+    rescue = (F.size("rescued") >= 2) & ((n_like < 2) | ((n >= 6) & (n_like < 0.35 * n)))
+    t = t.select("page_id", "rescued", "chosen", source.alias("source"), rescue.alias("rescue"), n_like.alias("n_like"))
+    kept = F.when(F.col("rescue"), F.col("rescued")).otherwise(F.filter("chosen", lambda x: x["like"] | (F.col("n_like") == 0)))
+    named = F.when(F.col("rescue") & (F.col("source") == "none"), "mixed").otherwise(F.col("source"))
+    rows = t.select("page_id", named.alias("source"), F.posexplode(kept).alias("pos", "x"))
+    return rows.select("page_id", "pos", F.col("x.text").alias("title"), "x.url", "source")
 
 
 def contents_cascade(sources: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -1,91 +1,63 @@
 """Main texts of pages: blocks of tags, the densest block without its noise, structured data, and the choice between them.
 
-All token work of a page runs in windows by page, so the tokens are shuffled
-once. Sums over a block are differences of running sums at its two ends, so no
-block is joined with the tokens inside it. A page without tokens gives no row
-here and NO_MAIN_CONTENT in `extract_pages`.
+What a page's nesting tells comes from `nesting.nested`, in the page's own row;
+nothing here shuffles but what site rules and tables of texts ask for. A page
+without tokens gives no row here and NO_MAIN_CONTENT in `extract_pages`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import normalize_text
 from ..functions.urls import abs_url, url_host, url_path
 from . import classify as K
-from .html import link_text, link_url, page_features, tokenize_pages, unescape
+from .html import link_text, link_url, page_features, unescape
+from .nesting import CONTAINERS, NOISE_CLASS, NOISE_CLASS_PART, NOISE_PART, NOISE_ROLE, NOISE_TAGS, SENTENCE, is_noise_tag, nested  # noqa: F401
 
-# Tags that make blocks, blocks that may hold the text, and marks of regions without text.
-CONTAINERS = ("article", "main", "section", "div", "ul", "ol", "table", "nav", "footer", "aside", "header", "form", "button", "select", "textarea", "noscript", "iframe")
+# Blocks that may hold the text, tags that break its lines, and the fields of structured data that hold one.
 TEXT_BLOCKS = ("article", "main", "section", "div")
-NOISE_TAGS = ("nav", "aside", "footer", "form", "button", "select", "textarea", "noscript", "iframe")
-NOISE_ROLE = r"""(?i)\brole=["']?(navigation|complementary)"""
-NOISE_CLASS = r"""(?i)\bclass=["']([^"']*\s)?(advertisement|ads|share|related|comment|comments)(\s[^"']*)?["']"""
-NOISE_PART = r"""(?i)\b(class|id)=["'][^"']*(toolbar|header|footer|menu|nav|setting)"""
-NOISE_CLASS_PART = r"""(?i)\bclass=["'][^"']*(reader-tools|read-tool|bookrack|bookshelf)"""
-SENTENCE = "[。！？.!?]"
+BREAKS = ("p", "br", "div", "h1", "h2", "h3", "li", "section", "article")
 FIELDS = "articleBody|description|text|headline|name"
 MIN_LENGTH = 200
 
 
-def is_noise_tag(tag: Column, raw: Column) -> Column:
-    """Whether an opening tag begins a region without text."""
-    return tag.isin(*NOISE_TAGS) | raw.rlike(NOISE_ROLE) | raw.rlike(NOISE_CLASS) | raw.rlike(NOISE_PART) | raw.rlike(NOISE_CLASS_PART)
+def block_tokens(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, kind, tag, raw, text, level, noise, opens, closes): the tokens of pages with their place in the nesting."""
+    t = nested(pages).select("page_id", F.inline(F.arrays_zip("tokens", "states"))).select("page_id", "tokens.*", "states.*")
+    is_block = F.col("tag").isin(*CONTAINERS)
+    opens, closes = [(is_block & (F.col("kind") == k)).cast("int").alias(n) for k, n in (("open", "opens"), ("close", "closes"))]
+    return t.select("page_id", "pos", "kind", "tag", "raw", "text", "level", "noise", opens, closes)
 
 
-def block_tokens(pages: DataFrame) -> DataFrame:
-    """Tokens with the level of blocks they stand at, the end of the block that they open, and whether noise covers them.
+def block_score(b: Column) -> Column:
+    """A5: of a block of `nested`: its length less its share of link text, 180 a paragraph and 80 a sentence; null for blocks that cannot hold the text.
 
-    A block that is never closed ends with the page. `text` is a text token
-    with its blanks squeezed, empty for tags.
+    These are other tags than TEXT_BLOCKS, and blocks under 80 characters or
+    over 0.65 of links.
     """
-    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    level = Window.partitionBy("page_id", "level").orderBy("pos")
-    is_block = F.col("tag").isin(*CONTAINERS)
-    t = tokenize_pages(pages.select("page_id", "html"))
-    t = t.withColumn("opens", ((F.col("kind") == "open") & is_block).cast("int")).withColumn("closes", ((F.col("kind") == "close") & is_block).cast("int"))
-    t = t.withColumn("text", F.when(F.col("kind") == "text", F.trim(F.regexp_replace(unescape(F.col("raw")), r"[\s ]+", " "))).otherwise(""))
-    t = t.withColumn("level", F.sum(F.col("opens") - F.col("closes")).over(page) + F.col("closes"))
-    t = t.withColumn("level", F.when(F.col("opens") + F.col("closes") > 0, F.col("level")))
-    mark = F.when((F.col("opens") == 1) & is_noise_tag(F.col("tag"), F.col("raw")), 1).otherwise(0)
-    t = t.withColumn("mark", mark).withColumn("open_mark", F.when(F.col("closes") == 1, F.coalesce(F.lag("mark").over(level), F.lit(0))).otherwise(0))
-    noise = F.sum(F.col("mark") - F.col("open_mark")).over(page)
-    return t.withColumn("noise", (noise > 0) | (F.col("mark") == 1)).drop("open_mark")
-
-
-def blocks(tokens: DataFrame) -> DataFrame:
-    """A5: block_tokens with the ends and scores of the blocks that may hold the text; null elsewhere.
-
-    A score is its length less its share of link text, 180 a paragraph and 80
-    a sentence; blocks under 80 characters or over 0.65 of links have none.
-    """
-    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    level = Window.partitionBy("page_id", "level").orderBy("pos")
-    in_link = F.sum(F.when((F.col("kind") == "open") & (F.col("tag") == "a"), 1).when((F.col("kind") == "close") & (F.col("tag") == "a"), -1).otherwise(0)).over(page) > 0
-    t = tokens.withColumn("n", F.length("text")).withColumn("in_link", in_link)
-    sums = {
-        "c_text": F.col("n"), "c_link": F.when(F.col("in_link"), F.col("n")).otherwise(0),
-        "c_p": ((F.col("kind") == "open") & (F.col("tag") == "p")).cast("int"), "c_dots": F.regexp_count("text", F.lit(SENTENCE)),
-    }
-    t = t.select("*", *[F.sum(v).over(page).alias(k) for k, v in sums.items()])
-    whole = Window.partitionBy("page_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    ends = {"end": F.coalesce(F.lead("pos").over(level), F.last("pos").over(whole))} | {k.replace("c_", "b_"): F.coalesce(F.lead(k).over(level), F.last(k).over(whole)) - F.col(k) for k in sums}
-    t = t.select("*", *[v.alias(k) for k, v in ends.items()])
-    density = F.col("b_link") / F.col("b_text")
-    score = F.col("b_text") * (1 - F.least(density, F.lit(0.95))) + F.col("b_p") * 180 + F.col("b_dots") * 80
-    may = (F.col("opens") == 1) & F.col("tag").isin(*TEXT_BLOCKS) & (F.col("b_text") >= 80) & (density <= 0.65)
-    return t.withColumn("score", F.when(may, score)).drop("in_link", "n", *sums, "b_link")
+    density = F.try_divide(b["link"], b["text"])
+    score = b["text"] * (1 - F.least(density, F.lit(0.95))) + b["p"] * 180 + b["dots"] * 80
+    return F.when(b["tag"].isin(*TEXT_BLOCKS) & (b["text"] >= 80) & (density <= 0.65), score)
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """A5: (page_id, pos, end, score) of the blocks that may hold the text; one that is never closed ends with the page."""
+    b = nested(pages).select("page_id", (F.size("tokens") - 1).alias("last"), F.explode("blocks").alias("b"))
+    return b.select("page_id", F.col("b.start").alias("pos"), F.coalesce("b.end", "last").alias("end"), block_score(F.col("b")).alias("score")).where("score is not null")
 
 
 def best_text(pages: DataFrame) -> DataFrame:
     """(page_id, start, end, score, n_p, content) of the best block, the first if scores are equal, without noise."""
-    whole = Window.partitionBy("page_id")
-    best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("pos")).alias("at"), "end", "b_p"))).over(whole)
-    t = blocks(block_tokens(pages)).withColumn("best", best).where("best is not null and pos between -best.at and best.end")
-    piece = F.when(~F.col("noise") & (F.col("kind") == "text") & (F.col("text") != ""), F.struct("pos", "text"))
-    breaks = F.when(~F.col("noise") & F.col("tag").isin("p", "br", "div", "h1", "h2", "h3", "li", "section", "article"), F.struct("pos", F.lit("\n").alias("text")))
-    g = t.groupBy("page_id").agg(F.first("best").alias("best"), F.array_sort(F.collect_list(F.coalesce(piece, breaks))).alias("parts"))
-    return g.select("page_id", (-F.col("best.at")).alias("start"), F.col("best.end").alias("end"), F.col("best.score").alias("score"), F.col("best.b_p").alias("n_p"), normalize_text(F.regexp_replace(F.array_join(F.col("parts.text"), " "), " *\n *", "\n")).alias("content"))
+    rated = lambda b: F.struct(block_score(b).alias("score"), (-b["start"]).alias("at"), b["end"].alias("end"), b["p"].alias("p"))
+    best = F.array_max(F.filter(F.transform("blocks", rated), lambda r: r["score"].isNotNull()))
+    t = nested(pages).select("page_id", F.arrays_zip("tokens", "states").alias("z"), best.alias("best")).where("best is not null")
+    end = F.coalesce("best.end", F.size("z") - 1)
+    held = t.select("page_id", "best", end.alias("end"), F.slice("z", 1 - F.col("best.at"), end + F.col("best.at") + 1).alias("held"))
+    piece = lambda z: F.when(z["tokens"]["kind"] == "text", z["tokens"]["text"]).when(z["tokens"]["tag"].isin(*BREAKS), "\n").otherwise("")
+    parts = F.filter(F.transform("held", lambda z: F.when(z["states"]["noise"], "").otherwise(piece(z))), lambda x: x != "")
+    content = normalize_text(F.regexp_replace(F.array_join(parts, " "), " *\n *", "\n"))
+    return held.select("page_id", (-F.col("best.at")).alias("start"), "end", F.col("best.score").alias("score"), F.col("best.p").cast("long").alias("n_p"), content.alias("content"))
 
 
 def _meta(html: Column, *names: str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .trees import group_closure, group_tree, tree_order  # noqa: F401
+
 
 def latest_progress(feed: DataFrame) -> DataFrame:
     """The last row of each book; rows arrive in the order of (updated_at, item_id). max combines on the map side, so a hot book is no hot task."""
@@ -119,31 +121,6 @@ def check_groups(moves: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFr
     return known, moves.where("group_id is not null").join(ids, "group_id", "left_anti")
 
 
-def group_closure(groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """H1: (root, id, depth) of every group at or below each of roots(id), or below each group.
-
-    The recursion has no limit of depth or rows but the session's
-    spark.sql.cteRecursionRowLimit; the path ends cycles.
-    """
-    start = groups.select("id") if roots is None else roots.select("id")
-    return groups.sparkSession.sql("""
-        WITH RECURSIVE c(root, id, depth, path) MAX RECURSION LEVEL 100000 AS (
-          SELECT id, id, 0, array(id) FROM {start}
-          UNION ALL
-          SELECT c.root, g.id, c.depth + 1, array_append(c.path, g.id) FROM c JOIN {groups} g ON g.parent_id = c.id WHERE NOT array_contains(c.path, g.id)
-        ) SELECT root, id, depth FROM c""", start=start, groups=groups)
-
-
-def group_tree(groups: DataFrame) -> DataFrame:
-    """H2: (id, label, place) depth first; siblings by order and title; labels indented up to six levels. Groups on a cycle have no root and so no place."""
-    return groups.sparkSession.sql("""
-        WITH RECURSIVE t(id, title, depth, place) MAX RECURSION LEVEL 100000 AS (
-          SELECT id, title, 0, concat(lpad(cast(order_index AS string), 6, '0'), ' ', title) FROM {groups} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT g.id, g.title, t.depth + 1, concat(t.place, '/', lpad(cast(g.order_index AS string), 6, '0'), ' ', g.title) FROM t JOIN {groups} g ON g.parent_id = t.id
-        ) SELECT id, concat(repeat('  ', least(depth, 6)), title) AS label, place FROM t""", groups=groups)
-
-
 def delete_group(books: DataFrame, groups: DataFrame, group_id: str, keep_books: bool) -> tuple[DataFrame, DataFrame]:
     """H3: (books, groups) without the group and all below it; its books lose their group or go."""
     gone = group_closure(groups, groups.where(F.col("id") == group_id)).select("id")

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import SPACE, trim
 from ..functions.urls import url_host
+from .percentiles import exact_percentiles
 
 
 def perf_summary(timings: DataFrame, key: str, value: str) -> DataFrame:
-    """A10, Q5: nearest-rank p50 and p90 and mean of the positive values of each key."""
-    return timings.where(F.col(value) > 0).groupBy(key).agg(
-        F.count("*").alias("n"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"),
-        F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY {value})").alias("p90"), F.round(F.avg(value), 3).alias("mean"),
-    )
+    """A10, Q5: nearest-rank p50 and p90 and mean of the positive values of each key; NaN is no value."""
+    rows = timings.where((F.col(value) > 0) & ~F.isnan(F.col(value).cast("double")))
+    ranks = exact_percentiles(rows, key, value, (0.5, 0.9)).select(F.col(key).alias("k_"), F.col("q0").alias("p50"), F.col("q1").alias("p90"))
+    means = rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(value), 3).alias("mean"))
+    return means.join(ranks, F.col(key).eqNullSafe(F.col("k_"))).select(key, "n", "p50", "p90", "mean")
 
 
 def error_rates(results: DataFrame, code: str) -> DataFrame:

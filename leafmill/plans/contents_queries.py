@@ -19,7 +19,7 @@ def _id() -> Column:
 
 
 def _pages(spark, d):
-    return S.table(spark, d, "pages").select("page_id", "url", "html")
+    return S.spread(S.table(spark, d, "pages").select("page_id", "url", "html"))
 
 
 def _upto(n: Column, piece) -> Column:
@@ -160,11 +160,8 @@ def _zoned(spark, d):
 
 @_add("a7_best_lists", f"WITH {_ZONES} SELECT page_id, zone = 1 AS is_second, quality::BIGINT AS quality FROM best")
 def _(spark, d):
-    pages = _zoned(spark, d)
-    anchors, blocks = M.linked_tokens(pages)
-    rated = M.rated_lists(anchors, blocks, M.contents_titles(pages))
-    tags = blocks.select("page_id", "start", (F.col("tag") == "ol").alias("is_second"))
-    return M.best_list(rated).join(tags, ["page_id", "start"]).select("page_id", "is_second", F.col("quality").cast("long").alias("quality"))
+    best = M.best_lists(_zoned(spark, d))
+    return best.select("page_id", (F.col("tag") == "ol").alias("is_second"), F.col("quality").cast("long").alias("quality"))
 
 
 _CONTENTS = f"""WITH {_ZONES},

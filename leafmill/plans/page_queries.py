@@ -28,12 +28,12 @@ _BLOCKS = f"""{_TOKENS},
 
 
 def _pages(spark, d):
-    return S.table(spark, d, "pages")
+    return S.spread(S.table(spark, d, "pages"))
 
 
 @_add("x2_block_levels", f"{_TOKENS} SELECT page_id, pos::INT AS pos, tag, level::BIGINT AS level, noise FROM t WHERE opens + closes > 0")
 def _(spark, d):
-    return X.block_tokens(_pages(spark, d)).where("opens + closes > 0").select("page_id", "pos", "tag", "level", "noise")
+    return X.block_tokens(_pages(spark, d)).where("opens + closes > 0").select("page_id", "pos", "tag", F.col("level").cast("long").alias("level"), "noise")
 
 
 @_add("x4_text_without_noise", f"{_TOKENS} SELECT page_id, count(*) FILTER (text <> '') AS n, sum(length(text))::BIGINT AS chars FROM t WHERE NOT noise GROUP BY page_id")
@@ -44,7 +44,7 @@ def _(spark, d):
 
 @_add("a5_block_scores", f"{_BLOCKS} SELECT page_id, pos::INT AS pos, fin::INT AS fin, round(score, 6) AS score FROM k WHERE score IS NOT NULL")
 def _(spark, d):
-    return X.blocks(X.block_tokens(_pages(spark, d))).where("score is not null").select("page_id", "pos", F.col("end").alias("fin"), F.round("score", 6).alias("score"))
+    return X.blocks(_pages(spark, d)).select("page_id", "pos", F.col("end").alias("fin"), F.round("score", 6).alias("score"))
 
 
 _BREAKS = "('p', 'br', 'div', 'h1', 'h2', 'h3', 'li', 'section', 'article')"

@@ -254,6 +254,14 @@ def _(spark, d):
     return L.group_tree(S.tree(spark, d)).orderBy("place")
 
 
+@_add("h2_tree_order", """WITH RECURSIVE p AS (SELECT id, title, id AS root, 0 AS depth, concat(lpad(order_index::VARCHAR, 9, '0')) AS place FROM v_tree WHERE parent_id IS NULL
+  UNION ALL SELECT t.id, t.title, p.root, p.depth + 1, concat(p.place, '/', lpad(t.order_index::VARCHAR, 9, '0')) FROM p JOIN v_tree t ON t.parent_id = p.id),
+  e AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY place) - 1 AS enter FROM p)
+  SELECT id, concat(repeat('  ', least(depth, 6)), title) AS label, root, depth, enter, enter + (SELECT count(*) FROM v_closure c WHERE c.root = e.id) - 1 AS leave FROM e""")
+def _(spark, d):
+    return L.tree_order(S.tree(spark, d))
+
+
 def _shelved(spark, d):
     return S.books(spark, d).withColumn("group_id", F.concat(F.lit("c"), F.floor(F.col("id") / 2)))
 

@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table of fewer splits than there are cores to all of them, so that costly work on its rows is not left to a few; a larger one stays as it is read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def _changed(key: str) -> Column:
     """A time that stands in for the last change of a row."""
     return F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, {key}, 0)")
