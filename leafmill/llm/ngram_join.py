@@ -18,6 +18,8 @@ megabyte). It only sets the order of a prefix, never which rows are compared."""
 
 NO_ID = -(2**62)
 """Stands for a null doc_id in a join; a text that comes with a wrong key is told by its key."""
+TASK_POSTINGS = 1 << 22
+"""About as many postings, of 16 bytes each, are sorted in one task."""
 SPARE = 16
 """A prefix is longer by a 16th of the set than it must be to share one shingle, so it must share as many."""
 
@@ -58,15 +60,15 @@ def _prefixes(keys: np.ndarray, bounds: np.ndarray, percent: int, hot: np.ndarra
 
 
 def _survey(size: int, limit: int):
-    """First pass: each row's set key and size, and shingles frequent in the task."""
+    """First pass: each row's set key and size, with the hash of its text, and shingles frequent in the task."""
 
     def run(batches):
         kept_tokens, kept_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch, lo, hi, keys, bounds in _sets(batches, size, at=1):
             m = hi - lo
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, m), pa.array(set_keys(keys, bounds)), pa.array(np.diff(bounds)), pa.nulls(m, pa.int64())],
-                names=["doc_id", "k", "n", "token"],
+                [batch.column(0).slice(lo, m), batch.column(2).slice(lo, m), pa.array(set_keys(keys, bounds)), pa.array(np.diff(bounds)), pa.nulls(m, pa.int64())],
+                names=["doc_id", "h", "k", "n", "token"],
             )
             kept_tokens = np.concatenate((kept_tokens, keys))
             kept_counts = np.concatenate((kept_counts, np.ones(len(keys), np.int64)))
@@ -76,7 +78,7 @@ def _survey(size: int, limit: int):
         tokens, counts = tokens[counts > 2], counts[counts > 2]
         if len(tokens):
             none = pa.nulls(len(tokens), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(counts), pa.array(tokens.view(np.int64))], names=["doc_id", "k", "n", "token"])
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(counts), pa.array(tokens.view(np.int64))], names=["doc_id", "h", "k", "n", "token"])
 
     return run
 
@@ -144,31 +146,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = settle(docs.mapInArrow(_survey(size, HOT_TOKENS), "doc_id long, k long, n long, token long"))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    seen = settle(hashed.mapInArrow(_survey(size, HOT_TOKENS), "doc_id long, h long, k long, n long, token long"))
     top = (
         seen.where("token is not null").groupBy("token").agg(F.sum("n").alias("c"))
         .orderBy(F.desc("c"), "token").limit(HOT_TOKENS).select("token").toPandas()["token"]
     )
     hot_bytes = np.sort(top.to_numpy(np.int64).view(np.uint64)).tobytes()
     hot = spark.sparkContext.broadcast(hot_bytes)
-    n_buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = docs.select("text").mapInArrow(_post(size, percent, n_buckets, hot), SCHEMA)
-    shared = settle(shared_tokens(blobs, np.frombuffer(hot_bytes, np.uint64)))
-
-    keyed = seen.where("token is null").select("doc_id", "k", "n")
-    classes = keyed.where("k <> 0").groupBy("k").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    keyed = seen.where("token is null").select("doc_id", "h", "k", "n")
+    postings = (keyed.agg(F.sum("n")).first()[0] or 0) * (100 - percent + 100 / SPARE) / 100
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(postings // TASK_POSTINGS))
+    blobs = docs.select("text").mapInArrow(_post(size, percent, 8 * tasks, hot), SCHEMA)
+    shared = settle(shared_tokens(blobs, np.frombuffer(hot_bytes, np.uint64), tasks))
+
+    # of each set one row's id and text hash, and how many rows have both
+    rows = keyed.where("k <> 0").groupBy("k", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "h").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("doc_id").alias("first"))
+    classes = settle(rows.groupBy("k").agg(F.min("first").alias("first"), F.max("n").alias("n"), F.min(F.struct("d", "h", "c")).alias("one")))
     enough = shared.groupBy("k").agg(F.count("*").alias("c")).join(classes, "k").withColumn("need", least_shared(percent))
     shared = settle(shared.join(enough.where("c >= need").select("k", "need", "n"), "k"))
 
     def texts_of(items: DataFrame) -> DataFrame:
-        asked = items.join(classes, "k").select("k", F.coalesce("first", F.lit(NO_ID)).alias("d"))
-        texts = docs.withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
-        return texts.join(F.broadcast(asked) if is_few(asked) else asked, "d").select("k", F.col("text").alias("body"))
+        asked = items.join(classes, "k").select("k", "one.d", "one.h", "one.c")
+        asked = settle(asked)
+        texts = hashed.withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
+        found = lambda part: texts.join(F.broadcast(part) if is_few(part) else part, ["d", "h"]).select("k", F.col("text").alias("body"))
+        repeated = asked.where("c > 1")
+        if repeated.isEmpty():
+            return found(asked)
+        return found(asked.where("c = 1")).unionByName(found(repeated).dropDuplicates(["k"]))
 
     roots = link_components(shared, texts_of, text_sets(size), percent)
     linked = classes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("k", "component_id")
-    return keyed.join(named, "k", "left").select(
+    return keyed.drop("h").join(named, "k", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 

@@ -26,8 +26,10 @@ SLICE_ITEMS, SLICE_BYTES = 4000, 1 << 23
 """About as many visits of a block, and bytes of their texts, are searched in one task; a block with more is copied to several."""
 ENTRIES = 1 << 19
 """As many entries of lists are counted at once."""
-LONG = 400
-"""Lists of more items are probed rather than merged, as far as the needed overlap allows."""
+PROBE = 1.0
+"""What a step of a binary search costs, in entries of a merge: DivideSkip's mu."""
+BLOCK_TOKENS = 1 << 21
+"""About as many tokens has a block at most, but for one set that has more."""
 
 
 def needed(n: int, m: np.ndarray, percent: int) -> np.ndarray:
@@ -47,6 +49,12 @@ class Block:
         starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
         self.tokens = tokens[starts]
         self.bounds = np.append(starts, len(tokens))
+        self.places = np.repeat(np.arange(len(starts)), np.diff(self.bounds)) * max(1, len(sets)) + self.items
+        self.probed = 0
+
+    def n_long(self, least: int, lengths: np.ndarray) -> int:
+        """DivideSkip's number of lists to probe: T / (mu * log2(longest) + 1), fewer than the needed overlap."""
+        return min(least - 1, len(lengths) - 1, int(least / (PROBE * math.log2(max(2, int(lengths[-1]))) + 1)))
 
     def search(self, query: np.ndarray, percent: int) -> np.ndarray:
         """Items whose set links with the query set (sorted, distinct)."""
@@ -60,7 +68,7 @@ class Block:
         lengths = self.bounds[hit + 1] - self.bounds[hit]
         order = np.argsort(lengths, kind="stable")
         hit, lengths = hit[order], lengths[order]
-        n_long = min(least - 1, len(hit) - 1, int((lengths > LONG).sum()))
+        n_long = self.n_long(least, lengths)
         cut = len(hit) - n_long
         short, long = hit[:cut], hit[cut:]
         # merge the short lists: one gather of all their entries, counted by item
@@ -70,16 +78,15 @@ class Block:
         found = np.flatnonzero(merged >= max(1, least - n_long))
         counts = merged[found]
         want = needed(n, self.sizes[found], percent)
-        for i, t in enumerate(long):
-            alive = counts + (len(long) - i) >= want
-            if not alive.all():
-                found, counts, want = found[alive], counts[alive], want[alive]
-            if not len(found):
-                return found
-            members = self.items[self.bounds[t] : self.bounds[t + 1]]
-            probe = np.searchsorted(members, found)
-            probe[probe == len(members)] = 0
-            counts = counts + (members[probe] == found)
+        able = counts + n_long >= want
+        found, counts, want = found[able], counts[able], want[able]
+        if not len(found) or not n_long:
+            return found[counts >= want]
+        # probe the long lists for what is left of the candidates, by binary search among (list, item)
+        asked = (long[:, None] * len(self.sizes) + found[None, :]).ravel()
+        probe = np.minimum(np.searchsorted(self.places, asked), len(self.places) - 1)
+        self.probed += len(asked)
+        counts = counts + (self.places[probe] == asked).reshape(n_long, -1).sum(axis=0)
         return found[counts >= want]
 
 
@@ -191,11 +198,14 @@ def size_class(n: F.Column, percent: int) -> F.Column:
 
 def deal_blocks(shared: DataFrame) -> DataFrame:
     """(k, block): items of one class with one least token share a block, so those that may link are mostly
-    together; a token that is the least of many items has several blocks. shared: (token, k, class)."""
-    least = shared.groupBy("k").agg(F.min("token").alias("least"), F.first("class").alias("class"))
-    crowds = least.groupBy("least", "class").agg((F.count("*") / BLOCK_ITEMS + 1).cast("int").alias("parts"))
+    together; a token that is the least of many items, or of large ones, has several blocks. shared: (token, k,
+    class), and n, the sizes of sets, if they differ much."""
+    size = F.max("n") if "n" in shared.columns else F.lit(0)
+    least = shared.groupBy("k").agg(F.min("token").alias("least"), F.first("class").alias("class"), size.cast("long").alias("n"))
+    parts = lambda: F.greatest(F.count("*") / BLOCK_ITEMS, F.sum("n") / BLOCK_TOKENS)
+    crowds = least.groupBy("least", "class").agg((parts() + 1).cast("int").alias("parts"))
     least = settle(least.join(crowds, ["least", "class"]))
-    n_blocks = least.count() // BLOCK_ITEMS + 1
+    n_blocks = int(least.agg(parts()).first()[0] or 0) + 1
     block = F.pmod(F.xxhash64("least", "class", F.pmod(F.xxhash64("k"), F.col("parts"))), F.lit(n_blocks)).cast("int")
     return least.select("k", block.alias("block"))
 
@@ -235,12 +245,12 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     their sets of sorted distinct 64-bit hashes. An item may come more than
     once, or with a wrong text.
     """
-    shared = shared.select("token", "k", "need", size_class(F.col("n"), percent).alias("class"))
+    shared = shared.select("token", "k", "need", "n", size_class(F.col("n"), percent).alias("class"))
     several = shared.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = settle(shared.join(several, "token"))
     items = deal_blocks(shared)
     sets = settle(texts_of(items.select("k")))
-    shared = settle(shared.join(items, "k"))
+    shared = settle(shared.drop("n").join(items, "k"))
     centres = shared.groupBy("token", "class").agg(F.min("k").alias("centre"), F.min_by("block", "k").alias("at"))
     stars = shared.join(centres, ["token", "class"]).where("k <> centre")
     first_visits = stars.select("k", F.col("at").alias("block")).distinct()

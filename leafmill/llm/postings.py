@@ -47,14 +47,12 @@ class Packer:
         )
 
 
-def shared_tokens(blobs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(token, k): the postings of tokens that two items or more hold, each once.
+def shared_tokens(blobs: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
+    """(token, k): the postings of tokens that two items or more hold, each once; `tasks` should grow with the postings, as a task sorts its share of them.
 
     Postings of hot tokens are spread over all tasks by item, so that no task
     gathers one token's; they pass even where a token has but one item.
     """
-    n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def reduce(batches):
         parts = [np.frombuffer(p, np.uint64).reshape(-1, 2) for b in batches for p in b.column(1).to_pylist()]
         if not parts:
@@ -74,4 +72,4 @@ def shared_tokens(blobs: DataFrame, hot: np.ndarray) -> DataFrame:
             part = both[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["token", "k"])
 
-    return blobs.repartition(n, "bucket").mapInArrow(reduce, "token long, k long")
+    return blobs.repartition(tasks, "bucket").mapInArrow(reduce, "token long, k long")

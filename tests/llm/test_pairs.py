@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from leafmill.llm import components, line_dedup, ngram_join, overlap, postings
 
@@ -143,8 +144,18 @@ def test_ngram_join_of_nothing_and_nulls(spark):
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(4, 4)] * 3 and len(got) == 5
 
 
+@pytest.mark.parametrize("ids", ["null", "shared", "own"])
+def test_many_near_copies_of_any_ids(spark, ids):
+    """Rows that share an id, or have none, are told apart by their texts, and cost what others cost."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:20], f"x{k}", *words[21:]]) for k in range(600)] + [" ".join(words)] * 300 + ["z " * 10**6, None, ""]
+    rows = [(None if ids == "null" else 5 if ids == "shared" else i, t) for i, t in enumerate(texts)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("n_shingles", "component_id").count().collect()
+    one = {"null": None, "shared": 5, "own": 0}[ids]
+    assert [(r["count"], r.component_id) for r in got if r.n_shingles == 56] == [(900, one)] and sum(r["count"] for r in got) == len(texts)
+
+
 def test_long_lists_are_probed(monkeypatch):
-    monkeypatch.setattr(overlap, "LONG", 2)
     rng = np.random.default_rng(3)
     base = np.arange(100, dtype=np.uint64)
     sets = [np.unique(np.where(rng.random(100) < p, rng.integers(200, 900, 100).astype(np.uint64), base)) for p in (0, 0.02, 0.05, 0.08, 0.1, 0.3) for _ in range(8)]
@@ -152,6 +163,7 @@ def test_long_lists_are_probed(monkeypatch):
     for s in sets:
         want = [i for i, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))]
         assert block.search(s, 80).tolist() == want
+    assert block.probed > 0  # at the constants that queries use
     monkeypatch.setattr(overlap, "ENTRIES", 900)
     pairs = set(zip(*(x.tolist() for x in block.links(sets[:30] + [np.array([5000], np.uint64)], 80))))
     assert pairs == {(i, j) for i in range(30) for j in block.search(sets[i], 80).tolist()}
