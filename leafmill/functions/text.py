@@ -51,3 +51,12 @@ def preview(text: Column, n_lines: int = 12) -> Column:
 
 def excerpt(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
+
+
+def mask_json(text: Column) -> Column:
+    """JSON text whose escaped backslashes and quotes are single other signs, so that the next quote ends a string."""
+    return F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+
+
+def unmask_json(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))

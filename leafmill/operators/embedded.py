@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import normalize_text
+from ..functions.text import mask_json, normalize_text, unmask_json
 from ..functions.urls import url_host, url_path
 from .extract import block_tokens
 from .html import unescape
@@ -42,15 +42,6 @@ def state_chapters(pages: DataFrame) -> DataFrame:
     return once.select("page_id", pos.alias("pos"), "title", F.concat("origin", F.lit("/web/reader/"), "book", F.lit("?chapterUid="), "uid").alias("url"))
 
 
-def _masked(text: Column) -> Column:
-    """JSON text whose escaped backslashes and quotes are single other signs, so that the next quote ends a string."""
-    return F.replace(F.replace(text, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
-
-
-def _unmasked(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
-
-
 def _after(html: Column, key: str) -> Column:
     """What follows the first `key`; null if it is not there."""
     at = F.locate(key, html)
@@ -62,28 +53,38 @@ def embedded_body(html: Column) -> Column:
     html = F.coalesce(html, F.lit(""))
     found = []
     for key in BODY_KEYS:
-        raw = _unmasked(F.substring_index(_masked(_after(html, f'"{key}":"')), '"', 1))
+        raw = unmask_json(F.substring_index(mask_json(_after(html, f'"{key}":"')), '"', 1))
         body = F.from_json(F.concat(F.lit('{"x":"'), raw, F.lit('"}')), "x string")["x"]
         text = normalize_text(unescape(F.regexp_replace(body, "<[^>]+>", " ")))
         found.append(F.when((F.length(text) >= LEAST_BODY) & text.rlike(HAN_RUN), body))
     return F.coalesce(*found)
 
 
+def balanced_end(tokens: Column) -> Column:
+    """The number of tokens up to the ] that closes a bracket opened before the first; null if there is none. Strings are tokens of their own, so brackets in them do not count."""
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + F.when(x == "[", 1).when(x == "]", -1).otherwise(0)
+        end = F.when(acc["end"].isNull() & (depth == 0), acc["n"] + 1).otherwise(acc["end"])
+        return F.struct((acc["n"] + 1).alias("n"), depth.alias("depth"), end.alias("end"))
+
+    zero = F.struct(F.lit(0).alias("n"), F.lit(1).alias("depth"), F.lit(None).cast("int").alias("end"))
+    return F.aggregate(tokens, zero, step, lambda acc: acc["end"])
+
+
 def inline_chapters(pages: DataFrame, cap: int = 20) -> DataFrame:
     """(page_id, pos, title, url, idx) of the first array of chapters in a page's source.
 
-    The array ends at the first ] outside a string, as its objects are flat.
-    Titles that are a number, or a label of navigation, go; then the first
-    `cap` stay, with the page's address. An array that does not end or is no
-    JSON gives no rows.
+    The array ends where the brackets outside strings balance, so its objects
+    may hold arrays and objects. Titles that are a number, or a label of
+    navigation, go; then the first `cap` stay, with the page's address. An
+    array that does not end or is no JSON gives no rows.
     """
-    rest = _masked(_after(F.coalesce("html", F.lit("")), '"chapterInfos":['))
-    parts = pages.select("page_id", "url", F.split(rest, '"').alias("s"))
-    ends = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i % 2 == 0) & F.contains(F.get("s", i), F.lit("]")))
-    # no filter on what is cut: Spark would move it under the split, and split anew for each part; nulls give no rows
-    cut = parts.withColumn("e", F.get(ends, F.lit(0)))
-    array = F.concat(F.lit("["), F.array_join(F.concat(F.slice("s", 1, F.col("e")), F.array(F.substring_index(F.get("s", F.col("e")), "]", 1))), '"'), F.lit("]"))
-    rows = cut.select("page_id", "url", F.from_json(_unmasked(array), "array<struct<title:string,chapterIdx:long>>").alias("c"))
+    rest = mask_json(_after(F.coalesce("html", F.lit("")), '"chapterInfos":['))
+    parts = pages.select("page_id", "url", F.regexp_extract_all(rest, F.lit(r'"[^"]*"|[\[\]]|[^"\[\]]+'), F.lit(0)).alias("s"))
+    # no filter on what is cut: Spark would move it under the tokens, and make them anew for each part; nulls give no rows
+    cut = parts.withColumn("e", balanced_end(F.col("s")))
+    array = F.when(F.col("e").isNotNull(), F.concat(F.lit("["), F.array_join(F.slice("s", 1, F.col("e")), "")))
+    rows = cut.select("page_id", "url", F.from_json(unmask_json(array), "array<struct<title:string,chapterIdx:long>>").alias("c"))
     kept = F.filter("c", lambda x: (squeeze(x["title"]) != "") & ~squeeze(x["title"]).rlike(r"^\d{1,3}$") & ~is_utility_nav(x["title"]))
     rows = rows.select("page_id", "url", F.posexplode(F.slice(kept, 1, cap)).alias("pos", "c"))
     return rows.select("page_id", "pos", chapter_title(F.col("c.title")).alias("title"), "url", F.coalesce("c.chapterIdx", F.lit(0)).cast("long").alias("idx"))

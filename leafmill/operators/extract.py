@@ -9,17 +9,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import normalize_text
+from ..functions.text import mask_json, normalize_text, unmask_json
 from ..functions.urls import abs_url, url_host, url_path
 from . import classify as K
-from .html import link_text, link_url, page_features, unescape
+from .html import link_text, link_url, page_features, unescape, visible
 from .nesting import CONTAINERS, NOISE_CLASS, NOISE_CLASS_PART, NOISE_PART, NOISE_ROLE, NOISE_TAGS, SENTENCE, is_noise_tag, nested  # noqa: F401
 
 # Blocks that may hold the text, tags that break its lines, and the fields of structured data that hold one.
 TEXT_BLOCKS = ("article", "main", "section", "div")
 BREAKS = ("p", "br", "div", "h1", "h2", "h3", "li", "section", "article")
-FIELDS = "articleBody|description|text|headline|name"
+FIELDS = ("articleBody", "description", "text", "headline", "name")
 MIN_LENGTH = 200
+MOST_ELEMENTS = 5000
 
 
 def block_tokens(pages: DataFrame) -> DataFrame:
@@ -69,15 +70,50 @@ def _meta(html: Column, *names: str) -> Column:
     return F.coalesce(*[one(n) for n in names])
 
 
+_LEVEL = "struct<path:array<int>,is_object:boolean,next:int>"
+_SAID = "struct<path:array<int>,rank:int,raw:string>"
+
+
+def walk_json(text: Column) -> Column:
+    """The strings of FIELDS in the objects of a JSON text at any depth, as they are quoted: an object's own in the order of FIELDS, then those of the values inside it as they follow each other.
+
+    One fold over the text's tokens with a stack of open objects and arrays,
+    each known by the numbers of the values on the way to it.
+    """
+    tokens = F.regexp_extract_all(mask_json(text), F.lit(r'"[^"]*"|[\[\]{}:,]|[^\s"\[\]{}:,]+'), F.lit(0))
+    fields = ("stack", "key", "is_value", "said")
+    zero = F.struct(F.array().cast(f"array<{_LEVEL}>").alias("stack"), F.lit("").alias("key"), F.lit(False).alias("is_value"), F.array().cast(f"array<{_SAID}>").alias("said"))
+
+    def step(acc: Column, x: Column) -> Column:
+        depth, top = F.size(acc["stack"]), F.try_element_at(acc["stack"], F.lit(-1))
+        to = lambda **new: F.struct(*[new.get(f, acc[f]).alias(f) for f in fields])
+        level = lambda path, is_object, n: F.struct(path.alias("path"), is_object.alias("is_object"), n.cast("int").alias("next"))
+        below = F.when(depth == 0, F.array(F.lit(0))).otherwise(F.array_append(top["path"], top["next"]))
+        counted = F.when(depth == 0, acc["stack"]).otherwise(F.array_append(F.slice(acc["stack"], 1, F.greatest(depth - 1, F.lit(0))), level(top["path"], top["is_object"], top["next"] + 1)))
+        named = F.coalesce(top["is_object"], F.lit(False))
+        rank = F.array_position(F.array(*[F.lit(f'"{f}"') for f in FIELDS]), acc["key"])
+        taken = F.array_append(acc["said"], F.struct(top["path"].alias("path"), rank.cast("int").alias("rank"), x.alias("raw")))
+        return (
+            F.when(x.startswith('"'), F.when(named & ~acc["is_value"], to(key=x)).when(named & (rank > 0), to(said=taken)).otherwise(acc))
+            .when(x.isin("{", "["), to(stack=F.array_append(counted, level(below, x == "{", F.lit(0))), is_value=F.lit(False)))
+            .when(x.isin("}", "]"), to(stack=F.slice(acc["stack"], 1, F.greatest(depth - 1, F.lit(0)))))
+            .when(x == ":", to(is_value=F.lit(True)))
+            .when(x == ",", to(is_value=F.lit(False)))
+            .otherwise(acc)
+        )
+
+    return F.aggregate(tokens, zero, step, lambda acc: F.transform(F.array_sort(acc["said"]), lambda s: unmask_json(s["raw"])))
+
+
 def structured_text(html: Column, skip_description: Column | None = None) -> Column:
     """The long strings of the preferred fields of JSON-LD at any depth, then the description; empty if there is none.
 
-    Blocks that are no JSON are left out. `skip_description` drops the
-    description of pages without such strings.
+    Strings in arrays are no field's. Blocks that are no JSON are left out.
+    `skip_description` drops the description of pages without such strings.
     """
     raw = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script"""), F.lit(1))
-    good = F.filter(raw, lambda x: F.try_parse_json(x).isNotNull())
-    quoted = F.flatten(F.transform(good, lambda x: F.regexp_extract_all(x, F.lit(rf'"(?:{FIELDS})"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))))
+    good = F.filter(raw, lambda x: x.rlike('"(' + "|".join(FIELDS) + ')"') & F.try_parse_json(x).isNotNull())
+    quoted = F.flatten(F.transform(good, walk_json))
     said = F.filter(F.transform(quoted, lambda x: normalize_text(F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0)))), lambda x: F.length(x) >= 30)
     about = F.coalesce(_meta(html, "og:description", "description", "twitter:description"), F.lit(""))
     if skip_description is not None:
@@ -122,10 +158,17 @@ def validation_status(text: Column, is_directory: Column, has_next_page: Column,
     return F.when(is_directory, "TOC_PAGE_SUSPECT").when(has_next_page, "PAGINATION_DETECTED").when(K.is_font_obfuscated(text), "FONT_OBFUSCATED").when(is_foreign, "IFRAME_CROSS_ORIGIN").otherwise("OK")
 
 
-def extract_pages(pages: DataFrame, least: int = MIN_LENGTH, rules: DataFrame | None = None) -> DataFrame:
+def element_count(html: Column) -> Column:
+    """The elements of a page's body: its opening tags, scripts and styles as one each."""
+    body = lambda x: F.regexp_replace(x, r"(?is)^.*?<body\b[^>]*>", "")
+    return F.regexp_count(body(visible(html)), F.lit("<[A-Za-z]")) + F.regexp_count(body(F.coalesce(html, F.lit(""))), F.lit(r"(?i)<(script|style)\b"))
+
+
+def extract_pages(pages: DataFrame, least: int = MIN_LENGTH, rules: DataFrame | None = None, most_elements: int = MOST_ELEMENTS) -> DataFrame:
     """(page_id, status, strategy, title, content, score), one row a page.
 
-    A blocked page keeps its status. Else the strategies with a score are tried
+    A blocked page keeps its status; one of more than `most_elements` elements
+    is DOM_TOO_LARGE and has no text. Else the strategies with a score are tried
     from the best, equal ones in the order heuristic, structured; the first that is valid is
     taken, or the best with what it breaks. Without any: NO_MAIN_CONTENT.
     rules, as of `match_rules`, clean both candidates before they are scored.
@@ -139,7 +182,7 @@ def extract_pages(pages: DataFrame, least: int = MIN_LENGTH, rules: DataFrame |
         "page_id", "title", structured_title(F.col("html"), F.col("title")).alias("other_title"), structured_text(F.col("html")).alias("other"),
         K.is_directory_page(*(F.col(c) for c in ("n_anchors", "link_len", "text_len", "n_p"))).alias("is_directory"), least_length(F.col("body"), least).alias("least"),
         K.status_of(*(F.col(c) for c in ("html", "title", "body", "paragraphs"))).alias("access"), F.coalesce(on, F.lit(False)).alias("has_next_page"),
-        F.coalesce(frames_elsewhere(F.col("html"), F.col("url")), F.lit(False)).alias("elsewhere"),
+        F.coalesce(frames_elsewhere(F.col("html"), F.col("url")), F.lit(False)).alias("elsewhere"), (element_count(F.col("html")) > most_elements).alias("too_large"),
     )
     texts = best_text(pages).select("page_id", "content", "n_p")
     if rules is not None:
@@ -160,7 +203,8 @@ def extract_pages(pages: DataFrame, least: int = MIN_LENGTH, rules: DataFrame |
         strategy("structured", 1, F.col("other_title"), other, F.size(F.split(other, "\n+"))),
     )
     chosen = F.array_max(F.filter(both, lambda s: s["score"] >= 0))
-    j = j.select("page_id", "access", chosen.alias("chosen"))
+    access = F.when((F.col("access") == "OK") & F.col("too_large"), "DOM_TOO_LARGE").otherwise(F.col("access"))
+    j = j.select("page_id", access.alias("access"), chosen.alias("chosen"))
     blocked = F.col("access") != "OK"
     status = F.when(blocked, F.col("access")).otherwise(F.coalesce("chosen.status", F.lit("NO_MAIN_CONTENT")))
     return j.select("page_id", status.alias("status"), *[F.when(~blocked, F.col(f"chosen.{c}")).alias(c) for c in ("strategy", "title", "content", "score")])

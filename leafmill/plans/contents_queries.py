@@ -101,6 +101,14 @@ def _(spark, d):
     return E.inline_chapters(_pages(spark, d).withColumn("html", F.concat("html", F.lit('<script>{"chapterInfos":['), listed, F.lit('],"z":["]"]}</script>'))))
 
 
+@_add("n3_nested_chapters", """SELECT page_id, i AS pos, concat('Part ', i, ' ]', page_id) AS title, url, i::BIGINT AS idx FROM pages, range(20) t(i) WHERE i < page_id % 23""")
+def _(spark, d):
+    """Entries that hold arrays, objects, and brackets in strings; behind the list comes another one."""
+    entry = lambda i: _text('{"tags":["a]",["b"],[]],"meta":{"x":[1,{"y":[2]}],"title":"no"},"title":"Part ', i, " ]", _id(), '","chapterIdx":', i, "},")
+    listed = F.regexp_replace(_upto(_id() % 23, entry), ",$", "")
+    return E.inline_chapters(_pages(spark, d).withColumn("html", F.concat("html", F.lit('<script>{"chapterInfos":['), listed, F.lit('],"other":[{"title":"Part 99"}]}</script>'))))
+
+
 @_add("x12_keyed_contents", """WITH e AS (SELECT page_id, i, (i * 5) % 7 - 1 AS no, i % 4 = 3 AS other, CASE WHEN i % 3 = 0 THEN ' ' ELSE concat('Title ', i) END AS text FROM pages, range(12) t(i) WHERE i < page_id % 13),
   f AS (SELECT page_id, no, arg_min(trim(text), i) AS text FROM e WHERE NOT other AND no > 0 GROUP BY page_id, no)
   SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY no) - 1)::INT AS pos, CASE WHEN text = '' THEN concat('第', no, '章') ELSE text END AS title, concat('https://w.example/onebook.php?novelid=', page_id, '&chapterid=', no) AS url FROM f""")

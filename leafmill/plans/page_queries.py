@@ -81,6 +81,26 @@ def _(spark, d):
     return _pages(spark, d).select("page_id", X.structured_title(html, H.page_title(html)).alias("title"), X.structured_text(html).alias("content"))
 
 
+@_add("x7_walked_text", """SELECT page_id, array_to_string(list_filter([
+  CASE WHEN page_id % 3 = 0 THEN concat('The body of the article number ', page_id, ', "quoted" \\ and long') END, concat('A description that comes behind it: ', page_id), concat('The headline, which comes even later: ', page_id),
+  CASE WHEN page_id % 2 = 0 THEN concat('A part inside of an array inside of ', page_id) END, CASE WHEN page_id % 2 = 0 THEN concat('The name of the second part of page ', page_id) END, concat('An author, whose name is very long: ', page_id)], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS content FROM pages""")
+def _(spark, d):
+    """Graphs whose objects tell fields out of order, before, between and behind values that hold more; arrays of strings are no field."""
+    i, k = F.col("page_id").cast("string"), F.col("page_id")
+    body = F.when(k % 3 == 0, F.concat(F.lit('"articleBody":"The body of the article number '), i, F.lit(', \\"quoted\\" \\\\ and long",'))).otherwise('"articleBody":["a string of an array which is longer than thirty signs"],')
+    parts = F.when(k % 2 == 0, F.concat(F.lit('{"text":"A part inside of an array inside of '), i, F.lit('"},"a stray string that is longer than thirty signs",[{"name":"The name of the second part of page '), i, F.lit('"}]'))).otherwise("")
+    made = F.concat(
+        F.lit('<script type="application/ld+json">{"@context":"x","@graph":[ {"headline" : "The headline, which comes even later: '), i, F.lit('", "hasPart":['), parts, F.lit('],'), body,
+        F.lit('"n":[1,{"text":null,"name":7}],"author":{"name":"An author, whose name is very long: '), i, F.lit('","text":"short"},"description":"A description that comes behind it: '), i, F.lit('"}]}</script>'),
+    )
+    return _pages(spark, d).select("page_id", X.structured_text(made).alias("content"))
+
+
+@_add("x8_large_pages", r"""SELECT page_id, len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)^.*?<body[^>]*>', ''), '(?s)<!--.*?-->', '', 'g'), '<[A-Za-z]')) > 60 AS too_large FROM pages""")
+def _(spark, d):
+    return X.extract_pages(_pages(spark, d), most_elements=60).select("page_id", (F.col("status") == "DOM_TOO_LARGE").alias("too_large"))
+
+
 @_add("x8_extract_pages")
 def _(spark, d):
     pages = _pages(spark, d)

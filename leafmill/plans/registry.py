@@ -594,4 +594,4 @@ def _(spark, d):
     return W.step_page(items, positions, -2, 3).unionByName(W.step_page(items, positions, 2, 3))
 
 
-from . import contents_queries, navigation_queries, page_queries, source_queries, page_sql  # noqa: E402, F401, I001
+from . import contents_queries, navigation_queries, page_queries, source_queries, stream_queries, page_sql  # noqa: E402, F401, I001

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL = 1_000_000
 
 
-def _folder(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir. Where none is set a local session makes a folder of its own; on a cluster, whose executors do not share local folders, that is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -24,7 +24,7 @@ def _folder(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint."""
-    _folder(df.sparkSession)
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -36,7 +36,7 @@ class Rounds:
     """
 
     def __init__(self, df: DataFrame):
-        self.spark, self.root, self.paths = df.sparkSession, f"{_folder(df.sparkSession)}/rounds-{uuid.uuid4()}", []
+        self.spark, self.root, self.paths = df.sparkSession, f"{scratch_folder(df.sparkSession)}/rounds-{uuid.uuid4()}", []
         self.put(df)
 
     def put(self, df: DataFrame) -> DataFrame:

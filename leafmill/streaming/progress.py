@@ -38,15 +38,16 @@ def stream_progress(feed: DataFrame, target: str, checkpoint: str):
 
 
 def _batches(spark: SparkSession, target: str):
-    """(file system, path, numbers of the batches written)."""
+    """(file system, path, numbers of the batches that are written to their end)."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    return fs, path, sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+    whole = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, f"{n}/_SUCCESS"))
+    return fs, path, sorted(int(n.split("=")[1]) for n in names if n.startswith("batch=") and whole(n))
 
 
 def snapshot(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The row of each book in the last batch that has one, of batches under `below` if given; None if there is no batch."""
+    """The row of each book in the last batch that has one, of batches under `below` if given; None if there is no batch. A batch that is being written, or was left by a crash, does not count."""
     found = [n for n in _batches(spark, target)[2] if below is None or n < below]
     if not found:
         return None
@@ -58,3 +59,18 @@ def snapshot(spark: SparkSession, target: str, below: int | None = None) -> Data
 def stream_timings(feed: DataFrame, delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
     """Count and mean of the values in each window, by kind; late rows beyond the watermark are left out."""
     return feed.withWatermark("updated_at", delay).groupBy(F.window("updated_at", width), "kind").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
+def stream_timing_table(feed: DataFrame, target: str, checkpoint: str):
+    """Starts a query that writes the windows that each micro-batch changes to target/batch=n; of one window and kind the last batch counts."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.select("window.start", "kind", "n", "mean").write.mode("overwrite").parquet(f"{target}/batch={n}")
+
+    return stream_timings(feed).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def timing_table(spark: SparkSession, target: str) -> DataFrame:
+    """(start, kind, n, mean) of each window as it was written last."""
+    rows = spark.read.option("basePath", target).parquet(*[f"{target}/batch={n}" for n in _batches(spark, target)[2]])
+    return rows.groupBy("start", "kind").agg(F.max(F.struct("batch", "n", "mean")).alias("r")).select("start", "kind", "r.n", "r.mean")
