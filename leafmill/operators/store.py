@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.urls import is_public_http_url, url_fingerprint
+from ..sources.versions import publish, published  # noqa: F401
 
 
 def to_library(chapters: DataFrame) -> DataFrame:
@@ -24,32 +25,6 @@ def book_rows(books: DataFrame, items: DataFrame) -> DataFrame:
     return books.join(n, "book_id").select(F.col("book_id").alias("id"), title.alias("title"), F.lit("file").alias("source_type"), "source_ref", "n_items")
 
 
-def publish(tables: dict[str, DataFrame], target: str) -> int:
-    """Writes the tables under target/version=n/<name> and only then marks version n as good, so readers see all of them or none; returns n."""
-    spark = next(iter(tables.values())).sparkSession
-    fs, path, versions = _versions(spark, target)
-    n = max((v for v, _ in versions), default=0) + 1
-    for name, rows in tables.items():
-        rows.write.parquet(f"{target}/version={n}/{name}")
-    fs.create(spark._jvm.org.apache.hadoop.fs.Path(path, f"version={n}/_GOOD"), False).close()
-    return n
-
-
-def published(spark: SparkSession, target: str, name: str) -> DataFrame | None:
-    """The table of the last good version; None if there is none."""
-    good = [v for v, done in _versions(spark, target)[2] if done]
-    return spark.read.parquet(f"{target}/version={max(good)}/{name}") if good else None
-
-
-def _versions(spark: SparkSession, target: str):
-    """(file system, path, [(version, whether it is good)])."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    path = jvm.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
-    return fs, path, [(int(p.getName().split("=")[1]), fs.exists(jvm.Path(p, "_GOOD"))) for p in found if p.getName().startswith("version=")]
-
-
 def toc_to_library(entries: DataFrame, intros: DataFrame, empty_intro: str = "-", cap: int = 500) -> DataFrame:
     """Of each book its intro at 0, then at most `cap` chapters with empty texts.
 

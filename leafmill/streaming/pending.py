@@ -28,8 +28,8 @@ def stream_late_backfill(feed: DataFrame, target: str, checkpoint: str, hold: in
     batch in which it has a text (of several texts the oldest, then the least),
     and then waits no longer. Items and texts without a match wait at
     target/waiting/batch=n for `hold` batches; a text that has filled an item
-    waits on, for other items of its address. Rows that repeat an item count
-    once. A batch that is run again reads the waiting rows of the batch before
+    waits on, for other items of its address. Rows that repeat an item
+    that waits count once; an item that comes anew when it is filled is filled anew. A batch that is run again reads the waiting rows of the batch before
     it and writes the same rows to the same place, so nothing is filled twice
     by a restart.
     """
