@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import mask_json, normalize_text, unmask_json
 from ..functions.urls import url_host, url_path
-from .extract import block_tokens
+from .extract import host_suffixes
 from .html import unescape
+from .nesting import nested
 from .quality import is_utility_nav
 from .titles import chapter_title, squeeze
 
@@ -124,17 +125,13 @@ def container_bodies(pages: DataFrame, rules: DataFrame) -> DataFrame:
     log-in and payment, if it has 400 and Han signs. An element that is not
     closed ends with the page.
     """
-    host = url_host(F.col("url"))
-    named = pages.join(rules.select("host_suffix", "container_id"), (host == F.col("host_suffix")) | host.endswith(F.concat(F.lit("."), "host_suffix")))
+    named = pages.select("page_id", F.explode(host_suffixes(F.col("url"))).alias("host_suffix")).join(rules.select("host_suffix", "container_id"), "host_suffix")
     named = named.groupBy("page_id").agg(F.min("container_id").alias("container_id"))
-    t = block_tokens(pages.join(named, "page_id")).join(named, "page_id")
-    ids = F.regexp_extract("raw", r"""(?is)\bid=["']?([^"'\s>]*)""", 1)
-    page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opens = F.min(F.when((F.col("opens") == 1) & (ids == F.col("container_id")), F.struct("pos", "level"))).over(page)
-    t = t.withColumn("from_", opens).where("from_ is not null")
-    t = t.withColumn("to_", F.min(F.when((F.col("closes") == 1) & (F.col("level") == F.col("from_.level")), F.col("pos"))).over(page))
-    words = F.array_sort(F.collect_list(F.when(F.col("to_").isNull() & (F.col("kind") == "text"), F.struct("pos", unescape(F.col("raw")).alias("x")))))
-    text = normalize_text(F.array_join(F.transform(words, lambda x: x["x"]), " "))
-    found = t.groupBy("page_id").agg(text.alias("text")).where(F.length("text") >= LEAST_BODY)
+    t = nested(pages.join(named, "page_id"), "container_id")
+    own = F.filter("blocks", lambda b: F.regexp_extract(b["raw"], r"""(?is)\bid=["']?([^"'\s>]*)""", 1) == F.col("container_id"))
+    t = t.select("page_id", "tokens", F.get(own, F.lit(0)).alias("b"))
+    inside = F.slice("tokens", F.col("b.start") + 2, F.coalesce("b.end", F.size("tokens")) - F.col("b.start") - 1)
+    words = F.transform(F.filter(inside, lambda x: x["kind"] == "text"), lambda x: x["plain"])
+    found = t.select("page_id", normalize_text(F.array_join(words, " ")).alias("text")).where(F.length("text") >= LEAST_BODY)
     return found.select("page_id", "text", ((F.length("text") >= LEAST_INJECTED) & F.col("text").rlike("[一-龥]")).alias("injected"))
 

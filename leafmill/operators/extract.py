@@ -219,15 +219,19 @@ def region_text(html: Column, least: int = 20) -> Column:
     return F.when(F.length(text) >= least, text)
 
 
+def host_suffixes(url: Column) -> Column:
+    """A host and what follows each of its dots."""
+    parts = F.split(url_host(url), r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+
+
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, rule columns) of every rule whose host suffix and path pattern fit.
 
     Each host is spread into its few suffixes, so the join is by equality and
     needs no broadcast of the rules. A rule of null pattern fits every path.
     """
-    parts = F.split(url_host(F.col("url")), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    p = pages.select("page_id", url_path(F.col("url")).alias("path_"), F.explode(suffixes).alias("host_suffix"))
+    p = pages.select("page_id", url_path(F.col("url")).alias("path_"), F.explode(host_suffixes(F.col("url"))).alias("host_suffix"))
     return p.join(rules, "host_suffix").where("path_regex is null or path_ rlike path_regex").drop("path_")
 
 

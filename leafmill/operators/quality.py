@@ -67,10 +67,8 @@ def is_chapter_address(url: Column) -> Column:
 
 def toc_quality(entries: DataFrame, key: str = "list_id") -> DataFrame:
     """(key, n_like, ratio, valid) of each list of (title, url): how much of it looks like chapters, utility labels aside."""
-    counted = entries.where(~is_utility_nav(F.col("title")))
-    sums = entries.select(key).distinct().join(
-        counted.groupBy(key).agg(F.count("*").alias("n"), F.count_if(is_chapter_title(F.col("title"))).alias("by_title"), F.count_if(is_chapter_address(F.col("url"))).alias("by_url")), key, "left"
-    ).na.fill(0, ["n", "by_title", "by_url"])
+    counted = ~is_utility_nav(F.col("title"))
+    sums = entries.groupBy(key).agg(F.count_if(counted).alias("n"), F.count_if(counted & is_chapter_title(F.col("title"))).alias("by_title"), F.count_if(counted & is_chapter_address(F.col("url"))).alias("by_url"))
     like = F.greatest("by_title", "by_url")
     rated = sums.withColumn("n_like", like).withColumn("ratio", F.when(F.col("n") > 0, like / F.col("n")).otherwise(F.lit(0.0)))
     return rated.select(key, "n_like", "ratio", ((F.col("n_like") >= 2) & ((F.col("ratio") >= 0.2) | (F.col("by_url") >= 3))).alias("valid"))
