@@ -207,6 +207,21 @@ def test_top_k_against_all_scores(spark, monkeypatch):
     assert topk.top_k(few, few, 20).count() == 6 and topk.top_k(vectors.limit(0), few, 20).count() == 0
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    """Each row of an id is a query of its own, and a candidate of the others."""
+    rng = np.random.default_rng(8)
+    rows = [(i % 40, rng.integers(-70, 70, 6).astype(float).tolist()) for i in range(90)] + [(0, [1.0] * 6)] * 3
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = [(r.vec_id, np.array(r.v)) for r in vectors.collect()]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20).collect())
+    want = []
+    for at, (q, own) in enumerate(whole):
+        if q % 20 == 0:
+            best = sorted((-int(own @ v), i) for j, (i, v) in enumerate(whole) if j != at)[:20]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_top_k_of_large_components(spark):
     rng = np.random.default_rng(9)
     for size in (1e6, 1e10, 1e300):
