@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import quality as Q
+from ..operators import extract as X, library as L, quality as Q
 from ..sources import files as B, tables as S
+from ..sources.storage import scratch_folder
 from ..streaming import throttle as G
 from .registry import _SP, _LISTS, _QUALITY, _add, _count_sql, _lists
 
@@ -157,3 +160,38 @@ def _(spark, d):
 def _(spark, d):
     feed = S.progress_feed(spark, d).withColumn("reason", F.when(F.col("item_id") % 50 == 0, "pause").otherwise("tick"))
     return G.throttle(feed, 10).select("book_id", "item_id", "line_index", "reason")
+
+
+@_add("s1_text_files", "SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes, true AS named FROM documents GROUP BY source")
+def _(spark, d):
+    """The texts of each source written as whole files, and scanned as such."""
+    folder = f"{scratch_folder(spark)}/texts-{uuid.uuid4()}"
+    S.table(spark, d, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").option("lineSep", "\n").text(folder)
+    files = B.scan_text_files(spark, f"{folder}/*/*.txt")
+    name = F.nullif(F.regexp_extract("path", "/source=([^/]*)/", 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    sums = files.select(name.alias("source"), F.length("content").cast("long").alias("n"), (F.col("title").startswith("part-") & ~F.col("title").endswith(".txt")).alias("ok"))
+    return sums.groupBy("source").agg(F.sum("n").alias("n_bytes"), F.bool_and("ok").alias("named"))
+
+
+@_add("s6_front_matter", r"""WITH m AS (SELECT page_id, ['cover', 'ch1', 'nav-x', 'c', 'Toc', 'b', 'discover'][1 + page_id % 7] AS idref, ['a/x.html', 'a/contents.html', 'covers.html'][1 + page_id % 3] AS href, CASE WHEN page_id % 11 = 0 THEN 'application/x-dtbncx+xml' ELSE 'text/html' END AS media, CASE WHEN page_id % 13 = 0 THEN ' Contents ' ELSE 'One' END AS title, CASE WHEN page_id % 5 = 0 THEN 'Table  of Contents' ELSE html END AS text, page_id % 6 AS position FROM pages)
+  SELECT page_id, position <= 3 AND (regexp_matches(lower(idref), '\b(cover|toc|nav|contents)\b') OR regexp_matches(href, '\b(cover|toc|nav|contents?)\b') OR contains(media, 'x-dtbncx') OR trim(title) = 'Contents' OR (length(trim(text)) BETWEEN 1 AND 260 AND regexp_matches(lower(text), 'contents'))) AS is_front FROM m""")
+def _(spark, d):
+    k = F.col("page_id")
+    one_of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int"))
+    front = B.is_front_matter(
+        one_of(("cover", "ch1", "nav-x", "c", "Toc", "b", "discover")), one_of(("a/x.html", "a/contents.html", "covers.html")), F.when(k % 11 == 0, B.NCX).otherwise("text/html"),
+        F.when(k % 13 == 0, " Contents ").otherwise("One"), F.when(k % 5 == 0, "Table  of Contents").otherwise(F.col("html")), k % 6,
+    )
+    return S.table(spark, d, "pages").select("page_id", front.alias("is_front"))
+
+
+@_add("k2_last_read", "SELECT b.id, b.title, l.updated_at AS read_at FROM v_books b LEFT JOIN v_latest l ON l.book_id = b.id ORDER BY coalesce(l.updated_at, b.updated_at) DESC NULLS LAST, b.id LIMIT 20")
+def _(spark, d):
+    shelf = L.list_books(S.books(spark, d), L.latest_progress(S.progress_feed(spark, d)))
+    return L.order_by_recency(shelf).limit(20).select("id", "title", "read_at")
+
+
+@_add("t15_least_length", "SELECT doc_id, CASE WHEN doc_id % 400 > 0 AND doc_id % 3 > 0 THEN least(200, greatest(60, floor(doc_id % 400 * 0.95 + 0.5)))::INT ELSE 200 END AS least FROM documents")
+def _(spark, d):
+    said = F.when(F.col("doc_id") % 3 > 0, F.concat(F.when(F.col("doc_id") % 2 > 0, "本章字数：").otherwise("字数 : "), (F.col("doc_id") % 400).cast("string"))).otherwise("")
+    return _docs(spark, d).select("doc_id", X.least_length(F.concat(F.coalesce("text", F.lit("")), said)).alias("least"))
