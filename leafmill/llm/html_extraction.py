@@ -45,6 +45,9 @@ FEATURES = len(KINDS) + 4
 SHORT_WORDS, LONG_WORDS, LINKED_SHARE, MOST_SHARE = 6, 20, 0.5, 0.6
 TAGS = tuple(sorted(BLOCKS | {"a", "b", "br", "em", "i", "img", "input", "label", "small", "span", "strong", "sup", "time", "u"}))
 
+# Words that make a class tell of a page's state ("comments-open", "no-sidebar") and not what a region is.
+QUALIFIERS = frozenset("has no with without open opened closed enabled disabled is".split())
+
 # What a weight is worth before any page has been seen (log odds that a word is main text).
 PRIOR = {"mark": 2.0, "content": 1.0, "heading": 0.0, "link": -1.5, "item": -0.3, "quote": 0.0, "nav": -3.0, "header": -2.0, "footer": -3.0, "aside": -3.0, "notice": -3.0, "advert": -3.0, "form": -2.5, "share": -3.0, "comment": -4.0, "hidden": -4.0}
 PRIOR_REST = (-2.5, -0.8, 0.6, -1.5)  # outside of the marked article, short block, long block, linked block
@@ -71,8 +74,11 @@ def kinds_of(name: str, attributes: str) -> int:
         elif key == "itemprop" and value.lower() == "articlebody":
             bits |= BIT["mark"]
         elif key in ("class", "id"):
-            for word in PIECES.findall(value):
-                bits |= BIT.get(NAMED.get(word.lower(), ""), 0)
+            for token in value.split():
+                words = [w.lower() for w in PIECES.findall(token)]
+                if not QUALIFIERS.intersection(words):
+                    for word in words:
+                        bits |= BIT.get(NAMED.get(word, ""), 0)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             bits |= BIT["hidden"]
     return bits

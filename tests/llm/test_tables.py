@@ -32,6 +32,7 @@ LABELLED = {
     "article header": (f"<header><p>Town Paper</p></header><article><header><h1>Flood</h1></header>{BODY}</article>", "Flood " + TEXT),
     "unclosed": (f"<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><article>{BODY.replace('</p>', '')}<p><b>Bold end", TEXT + " Bold end"),
     "related teasers": (f"<main><article><h1>Flood</h1>{BODY}</article></main><aside><article><h3>Other</h3><p>A teaser of another article that is not about this flood.</p></article></aside>", "Flood " + TEXT),
+    "states in classes": (f"<body class='no-sidebar nav-open'><article class='post comments-open has-ads'><h1>Flood</h1>{BODY}</article><div class='related-posts'><p>Another article that you may like to read as well today</p></div></body>", "Flood " + TEXT),
     "hidden": (f"<article>{BODY}<div style='display: none'>Hidden words for robots only, which no reader sees</div></article>", TEXT),
 }
 
