@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -35,33 +37,76 @@ def source_format(path: Column) -> Column:
     return F.struct(kind.alias("format"), F.when(kind.isNull(), "UNSUPPORTED_FORMAT").alias("error"))
 
 
-_CANDIDATES = "array<struct<method:string,is_view:boolean,text:string>>"
+CHUNK = 1 << 20
+"""Bytes of a file that are decoded at once."""
+_MEASURES = "array<struct<method:string,is_view:boolean,n:long,han:long,bad:long>>"
 
 
-def _decoder(refine: bool):
-    direct = ["utf-8", "gb18030", "gbk"] + (["big5"] if refine else [])
-    views = [("latin1->gbk", "gbk"), ("latin1->gb18030", "gb18030"), ("windows-1252->gbk", "gbk"), ("windows-1252->gb18030", "gb18030")] + ([("gbk->utf8", "utf-8"), ("big5->utf8", "big5")] if refine else [])
+def _codecs(refine: bool) -> tuple[list[str], list[tuple[str, str]]]:
+    """Codecs of the bytes, and names and codecs of views: text that was read as Latin-1 before it was written as UTF-8."""
+    views = [("latin1->gbk", "gbk"), ("latin1->gb18030", "gb18030"), ("windows-1252->gbk", "gbk"), ("windows-1252->gb18030", "gb18030")]
+    return ["utf-8", "gb18030", "gbk"] + (["big5"] if refine else []), views + ([("gbk->utf8", "utf-8"), ("big5->utf8", "big5")] if refine else [])
+
+
+def _pieces(b: bytes, codec: str, is_view: bool) -> Iterator[str]:
+    """The text of a file, chunk by chunk, by an incremental decoder that carries what a chunk cuts in two."""
+    of = lambda name: codecs.getincrementaldecoder("utf-8-sig" if name == "utf-8" and not is_view else name)("replace")
+    first, second = codecs.getincrementaldecoder("utf-8-sig")("replace") if is_view else None, of(codec)
+    for lo in range(0, max(1, len(b)), CHUNK):
+        chunk, last = b[lo : lo + CHUNK], lo + CHUNK >= len(b)
+        yield second.decode(first.decode(chunk, last).encode("latin1", "replace") if is_view else chunk, last)
+
+
+def _methods(refine: bool) -> list[tuple[str, str, bool]]:
+    direct, views = _codecs(refine)
+    return [(f"direct-{c}", c, False) for c in direct] + [(f"utf8->view->{n}", c, True) for n, c in views]
+
+
+def _measurer(refine: bool):
+    methods, wrong = _methods(refine), [ord(c) for c in MOJIBAKE]
 
-    @F.pandas_udf(_CANDIDATES)
-    def decode(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_MEASURES)
+    def measure(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(b: bytes | None) -> list:
-            b = b or b""
-            plain = b.decode("utf-8-sig", "replace")
-            view = plain.encode("latin1", "replace")
-            return [(f"direct-{c}", False, plain if c == "utf-8" else b.decode(c, "replace")) for c in direct] + [(f"utf8->view->{n}", True, view.decode(c, "replace")) for n, c in views]
+            out = []
+            for method, codec, is_view in methods:
+                n = han = bad = 0
+                for piece in _pieces(b or b"", codec, is_view):
+                    signs = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    n += len(signs)
+                    han += int(((signs >= 0x4E00) & (signs <= 0x9FFF)).sum())
+                    bad += int(np.isin(signs, wrong).sum())
+                out.append((method, is_view, n, han, bad))
+            return out
 
         for batch in contents:
             yield batch.map(one)
 
+    return measure
+
+
+def _decoder(refine: bool):
+    known = {m: (c, v) for m, c, v in _methods(refine)}
+
+    @F.pandas_udf("text string, plain string")
+    def decode(contents: pd.Series, methods: pd.Series) -> pd.DataFrame:
+        whole = lambda b, m: "".join(_pieces(b or b"", *known[m]))
+        texts = [whole(b, m) for b, m in zip(contents, methods)]
+        return pd.DataFrame({"text": texts, "plain": [None if m == "direct-utf-8" else whole(b, "direct-utf-8") for b, m in zip(contents, methods)]})
+
     return decode
 
 
+def _score(n: Column, han: Column, bad: Column, is_view: Column, prefer_view: Column) -> Column:
+    most = F.greatest(n, F.lit(1))
+    share = han / most + F.when(prefer_view & is_view, 0.002).otherwise(0.0)
+    return F.struct(share.alias("a"), F.when(n == 0, -1.0).otherwise(-F.least(F.lit(0.5), bad / most * 10)).alias("b"), F.least(n / 1_000_000, F.lit(0.1)).alias("c"))
+
+
 def encoding_score(text: Column, is_view: Column, prefer_view: Column) -> Column:
     """struct(share of Han characters with a bias to views, less the density of wrong signs, length)."""
-    n = F.greatest(F.length(text), F.lit(1))
-    han = F.regexp_count(text, F.lit("[一-鿿]")) / n + F.when(prefer_view & is_view, 0.002).otherwise(0.0)
-    bad = F.least(F.lit(0.5), F.regexp_count(text, F.lit("[" + "".join(MOJIBAKE) + "]")) / n * 10)
-    return F.struct(han.alias("a"), F.when(text == "", -1.0).otherwise(-bad).alias("b"), F.least(F.length(text) / 1_000_000, F.lit(0.1)).alias("c"))
+    count = lambda signs: F.regexp_count(text, F.lit(f"[{signs}]"))
+    return _score(F.length(text), count("一-鿿"), count("".join(MOJIBAKE)), is_view, prefer_view)
 
 
 def clean_mojibake(text: Column) -> Column:
@@ -85,16 +130,20 @@ def repair_charset(files: DataFrame, clean: bool = True, refine: bool = False) -
     """Files with (text, method, han_ratio, n_bad, changed) in place of content, the best of several decodings.
 
     Scores compare part by part and UTF-8 wins ties; as the share of Han comes
-    first, UTF-8 text with much punctuation can lose to its reading as GBK. Decoding is the only step
-    in Python, a batch at a time; a null content is an empty text. The
-    decodings of one row are all in memory, so a row takes about ten times its file.
+    first, UTF-8 text with much punctuation can lose to its reading as GBK. A
+    first pass counts the signs of each decoding, CHUNK bytes at a time, and
+    keeps none of their texts; a second one decodes by the best method alone
+    (and as UTF-8 too, if that is another). Only decoding runs in Python; a
+    null content is an empty text.
     """
-    f = files.withColumn("found", _decoder(refine)(F.col("content"))).withColumn("plain", F.get(F.col("found"), F.lit(0))["text"])
-    prefer = F.col("plain").rlike("[" + "".join(MOJIBAKE) + "]")
-    scored = F.transform("found", lambda c, i: F.struct(encoding_score(c["text"], c["is_view"], prefer).alias("s"), (-i).alias("i"), c["method"].alias("method"), c["text"].alias("text")))
-    f = f.withColumn("best", F.array_max(scored))
-    text = clean_mojibake(F.col("best.text")) if clean else F.col("best.text")
-    out = f.select(*[c for c in files.columns if c != "content"], text.alias("text"), F.col("best.method").alias("method"), "plain")
+    f = files.withColumn("found", _measurer(refine)(F.col("content")))
+    prefer = F.get("found", F.lit(0))["bad"] > 0
+    scored = F.transform("found", lambda c, i: F.struct(_score(c["n"], c["han"], c["bad"], c["is_view"], prefer).alias("s"), (-i).alias("i"), c["method"].alias("method")))
+    f = f.withColumn("method", F.array_max(scored)["method"]).drop("found")
+    f = f.withColumn("decoded", _decoder(refine)(F.col("content"), F.col("method")))
+    plain = F.coalesce("decoded.plain", "decoded.text")
+    text = clean_mojibake(F.col("decoded.text")) if clean else F.col("decoded.text")
+    out = f.select(*[c for c in files.columns if c != "content"], text.alias("text"), "method", plain.alias("plain"))
     han = F.regexp_count("text", F.lit("[一-鿿]")) / F.greatest(F.length("text"), F.lit(1))
     return out.select("*", han.alias("han_ratio"), F.regexp_count("text", F.lit("�")).alias("n_bad"), ((F.col("method") != "direct-utf-8") & (F.col("text") != F.col("plain"))).alias("changed")).drop("plain")
 

@@ -7,7 +7,7 @@ import threading
 from pyspark.sql import functions as F
 
 from leafmill.operators import embedded, extract, library, store
-from leafmill.sources import versions
+from leafmill.sources import files, versions
 from leafmill.streaming import idle, pending, progress, throttle
 
 
@@ -158,3 +158,18 @@ def test_pages_of_too_many_elements(spark):
     got = {r.page_id: (r.status, r.content) for r in extract.extract_pages(pages).collect()}
     assert got[1][0] == "OK" and got[2] == ("DOM_TOO_LARGE", None)
     assert [r.n for r in pages.orderBy("page_id").select(extract.element_count(F.col("html")).alias("n")).collect()] == [2, 5003]
+
+
+def test_charset_repair_by_chunks(spark, monkeypatch):
+    """Characters that a chunk cuts in two, signs of a byte order, and bytes that are no text."""
+    monkeypatch.setattr(files, "CHUNK", 5)
+    text = "第一章春天来了万物复苏" * 9
+    rows = [("utf8", text.encode()), ("bom", b"\xef\xbb\xbf" + text.encode()), ("gb", text.encode("gb18030")), ("twice", text.encode("gbk").decode("latin1").encode()), ("bad", b"\xff\xfe\x81" * 7), ("empty", b""), ("null", None)]
+    got = {r.path: r for r in files.repair_charset(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert all(got[k].text == text for k in ("utf8", "bom", "gb", "twice")) and got["empty"].text == got["null"].text == ""
+    assert [got[k].changed for k in ("utf8", "bom", "gb", "twice", "empty")] == [False, False, True, True, False] and got["twice"].method.startswith("utf8->view")
+    for _, b in rows:
+        for method, codec, is_view in files._methods(True):
+            plain = (b or b"").decode("utf-8-sig", "replace")
+            whole = plain.encode("latin1", "replace").decode(codec, "replace") if is_view else plain if codec == "utf-8" else (b or b"").decode(codec, "replace")
+            assert "".join(files._pieces(b or b"", codec, is_view)) == whole, (b, method)
