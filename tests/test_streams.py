@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import threading
 
 from pyspark.sql import functions as F
@@ -173,3 +174,28 @@ def test_charset_repair_by_chunks(spark, monkeypatch):
             plain = (b or b"").decode("utf-8-sig", "replace")
             whole = plain.encode("latin1", "replace").decode(codec, "replace") if is_view else plain if codec == "utf-8" else (b or b"").decode(codec, "replace")
             assert "".join(files._pieces(b or b"", codec, is_view)) == whole, (b, method)
+
+
+def test_throttled_table_against_a_walk(spark):
+    """Bursts, jumps, flushes, deletions and equal times; one book has most of the rows."""
+    rng = random.Random(12)
+    rows, ms, line = [], {b: 0 for b in range(4)}, {b: 0 for b in range(4)}
+    for i in range(900):
+        b = 0 if rng.random() < 0.7 else rng.randrange(4)
+        ms[b] += rng.choice((0, 1, 40, 300, 900, 1500, 1501, 4000))
+        line[b] += rng.choice((0, 0, 0, 1, -1, 30, 61, -70))
+        rows.append((b, i, line[b], at(ms[b]), rng.choices(("tick", "pause", "unmount", "deleted", None), (80, 3, 3, 4, 10))[0]))
+    rows += [(None, 1, 1, at(0), "tick"), (1, 2, 3, None, "tick")]
+    want = []
+    for b in range(4):
+        state = None
+        for _, i, l, t, why in sorted((r for r in rows if r[0] == b and r[3]), key=lambda r: (r[3], r[1])):
+            now = round((t - at(0)).total_seconds() * 1000)
+            ok = why != throttle.DELETED and throttle.passes(now, l, why, state, 10)
+            state = None if why == throttle.DELETED else (now, l) if ok else state
+            want += [i] * ok
+    table = spark.createDataFrame(rows, throttle.OUT)
+    assert sorted(r.item_id for r in throttle.throttle(table, 10).collect()) == sorted(want)
+    assert throttle.throttle(table.limit(0), 10).count() == 0
+    plan = throttle.throttle(table, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
