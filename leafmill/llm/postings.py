@@ -47,12 +47,17 @@ class Packer:
         )
 
 
-def shared_tokens(blobs: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
-    """(token, k): the postings of tokens that two items or more hold, each once; `tasks` should grow with the postings, as a task sorts its share of them.
+def shared_tokens(blobs: DataFrame, hot: np.ndarray, tasks: int | None = None) -> DataFrame:
+    """(token, k): the postings of tokens that two items or more hold, each once.
+
+    `tasks` should grow with the postings, as a task sorts its share of them;
+    without it they are as many as shuffle partitions.
 
     Postings of hot tokens are spread over all tasks by item, so that no task
     gathers one token's; they pass even where a token has but one item.
     """
+    tasks = tasks or int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def reduce(batches):
         parts = [np.frombuffer(p, np.uint64).reshape(-1, 2) for b in batches for p in b.column(1).to_pylist()]
         if not parts:
