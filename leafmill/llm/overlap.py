@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -49,9 +50,13 @@ class Block:
         starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
         self.tokens = tokens[starts]
         self.bounds = np.append(starts, len(tokens))
-        self.places = np.repeat(np.arange(len(starts)), np.diff(self.bounds)) * max(1, len(sets)) + self.items
         self.probed = 0
 
+    @cached_property
+    def places(self) -> np.ndarray:
+        """(list, item) of all entries, as one number each, ascending."""
+        return np.repeat(np.arange(len(self.tokens)), np.diff(self.bounds)) * max(1, len(self.sizes)) + self.items
+
     def n_long(self, least: int, lengths: np.ndarray) -> int:
         """DivideSkip's number of lists to probe: T / (mu * log2(longest) + 1), fewer than the needed overlap."""
         return min(least - 1, len(lengths) - 1, int(least / (PROBE * math.log2(max(2, int(lengths[-1]))) + 1)))
