@@ -1,9 +1,8 @@
-"""Trees of groups: ancestors by pointer doubling, and interval labels from a ranked Euler tour.
+"""Trees of groups: ancestors, sizes and places by pointer doubling, which give interval labels.
 
-A round doubles how far each row looks, so a tree of depth d takes about
-log2(d) rounds for ancestors, and one of n groups log2(2n) for its tour. Each
-round's table is a checkpoint. No limit of depth or rows is set, and no task
-gathers the groups below one parent.
+A round doubles how far each row looks, so trees of depth d take about log2(d)
+rounds, however many groups they have. Each round's table is written. No limit
+of depth or rows is set, and no task gathers the groups below one parent.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from ..sources.storage import Rounds, few, settle
 
 FEW_ROOTS = 1_000
 INDENT = 6
+HOT, HOT_ROWS = 64, 10_000
+"""A key with more than one HOT-th of the rows, and more than HOT_ROWS, is met in HOT places."""
 
 
 def numbered(groups: DataFrame) -> DataFrame:
@@ -27,67 +28,89 @@ def _segment(nodes: DataFrame):
     return F.concat(F.lpad(F.col("order_index").cast("string"), 6, "0"), F.lit(" "), "title")
 
 
+def _meet(rows: DataFrame, far: DataFrame, key: str, n: int, counted: DataFrame | None = None) -> DataFrame:
+    """rows(no, key, ...), n of a tree table, with the columns of far, of which a key has one row at most; null where it has none.
+
+    A key with over one HOT-th of n rows, of which there are fewer than HOT,
+    is met in HOT places if it has over HOT_ROWS; rows without a key are spread. `counted` has the
+    keys of rows, if that is a table which is cheaper to read.
+    """
+    met = (rows if counted is None else counted).where(f"{key} is not null").groupBy(key).count().where((F.col("count") * HOT > n) & (F.col("count") > HOT_ROWS))
+    found = [r[0] for r in met.collect()]
+    hot = F.col(key).isin(found) if found else F.lit(False)
+    salt = F.when(F.col(key).isNull(), F.col("no")).when(hot, F.pmod(F.xxhash64("no"), F.lit(HOT))).otherwise(F.lit(0)).cast("long")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(HOT - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    far = far.withColumn("salt_", F.explode(copies))
+    return rows.withColumn("salt_", salt).join(far, [key, "salt_"], "left").drop("salt_")
+
+
 def tops(nodes: DataFrame, places: bool = False) -> DataFrame:
     """(no, top, depth, done) by pointer doubling; done is false for groups on a cycle or below one. `places` adds the path of (order, title) from the top."""
     place = _segment(nodes) if places else F.lit("")
     rounds = Rounds(nodes.select("no", F.coalesce("parent", "no").alias("top"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("parent").isNull().alias("done"), place.alias("place")))
     held = rounds.df
-    most = held.count().bit_length() + 1
-    for _ in range(most):
+    n = held.count()
+    for _ in range(n.bit_length() + 1):
         if held.where("not done").isEmpty():
             break
         far = held.select(F.col("no").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"), F.col("place").alias("before"))
         longer = F.concat("before", F.lit("/"), "place") if places else F.lit("")
-        moved = held.where("not done").join(far, "top").select("no", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"), longer.alias("place"))
+        moved = _meet(held.where("not done"), far, "top", n).select("no", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"), longer.alias("place"))
         held = rounds.put(held.where("done").unionByName(moved))
     return held if places else held.drop("place")
 
 
-def _siblings(nodes: DataFrame) -> DataFrame:
-    """(no, parent, seq, next): the next group below the same parent, by order, title and number.
+def _sizes(inside: DataFrame, n: int) -> DataFrame:
+    """(no, size) of the groups of trees: how many are at or below each.
+
+    What is less than 2**k steps below a group is known in round k; those just
+    2**k below it bring what is less than 2**k below them.
+    """
+    rounds = Rounds(inside.select("no", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")))
+    held = rounds.df
+    while not held.where("up is not null").isEmpty():
+        more = held.where("up is not null").groupBy("up").agg(F.sum("size").alias("more")).withColumnRenamed("up", "no")
+        grown = held.join(more, "no", "left").select("no", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        held = rounds.put(_meet(grown, held.select(F.col("no").alias("up"), F.col("up").alias("next")), "up", n, held).select("no", F.col("next").alias("up"), "size"))
+    return held.select("no", "size")
+
+
+def _steps(inside: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """(no, up, at): how far behind its parent a group comes, depth first; 0 and no parent for a root.
 
-    Groups are sorted over ranges, not gathered by parent; the one behind a
-    range's last is the first of the next range that has rows.
+    Siblings are by order, title and number. They are sorted over ranges, not
+    gathered by parent: sums run on from range to range, and a parent's first
+    child tells where its own begin.
     """
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["parent", "order_index", "title", "no"]
-    below = nodes.where("parent is not null").repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    placed = settle(below.select("no", "parent", F.monotonically_increasing_id().alias("seq"), F.spark_partition_id().alias("part")))
-    ends = placed.groupBy("part").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
-    jumps = ends.select(F.col("last").alias("seq"), F.lead("first").over(Window.orderBy("part")).alias("jump"))  # as many rows as partitions
-    after = placed.select(F.col("seq").alias("at"), F.col("parent").alias("parent_"), F.col("no").alias("next"))
-    to = placed.join(F.broadcast(jumps), "seq", "left").withColumn("at", F.coalesce("jump", F.col("seq") + 1))
-    return to.join(after, "at", "left").select("no", "parent", "seq", F.when(F.col("parent") == F.col("parent_"), F.col("next")).alias("next"))
+    parts = int(inside.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    below = inside.where("parent is not null").join(sizes, "no").repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    placed = settle(below.select("no", "parent", "size", F.monotonically_increasing_id().alias("seq"), F.spark_partition_id().alias("part")))
+    before = lambda size, w: F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("part").agg(F.sum("size").alias("whole")).select("part", before("whole", Window.orderBy("part")).alias("start"))  # as many rows as partitions
+    ran = placed.withColumn("ran", before("size", Window.partitionBy("part").orderBy("seq"))).join(F.broadcast(starts), "part").select("no", "parent", (F.col("start") + F.col("ran")).alias("ran"))
+    first = ran.groupBy("parent").agg(F.min("ran").alias("first"))
+    steps = _meet(ran, first, "parent", n, placed).select("no", F.col("parent").alias("up"), (F.col("ran") - F.col("first") + 1).alias("at"))
+    return steps.unionByName(inside.where("parent is null").select("no", F.col("parent").alias("up"), F.lit(0).cast("long").alias("at")))
 
 
 def interval_labels(nodes: DataFrame, held: DataFrame) -> DataFrame:
     """(no, top, depth, enter, leave) of the groups of trees: a group's place in its tree, depth first, and that of the last group below it.
 
-    A tree is walked as a list of two steps a group, down to it and up from
-    it; the sums of the steps behind each come from pointer jumping, where
-    each step is met by one other at most, so no join is skewed.
+    A group comes behind its parent by one and all that is at or below its
+    earlier siblings; its place is the sum of this on the way up to its root.
+    Sizes and sums both come from pointer doubling, log2(depth) rounds each.
     """
     trees = held.where("done").select("no", "top", "depth")
-    inside = nodes.join(trees, "no", "left_semi")
-    siblings = settle(_siblings(inside))
-    first = siblings.groupBy("parent").agg(F.min(F.struct("seq", "no")).alias("c")).select(F.col("parent").alias("no"), F.col("c.no").alias("child"))
-    met = inside.select("no", "parent").join(first, "no", "left").join(siblings.select("no", "next"), "no", "left")
-    down, up = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
-    steps = F.array(
-        F.struct(down("no").alias("e"), F.coalesce(down("child"), up("no")).alias("to"), F.lit(1).cast("long").alias("s")),
-        F.struct(up("no").alias("e"), F.coalesce(down("next"), up("parent")).alias("to"), F.lit(0).cast("long").alias("s")),
-    )
-    rounds = Rounds(met.select(F.inline(steps)))
-    tour = rounds.df
-    while not tour.where("to is not null").isEmpty():
-        far = tour.select(F.col("e").alias("to"), F.col("to").alias("next"), F.col("s").alias("more"))
-        tour = rounds.put(tour.join(far, "to", "left").select("e", F.col("next").alias("to"), (F.col("s") + F.coalesce("more", F.lit(0))).alias("s")))
-    is_down = F.col("e") % 2 == 0
-    sums = tour.groupBy(F.shiftright("e", 1).alias("no")).agg(F.max(F.when(is_down, F.col("s"))).alias("from_"), F.max(F.when(~is_down, F.col("s"))).alias("behind"))
-    total = F.col("total")
-    labelled = trees.join(sums, "no")
-    sizes = labelled.where("no = top").select("top", F.col("from_").alias("total"))
-    return labelled.join(sizes, "top").select("no", "top", "depth", (total - F.col("from_")).alias("enter"), (total - F.col("behind") - 1).alias("leave"))
+    inside = settle(nodes.join(trees, "no", "left_semi").select("no", "parent", "order_index", "title"))
+    n = inside.count()
+    sizes = _sizes(inside, n)
+    rounds = Rounds(_steps(inside, sizes, n))
+    way = rounds.df
+    while not way.where("up is not null").isEmpty():
+        far = way.select(F.col("no").alias("up"), F.col("up").alias("next"), F.col("at").alias("more"))
+        way = rounds.put(_meet(way, far, "up", n).select("no", F.col("next").alias("up"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at")))
+    return trees.join(way.select("no", F.col("at").alias("enter")), "no").join(sizes, "no").select("no", "top", "depth", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"))
 
 
 def _pairs(nodes: DataFrame, up: DataFrame, on_cycles: bool) -> DataFrame:
