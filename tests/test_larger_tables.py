@@ -19,3 +19,11 @@ def same(spark, folder, name):
 def test_bodies_of_pages_with_long_numbers(spark, tmp_path):
     spark.sql("SELECT id AS page_id, 'https://a.example/' AS url, '<p>x</p>' AS html FROM range(123400, 123500)").write.parquet(str(tmp_path / "pages.parquet"))
     same(spark, tmp_path, "n2_embedded_bodies")
+
+
+def test_places_in_lists_of_addresses_with_long_numbers(spark, tmp_path):
+    url = "concat('https://a', id % 2, '.example/', id DIV 50, '/', 12345 + id % 50, CASE WHEN id % 3 = 0 THEN '.html' ELSE '/?utm_source=x' END)"
+    spark.sql(f"SELECT id AS page_id, {url} AS url, '' AS html FROM range(100)").write.parquet(str(tmp_path / "pages.parquet"))
+    same(spark, tmp_path, "j8_match_toc")
+    kinds = {r.by for r in same(spark, tmp_path, "j8_match_toc_by_number").collect()}
+    assert kinds == {0, 1}
