@@ -1,7 +1,10 @@
 """Queries over tables whose keys and addresses are longer than those of the smallest given ones."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from leafmill.functions.text import SPACE, trim
+from leafmill.operators import quality
 from leafmill.plans import registry
 
 
@@ -27,3 +30,16 @@ def test_places_in_lists_of_addresses_with_long_numbers(spark, tmp_path):
     same(spark, tmp_path, "j8_match_toc")
     kinds = {r.by for r in same(spark, tmp_path, "j8_match_toc_by_number").collect()}
     assert kinds == {0, 1}
+
+
+def test_words_that_a_pattern_is_searched_for_by(spark):
+    """A text without any of a pattern's words has no match, whatever its case and white space; one with a word is counted whole."""
+    hits = [
+        "代表作 文库", "VIP章节 vip章节", "去app阅读 APP内继续阅读", "第　 12\n章 第三回", "chapter\t4", "PART iv", "书名：a 作者：b ISBN", "ALL　rights \n reserved COPYRIGHT", "Published by x Understanding  China Editorial\tBoard",
+        "#FFF; #00ff00 z-index URL( BackGround", "ICP备 icp证 All Rights\nReserved", "İSBN ISBN", "Ｃopyright", "﻿chapter 1", "第1话 第2篇", "", " ", None, "plain text",
+    ]
+    df = spark.createDataFrame([(t,) for t in hits], "t string")
+    plain = lambda p: F.regexp_count(trim(F.regexp_replace(F.coalesce("t", F.lit("")), f"{SPACE}+", " ")), F.lit(p))
+    for pattern in quality.HELD:
+        rows = df.select("t", plain(pattern).alias("want"), quality._n(F.col("t"), pattern).alias("got")).collect()
+        assert all(r.want == r.got for r in rows) and any(r.want for r in rows), pattern
