@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.nesting import fold
 from ..operators.store import backfill
-from ..sources.storage import Rounds, settle
+from ..sources.storage import settle
 
 # The least milliseconds between kept rows, the screens that count as a jump, and reasons that always pass.
 INTERVAL_MS = 1500
@@ -30,90 +31,68 @@ def _prepared(feed: DataFrame) -> DataFrame:
     return kept.select("book_id", "item_id", F.coalesce("line_index", F.lit(0)).cast("int").alias("line_index"), F.col("updated_at").cast("timestamp").alias("updated_at"), "reason", F.unix_millis(F.col("updated_at").cast("timestamp")).alias("ms"))
 
 
-def _behind(df: DataFrame, order: list[str], marks: dict[str, Column], at: str) -> DataFrame:
-    """df with, for each mark, the `at` of the first row behind each row that bears it; null if there is none.
+BLOCK = 1 << 14
+"""Rows that are walked through as one."""
+_ROW = "struct<seq:bigint,book_id:bigint,item_id:bigint,line_index:int,updated_at:timestamp,reason:string,ms:bigint>"
+_END = ("book", "held", "ms", "line", "told")
+_BEFORE = "block long, book long, held boolean, ms long, line int"
 
-    Rows are sorted over ranges; a range looks through its own rows, and one
-    row for each range tells what lies behind it. Equal rows are told apart by
-    `at`, so no range has to hold all rows of a key.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settle(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id()).withColumn("seq_", F.monotonically_increasing_id()))
-    own = Window.partitionBy("part_").orderBy("seq_").rowsBetween(1, Window.unboundedFollowing)
-    found = {c: F.first(F.when(m, F.col(at)), ignorenulls=True).over(own).alias(f"{c}_own") for c, m in marks.items()}
-    heads = dealt.groupBy("part_").agg(*[F.min(F.when(m, F.struct("seq_", at)))[at].alias(c) for c, m in marks.items()])
-    later = Window.orderBy("part_").rowsBetween(1, Window.unboundedFollowing)  # as many rows as ranges
-    heads = heads.select("part_", *[F.first(c, ignorenulls=True).over(later).alias(f"{c}_later") for c in marks])
-    out = dealt.select("*", *found.values()).join(F.broadcast(heads), "part_")
-    return out.select(*df.columns, *[F.coalesce(f"{c}_own", f"{c}_later").alias(c) for c in marks])
-
-
-def _first_jump(rows: DataFrame, asked: DataFrame, least: int) -> DataFrame:
-    """(n, jump): of each asked row (n, line, until) the first row behind it, before `until`, whose line is `least` or more away.
-
-    Least and greatest lines of 1, 2, 4, ... rows from each row on are made by
-    doubling, as far as the longest span asks; then each asked row steps over
-    the blocks that hold no such line, the largest first.
+
+def _walked(blocks: DataFrame, rows: int) -> DataFrame:
+    """(block, what it ends with, kept): the rows of each block that pass, from the state (book, held, ms, line) that it begins with.
+
+    told: whether a row of the block, the first of a book, a flush or a
+    deletion, sets the state whatever it was, so the end does not hang on it.
     """
-    most = asked.agg(F.max(F.col("until") - F.col("n"))).first()[0] or 0
-    levels = [settle(rows.select("n", F.col("line").alias("low"), F.col("line").alias("high")))]
-    while (1 << len(levels)) < most:
-        half = 1 << (len(levels) - 1)
-        other = levels[-1].select((F.col("n") - half).alias("n"), F.col("low").alias("low_"), F.col("high").alias("high_"))
-        levels.append(settle(levels[-1].join(other, "n").select("n", F.least("low", "low_").alias("low"), F.greatest("high", "high_").alias("high"))))
-    at = asked.select("n", "line", "until", (F.col("n") + 1).alias("pos"))
-    for k in range(len(levels) - 1, -1, -1):
-        block = levels[k].select(F.col("n").alias("pos"), "low", "high")
-        free = (F.col("pos") + (1 << k) <= F.col("until")) & (F.col("high") < F.col("line") + least) & (F.col("low") > F.col("line") - least)
-        at = settle(at.join(block, "pos", "left").select("n", "line", "until", F.when(free, F.col("pos") + (1 << k)).otherwise(F.col("pos")).alias("pos")))
-    hit = rows.select(F.col("n").alias("pos"), F.col("line").alias("there"))
-    return at.where("pos < until").join(hit, "pos").where(F.abs(F.col("there") - F.col("line")) >= least).select("n", F.col("pos").alias("jump"))
+    fields = (*_END, "kept")
+
+    def step(acc: Column, x: Column) -> Column:
+        new = ~acc["book"].eqNullSafe(x["book_id"])
+        gone, flush = F.coalesce(x["reason"] == DELETED, F.lit(False)), F.coalesce(x["reason"].isin(*FLUSH), F.lit(False))
+        away = (x["ms"] - acc["ms"] >= INTERVAL_MS) | (F.abs(x["line_index"] - acc["line"]) >= max(1, JUMP_SCREENS * rows))
+        ok = ~gone & (new | ~acc["held"] | flush | ((x["line_index"] != acc["line"]) & away))
+        put = lambda ok: F.struct(
+            x["book_id"].alias("book"), (~gone).alias("held"), F.when(ok, x["ms"]).otherwise(acc["ms"]).alias("ms"), F.when(ok, x["line_index"]).otherwise(acc["line"]).alias("line"),
+            (acc["told"] | new | gone | flush).alias("told"), F.when(ok, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept"),
+        )
+        return F.get(F.transform(F.array(ok), put), F.lit(0))
+
+    zero = F.struct("book", F.coalesce("held", F.lit(False)).alias("held"), "ms", "line", F.lit(False).alias("told"), F.array().cast(f"array<{_ROW}>").alias("kept"))
+    # inline: as a struct the fold would be worked out anew for each of its fields that is read
+    return blocks.select("block", F.inline(F.array(fold(F.col("rows"), zero, step, fields, ("kept",)))))
 
 
 def throttle(feed: DataFrame, rows: int) -> DataFrame:
     """G2 over a table: (book_id, item_id, line_index, updated_at, reason) of the rows that pass, by time and item.
 
-    First rows, flushes and rows behind a deletion pass whatever was kept
-    before. Of any other row kept, the next one is the first that is away by
-    INTERVAL_MS and shows another line, or jumps: it is found by looking ahead,
-    for all rows at once. What the first rows of such chains reach then passes,
-    found by pointer doubling. So a book's rows are spread over all tasks, and
-    what is sorted is the table.
+    Rows are sorted over ranges and cut into blocks, so a book's rows may lie in
+    many of them. What a block ends with is known from its own rows as soon as
+    a book begins in it, or a row is a flush or a deletion. Only blocks without
+    such a row hang on what came before: those that began with another state
+    than the one before them ends with are walked again, all at once, until
+    there are none: once or twice as a rule, as chains meet soon, and a time a
+    block for a book without flushes whose chains never meet. The driver sees
+    one row a block.
     """
     p = _prepared(feed)
-    order = ["book_id", "updated_at", "item_id", "line", "reason"]
-    named = p.select("book_id", "item_id", F.col("line_index").alias("line"), "updated_at", "reason", "ms")
-    k = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settle(named.repartitionByRange(k, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("c"), F.min("seq").alias("from_"))
-    starts = sizes.select("part", "from_", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    t = settle(dealt.join(F.broadcast(starts), "part").select("book_id", "item_id", "line", "updated_at", "reason", "ms", (F.col("seq") - F.col("from_") + F.col("before")).alias("n")))
-    last = t.select((F.col("n") + 1).alias("n"), F.col("book_id").alias("book_"), F.col("line").alias("line_"), (F.col("reason") == DELETED).alias("cut_"))
-    t = t.join(last, "n", "left")
-    gone, new = F.coalesce(F.col("reason") == DELETED, F.lit(False)), F.col("book_").isNull() | (F.col("book_") != F.col("book_id"))
-    sure = ~gone & (new | F.coalesce("cut_", F.lit(False)) | F.coalesce(F.col("reason").isin(*FLUSH), F.lit(False)))
-    t = settle(t.select("n", "book_id", "item_id", "line", "updated_at", "reason", "ms", gone.alias("gone"), sure.alias("sure"), (new | (F.col("line") != F.col("line_"))).alias("turn")))
-    t = settle(_behind(t, ["n"], {"end": F.col("sure") | F.col("gone"), "other": F.col("turn")}, "n"))
-    # of each row the first that is INTERVAL_MS later: rows and the times asked for in one order, a time before the rows of that time
-    live = t.where("not gone")
-    real = t.select("book_id", "ms", F.lit(1).alias("is_row"), "n")
-    probes = live.select("book_id", (F.col("ms") + INTERVAL_MS).alias("ms"), F.lit(0).alias("is_row"), "n")
-    timed = _behind(real.unionByName(probes), ["book_id", "ms", "is_row", "n"], {"due": F.col("is_row") == 1}, "n").where("is_row = 0").select("n", "due")
-    beyond = F.lit(1 << 62)
-    ahead = live.join(timed, "n").select("n", "line", F.coalesce("end", beyond).alias("end"), F.coalesce("due", beyond).alias("due"))
-    there = t.select(F.col("n").alias("due"), F.col("line").alias("line_due"), F.coalesce("other", beyond).alias("other"))
-    ahead = settle(ahead.join(there, "due", "left").select("n", "line", "end", "due", F.when(F.col("line_due") == F.col("line"), F.col("other")).otherwise(F.col("due")).alias("late")))
-    spans = ahead.select("n", "line", F.least("due", "end").alias("until")).where("until > n + 1")
-    total = t.count()
-    jumps = _first_jump(t, spans.withColumn("until", F.least("until", F.lit(total))), max(1, JUMP_SCREENS * rows))
-    step = F.least("late", F.coalesce("jump", beyond))
-    links = Rounds(ahead.join(jumps, "n", "left").select("n", F.when(step < F.col("end"), step).alias("to")).where("to is not null"))
-    kept = Rounds(t.where("sure").select("n"))
-    while not links.df.isEmpty():
-        reached = kept.df.join(links.df, "n").select(F.col("to").alias("n"))
-        kept.put(kept.df.union(reached).distinct())
-        links.put(links.df.join(links.df.select(F.col("n").alias("to"), F.col("to").alias("next")), "to").select("n", F.col("next").alias("to")))
-    return t.join(kept.df, "n").select("book_id", "item_id", F.col("line").alias("line_index"), "updated_at", "reason")
+    spark, order = p.sparkSession, ["book_id", "updated_at", "item_id", "line_index", "reason"]
+    k = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settle(p.repartitionByRange(k, *order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()))
+    row = F.struct(*[f.split(":")[0] for f in _ROW[7:-1].split(",")])
+    blocks = settle(dealt.groupBy(F.floor(F.col("seq") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("rows")))
+    before: dict = {}
+    begun = lambda chosen: blocks.join(F.broadcast(spark.createDataFrame([(b, *before.get(b, (None, False, None, None))) for b in chosen], _BEFORE)), "block")
+    guess = {"book": F.col("rows")[0]["book_id"], "held": F.lit(False), "ms": F.lit(None).cast("long"), "line": F.lit(None).cast("int")}  # that the block goes on with its first row's book
+    ends = {b: e for b, *e in _walked(blocks.withColumns(guess), rows).select("block", *_END).collect()}
+    numbers = sorted(ends)
+    while True:
+        known = {b: tuple(ends[a][:4]) for a, b in zip(numbers, numbers[1:])}
+        wrong = [b for b in known if not ends[b][4] and known[b] != before.get(b)]
+        before = known
+        if not wrong:
+            break
+        ends |= {b: e for b, *e in _walked(begun(wrong), rows).select("block", *_END).collect()}
+    return _walked(begun(numbers), rows).select(F.inline("kept")).select("book_id", "item_id", "line_index", "updated_at", "reason")
 
 
 def stream_throttle(feed: DataFrame, rows: int) -> DataFrame:

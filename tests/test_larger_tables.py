@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import SPACE, trim
 from leafmill.operators import quality
 from leafmill.plans import registry
+from leafmill.streaming import throttle
 
 
 def same(spark, folder, name):
@@ -43,3 +44,20 @@ def test_words_that_a_pattern_is_searched_for_by(spark):
     for pattern in quality.HELD:
         rows = df.select("t", plain(pattern).alias("want"), quality._n(F.col("t"), pattern).alias("got")).collect()
         assert all(r.want == r.got for r in rows) and any(r.want for r in rows), pattern
+
+
+def test_one_book_without_a_flush_over_many_blocks(spark, monkeypatch):
+    """A row each second, so that every second row passes and no block tells what it ends with, and each begins with what the one before it ends with."""
+    monkeypatch.setattr(throttle, "BLOCK", 64)
+    feed = spark.range(301).selectExpr("7L AS book_id", "id AS item_id", "int(id) AS line_index", "timestamp_seconds(id) AS updated_at", "'tick' AS reason")
+    assert [r.item_id for r in throttle.throttle(feed, 10).orderBy("item_id").collect()] == list(range(0, 301, 2))
+
+
+def test_throttling_takes_few_jobs(spark):
+    """Jobs are what a table of any size pays for; pointer doubling and looking ahead took hundreds."""
+    feed = spark.range(600).selectExpr("id % 3 AS book_id", "id AS item_id", "int(id) AS line_index", "timestamp_seconds(id) AS updated_at", "IF(id % 50 = 0, 'pause', 'tick') AS reason")
+    spark.sparkContext.setJobGroup("throttle", "")
+    throttle.throttle(feed, 10).count()
+    ids = spark.sparkContext.statusTracker().getJobIdsForGroup("throttle")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(ids) < 30
