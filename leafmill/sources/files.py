@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import normalize_text
 from ..operators.html import unescape
+from .storage import bounded_batches
 
 # Signs of a wrong decoding, what cleaning removes or replaces, and words of pages before the text.
 MOJIBAKE = ("锟", "銆", "嚙", "�", "Ã", "Â")
@@ -134,8 +135,10 @@ def repair_charset(files: DataFrame, clean: bool = True, refine: bool = False) -
     first pass counts the signs of each decoding, CHUNK bytes at a time, and
     keeps none of their texts; a second one decodes by the best method alone
     (and as UTF-8 too, if that is another). Only decoding runs in Python; a
-    null content is an empty text.
+    null content is an empty text. Batches for Python are bounded in bytes, so
+    a worker holds a few of those, or one file that is larger.
     """
+    bounded_batches(files.sparkSession)
     f = files.withColumn("found", _measurer(refine)(F.col("content")))
     prefer = F.get("found", F.lit(0))["bad"] > 0
     scored = F.transform("found", lambda c, i: F.struct(_score(c["n"], c["han"], c["bad"], c["is_view"], prefer).alias("s"), (-i).alias("i"), c["method"].alias("method")))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL = 1_000_000
+BATCH_BYTES = 1 << 23
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -28,6 +29,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds batches of rows for Python to about BATCH_BYTES in this session; Spark's own limit is 64 MB, of which a worker has several copies."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Rounds:
     """The table of an iteration, written anew in each round as Parquet; the one before the last is removed.
 

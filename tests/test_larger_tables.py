@@ -1,11 +1,13 @@
 """Queries over tables whose keys and addresses are longer than those of the smallest given ones."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import SPACE, trim
 from leafmill.operators import quality
 from leafmill.plans import registry
+from leafmill.sources.files import repair_charset
 from leafmill.streaming import throttle
 
 
@@ -61,3 +63,12 @@ def test_throttling_takes_few_jobs(spark):
     ids = spark.sparkContext.statusTracker().getJobIdsForGroup("throttle")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < len(ids) < 30
+
+
+def test_charset_repair_takes_files_in_bounded_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    big = spark.range(0, 48, 1, 1).select("id", F.encode(F.repeat(F.lit("text "), F.lit(200_000)), "UTF-8").alias("content"))
+    out = repair_charset(big)
+    sizes = big.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 4 and max(r.n for r in sizes) < 1 << 24
+    assert out.agg(F.sum(F.length("text"))).first()[0] == 48 * 1_000_000
