@@ -10,7 +10,8 @@ INK = "[ \t　]"
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at its ends, of which only the ends are looked at."""
+    return F.trim(text, F.lit(" \t\n\x0b\f\r" + SPACE[3:-1]))
 
 
 def normalize_text(text: Column) -> Column:

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import SPACE, trim
-from leafmill.operators import quality
+from leafmill.operators import classify, extract, quality
 from leafmill.plans import registry
 from leafmill.sources.files import repair_charset
 from leafmill.streaming import throttle
@@ -72,3 +72,16 @@ def test_charset_repair_takes_files_in_bounded_batches(spark):
     sizes = big.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
     assert len(sizes) > 4 and max(r.n for r in sizes) < 1 << 24
     assert out.agg(F.sum(F.length("text"))).first()[0] == 48 * 1_000_000
+
+
+def test_pages_are_worked_out_in_their_rows(spark):
+    """Without rules no join and no shuffle, so pages that share an id stay apart; normal signs of ASCII are those of the whole pattern."""
+    body = "<p>" + "A sentence of the text of the page. " * 12 + "</p>"
+    rows = [(1, "https://a.example/1", f"<html><body><article>{body}one</article></body></html>"), (1, "https://a.example/2", f"<html><body><article>{body}two</article></body></html>"), (2, "https://a.example/3", None), (3, "https://a.example/4", "")]
+    out = extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r.page_id, r.status, (r.content or "")[-3:]) for r in out.collect()) == [(1, "OK", "one"), (1, "OK", "two"), (2, "NO_MAIN_CONTENT", ""), (3, "NO_MAIN_CONTENT", "")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    signs = spark.range(0, 0x3100).select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    kept = signs.where(F.length(F.regexp_replace("c", classify.NORMAL, "")) != F.length(F.regexp_replace(F.regexp_replace("c", classify.NORMAL_ASCII, ""), classify.NORMAL + "+", "")))
+    assert kept.count() == 0
