@@ -20,7 +20,7 @@ LOW_SPACES = "\t-\r \x85\xa0"
 LOW_PATTERN = f"'(?:[stmd]|re|ve|ll)| ?[{LOW_LETTERS}]+| ?[{LOW_NUMBERS}]+| ?[^{LOW_SPACES}{LOW_LETTERS}{LOW_NUMBERS}]+|[{LOW_SPACES}]+(?![^{LOW_SPACES}])|[{LOW_SPACES}]+"
 NONE = np.iinfo(np.int64).max
 WIDE = 64
-CACHE = 400_000
+CACHE = 100_000
 
 
 def read_tables(path: str) -> dict:
@@ -201,8 +201,8 @@ class BPE:
             else:
                 by_width.setdefault(max(4, 1 << (len(b) - 1).bit_length()), []).append(w)
         for leaves, group in by_width.items():
-            for lo in range(0, len(group), 1 << 14):
-                part = group[lo : lo + (1 << 14)]
+            for lo in range(0, len(group), 1 << 12):
+                part = group[lo : lo + (1 << 12)]
                 self.cache.update(zip(part, self._forest([raw[w] for w in part], leaves)))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
