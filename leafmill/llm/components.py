@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -42,13 +44,49 @@ def release(spark: SparkSession) -> None:
 
     Its cleaner acts on what the driver's JVM collects as garbage, which a
     large heap can put off until long after a step of many shuffles has ended.
+    The heap also gives back what it grew by for the plans and task binaries of
+    these steps, so a run of many small jobs does not fill the driver's memory.
     """
     spark.sparkContext._jvm.System.gc()
 
 
+def n_rows(df: DataFrame) -> int:
+    """The number of rows, summed from one number a partition: a job without a shuffle, for settled tables."""
+
+    def run(batches):
+        yield pa.RecordBatch.from_pydict({"n": [sum(batch.num_rows for batch in batches)]})
+
+    return sum(r.n for r in df.select(F.lit(1).alias("n")).mapInArrow(run, "n long").collect())
+
+
 ROWS_PER_TASK = 50_000
 
 
+def least_of_trees(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v), and the least node of each one's component."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = np.split(ends.reshape(-1), 2)
+    least = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(a, b)
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        while ((up := least[least]) != least).any():
+            least = up
+        a, b = least[a], least[b]
+        a, b = a[a != b], b[a != b]
+    return nodes, nodes[least]
+
+
+def _contract(batches):
+    """(node, root) of the components that one task's edges make, roots included."""
+    parts = [np.column_stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+    if parts:
+        edges = np.concatenate(parts)
+        nodes, roots = least_of_trees(edges[:, 0], edges[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+
 def _hook(links: DataFrame, strict: bool, tasks: int) -> DataFrame:
     """One star step. Each row (u, v) asks u's smallest neighbour to take v.
 
@@ -64,22 +102,26 @@ def _hook(links: DataFrame, strict: bool, tasks: int) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of edges(a, b); root is the least node of its component.
 
-    Alternates large-star and small-star contraction, which needs about
-    log(n) rounds for chains and one or two for stars. Null ends and
+    First each task joins its own edges to stars, by a union-find over arrays;
+    where there are several tasks, large-star and small-star contraction goes on
+    from these, which needs about log(n) rounds at most. Null ends and
     self-links are ignored; an empty edge table gives an empty result.
 
-    Tables of a round have a task for every ROWS_PER_TASK edges, so small ones
-    do not end as many tiny files in each of the rounds' shuffles.
+    Tables of a round have a task for every ROWS_PER_TASK edges. So small ones
+    do not end as many tiny files in each of the rounds' shuffles, and those of
+    one task need no round: each took ten exchanges, and Spark's driver holds a
+    thread, a plan and its updates for each.
     """
     links = settle(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
     )
-    tasks = max(1, links.count() // ROWS_PER_TASK)
-    links = links.coalesce(tasks)
+    tasks = max(1, -(-n_rows(links) // ROWS_PER_TASK))
+    stars = settle(links.coalesce(tasks).mapInArrow(_contract, "node long, root long"))
+    if tasks == 1:
+        return stars
+    links = stars.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = print_of(links)
-    if not before[0]:
-        return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hook(both, True, tasks).where("u <> v").distinct().coalesce(tasks)
@@ -91,4 +133,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    return settle(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))

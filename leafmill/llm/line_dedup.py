@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import BASE, INVERSE, bounded_batches, chunks, distinct, mix, powers, utf8
-from .components import components, release, settle, store
-from .overlap import SLICE_ITEMS, Block, deal_blocks, forest, is_few, open_tokens, open_visits, sliced
+from .components import components, n_rows, release, settle, store
+from .overlap import MOST_BESIDE, SLICE_ITEMS, Block, deal_blocks, forest, open_tokens, open_visits, sliced
 
 BANDS, ROWS = 14, 6
 SHINGLE = 5
@@ -339,25 +339,27 @@ def _line_of(item: str) -> F.Column:
     return F.col(item).bitwiseAND(F.lit(~SHORT_ITEM).cast("long"))
 
 
-def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: DataFrame, few: bool, percent: int) -> DataFrame:
     """(node, root) of the lines that link with another.
 
     found holds the STAR rows of `_gather`, pairs their (item, centre), spots
-    the first place of each line in them. A line's text goes once to each block
-    in which it is compared, straight from its document.
+    the first place of each line in them; few: whether there are MOST_BESIDE of
+    these at most. A line's text goes once to each block in which it is
+    compared, straight from its document.
     """
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def links_of(visits: DataFrame, index: DataFrame) -> DataFrame:
+    def links_of(visits: DataFrame, index: DataFrame, few: bool = False) -> DataFrame:
         """Links (a, b) of lines of each visit (k, block) with the members (k, block) of the block."""
         sizes = visits.select("k").distinct().withColumn("line", _line_of("k")).join(spots.withColumnRenamed("k", "line"), "line").select("k", F.col("length").alias("bytes"))
-        visits, index = sliced(visits, index, sizes)
+        visits, index = sliced(visits, index, sizes, few)
         roles = settle(visits.withColumn("asks", F.lit(1)).union(index.withColumn("asks", F.lit(0))))
+        release(found.sparkSession)
         spot = F.struct("pos", "block", "slice", "asks", F.col("item"))
         asked = roles.select(F.col("k").alias("item"), _line_of("k").alias("k"), F.col("block").cast("long").alias("block"), "slice", "asks").join(spots, "k")
         asked = asked.groupBy("d", "th").agg(F.collect_list(spot).alias("spots"))
         same = F.col("doc_id").eqNullSafe(F.col("d")) & (keyed["th"] == asked["th"])
-        met = keyed.join(F.broadcast(asked) if is_few(roles) else asked, same)
+        met = keyed.join(F.broadcast(asked) if few or n_rows(roles) <= MOST_BESIDE else asked, same)
         body = lambda parts, s: F.struct(*[s[c].alias(c) for c in ("block", "slice", "asks", "item")], F.get(parts, s["pos"]).alias("body"))
         # the lines are an argument of the outer function, so that a text is split once
         bodies = F.transform(F.array(F.split("text", "\n", -1)), lambda parts: F.transform("spots", lambda s: body(parts, s)))
@@ -366,7 +368,8 @@ def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: Data
 
     star = found.where(F.col("kind") == STAR).select(F.col("a").alias("token"), F.col("b").alias("item"), F.col("c").alias("centre"))
     centres = pairs.select(F.col("centre").alias("k"), F.col("centre").alias("block")).distinct()
-    links = settle(links_of(pairs.select(F.col("item").alias("k"), F.col("centre").alias("block")), centres).distinct())
+    # a centre's block has one member, and so not more rows than it has visits
+    links = settle(links_of(pairs.select(F.col("item").alias("k"), F.col("centre").alias("block")), centres, few))
     release(found.sparkSession)
     roots = components(links)
     # two items that are a token's only ones are compared; of more, those that the star has not joined still are to be
@@ -377,7 +380,9 @@ def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: Data
     if still.isEmpty():
         return roots
     visits, index = open_visits(settle(still.join(deal_blocks(still), "k")))
-    return components(links.union(links_of(visits, index)))
+    more = settle(links_of(visits, index))
+    release(found.sparkSession)
+    return components(links.union(more))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -410,8 +415,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     pairs = settle(found.where(F.col("kind").isin(STAR, PAIR) & (F.col("b") != F.col("c"))).select(F.col("b").alias("item"), F.col("c").alias("centre")).distinct())
     lines = pairs.select(F.explode(F.array(_line_of("item"), _line_of("centre"))).alias("k")).distinct()
     first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("k"), F.col("b").alias("d"), F.col("c").alias("th"), "pos", "length")
-    spots = settle(first.join(F.broadcast(lines) if is_few(lines) else lines, "k"))
-    roots = settle(line_links(found, keyed, spots, pairs, percent))
+    few = n_rows(pairs) <= MOST_BESIDE // 2  # a pair has two lines at most
+    spots = settle(first.join(F.broadcast(lines) if few else lines, "k"))
+    roots = line_links(found, keyed, spots, pairs, few, percent)
     release(spark)
     place = F.struct("d", "th", "pos")
     linked = spots.join(roots.withColumnRenamed("node", "k"), "k").select("root", place.alias("place"))

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components, settle
+from .components import components, n_rows, release, settle
 
 BLOCK_ITEMS = 500
 SLICE_ITEMS, SLICE_BYTES = 4000, 1 << 23
@@ -159,20 +159,25 @@ def _search_block(to_sets: Callable, percent: int) -> Callable:
     return run
 
 
-def is_few(df: DataFrame, limit: int = 1_000_000) -> bool:
+MOST_BESIDE = 1_000_000
+"""As many rows of a few bytes are broadcast at most."""
+
+
+def is_few(df: DataFrame, limit: int = MOST_BESIDE) -> bool:
     """Whether a table of a few bytes a row is small enough to broadcast."""
     return df.limit(limit + 1).count() <= limit
 
 
-def sliced(visits: DataFrame, members: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sliced(visits: DataFrame, members: DataFrame, sizes: DataFrame, few: bool = False) -> tuple[DataFrame, DataFrame]:
     """(k, block, slice) of the visits, each in one slice of its block, and of the members, each in all slices of its block.
 
     sizes: (k, bytes), no k twice. A slice has about SLICE_ITEMS visits or
     SLICE_BYTES of text at most, whatever the number of a block's visitors.
+    few: whether the visits are known to be few enough to broadcast.
     """
     parts = F.greatest(F.count("*") / SLICE_ITEMS, F.sum("bytes") / SLICE_BYTES).cast("int") + 1
     slices = settle(visits.join(sizes, "k").groupBy("block").agg(parts.alias("slices")))
-    slices = _beside(slices)
+    slices = F.broadcast(slices) if few or n_rows(slices) <= MOST_BESIDE else slices
     own = F.pmod(F.xxhash64("k", F.lit("slice")), F.col("slices")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     return visits.join(slices, "block").select("k", "block", own.alias("slice")), members.join(slices, "block").select("k", "block", every.alias("slice"))
@@ -256,12 +261,15 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     items = deal_blocks(shared)
     sets = settle(texts_of(items.select("k")))
     shared = settle(shared.drop("n").join(items, "k"))
+    spark = shared.sparkSession
+    release(spark)
     centres = shared.groupBy("token", "class").agg(F.min("k").alias("centre"), F.min_by("block", "k").alias("at"))
     stars = shared.join(centres, ["token", "class"]).where("k <> centre")
     first_visits = stars.select("k", F.col("at").alias("block")).distinct()
     first_index = stars.select(F.col("centre").alias("k"), F.col("at").alias("block")).distinct()
     first_visits, first_index = settle(first_visits), settle(first_index)
     links = settle(_searched(first_visits, first_index, sets, to_sets, percent))
+    release(spark)
     roots = components(links)
 
     placed = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
@@ -269,4 +277,7 @@ def link_components(shared: DataFrame, texts_of: Callable[[DataFrame], DataFrame
     if still.isEmpty():
         return roots
     visits, index = open_visits(still)
-    return components(links.union(settle(_searched(visits, index, sets, to_sets, percent))))
+    release(spark)
+    more = settle(_searched(visits, index, sets, to_sets, percent))
+    release(spark)
+    return components(links.union(more))

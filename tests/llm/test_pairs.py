@@ -176,6 +176,34 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)], "a long, b long")
+    spark.sparkContext.setJobGroup("few_edges", "")
+    try:
+        got = components.components(edges).collect()
+    finally:
+        spark.sparkContext.setJobGroup("others", "")
+    assert len(got) == 72 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("few_edges")) <= 6  # each round of stars took 6 and more
+
+
+def test_components_of_edges_in_several_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000 + (i * 37) % 101, 1000 + (i * 37 + 37) % 101) for i in range(100)]
+    union = Union()
+    for a, b in edges:
+        union.join(a, b)
+    monkeypatch.setattr(components, "ROWS_PER_TASK", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    least = {}
+    for x in {x for e in edges if e[0] != e[1] for x in e}:
+        least[union.top(x)] = min(x, least.get(union.top(x), x))
+    assert {r.node: r.root for r in got} == {x: least[union.top(x)] for e in edges if e[0] != e[1] for x in e} and len(got) == len({r.node for r in got})
+
+
 def test_line_dedup_finds_edits_in_mid_line(spark):
     rng = random.Random(9)
     lines = ["".join(rng.choice("abcdefghijklmnopqrs ") for _ in range(n)).replace("  ", "xy").strip() + "." for n in range(30, 82, 2)]
