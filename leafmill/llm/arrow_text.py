@@ -136,8 +136,11 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, n_rows: int, size: int) -> tu
 
 def distinct(owners: np.ndarray, keys: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of each owner and their offsets."""
-    order = np.argsort(owners, kind="stable")
-    owners, keys = owners[order], keys[order]
+    if (owners[1:] < owners[:-1]).any():
+        order = np.argsort(owners, kind="stable")
+        owners, keys = owners[order], keys[order]
+    else:
+        keys = keys.copy()
     bounds = np.searchsorted(owners, np.arange(n_rows + 1))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a > 1:

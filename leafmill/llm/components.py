@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .arrow_text import mix
+
 
 def _folder(spark: SparkSession) -> str:
     """The folder for checkpoints, from spark.checkpoint.dir.
@@ -78,59 +80,101 @@ def least_of_trees(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes, nodes[least]
 
 
+def _edges(batches) -> np.ndarray:
+    """Rows of two numbers, as one array."""
+    parts = [np.column_stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+    return np.concatenate(parts) if parts else np.empty((0, 2), np.int64)
+
+
 def _contract(batches):
     """(node, root) of the components that one task's edges make, roots included."""
-    parts = [np.column_stack([c.to_numpy() for c in batch.columns]) for batch in batches]
-    if parts:
-        edges = np.concatenate(parts)
+    edges = _edges(batches)
+    if len(edges):
         nodes, roots = least_of_trees(edges[:, 0], edges[:, 1])
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
 
 
-def _hook(links: DataFrame, strict: bool, tasks: int) -> DataFrame:
-    """One star step. Each row (u, v) asks u's smallest neighbour to take v.
+def _order(level: int):
+    """Of nodes their places in an order of this level's own, and of places the nodes."""
+    scale = int(mix(np.full(1, level + 1, np.uint64))[0]) | 1
+    back = pow(scale, -1, 1 << 64)
+    times = lambda x, by: (np.ascontiguousarray(x).view(np.uint64) * np.uint64(by)).view(np.int64)
+    return lambda x: times(x, scale), lambda x: times(x, back)
 
-    strict: only neighbours above u move (large star); else u and all below it.
-    """
-    least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(tasks)
-    moved = links.join(least, "u").coalesce(tasks)
-    if strict:
-        return moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
+def _contract_at(level: int):
+    """As `_contract`, with the node that comes first in the level's order for a root."""
+    place, node = _order(level)
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of edges(a, b); root is the least node of its component.
+    def run(batches):
+        edges = place(_edges(batches))
+        if len(edges):
+            yield pa.RecordBatch.from_arrays([pa.array(node(x)) for x in least_of_trees(edges[:, 0], edges[:, 1])], names=["node", "root"])
+
+    return run
 
-    First each task joins its own edges to stars, by a union-find over arrays;
-    where there are several tasks, large-star and small-star contraction goes on
-    from these, which needs about log(n) rounds at most. Null ends and
-    self-links are ignored; an empty edge table gives an empty result.
 
-    Tables of a round have a task for every ROWS_PER_TASK edges. So small ones
-    do not end as many tiny files in each of the rounds' shuffles, and those of
-    one task need no round: each took ten exchanges, and Spark's driver holds a
-    thread, a plan and its updates for each.
+def _meet(level: int):
+    """From (node, root) rows of several tasks, all of a node: one root for each node, and edges (higher) between roots that a node has."""
+    place, node = _order(level)
+
+    def run(batches):
+        rows = place(_edges(batches))
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        starts = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+        first = np.repeat(rows[starts, 1], np.diff(np.append(starts, len(rows))))
+        apart = rows[:, 1] != first
+        parts = [(False, rows[starts, 0], rows[starts, 1])]
+        if apart.any():
+            a, b = least_of_trees(rows[apart, 1], first[apart])
+            parts.append((True, a[a != b], b[a != b]))
+        for higher, a, b in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), higher)), pa.array(node(a)), pa.array(node(b))], names=["higher", "a", "b"])
+
+    return run
+
+
+def _joined(links: DataFrame, tasks: int, level: int, max_levels: int) -> DataFrame:
+    """(node, root) for each node of links, root being one node of its component."""
+    if tasks == 1:
+        return settle(links.coalesce(1).mapInArrow(_contract, "node long, root long"))
+    if level == max_levels:
+        raise RuntimeError(f"components did not settle in {max_levels} levels")
+    stars = links.coalesce(tasks).mapInArrow(_contract_at(level), "node long, root long")
+    met = settle(stars.repartition(tasks, "node").mapInArrow(_meet(level), "higher boolean, a long, b long"))
+    higher = settle(met.where("higher").select("a", "b").distinct())
+    tops = _joined(higher, _tasks(higher), level + 1, max_levels).select(F.col("node").alias("b"), "root")
+    return settle(met.where("not higher").join(tops, "b", "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root")))
+
+
+def _tasks(links: DataFrame) -> int:
+    return max(1, -(-n_rows(links) // ROWS_PER_TASK))
+
+
+def components(edges: DataFrame, max_levels: int = 60) -> DataFrame:
+    """(node, root) for each node of edges(a, b); root is the least node of its component.
+
+    Each task joins its own edges to stars, by a union-find over arrays. Where
+    there are several tasks, a node gets one of the roots that its tasks gave
+    it, and what is left are edges between roots: again a table of edges, of
+    fewer nodes, until one task holds it. A level has an order of nodes of its
+    own, from which it takes roots, so that on chains too a part of the nodes
+    goes at each. A node comes from a task once, so no key is frequent. Null
+    ends and self-links are ignored; an empty edge table gives an empty result.
+
+    Tables of a level have a task for every ROWS_PER_TASK edges. So small ones
+    do not end as many tiny files in each of the levels' shuffles, and those of
+    one task need no level: Spark's driver holds a thread, a plan and its
+    updates for each exchange.
     """
     links = settle(
         edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
     )
-    tasks = max(1, -(-n_rows(links) // ROWS_PER_TASK))
-    stars = settle(links.coalesce(tasks).mapInArrow(_contract, "node long, root long"))
+    tasks = _tasks(links)
+    roots = _joined(links, tasks, 0, max_levels)
     if tasks == 1:
-        return stars
-    links = stars.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-    print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = print_of(links)
-    for _ in range(max_rounds):
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hook(both, True, tasks).where("u <> v").distinct().coalesce(tasks)
-        links = settle(_hook(large, False, tasks).where("u > v").distinct().coalesce(tasks))
-        now = print_of(links)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return settle(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+        return roots
+    least = roots.groupBy("root").agg(F.min("node").alias("least"))
+    return settle(roots.join(least, "root").select("node", F.col("least").alias("root")))

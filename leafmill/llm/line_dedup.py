@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import BASE, INVERSE, bounded_batches, chunks, distinct, mix, powers, utf8
 from .components import components, n_rows, release, settle, store
-from .overlap import MOST_BESIDE, SLICE_ITEMS, Block, deal_blocks, forest, open_tokens, open_visits, sliced
+from .overlap import MOST_BESIDE, SLICE_ITEMS, Block, deal_blocks, forest, is_linked, open_tokens, open_visits, sliced
 
 BANDS, ROWS = 14, 6
 SHINGLE = 5
@@ -22,8 +22,8 @@ POSTINGS, PLACES = 1 << 18, 1 << 16
 STAR, PAIR, FIRST, GONE, POSTING, PLACE = range(6)
 FEW_LINES = 1_000_000
 """Up to as many lines to take out (20 bytes each) go to the texts; of more, the texts are shuffled."""
-BATCH = 256
-"""Lines that are compared with a block at once."""
+BATCH, LINKS = 256, 1 << 14
+"""Lines that are compared with a block at once; and links that a task holds before it sends them on, as a batch for each block would cost more."""
 _VALUE = mix(np.arange(7, 7 + (1 << 16), dtype=np.uint64))
 """The value of each code point of the basic plane in a line's polynomial; others are worked out."""
 _SCALE = mix(np.arange(31, 31 + 8, dtype=np.uint64)) | np.uint64(1)
@@ -249,8 +249,8 @@ def _gather(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), a, b, c, pos, length], names=["kind", "a", "b", "c", "pos", "length"])
 
     for kind in (STAR, GONE):
-        for found in parts.pop(kind, []):
-            yield from rows(kind, found)
+        if kind in parts:
+            yield from rows(kind, np.concatenate(parts.pop(kind)))  # blobs are small, and a batch for each would cost more than its rows
     if POSTING in parts:
         found, alone, _ = stars(np.concatenate(parts.pop(POSTING)))
         yield from rows(STAR, found[~alone])
@@ -283,17 +283,12 @@ def _search(percent: int):
     """
 
     def run(batches):
-        place, members, index, asking, pairs, before = None, [], None, [], [], None
+        place, members, index, asking, pairs, found, before = None, [], None, [], [], [], None
 
         def ask():
             if asking and len(members) == 1:
-                (item, mine), n = members[0], len(members[0][1])
-                for other, own in asking:
-                    both = np.concatenate((mine, own))
-                    both.sort()
-                    shared = np.count_nonzero(both[1:] == both[:-1])
-                    if 100 * shared >= percent * (n + len(own) - shared):
-                        pairs.append((other, item))
+                item, mine = members[0]
+                pairs.extend((other, item) for other, own in asking if is_linked(own, mine, percent))
             elif asking and members:
                 a, b = index.links([own for _, own in asking], percent)
                 pairs.extend((asking[i][0], members[j][0]) for i, j in zip(a.tolist(), b.tolist()))
@@ -311,7 +306,10 @@ def _search(percent: int):
                     before = row
                     if row[:2] != place:
                         ask()
-                        yield from _links(pairs)
+                        found += _tree(pairs)
+                        if len(found) >= LINKS:
+                            yield _links(found)
+                            found = []
                         place, members, index, pairs = row[:2], [], None, []
                     if not row[2]:
                         members.append((row[3] & ~SHORT_ITEM, own))
@@ -322,16 +320,20 @@ def _search(percent: int):
                     if len(asking) == BATCH:
                         ask()
         ask()
-        yield from _links(pairs)
+        found += _tree(pairs)
+        if found:
+            yield _links(found)
 
     return run
 
 
-def _links(pairs: list[tuple[int, int]]):
-    """A spanning forest of the pairs of one block, as a batch."""
-    kept = forest([p for p in pairs if p[0] != p[1]])
-    if kept:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept)], names=["a", "b"])
+def _tree(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one block."""
+    return forest([p for p in pairs if p[0] != p[1]]) if pairs else []
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
 
 def _line_of(item: str) -> F.Column:
@@ -371,18 +373,19 @@ def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: Data
     # a centre's block has one member, and so not more rows than it has visits
     links = settle(links_of(pairs.select(F.col("item").alias("k"), F.col("centre").alias("block")), centres, few))
     release(found.sparkSession)
-    roots = components(links)
+    few_tasks = max(1, n // 4)  # links are few rows of each search's task
+    roots = components(links.coalesce(few_tasks))
     # two items that are a token's only ones are compared; of more, those that the star has not joined still are to be
     several = star.groupBy("token").agg(F.count("*").alias("c")).where("c > 2").select("token")
     placed = star.join(several, "token").select("token", F.col("item").alias("k"), _line_of("item").alias("node")).distinct()
     placed = placed.join(roots, "node", "left").select("token", "k", F.lit(1).alias("need"), F.lit(0).alias("class"), F.coalesce("root", "node").alias("root"))
-    still = settle(open_tokens(placed))
+    still = settle(open_tokens(settle(placed)))
     if still.isEmpty():
         return roots
     visits, index = open_visits(settle(still.join(deal_blocks(still), "k")))
     more = settle(links_of(visits, index))
     release(found.sparkSession)
-    return components(links.union(more))
+    return components(links.union(more).coalesce(few_tasks))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -454,6 +457,7 @@ def _flags(gone, n):
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    n_lines = F.when(F.col("line_keep").isNotNull(), F.size("line_keep")).when(F.col("text") != "", F.size(F.split("text", "\n", -1))).otherwise(0)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col("line_keep").isNotNull(), F.size("line_keep")).when(F.col("text") != "", breaks + 1).otherwise(0)
     n_gone = F.coalesce(F.size(F.filter("line_keep", lambda x: ~x)), F.lit(0))
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), (n_lines - n_gone).cast("long").alias("n_kept"), F.col("kept_text").alias("text"))

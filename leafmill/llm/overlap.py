@@ -29,6 +29,8 @@ ENTRIES = 1 << 19
 """As many entries of lists are counted at once."""
 PROBE = 1.0
 """What a step of a binary search costs, in entries of a merge: DivideSkip's mu."""
+SKIPPED = 0.75
+"""The share of the lists a link can do without that are left out of the count; of few lists more items come out that do not link."""
 BLOCK_TOKENS = 1 << 21
 """About as many tokens has a block at most, but for one set that has more."""
 
@@ -42,7 +44,7 @@ class Block:
     """Inverted lists over the sets of some items, each list in item order."""
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets], np.int64)
         tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         items = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(tokens, kind="stable")
@@ -96,7 +98,12 @@ class Block:
 
 
     def links(self, queries: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query number, item) of all links of several queries: their lists merged in one count, which suits sets of a few hundred."""
+        """(query number, item) of all links of several queries, which suits sets of a few hundred.
+
+        Of a query's lists the SKIPPED longest of those that a link can do
+        without are left out, the others are merged in one count; what can
+        still link is compared whole.
+        """
         sizes = np.array([len(q) for q in queries], np.int64)
         tokens, owner = np.concatenate(queries), np.repeat(np.arange(len(queries)), sizes)
         at = np.searchsorted(self.tokens, tokens)
@@ -104,6 +111,13 @@ class Block:
         hit = self.tokens[at] == tokens
         at, owner = at[hit], owner[hit]
         lengths = self.bounds[at + 1] - self.bounds[at]
+        least = np.maximum(1, -(-percent * sizes // 100))
+        hits = np.bincount(owner, minlength=len(queries))
+        skipped = np.where(hits < least, hits, ((least - 1) * SKIPPED).astype(np.int64))
+        order = np.argsort(owner << 32 | lengths)
+        owner = owner[order]
+        kept = np.arange(len(owner)) - (np.cumsum(hits) - hits)[owner] < (hits - skipped)[owner]
+        at, owner, lengths = at[order[kept]], owner[kept], lengths[order[kept]]
         n = len(self.sizes)
         counts = np.zeros(len(queries) * n, np.int64)
         # parts of a bounded number of entries, whatever the lists' lengths
@@ -114,8 +128,22 @@ class Block:
             ends = np.cumsum(some)
             entries = np.arange(ends[-1]) + np.repeat(self.bounds[at[lo:hi]] - (ends - some), some)
             counts += np.bincount(self.items[entries] + np.repeat(owner[lo:hi] * n, some), minlength=len(counts))
-        counts = counts.reshape(-1, n)
-        return np.nonzero((counts > 0) & (100 * counts >= percent * (sizes[:, None] + self.sizes[None, :] - counts)))
+        a, b = np.nonzero(counts.reshape(-1, n))
+        able = counts[a * n + b] + skipped[a] >= needed(sizes[a], self.sizes[b], percent)
+        able &= 100 * np.minimum(sizes[a], self.sizes[b]) >= percent * np.maximum(sizes[a], self.sizes[b])
+        a, b = a[able], b[able]
+        linked = np.array([is_linked(queries[i], self.sets[j], percent) for i, j in zip(a.tolist(), b.tolist())], bool)
+        return a[linked], b[linked]
+
+
+def is_linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * overlap >= percent * union for two sets of distinct hashes."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return 100 * shared >= percent * (len(both) - shared)
 
 
 def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:

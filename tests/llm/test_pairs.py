@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafmill.llm import components, line_dedup, ngram_join, overlap, postings
@@ -204,6 +205,55 @@ def test_components_of_edges_in_several_tasks(spark, monkeypatch):
     assert {r.node: r.root for r in got} == {x: least[union.top(x)] for e in edges if e[0] != e[1] for x in e} and len(got) == len({r.node for r in got})
 
 
+def test_components_of_several_tasks_take_few_jobs(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(200)] + [(5000 + i, 5001 + i) for i in range(0, 100, 2)]
+    random.Random(5).shuffle(edges)
+    monkeypatch.setattr(components, "ROWS_PER_TASK", 250)
+    spark.sparkContext.setJobGroup("more_edges", "")
+    try:
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        spark.sparkContext.setJobGroup("others", "")
+    want = {i: 0 for i in range(301)} | {1000: 1000} | {2000 + i: 1000 for i in range(200)} | {5000 + i: 5000 + i // 2 * 2 for i in range(100)}
+    n_jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("more_edges"))
+    assert got == want and n_jobs <= 20, n_jobs
+
+
+def test_block_links_leave_out_long_lists():
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 400, 150, dtype=np.uint64)) for _ in range(40)]
+    sets = [np.union1d(b[rng.random(len(b)) > p], np.unique(rng.integers(400, 800, k, dtype=np.uint64))) for b in base for p, k in ((0, 1), (0.1, 4), (0.2, 9))]
+    sets += [np.array([7], np.uint64), np.array([7, 9000], np.uint64), np.arange(50, 54, dtype=np.uint64), np.arange(50, 55, dtype=np.uint64)]
+    shared = lambda a, b: len(np.intersect1d(a, b))
+    block = overlap.Block(sets)
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 100 * (s := shared(a, b)) >= 80 * (len(a) + len(b) - s)}
+    block.items = seen = Counted(block.items)
+    assert set(zip(*(x.tolist() for x in block.links(sets, 80)))) == want and len(want) > len(sets)
+    assert seen.entries < sum(np.isin(a, b).sum() for a in sets for b in sets) / 2
+
+
+class Counted:
+    """An array that counts what is taken from it."""
+
+    def __init__(self, array):
+        self.array, self.entries = array, 0
+
+    def __getitem__(self, at):
+        self.entries += len(at)
+        return self.array[at]
+
+
+def test_line_dedup_sends_rows_of_many_small_blocks_at_once():
+    star = [np.array([[i, 2 * i + 1, 1]], np.int64).tobytes() for i in range(200)]
+    blobs = [pa.RecordBatch.from_pydict({"bucket": pa.array([0] * 20, pa.int32()), "kind": pa.array([line_dedup.STAR] * 20, pa.int8()), "payload": pa.array(star[i : i + 20], pa.binary())}) for i in range(0, 200, 20)]
+    got = list(line_dedup._gather(iter(blobs)))
+    assert len(got) == 1 and got[0].column("a").to_pylist() == list(range(200))
+    rows = [(i, 0, asks, 16 * i + 1 + 4 * asks, f"a line of some length, number {i}") for i in range(100) for asks in (0, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()))], names=["block", "slice", "asks", "item", "body"])
+    got = list(line_dedup._search(80)(iter([batch])))
+    assert len(got) == 1 and sorted(zip(*(c.to_pylist() for c in got[0].columns))) == [(16 * i + 5, 16 * i + 1) for i in range(100)]
+
+
 def test_line_dedup_finds_edits_in_mid_line(spark):
     rng = random.Random(9)
     lines = ["".join(rng.choice("abcdefghijklmnopqrs ") for _ in range(n)).replace("  ", "xy").strip() + "." for n in range(30, 82, 2)]
