@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -34,11 +36,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def store(df: DataFrame, by: str) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the folder for checkpoints, a part for each value of a column: one that is read several times, in parts."""
+def store(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """Cuts the lineage by a Parquet table in the folder for checkpoints, and its path, for `discard`.
+
+    For tables that are read several times in parts (a part for each value of
+    the columns `by`), and for texts, which a checkpoint does not compress.
+    """
     path = f"{_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.partitionBy(by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of `store` that nothing reads any more; Spark's cleaner knows checkpoints only."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -48,7 +60,11 @@ def release(spark: SparkSession) -> None:
     large heap can put off until long after a step of many shuffles has ended.
     The heap also gives back what it grew by for the plans and task binaries of
     these steps, so a run of many small jobs does not fill the driver's memory.
+    Frames that Python no longer holds go first, as they keep their plans'
+    shuffles, and so does the last step's end until all have been told of it.
     """
+    gc.collect()
+    time.sleep(0.2)
     spark.sparkContext._jvm.System.gc()
 
 

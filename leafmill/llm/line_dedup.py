@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_text import BASE, INVERSE, bounded_batches, chunks, distinct, mix, powers, utf8
-from .components import components, n_rows, release, settle, store
-from .overlap import MOST_BESIDE, SLICE_ITEMS, Block, deal_blocks, forest, is_linked, open_tokens, open_visits, sliced
+from .components import components, discard, n_rows, release, settle, store
+from .overlap import BLOCK_ITEMS, MOST_BESIDE, Block, forest, is_linked, open_tokens, sliced
 
 BANDS, ROWS = 14, 6
 SHINGLE = 5
@@ -22,8 +22,14 @@ POSTINGS, PLACES = 1 << 18, 1 << 16
 STAR, PAIR, FIRST, GONE, POSTING, PLACE = range(6)
 FEW_LINES = 1_000_000
 """Up to as many lines to take out (20 bytes each) go to the texts; of more, the texts are shuffled."""
+FEW_PAIRS = 64
+"""As many pairs of lines of a block are compared without an index."""
 BATCH, LINKS = 256, 1 << 14
 """Lines that are compared with a block at once; and links that a task holds before it sends them on, as a batch for each block would cost more."""
+SEGMENT, PROBES = 1 << 16, 4
+"""Bits of a segment of the filter of places, and how many of them stand for a place."""
+FILTER_BITS, FILTER_MOST = 12, 1 << 28
+"""Bits of the filter for each place in it, and of the whole filter at most: of a fuller one more lines come along that nothing asks for."""
 _VALUE = mix(np.arange(7, 7 + (1 << 16), dtype=np.uint64))
 """The value of each code point of the basic plane in a line's polynomial; others are worked out."""
 _SCALE = mix(np.arange(31, 31 + 8, dtype=np.uint64)) | np.uint64(1)
@@ -286,10 +292,11 @@ def _search(percent: int):
         place, members, index, asking, pairs, found, before = None, [], None, [], [], [], None
 
         def ask():
-            if asking and len(members) == 1:
-                item, mine = members[0]
-                pairs.extend((other, item) for other, own in asking if is_linked(own, mine, percent))
-            elif asking and members:
+            nonlocal index
+            if len(asking) * len(members) <= FEW_PAIRS:
+                pairs.extend((other, item) for other, own in asking for item, mine in members if item != other and is_linked(own, mine, percent))
+            else:
+                index = index or Block([m[1] for m in members])
                 a, b = index.links([own for _, own in asking], percent)
                 pairs.extend((asking[i][0], members[j][0]) for i, j in zip(a.tolist(), b.tolist()))
             asking.clear()
@@ -314,8 +321,6 @@ def _search(percent: int):
                     if not row[2]:
                         members.append((row[3] & ~SHORT_ITEM, own))
                         continue
-                    if index is None and len(members) > 1:
-                        index = Block([m[1] for m in members])
                     asking.append((row[3] & ~SHORT_ITEM, own))
                     if len(asking) == BATCH:
                         ask()
@@ -341,13 +346,110 @@ def _line_of(item: str) -> F.Column:
     return F.col(item).bitwiseAND(F.lit(~SHORT_ITEM).cast("long"))
 
 
-def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: DataFrame, few: bool, percent: int) -> DataFrame:
+def _probes(doc: np.ndarray, pos: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of places (hash of the document, number of the line) their segments of the filter, and their bits (places x PROBES) in these."""
+    doc = np.ascontiguousarray(doc).view(np.uint64)
+    hashed = mix(doc + (pos.astype(np.uint64) + np.uint64(1)) * BASE)
+    bits = hashed[:, None] >> (np.uint64(16) * np.arange(PROBES, dtype=np.uint64)) & np.uint64(SEGMENT - 1)
+    return ((doc >> np.uint64(32)) % np.uint64(segments)).astype(np.int64), bits.astype(np.int64)
+
+
+def _fill(segments: int):
+    """From (doc, pos) rows, all of a segment in one task, (segment, bits)."""
+
+    def run(batches):
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            segment, bits = _probes(batch.column(0).to_numpy(), batch.column(1).to_numpy(), segments)
+            for s in np.unique(segment).tolist():
+                made.setdefault(s, np.zeros(SEGMENT, bool))[bits[segment == s].ravel()] = True
+        for s, bits in made.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
+
+    return run
+
+
+def _lines_at(filled, segments: int):
+    """From (doc, text) rows (k, body) of the lines whose places the filter holds."""
+
+    def run(batches):
+        held = filled.value
+        for batch in batches:
+            doc = batch.column(0).to_numpy()
+            data, offs = utf8(batch.column(1))
+            breaks = np.flatnonzero(data == 10)
+            before = np.searchsorted(breaks, offs)
+            counts = np.diff(before) + 1
+            row = np.repeat(np.arange(len(counts)), counts)
+            first = np.cumsum(counts) - counts
+            pos = np.arange(len(row)) - first[row]
+            segment, bits = _probes(doc[row], pos, segments)
+            which = np.arange(len(row))
+            for j in range(PROBES):
+                bit = bits[which, j]
+                which = which[held[segment[which], bit >> 3] >> (7 - (bit & 7)) & 1 > 0]
+            starts, stops = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+            inner = pos > 0
+            starts[~inner], starts[inner] = offs[:-1], breaks + 1
+            stops[first + counts - 1] = offs[1:]
+            stops[np.flatnonzero(inner) - 1] = breaks
+            raw = data.tobytes()
+            for lo in range(0, len(which), 1 << 12):
+                part = which[lo : lo + (1 << 12)]
+                bodies = pa.array([raw[a:b] for a, b in zip(starts[part].tolist(), stops[part].tolist())], pa.binary()).cast(pa.string())
+                codes, ends = utf8(bodies)
+                keys = [Lines(codes[ends[a] : ends[b]], ends[a : b + 1] - ends[a]).key for a, b in chunks(ends, CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), bodies], names=["k", "body"])
+
+    return run
+
+
+def bodies_of(keyed: DataFrame, spots: DataFrame) -> DataFrame:
+    """(k, body) of the lines whose first places are in spots; some others come too, and those of rows that repeat do as often.
+
+    Texts are not shuffled: a filter of the places goes to them, of a few bytes
+    a line and bounded in all, and only lines that it holds leave a task.
+    """
+    spark = keyed.sparkSession
+    segments = max(1, min(FILTER_MOST, n_rows(spots) * FILTER_BITS) // SEGMENT)
+    places = spots.select(F.xxhash64("d", "th").alias("doc"), "pos")
+    tasks = min(segments, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    segment = F.pmod(F.shiftrightunsigned("doc", 32), F.lit(segments))
+    parts = places.repartition(tasks, segment).mapInArrow(_fill(segments), "segment int, bits binary").collect()
+    held = np.zeros((segments, SEGMENT // 8), np.uint8)
+    for part in parts:
+        held[part.segment] = np.frombuffer(part.bits, np.uint8)
+    filled = spark.sparkContext.broadcast(held)
+    return keyed.select(F.xxhash64("doc_id", "th").alias("doc"), "text").mapInArrow(_lines_at(filled, segments), "k long, body string")
+
+
+def band_visits(still: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, block): the blocks that members of other components than a band's largest visit, and the members of all blocks.
+
+    still: (token, k, root, top), a row once. The least of an item's tokens is
+    its own, and the least that items of a token have leads it; tokens of one
+    leader share their items, which have blocks of their own, one for
+    BLOCK_ITEMS of them. So bands of similar lines are mostly searched
+    together, a band is never apart, and where its leader has up to as many
+    items, each sends its text twice for it at most.
+    """
+    own = still.groupBy("k").agg(F.min("token").alias("own"))
+    lead = still.join(own, "k").groupBy("token").agg(F.min("own").alias("lead"))
+    led = settle(still.join(lead, "token").groupBy("lead", "k").agg(F.max(F.col("root") != F.col("top")).alias("asks")))
+    crowds = led.groupBy("lead").agg((F.count("*") / BLOCK_ITEMS).cast("int").alias("last"))
+    led = led.join(crowds, "lead")
+    block = F.xxhash64("lead", "part").alias("block")
+    visits = led.where("asks").select("lead", "k", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part")).select("k", block)
+    return visits, led.withColumn("part", F.pmod(F.xxhash64("k"), F.col("last") + 1).cast("int")).select("k", block)
+
+
+def line_links(found: DataFrame, bodies: DataFrame, spots: DataFrame, pairs: DataFrame, few: bool, percent: int) -> DataFrame:
     """(node, root) of the lines that link with another.
 
     found holds the STAR rows of `_gather`, pairs their (item, centre), spots
-    the first place of each line in them; few: whether there are MOST_BESIDE of
-    these at most. A line's text goes once to each block in which it is
-    compared, straight from its document.
+    the first place of each line in them, bodies their texts; few: whether
+    there are MOST_BESIDE of the lines at most. A line's text goes once to each
+    block in which it is compared.
     """
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -357,15 +459,8 @@ def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: Data
         visits, index = sliced(visits, index, sizes, few)
         roles = settle(visits.withColumn("asks", F.lit(1)).union(index.withColumn("asks", F.lit(0))))
         release(found.sparkSession)
-        spot = F.struct("pos", "block", "slice", "asks", F.col("item"))
-        asked = roles.select(F.col("k").alias("item"), _line_of("k").alias("k"), F.col("block").cast("long").alias("block"), "slice", "asks").join(spots, "k")
-        asked = asked.groupBy("d", "th").agg(F.collect_list(spot).alias("spots"))
-        same = F.col("doc_id").eqNullSafe(F.col("d")) & (keyed["th"] == asked["th"])
-        met = keyed.join(F.broadcast(asked) if few or n_rows(roles) <= MOST_BESIDE else asked, same)
-        body = lambda parts, s: F.struct(*[s[c].alias(c) for c in ("block", "slice", "asks", "item")], F.get(parts, s["pos"]).alias("body"))
-        # the lines are an argument of the outer function, so that a text is split once
-        bodies = F.transform(F.array(F.split("text", "\n", -1)), lambda parts: F.transform("spots", lambda s: body(parts, s)))
-        rows = met.select(F.inline(bodies[0]))
+        asked = roles.select(F.col("k").alias("item"), _line_of("k").alias("k"), F.col("block").cast("long").alias("block"), "slice", "asks")
+        rows = bodies.join(F.broadcast(asked) if few or n_rows(roles) <= MOST_BESIDE else asked, "k").select("block", "slice", "asks", "item", "body")
         return rows.repartition(n, "block", "slice").sortWithinPartitions("block", "slice", "asks", "item").mapInArrow(_search(percent), "a long, b long")
 
     star = found.where(F.col("kind") == STAR).select(F.col("a").alias("token"), F.col("b").alias("item"), F.col("c").alias("centre"))
@@ -378,12 +473,11 @@ def line_links(found: DataFrame, keyed: DataFrame, spots: DataFrame, pairs: Data
     # two items that are a token's only ones are compared; of more, those that the star has not joined still are to be
     several = star.groupBy("token").agg(F.count("*").alias("c")).where("c > 2").select("token")
     placed = star.join(several, "token").select("token", F.col("item").alias("k"), _line_of("item").alias("node")).distinct()
-    placed = placed.join(roots, "node", "left").select("token", "k", F.lit(1).alias("need"), F.lit(0).alias("class"), F.coalesce("root", "node").alias("root"))
+    placed = placed.join(roots, "node", "left").select("token", "k", F.coalesce("root", "node").alias("root"))
     still = settle(open_tokens(settle(placed)))
     if still.isEmpty():
         return roots
-    visits, index = open_visits(settle(still.join(deal_blocks(still), "k")))
-    more = settle(links_of(visits, index))
+    more = settle(links_of(*band_visits(still)))
     release(found.sparkSession)
     return components(links.union(more).coalesce(few_tasks))
 
@@ -413,14 +507,16 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("text <> ''")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = keyed.mapInArrow(_scan(bands, rows, 8 * n), "bucket int, kind byte, payload binary")
-    found = store(blobs.repartition(n, "bucket").mapInArrow(_gather, FOUND), "kind")
+    found, found_at = store(blobs.repartition(n, "bucket").mapInArrow(_gather, FOUND), "kind")
     release(spark)
     pairs = settle(found.where(F.col("kind").isin(STAR, PAIR) & (F.col("b") != F.col("c"))).select(F.col("b").alias("item"), F.col("c").alias("centre")).distinct())
     lines = pairs.select(F.explode(F.array(_line_of("item"), _line_of("centre"))).alias("k")).distinct()
     first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("k"), F.col("b").alias("d"), F.col("c").alias("th"), "pos", "length")
     few = n_rows(pairs) <= MOST_BESIDE // 2  # a pair has two lines at most
     spots = settle(first.join(F.broadcast(lines) if few else lines, "k"))
-    roots = line_links(found, keyed, spots, pairs, few, percent)
+    bodies, bodies_at = store(bodies_of(keyed, spots))
+    roots = line_links(found, bodies, spots, pairs, few, percent)
+    discard(spark, bodies_at)
     release(spark)
     place = F.struct("d", "th", "pos")
     linked = spots.join(roots.withColumnRenamed("node", "k"), "k").select("root", place.alias("place"))
@@ -430,6 +526,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     moves = others.union(linked.select("place")).select("place.*", F.lit(False).alias("stays")).union(stay.select("place.*", F.lit(True).alias("stays")))
     lists = moves.groupBy("d", "th").agg(F.collect_set(F.when(~F.col("stays"), F.col("pos"))).alias("out"), F.collect_set(F.when(F.col("stays"), F.col("pos"))).alias("in"))
     gone = settle(lists.select("d", "th", F.array_except("out", "in").alias("gone")).where("size(gone) > 0"))
+    discard(spark, found_at)
+    release(spark)
     few = (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= FEW_LINES
 
     own = docs.columns

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import components, line_dedup, ngram_join, overlap, postings
 
@@ -254,6 +255,48 @@ def test_line_dedup_sends_rows_of_many_small_blocks_at_once():
     assert len(got) == 1 and sorted(zip(*(c.to_pylist() for c in got[0].columns))) == [(16 * i + 5, 16 * i + 1) for i in range(100)]
 
 
+def test_line_dedup_of_many_lines_shuffles_no_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    lines = [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(10)) for _ in range(40)]
+    texts = ["\n".join((x, f"{i} " + rng.randbytes(40_000).hex(), x[:40] + "zé" + x[42:])) for i, x in enumerate(lines)]
+    rows = [(None if i == 3 else i // 2, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string").repartition(3).localCheckpoint()
+    monkeypatch.setattr(line_dedup, "MOST_BESIDE", 0)
+    written = lambda: sum(x.totalShuffleWrite() for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    before = written()
+    got = line_dedup.dedup_lines(docs).collect()
+    assert written() - before < sum(map(len, texts)) / 4
+    assert len(got) == 41 and all(r.kept_text == r.text[: r.text.rindex("\n")] for r in got)
+
+
+def test_bodies_are_those_of_the_places_asked_for(spark):
+    texts = ["\n".join(f"line {j} of text {i} é" for j in range(40)) + "\n" * (i % 3) for i in range(60)]
+    keyed = spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    asked = [(i, j) for i in range(60) for j in range(i % 5)]
+    pos = {i: [j for k, j in asked if k == i] for i in range(60)}
+    spots = keyed.join(spark.createDataFrame([(i or None, pos[i]) for i in pos], "e long, at array<int>"), F.col("doc_id").eqNullSafe(F.col("e"))).select(F.col("doc_id").alias("d"), "th", F.explode("at").alias("pos"))
+    got = line_dedup.bodies_of(keyed, spots.localCheckpoint()).collect()
+    want = {texts[i].split("\n")[j] for i, j in asked}
+    assert {r.body for r in got} >= want and len(got) < len(want) + 100
+    assert [r.k for r in got] == line_dedup.line_sets([r.body for r in got], np.zeros(len(got), np.int64))[0].tolist()
+
+
+@pytest.mark.parametrize("items", [500, 3])
+def test_bands_are_searched_by_themselves(spark, monkeypatch, items):
+    monkeypatch.setattr(line_dedup, "BLOCK_ITEMS", items)
+    rng = random.Random(2)
+    bands = {1000 * t + 500: [10 * t + i for i in range(rng.choice([3, 5, 9]))] for t in range(1, 30)}
+    bands[1] = list(range(5, 300, 60))  # one band of items of many others
+    rows = [(t, k, k if t % 3 else k // 2, bands[t][0]) for t in bands for k in bands[t]]
+    visits, index = line_dedup.band_visits(spark.createDataFrame(rows, "token long, k long, root long, top long"))
+    visits, index = [tuple(r) for r in visits.collect()], [tuple(r) for r in index.collect()]
+    met = {(a, b) for a, x in visits for b, y in index if x == y}
+    assert all((k, other) in met for t, k, root, top in rows if root != top for other in bands[t])
+    assert len(index) == len(set(index)) <= len(rows) and len(set(visits)) == len(visits)
+    if items == 500:
+        assert len(visits) <= len(rows)
+
+
 def test_line_dedup_finds_edits_in_mid_line(spark):
     rng = random.Random(9)
     lines = ["".join(rng.choice("abcdefghijklmnopqrs ") for _ in range(n)).replace("  ", "xy").strip() + "." for n in range(30, 82, 2)]
