@@ -1,6 +1,7 @@
 """The pipeline stage by stage against brute force, on odd rows, empty tables and clashing names."""
 
 import collections
+import pathlib
 import random
 
 import pytest
@@ -119,3 +120,11 @@ def test_the_whole_run(spark, folder):
     out = corpus_pipeline.run(spark, folder).toPandas()
     assert len(out) > 20 and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
     assert (out["ids"].map(len) == out["n_tokens"]).all()
+
+
+def test_the_whole_run_leaves_only_the_last_stages_table(spark, folder):
+    shared = pathlib.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = {p.parent for p in shared.rglob("*.parquet")}
+    out = corpus_pipeline.run(spark, folder)
+    left = {p.parent for p in shared.rglob("*.parquet")} - before
+    assert len(left) == 1 and out.count() == spark.read.parquet(str(*left)).count()
