@@ -510,10 +510,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: in
     found, found_at = store(blobs.repartition(n, "bucket").mapInArrow(_gather, FOUND), "kind")
     release(spark)
     pairs = settle(found.where(F.col("kind").isin(STAR, PAIR) & (F.col("b") != F.col("c"))).select(F.col("b").alias("item"), F.col("c").alias("centre")).distinct())
+    release(spark)
     lines = pairs.select(F.explode(F.array(_line_of("item"), _line_of("centre"))).alias("k")).distinct()
     first = found.where(F.col("kind") == FIRST).select(F.col("a").alias("k"), F.col("b").alias("d"), F.col("c").alias("th"), "pos", "length")
     few = n_rows(pairs) <= MOST_BESIDE // 2  # a pair has two lines at most
     spots = settle(first.join(F.broadcast(lines) if few else lines, "k"))
+    release(spark)  # again, as files of the first scan are large and one call can come too early
     bodies, bodies_at = store(bodies_of(keyed, spots))
     roots = line_links(found, bodies, spots, pairs, few, percent)
     discard(spark, bodies_at)
